@@ -57,15 +57,11 @@ def py_title(col) -> Column:
     """str.title(): a cased character is upper-cased when the previous
     character is not cased, lower-cased otherwise."""
     chars = F.split(_c(col), "")
-
-    def cased(ch):
-        return F.lower(ch) != F.upper(ch)
-
-    out = F.transform(
-        chars,
-        lambda ch, i: F.when(
-            (i == 0) | ~cased(F.get(chars, i - 1)), F.upper(ch)
-        ).otherwise(F.lower(ch)))
+    # pair every character with its predecessor (no per-element re-split)
+    prev = F.concat(F.array(F.lit("")), F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))))
+    pairs = F.arrays_zip(chars.alias("c"), prev.alias("p"))
+    out = F.transform(pairs, lambda x: F.when(F.lower(x["p"]) == F.upper(x["p"]), F.upper(x["c"]))
+                      .otherwise(F.lower(x["c"])))
     return F.when(_c(col) == "", F.lit("")).otherwise(F.array_join(out, ""))
 
 

@@ -41,9 +41,11 @@ def train_language(docs: DataFrame, text: str = "text", lang: str = "lang",
                    sample: int = fixed.LANGUAGE_SAMPLE_CHARS) -> DataFrame:
     """Profile ``(lang, gram, cnt)`` from a labelled table. Map-side partial
     aggregation keeps the shuffle to one row per (partition, lang, gram)."""
+    # the sample is materialised before the lambda: expressions captured
+    # by a lambda are re-evaluated per element
     return (docs.where(F.col(lang).isNotNull())
-            .select(F.col(lang).alias("lang"),
-                    F.explode(trigrams(_sample(F.col(text), sample))).alias("gram"))
+            .select(F.col(lang).alias("lang"), _sample(F.col(text), sample).alias("_s"))
+            .select("lang", F.explode(trigrams(F.col("_s"))).alias("gram"))
             .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -59,7 +61,8 @@ def classify_language(df: DataFrame, keys: list[str], text: str, profile: DataFr
                       sample: int = fixed.LANGUAGE_SAMPLE_CHARS,
                       out: str = "lang_pred") -> DataFrame:
     """Adds ``out`` (predicted language or NULL) to ``df`` keyed by ``keys``."""
-    grams = (df.select(*keys, F.explode(trigrams(_sample(F.col(text), sample))).alias("gram"))
+    grams = (df.select(*keys, _sample(F.col(text), sample).alias("_s"))
+             .select(*keys, F.explode(trigrams(F.col("_s"))).alias("gram"))
              .groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("k")))
     n_doc = grams.groupBy(*keys).agg(F.sum("k").alias("n_doc"))
     prof = maybe_broadcast(profile.select("gram", "lang", "cnt"), PROFILE_BROADCAST_ROWS)

@@ -55,15 +55,15 @@ def _sql_sample(x: str) -> str:
     return f"substr(lower({S.strip(x)}), 1, {fixed.LANGUAGE_SAMPLE_CHARS})"
 
 
-def _sql_grams(x: str) -> str:
-    s = _sql_sample(x)
+def _sql_grams(s: str) -> str:
+    """Trigrams of an already materialised sample column ``s``."""
     return (f"CASE WHEN length({s}) >= 3 THEN list_transform(range(1, length({s}) - 1), "
             f"lambda i: substr({s}, i, 3)) ELSE []::VARCHAR[] END")
 
 
 def _sql_profile_ctes() -> str:
-    return (f"prof AS (SELECT lang, gram, count(*) AS cnt FROM (SELECT lang, unnest({_sql_grams('text')}) AS gram "
-            f"FROM documents WHERE lang IS NOT NULL) GROUP BY lang, gram), "
+    return (f"prof AS (SELECT lang, gram, count(*) AS cnt FROM (SELECT lang, unnest({_sql_grams('s')}) AS gram "
+            f"FROM (SELECT lang, {_sql_sample('text')} AS s FROM documents WHERE lang IS NOT NULL)) GROUP BY lang, gram), "
             f"vocab AS (SELECT count(DISTINCT gram) AS v FROM prof), "
             f"tot AS (SELECT lang, ln(sum(cnt) + (SELECT v FROM vocab)) AS log_den FROM prof GROUP BY lang)")
 
@@ -74,10 +74,9 @@ def _sql_classify(src: str, key: str, txt: str) -> str:
     return (f"(SELECT key, lang FROM (SELECT sc.key, sc.lang, row_number() OVER (PARTITION BY sc.key "
             f"ORDER BY sc.s - nd.n_doc * tot.log_den DESC, sc.lang) AS rn FROM "
             f"(SELECT dg.key, p.lang, sum(dg.k * ln(p.cnt + 1)) AS s FROM "
-            f"(SELECT key, gram, count(*) AS k FROM (SELECT {key} AS key, unnest({_sql_grams(txt)}) AS gram FROM {src}) "
-            f"GROUP BY key, gram) dg JOIN prof p ON p.gram = dg.gram GROUP BY dg.key, p.lang) sc "
-            f"JOIN (SELECT key, count(*) AS n_doc FROM (SELECT {key} AS key, unnest({_sql_grams(txt)}) AS gram FROM {src}) "
-            f"GROUP BY key) nd ON nd.key = sc.key JOIN tot ON tot.lang = sc.lang) WHERE rn = 1)")
+            f"(SELECT key, gram, count(*) AS k FROM (SELECT key, unnest({_sql_grams('s')}) AS gram FROM "
+            f"(SELECT {key} AS key, {_sql_sample(txt)} AS s FROM {src})) GROUP BY key, gram) dg JOIN prof p ON p.gram = dg.gram GROUP BY dg.key, p.lang) sc "
+            f"JOIN (SELECT {key} AS key, greatest(length({_sql_sample(txt)}) - 2, 0) AS n_doc FROM {src}) nd ON nd.key = sc.key JOIN tot ON tot.lang = sc.lang) WHERE rn = 1)")
 
 
 def _sql_gate(txt: str, pred: str, min_length: int) -> str:
