@@ -26,3 +26,110 @@ def gate_pages(extracted: DataFrame, profile: DataFrame, primary: str = fixed.PR
               .when(~F.col("text_ok"), F.lit("text_language"))
               .when(F.coalesce(~F.col("title_ok"), F.lit(False)), F.lit("title_language")))
     return g.withColumn("reason", reason).drop("text_ok", "title_ok")
+
+
+from pyspark.sql import Window  # noqa: E402
+
+from pagewright.functions import code as CD  # noqa: E402
+from pagewright.functions import text as T  # noqa: E402
+from pagewright.operators import accounting as AC  # noqa: E402
+from pagewright.operators import assemble as AS  # noqa: E402
+from pagewright.operators import dedup as DD  # noqa: E402
+from pagewright.operators import generate as G  # noqa: E402
+from pagewright.operators.links import link_score, link_type  # noqa: E402
+from pagewright.session import checkpoint  # noqa: E402
+
+default_render = G.default_render
+
+CANONICAL_ORDER = [("score", False), ("page_id", True), ("url", True)]
+
+
+def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
+           generate_fn=None, check_generated: bool | None = None,
+           critique_fn=None, refine_fn=None, generated_at: str = "1970-01-01 00:00:00",
+           primary: str = fixed.PRIMARY_LANGUAGE) -> dict:
+    """Corpus-mode curation of ``pages(site, page_id, url, html)``.
+
+    Order inside a site: rule score of the page URL (DESC), page_id, url.
+    Returns a dict of DataFrames: extracted, rejects, code_examples,
+    usage, curated, fragments, bundles, funnel."""
+    order = CANONICAL_ORDER
+    if check_generated is None:
+        check_generated = generate_fn is not None
+    ex = checkpoint(X.extract_pages(pages))                 # the one Python stage, persisted
+    u = F.substring_index(F.col("url"), "#", 1)
+    gated = (gate_pages(ex, profile, primary)
+             .withColumn("type", link_type(u, rules)).withColumn("score", link_score(u, rules)))
+    eligible = gated.where(F.col("reason").isNull())
+
+    gen = G.generate(eligible.select("site", "page_id", "url", "type", "score", "title", "main_text"),
+                     generate_fn)
+    gen = checkpoint(gen)
+    # budget over all processed pages: rows before the per-site stop key
+    ranked = (gated.select("site", "page_id", "url", "score")
+              .join(gen.select("page_id", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens")),
+                    "page_id", "left")
+              .withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("bigint")))
+    processed = AC.budget_cut(ranked, seeds, order).select("page_id")
+
+    g2 = L.language_gate(gen, ["page_id"], "generated", profile, primary=primary, out="gen_ok")
+    g2 = g2.join(processed, "page_id", "left_semi")
+    passed = g2.where("gen_ok")
+    t = DD.first_wins(passed, ["site"], T.title_key(F.col("title")), order, "page_id", "title_first")
+    pool_in = t.where("title_first")
+    pooled = DD.pooled_dedup(pool_in, ["site"], "page_id", "main_text",
+                             "generated" if check_generated else None, order)
+    late = (g2.where(~F.col("gen_ok")).select("page_id", F.lit("generated_language").alias("late_reason"))
+            .unionByName(t.where(~F.col("title_first")).select("page_id", F.lit("dup_title").alias("late_reason")))
+            .unionByName(pooled.select("page_id", F.when(F.col("dup_content"), F.lit("dup_content"))
+                                       .when(F.col("dup_generated"), F.lit("dup_generated")).alias("late_reason"))))
+    all_reasons = (gated.join(processed, "page_id", "left_semi")
+                   .join(late, "page_id", "left")
+                   .withColumn("reason", F.coalesce("reason", "late_reason")).drop("late_reason"))
+    rejects = all_reasons.where(F.col("reason").isNotNull()).select("site", "page_id", "url", "reason")
+
+    kept = pooled.where(~F.col("dup_content") & ~F.col("dup_generated"))
+    # code examples: eligible, processed pages; language filter, then site-wide first-wins
+    blocks = (X.code_blocks(ex).join(eligible.select("page_id", "type", "score"), "page_id")
+              .join(processed, "page_id", "left_semi")
+              .withColumn("language", CD.code_language(F.col("classes"), F.col("code")))
+              .where(CD.is_kept_language(F.col("language")))
+              .withColumn("block_id", F.concat_ws(":", F.col("page_id").cast("string"), F.col("pos").cast("string"))))
+    blocks = DD.first_wins(blocks, ["site"], T.key_hash(CD.normalize_code(F.col("code"))),
+                           order + [("sel_ord", True), ("doc_ord", True)], "block_id", "first")
+    code_examples = blocks.where("first").select("site", "page_id", "sel_ord", "doc_ord", "language", "code")
+
+    # critique / refine (not budget-checked), then section de-duplication
+    crit = G.critique(kept.select("site", "page_id", "url", "type", "score", "title", "generated"), critique_fn)
+    ref = G.refine(crit, refine_fn)
+    final = DD.first_wins(ref, ["site"], F.concat_ws("\u0000", F.col("type"), T.title_key(F.col("title"))),
+                          order, "page_id", "section_first").where("section_first")
+    w = Window.partitionBy("site").orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order])
+    curated = checkpoint(final.withColumn("rank", F.row_number().over(w))
+                         .select("site", "page_id", "url", "rank", "type", "score", "title",
+                                 F.col("final").alias("content")))
+
+    model = F.lit(fixed.DEFAULT_MODEL)
+    usage = (gen.join(processed, "page_id", "left_semi")
+             .select("site", "page_id", F.lit("generate").alias("stage"), model.alias("model"),
+                     "prompt_tokens", "completion_tokens")
+             .unionByName(ref.select("site", "page_id", F.lit("critique").alias("stage"), model.alias("model"),
+                                     F.col("critique_prompt_tokens").alias("prompt_tokens"),
+                                     F.col("critique_completion_tokens").alias("completion_tokens")))
+             .unionByName(ref.select("site", "page_id", F.lit("refine").alias("stage"), model.alias("model"),
+                                     F.col("refine_prompt_tokens").alias("prompt_tokens"),
+                                     F.col("refine_completion_tokens").alias("completion_tokens"))))
+    rates = AC.rates_frame(pages.sparkSession)
+    summary = AC.usage_summary(usage, rates)
+    info = (seeds.select("site", "base_url")
+            .join(curated.groupBy("site").agg(F.count(F.lit(1)).alias("pages")), "site", "left")
+            .join(summary, "site", "left")
+            .select("site", "base_url", F.coalesce("pages", F.lit(0)).alias("pages"),
+                    F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"),
+                    F.coalesce("total_cost", F.lit(0.0)).alias("total_cost")))
+    ex_rows = AS.example_titles(code_examples, ["site", "page_id"], F.struct("sel_ord", "doc_ord"))
+    frags = AS.fragments(curated, ex_rows.select("site", "page_id", "ex_no", "title", "language", "code"),
+                         info, generated_at)
+    funnel = rejects.groupBy("site", "reason").agg(F.count(F.lit(1)).alias("pages"))
+    return dict(extracted=ex, gated=gated, rejects=rejects, code_examples=code_examples, usage=usage,
+                summary=summary, curated=curated, fragments=frags, bundles=AS.bundles(frags), funnel=funnel)

@@ -325,3 +325,304 @@ def md_format(spark, d):
 SELECT site, regexp_extract(base_url, '^[^/]*//([^/]*)', 1) || '{fixed.BUNDLE_SUFFIX}' AS bundle_name FROM ({ORACLES['site_seeds']})""")
 def bundle_name(spark, d):
     return site_seeds(spark, d).select("site", MD.bundle_name(F.col("base_url")).alias("bundle_name"))
+
+
+# ---------------------------------------------------------------------------
+# D. de-duplication
+# ---------------------------------------------------------------------------
+
+from pagewright.operators import accounting as AC  # noqa: E402
+from pagewright.operators import dedup as DD  # noqa: E402
+
+_PAGE_ORDER_SQL = "score DESC, page_id, url"
+
+
+def _sql_typed_eligible() -> str:
+    u = "split_part(url, '#', 1)"
+    return (f"SELECT *, {S.rule_case(u, C.TEST_RULES, 'type')} AS type, {S.rule_case(u, C.TEST_RULES, 'score')} AS score "
+            f"FROM ({_sql_eligible()}) WHERE reason IS NULL")
+
+
+def _eligible_typed(spark, d):
+    from pagewright.plans.curate import gate_pages
+    g = gate_pages(C.extracted(spark, d), C.profile(spark, d)).where(F.col("reason").isNull())
+    return C.typed(g)
+
+
+@register("title_dedup", f"""
+SELECT site, page_id, title, row_number() OVER (PARTITION BY site, lower({S.strip('title')}) ORDER BY {_PAGE_ORDER_SQL}) = 1 AS kept
+FROM ({_sql_typed_eligible()})""")
+def title_dedup(spark, d):
+    e = _eligible_typed(spark, d)
+    return (DD.first_wins(e, ["site"], T.title_key(F.col("title")), C.PAGE_ORDER, "page_id", "kept")
+            .select("site", "page_id", "title", "kept"))
+
+
+@register("section_dedup", f"""
+SELECT site, page_id, type, row_number() OVER (PARTITION BY site, type, lower({S.strip('title')}) ORDER BY {_PAGE_ORDER_SQL}) = 1 AS kept
+FROM ({_sql_typed_eligible()})""")
+def section_dedup(spark, d):
+    e = _eligible_typed(spark, d)
+    key = F.concat_ws("\u0000", F.col("type"), T.title_key(F.col("title")))
+    return DD.first_wins(e, ["site"], key, C.PAGE_ORDER, "page_id", "kept").select("site", "page_id", "type", "kept")
+
+
+@register("exact_dedup", f"""
+SELECT doc_id, row_number() OVER (PARTITION BY lower({S.strip('text')}) ORDER BY doc_id) = 1 AS kept FROM documents""")
+def exact_dedup(spark, d):
+    docs = C.table(spark, d, "documents")
+    return (DD.first_wins(docs, [], T.key_hash(T.content_key(F.col("text"))), [("doc_id", True)], "doc_id", "kept")
+            .select("doc_id", "kept"))
+
+
+_SQL_PAIRS = f"""
+WITH w AS (SELECT doc_id, {S.word_set('text')} AS ws FROM documents),
+n AS (SELECT doc_id, ws, len(ws) AS n FROM w WHERE len(ws) > 0),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.ws, b.ws)) AS inter, a.n AS na, b.n AS nb
+      FROM n a JOIN n b ON a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {DD.PCT} * greatest(a.n, b.n))
+SELECT a, b, inter, na + nb - inter AS uni, inter::DOUBLE / (na + nb - inter)::DOUBLE AS jaccard
+FROM p WHERE 100 * inter > {DD.PCT} * (na + nb - inter)"""
+
+
+@register("near_dup_pairs", _SQL_PAIRS)
+def near_dup_pairs(spark, d):
+    docs = C.table(spark, d, "documents").select("doc_id", T.word_set(F.col("text")).alias("ws"))
+    return DD.near_dup_pairs(docs, [], "doc_id", "ws", [("doc_id", True)]).select("a", "b", "inter", "uni", "jaccard")
+
+
+@register("fuzzy_dedup")
+def fuzzy_dedup(spark, d):
+    docs = C.table(spark, d, "documents").select("doc_id", "text")
+    out = DD.fuzzy_dedup(docs, [], "doc_id", "text", [("doc_id", True)])
+    return out.select("doc_id", "dup_exact", "dup_fuzzy",
+                      (~F.col("dup_exact") & ~F.col("dup_fuzzy")).alias("kept"))
+
+
+@register("code_dedup", f"""
+SELECT source, doc_id, row_number() OVER (PARTITION BY source, {_sql_norm_code('text')} ORDER BY doc_id) = 1 AS kept
+FROM documents""")
+def code_dedup(spark, d):
+    docs = C.table(spark, d, "documents")
+    return (DD.first_wins(docs, ["source"], T.key_hash(CD.normalize_code(F.col("text"))), [("doc_id", True)],
+                          "doc_id", "kept").select("source", "doc_id", "kept"))
+
+
+@register("pooled_dedup")
+def pooled_dedup(spark, d):
+    from pagewright.plans.curate import default_render
+    e = _eligible_typed(spark, d)
+    e = e.withColumn("generated", default_render(F.col("title"), F.col("main_text")))
+    out = DD.pooled_dedup(e, ["site"], "page_id", "main_text", "generated", C.PAGE_ORDER)
+    return out.select("site", "page_id", "dup_content", "dup_generated")
+
+
+# ---------------------------------------------------------------------------
+# E / T / H. links, frontier
+# ---------------------------------------------------------------------------
+
+def _sql_visited() -> str:
+    return f"SELECT DISTINCT site, split_part(url, '#', 1) AS url FROM ({_sql_pages()})"
+
+
+def _visited(spark, d):
+    return C.pages(spark, d).select("site", F.substring_index("url", "#", 1).alias("url")).distinct()
+
+
+@register("url_dedup", f"""
+SELECT site, url, page_id, pos, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY score DESC, page_id, pos) AS rn FROM ({_sql_links()}))
+WHERE rn = 1""")
+def url_dedup(spark, d):
+    return LK.url_dedup(_links(spark, d)).select("site", "url", "page_id", "pos", "score")
+
+
+@register("frontier_new", f"""
+SELECT site, page_id, pos, url FROM ({_sql_links()}) l WHERE NOT EXISTS (
+  SELECT 1 FROM ({_sql_visited()}) v WHERE v.site = l.site AND v.url = l.url)""")
+def frontier_new(spark, d):
+    return LK.frontier_new(_links(spark, d), _visited(spark, d)).select("site", "page_id", "pos", "url")
+
+
+@register("link_resolution", f"""
+SELECT l.site, l.page_id, l.pos, l.url, t.target_page_id, t.target_page_id IS NOT NULL AS resolved
+FROM ({_sql_links()}) l LEFT JOIN (SELECT site, split_part(url, '#', 1) AS url, min(page_id) AS target_page_id
+  FROM ({_sql_pages()}) GROUP BY ALL) t ON t.site = l.site AND t.url = l.url""")
+def link_resolution(spark, d):
+    pn = C.pages(spark, d).select("site", "page_id", F.substring_index("url", "#", 1).alias("url_norm"))
+    pn = pn.groupBy("site", "url_norm").agg(F.min("page_id").alias("page_id"))
+    return LK.link_resolution(_links(spark, d), pn).select("site", "page_id", "pos", "url", "target_page_id", "resolved")
+
+
+def _sql_coverage() -> str:
+    req = [r for r in C.TEST_RULES if r.required]
+    grid = " UNION ALL ".join(f"SELECT site, {S.q(r.section)} AS section FROM (SELECT DISTINCT site FROM ({_sql_typed_eligible()}))" for r in req)
+    return (f"SELECT g.site, g.section, coalesce(f.found, false) AS found FROM ({grid}) g LEFT JOIN "
+            f"(SELECT DISTINCT site, type AS section, true AS found FROM ({_sql_typed_eligible()})) f "
+            f"ON f.site = g.site AND f.section = g.section")
+
+
+def _coverage(spark, d):
+    return LK.section_coverage(_eligible_typed(spark, d).select("site", "type"), C.TEST_RULES)
+
+
+@register("section_coverage", _sql_coverage())
+def section_coverage(spark, d):
+    return _coverage(spark, d)
+
+
+def _sql_boosted() -> str:
+    parts = []
+    for r in C.TEST_RULES:
+        if r.required:
+            pat = " OR ".join(f"contains(lower(l.url), {S.q(p)})" for p in r.patterns)
+            parts.append(f"CASE WHEN EXISTS (SELECT 1 FROM cov WHERE cov.site = l.site AND cov.section = {S.q(r.section)} "
+                         f"AND NOT cov.found) AND ({pat}) THEN {fixed.BOOST_PER_SECTION} ELSE 0 END")
+    boost = " + ".join(parts) if parts else "0"
+    return (f"WITH cov AS ({_sql_coverage()}) SELECT l.site, l.page_id, l.pos, l.url, l.score, {boost} AS boost, "
+            f"l.score + {boost} AS boosted_score FROM ({_sql_links()}) l")
+
+
+@register("boosted_links", _sql_boosted())
+def boosted_links(spark, d):
+    b = LK.boost_links(_links(spark, d), _coverage(spark, d), C.TEST_RULES)
+    return b.select("site", "page_id", "pos", "url", "score", "boost", "boosted_score")
+
+
+def _frontier(spark, d):
+    """Unvisited, boosted, URL-deduplicated links of every site."""
+    b = LK.boost_links(_links(spark, d), _coverage(spark, d), C.TEST_RULES)
+    b = b.withColumn("score", F.col("boosted_score"))
+    return LK.url_dedup(LK.frontier_new(b, _visited(spark, d)))
+
+
+def _sql_frontier() -> str:
+    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY boosted_score DESC, page_id, pos) AS rn0 "
+            f"FROM ({_sql_boosted()}) l WHERE NOT EXISTS (SELECT 1 FROM ({_sql_visited()}) v WHERE v.site = l.site AND v.url = l.url)) "
+            f"WHERE rn0 = 1")
+
+
+@register("frontier_rank", f"""
+SELECT site, url, boosted_score, row_number() OVER (PARTITION BY site ORDER BY boosted_score DESC, page_id, pos) AS rank
+FROM ({_sql_frontier()})""")
+def frontier_rank(spark, d):
+    from pyspark.sql import Window
+    f = _frontier(spark, d)
+    w = Window.partitionBy("site").orderBy(F.col("boosted_score").desc(), "page_id", "pos")
+    return f.select("site", "url", "boosted_score", F.row_number().over(w).alias("rank"))
+
+
+@register("frontier_topk", f"""
+SELECT site, url, boosted_score FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY boosted_score DESC, page_id, pos) AS rk
+FROM ({_sql_frontier()})) WHERE rk <= {fixed.MAX_BATCH}""")
+def frontier_topk(spark, d):
+    from pyspark.sql import Window
+    f = _frontier(spark, d)
+    w = Window.partitionBy("site").orderBy(F.col("boosted_score").desc(), "page_id", "pos")
+    return (f.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= fixed.MAX_BATCH)
+            .select("site", "url", "boosted_score"))
+
+
+@register("frontier_extend", f"""
+SELECT DISTINCT site, url FROM (SELECT site, url FROM ({_sql_visited()}) UNION ALL SELECT site, url FROM ({_sql_frontier()}))""")
+def frontier_extend(spark, d):
+    return _visited(spark, d).unionByName(_frontier(spark, d).select("site", "url")).distinct()
+
+
+# ---------------------------------------------------------------------------
+# F / G. usage, cost, budget
+# ---------------------------------------------------------------------------
+
+def _sql_usage() -> str:
+    t = S.tokens("text")
+    return (f"SELECT CAST(conv_id AS VARCHAR) AS site, conv_id AS page_id, turn AS call_seq, "
+            f"CASE WHEN role IN ('user', 'system') THEN {t} ELSE 0 END::BIGINT AS prompt_tokens, "
+            f"CASE WHEN role = 'assistant' THEN {t} ELSE 0 END::BIGINT AS completion_tokens FROM conversations")
+
+
+@register("usage_cost", f"""
+SELECT site, call_seq, prompt_tokens, completion_tokens, prompt_tokens * {S.RATE_IN} AS input_cost,
+       completion_tokens * {S.RATE_OUT} AS output_cost,
+       prompt_tokens * {S.RATE_IN} + completion_tokens * {S.RATE_OUT} AS total_cost FROM ({_sql_usage()})""")
+def usage_cost(spark, d):
+    u = C.docs_usage(spark, d)
+    return AC.price_usage(u, AC.rates_frame(spark)).select(
+        "site", "call_seq", "prompt_tokens", "completion_tokens", "input_cost", "output_cost", "total_cost")
+
+
+@register("usage_summary", f"""
+SELECT site, sum(prompt_tokens)::BIGINT AS input_tokens, sum(completion_tokens)::BIGINT AS output_tokens,
+       (sum(prompt_tokens) + sum(completion_tokens))::BIGINT AS total_tokens,
+       sum(prompt_tokens) * {S.RATE_IN} + sum(completion_tokens) * {S.RATE_OUT} AS total_cost
+FROM ({_sql_usage()}) GROUP BY site""")
+def usage_summary(spark, d):
+    u = C.docs_usage(spark, d)
+    return AC.usage_summary(u, AC.rates_frame(spark)).select(
+        "site", "input_tokens", "output_tokens", "total_tokens", "total_cost")
+
+
+def _ranked_docs(spark, d):
+    docs = C.table(spark, d, "documents")
+    return docs.select(F.col("source").alias("site"), F.col("doc_id").alias("rank"),
+                       T.token_estimate(F.col("text")).alias("tokens"), F.lit(True).alias("ok"))
+
+
+def _doc_seeds(spark, d):
+    return (C.table(spark, d, "documents").select(F.col("source").alias("site")).distinct()
+            .withColumn("max_tokens", F.lit(fixed.DEFAULT_MAX_TOKENS)))
+
+
+_LIMIT = fixed.DEFAULT_MAX_TOKENS * fixed.STOP_FRACTION
+_SQL_RANKED_DOCS = f"SELECT source AS site, doc_id AS rank, {S.tokens('text')} AS tokens FROM documents"
+_SQL_KEPT = (f"SELECT site, rank, tokens, used_before FROM (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY site ORDER BY rank "
+             f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before FROM ({_SQL_RANKED_DOCS})) "
+             f"WHERE used_before < {_LIMIT}")
+
+
+@register("budget_cut", f"SELECT site, rank, tokens FROM ({_SQL_KEPT})")
+def budget_cut(spark, d):
+    return AC.budget_cut(_ranked_docs(spark, d), _doc_seeds(spark, d), [("rank", True)]).select("site", "rank", "tokens")
+
+
+@register("capacity_warnings", f"""
+SELECT site, rank, used_before, 1 - used_before / {fixed.DEFAULT_MAX_TOKENS} AS remaining,
+       1 - used_before / {fixed.DEFAULT_MAX_TOKENS} <= {fixed.WARNING_REMAINING} AS warning FROM ({_SQL_KEPT})""")
+def capacity_warnings(spark, d):
+    kept = AC.budget_cut(_ranked_docs(spark, d), _doc_seeds(spark, d), [("rank", True)])
+    return AC.running_usage(kept, _doc_seeds(spark, d), [("rank", True)]).select(
+        "site", "rank", "used_before", "remaining", "warning")
+
+
+@register("budget_batches")
+def budget_batches(spark, d):
+    return AC.budget_batches(_ranked_docs(spark, d), _doc_seeds(spark, d), [("rank", True)])
+
+
+@register("progress_report", f"""
+SELECT site, count(*) AS pages, count(*) AS successes, sum(tokens)::BIGINT AS tokens,
+       round(100.0 * sum(tokens) / {fixed.DEFAULT_MAX_TOKENS}, 1) AS pct_of_limit,
+       ({fixed.DEFAULT_MAX_TOKENS} - sum(tokens))::BIGINT AS remaining,
+       sum(tokens) / greatest(1, count(*)) AS avg_tokens_per_page FROM ({_SQL_KEPT}) GROUP BY site""")
+def progress_report(spark, d):
+    kept = AC.budget_cut(_ranked_docs(spark, d), _doc_seeds(spark, d), [("rank", True)])
+    return AC.progress_report(kept, _doc_seeds(spark, d)).select(
+        "site", "pages", "successes", "tokens", "pct_of_limit", "remaining", "avg_tokens_per_page")
+
+
+@register("example_titles", """
+SELECT conv_id, turn, CASE WHEN count(*) OVER (PARTITION BY conv_id) > 1
+  THEN 'Example ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) ELSE 'Example' END AS title
+FROM conversations WHERE role = 'assistant'""")
+def example_titles(spark, d):
+    from pagewright.operators.assemble import example_titles as ex_titles
+    c = C.table(spark, d, "conversations").where(F.col("role") == "assistant")
+    return ex_titles(c, ["conv_id"], "turn").select("conv_id", "turn", "title")
+
+
+@register("code_language_counts", f"""
+SELECT source, language, count(*) AS n FROM ({ORACLES['code_language']}) c JOIN documents USING (doc_id)
+WHERE kept GROUP BY ALL""")
+def code_language_counts(spark, d):
+    docs = C.table(spark, d, "documents")
+    lang = CD.code_language(F.array().cast("array<string>"), F.col("text"))
+    return (docs.select("source", lang.alias("language")).where(CD.is_kept_language(F.col("language")))
+            .groupBy("source", "language").agg(F.count(F.lit(1)).alias("n")))
