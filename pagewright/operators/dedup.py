@@ -167,6 +167,8 @@ def fuzzy_dedup(docs: DataFrame, scope: list[str], id_col: str, text: str,
     1. exact copies (lower(strip(text))) keep their first member;
     2. survivors are joined by the prefix filter and verified;
     3. the greedy first-wins set is resolved over the verified edges."""
+    # the input is read by several branches and every round: materialise once
+    docs = checkpoint(docs)
     d = first_wins(docs.withColumn("_ck", T.key_hash(T.content_key(F.col(text)))),
                    scope, F.col("_ck"), order, id_col, "_first")
     uniq = (d.where("_first").select(*scope, id_col, *[c for c, _ in order if c not in scope and c != id_col],
@@ -194,6 +196,7 @@ def pooled_dedup(pages: DataFrame, scope: list[str], id_col: str, raw: str, gene
         out = fuzzy_dedup(pages, scope, id_col, raw, order)
         return (out.withColumn("dup_content", F.col("dup_exact") | F.col("dup_fuzzy"))
                 .withColumn("dup_generated", F.lit(False)).drop("dup_exact", "dup_fuzzy"))
+    pages = checkpoint(pages)
     extra = [c for c, _ in order if c != id_col and c not in scope]
     pid_t = pages.schema[id_col].dataType
 
@@ -227,7 +230,8 @@ def pooled_dedup(pages: DataFrame, scope: list[str], id_col: str, raw: str, gene
                            F.split("id", ":")[1].alias("_kind"), "kept")
     r0 = parts.where("_kind = '0'").select(id_col, F.col("kept").alias("_k0"))
     r1 = parts.where("_kind = '1'").select(id_col, F.col("kept").alias("_k1"))
-    return (pages.join(r0, id_col, "left").join(r1, id_col, "left")
+    out = (pages.join(r0, id_col, "left").join(r1, id_col, "left")
             .withColumn("dup_content", ~F.coalesce(F.col("_k0"), F.lit(True)))
             .withColumn("dup_generated", ~F.col("dup_content") & ~F.coalesce(F.col("_k1"), F.lit(True)))
             .drop("_k0", "_k1"))
+    return out

@@ -626,3 +626,167 @@ def code_language_counts(spark, d):
     lang = CD.code_language(F.array().cast("array<string>"), F.col("text"))
     return (docs.select("source", lang.alias("language")).where(CD.is_kept_language(F.col("language")))
             .groupBy("source", "language").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------------------
+# J. generation (default native renderer), H1, G5, C18/F7 over title-kept pages
+# ---------------------------------------------------------------------------
+
+from pagewright.operators import generate as GN  # noqa: E402
+
+_SYS_TOKENS = S.tokens(S.q(fixed.SYSTEM_PROMPT))
+_SQL_PROMPT = "'Title: ' || title || chr(10) || chr(10) || 'Content: ' || main_text"
+_SQL_RENDER = "'## ' || title || chr(10) || chr(10) || main_text || chr(10)"
+
+
+@register("prompt_table", f"""
+SELECT page_id, md5({_SQL_PROMPT}) AS prompt_md5, {fixed.GENERATE_TEMPERATURE} AS temperature,
+       {_SYS_TOKENS} + {S.tokens(_SQL_PROMPT)} AS prompt_tokens_est
+FROM ({_sql_eligible()}) WHERE reason IS NULL""")
+def prompt_table(spark, d):
+    p = GN.prompts(_eligible_typed(spark, d))
+    return p.select("page_id", F.md5("user_prompt").alias("prompt_md5"), "temperature", "prompt_tokens_est")
+
+
+@register("cost_forecast", f"""
+SELECT site, sum(t)::BIGINT AS prompt_tokens_est, sum(t) * {S.RATE_IN} AS forecast_cost FROM (
+  SELECT site, {_SYS_TOKENS} + {S.tokens(_SQL_PROMPT)} AS t FROM ({_sql_eligible()}) WHERE reason IS NULL) GROUP BY site""")
+def cost_forecast(spark, d):
+    p = GN.prompts(_eligible_typed(spark, d))
+    return (p.groupBy("site").agg(F.sum("prompt_tokens_est").cast("bigint").alias("prompt_tokens_est"))
+            .withColumn("forecast_cost", F.col("prompt_tokens_est") * fixed.MODEL_RATES[0][1]))
+
+
+@register("generated_docs", f"""
+SELECT page_id, md5({_SQL_RENDER}) AS generated_md5, {_SYS_TOKENS} + {S.tokens(_SQL_PROMPT)} AS prompt_tokens,
+       {S.tokens(_SQL_RENDER)} AS completion_tokens
+FROM ({_sql_eligible()}) WHERE reason IS NULL""")
+def generated_docs(spark, d):
+    g = GN.generate(_eligible_typed(spark, d))
+    return g.select("page_id", F.md5("generated").alias("generated_md5"), "prompt_tokens", "completion_tokens")
+
+
+def _sql_audit(m: str) -> str:
+    checks = [("missing_h2", f"NOT regexp_matches({m}, '(?m)^## ')"),
+              ("missing_h3", f"NOT regexp_matches({m}, '(?m)^### ')")]
+    for h in fixed.AUDIT_HEADINGS:
+        name = "missing_" + h.lstrip("# ").lower().replace(" ", "_")
+        checks.append((name, f"NOT contains({m}, {S.q(h)})"))
+    checks.append(("fence_without_language",
+                   f"len(list_filter(list_filter(regexp_extract_all({m}, '(?m)^```(.*)$', 1), lambda x, i: i % 2 = 1), "
+                   f"lambda x: {S.strip('x')} = '')) > 0"))
+    checks.append(("raw_html", f"regexp_matches({m}, '<(div|span|p|br|table|img|a)[\\s>/]')"))
+    arr = ", ".join(f"CASE WHEN {c} THEN {S.q(n)} END" for n, c in checks)
+    return f"list_filter([{arr}], lambda x: x IS NOT NULL)"
+
+
+@register("markdown_audit", f"""
+SELECT page_id, {_sql_audit('g')} AS violations FROM (SELECT page_id, {_SQL_RENDER} AS g FROM ({_sql_eligible()}) WHERE reason IS NULL)""")
+def markdown_audit(spark, d):
+    from pagewright.functions.markdown import audit_markdown
+    g = GN.generate(_eligible_typed(spark, d))
+    return g.select("page_id", audit_markdown(F.col("generated")).alias("violations"))
+
+
+_SQL_TITLE_KEPT = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, lower({S.strip('title')}) "
+                   f"ORDER BY {_PAGE_ORDER_SQL}) AS tk FROM ({_sql_typed_eligible()})) WHERE tk = 1")
+
+
+def _title_kept(spark, d):
+    e = _eligible_typed(spark, d)
+    return DD.keep_first(e, ["site"], T.title_key(F.col("title")), C.PAGE_ORDER, "page_id")
+
+
+@register("curated_order", f"""
+SELECT site, page_id, type, score, row_number() OVER (PARTITION BY site ORDER BY {_PAGE_ORDER_SQL}) AS rank FROM ({_SQL_TITLE_KEPT})""")
+def curated_order(spark, d):
+    from pyspark.sql import Window
+    k = _title_kept(spark, d)
+    w = Window.partitionBy("site").orderBy(F.col("score").desc(), "page_id", "url")
+    return k.select("site", "page_id", "type", "score", F.row_number().over(w).alias("rank"))
+
+
+@register("section_headers", f"""
+SELECT site, page_id, rank, (lag(type) OVER (PARTITION BY site ORDER BY rank)) IS DISTINCT FROM type AS header FROM (
+  SELECT site, page_id, type, row_number() OVER (PARTITION BY site ORDER BY {_PAGE_ORDER_SQL}) AS rank FROM ({_SQL_TITLE_KEPT}))""")
+def section_headers(spark, d):
+    from pagewright.operators.assemble import section_headers as sh
+    return sh(curated_order(spark, d)).select("site", "page_id", "rank", "header")
+
+
+GENERATED_AT = "1970-01-01 00:00:00"
+
+
+@register("bundle_header", f"""
+WITH k AS (SELECT site, {_SYS_TOKENS} + {S.tokens(_SQL_PROMPT)} AS p, {S.tokens(_SQL_RENDER)} AS c FROM ({_SQL_TITLE_KEPT})),
+a AS (SELECT site, count(*) AS pages, sum(p) AS pt, sum(c) AS ct FROM k GROUP BY site),
+s AS ({ORACLES['site_seeds']})
+SELECT s.site, '{fixed.BUNDLE_BANNER}' || chr(10) || chr(10) || '# {fixed.BUNDLE_TITLE}' || chr(10) || chr(10)
+  || '## Document Information' || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|--------|-------|' || chr(10)
+  || '| Generated | {GENERATED_AT} |' || chr(10) || '| Source | ' || s.base_url || ' |' || chr(10)
+  || '| Pages | ' || coalesce(a.pages, 0) || ' |' || chr(10)
+  || '| Total Tokens | ' || format('{{:,}}', coalesce(a.pt + a.ct, 0)) || ' |' || chr(10)
+  || '| Cost | $' || printf('%.4f', coalesce(a.pt * {S.RATE_IN} + a.ct * {S.RATE_OUT}, 0.0)) || ' |' || chr(10) || chr(10) AS header
+FROM s LEFT JOIN a USING (site)""")
+def bundle_header(spark, d):
+    from pagewright.operators.assemble import header_text
+    g = GN.generate(_title_kept(spark, d))
+    usage = g.select("site", F.lit(fixed.DEFAULT_MODEL).alias("model"), "prompt_tokens", "completion_tokens")
+    summ = AC.usage_summary(usage, AC.rates_frame(spark))
+    pages_n = g.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    info = (site_seeds(spark, d).select("site", "base_url").join(pages_n, "site", "left").join(summ, "site", "left")
+            .select("site", "base_url", F.coalesce("pages", F.lit(0)).alias("pages"),
+                    F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"),
+                    F.coalesce("total_cost", F.lit(0.0)).alias("total_cost")))
+    return header_text(info, GENERATED_AT).withColumnRenamed("text", "header")
+
+
+# ---------------------------------------------------------------------------
+# whole plan (rows-only checks; covered by tests against sequential models)
+# ---------------------------------------------------------------------------
+
+def _curate(spark, d):
+    from pagewright.plans.curate import curate
+    from pagewright.sources.seeds import seeds_from_pages
+    p = C.pages(spark, d)
+    return curate(p, seeds_from_pages(p), C.TEST_RULES, C.profile(spark, d), generated_at=GENERATED_AT)
+
+
+@register("curated_docs")
+def curated_docs(spark, d):
+    return _curate(spark, d)["curated"].select("site", "page_id", "rank", "type", "score", "title",
+                                               F.md5("content").alias("content_md5"))
+
+
+@register("rejects")
+def rejects(spark, d):
+    return _curate(spark, d)["rejects"]
+
+
+@register("rejection_funnel")
+def rejection_funnel(spark, d):
+    return _curate(spark, d)["funnel"]
+
+
+@register("usage_by_stage")
+def usage_by_stage(spark, d):
+    u = _curate(spark, d)["usage"]
+    return u.groupBy("site", "stage").agg(F.sum("prompt_tokens").alias("prompt_tokens"),
+                                          F.sum("completion_tokens").alias("completion_tokens"))
+
+
+@register("refined_docs")
+def refined_docs(spark, d):
+    c = _curate(spark, d)["curated"]
+    return c.select("site", "page_id", F.md5("content").alias("content_md5"))
+
+
+@register("site_bundle")
+def site_bundle(spark, d):
+    return _curate(spark, d)["bundles"].select("site", F.length("markdown").alias("chars"),
+                                               F.md5("markdown").alias("markdown_md5"))
+
+
+@register("code_examples")
+def code_examples(spark, d):
+    return _curate(spark, d)["code_examples"]
