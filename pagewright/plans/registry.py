@@ -790,3 +790,79 @@ def site_bundle(spark, d):
 @register("code_examples")
 def code_examples(spark, d):
     return _curate(spark, d)["code_examples"]
+
+
+# ---------------------------------------------------------------------------
+# T2 / T3 traversal (rows-only: iterative)
+# ---------------------------------------------------------------------------
+
+def _crawl_inputs(spark, d):
+    from pagewright.plans.curate import gate_pages
+    gated = gate_pages(C.extracted(spark, d), C.profile(spark, d))
+    p = C.pages(spark, d)
+    first = p.groupBy("site").agg(F.min(F.struct("page_id", "url")).alias("f"))
+    seeds = first.select("site", F.col("f.url").alias("start_url"), F.lit(fixed.DEFAULT_MAX_TOKENS).alias("max_tokens"))
+    return gated, seeds
+
+
+@register("reachable_pages")
+def reachable_pages(spark, d):
+    from pagewright.plans.crawl import reachable
+    gated, seeds = _crawl_inputs(spark, d)
+    return reachable(seeds, gated, C.TEST_RULES)
+
+
+@register("crawl_order")
+def crawl_order(spark, d):
+    from pagewright.plans.crawl import crawl_order as co
+    gated, seeds = _crawl_inputs(spark, d)
+    g = GN.generate(C.typed(gated.where(F.col("reason").isNull())))
+    tokens = g.select("page_id", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
+    return co(seeds, gated, tokens, C.TEST_RULES)
+
+
+# ---------------------------------------------------------------------------
+# S1-S5 streaming forms (availableNow over a file source, read back)
+# ---------------------------------------------------------------------------
+
+@register("stream_extract", ORACLES["eligible_pages"])
+def stream_extract(spark, d):
+    from pagewright.streaming import streams as ST
+    return ST.stream_extract(ST.file_stream(spark, d, "pages"), C.profile(spark, d))
+
+
+@register("stream_dedup", f"SELECT DISTINCT md5(lower({S.strip('text')})) AS key_md5 FROM documents")
+def stream_dedup(spark, d):
+    from pagewright.streaming import streams as ST
+    s = ST.file_stream(spark, d, "documents")
+    out = ST.stream_dedup(s, [], F.md5(T.content_key(F.col("text"))))
+    return out.select(F.col("_key").alias("key_md5"))
+
+
+@register("stream_budget", f"""
+SELECT site, rank, tokens, used_before, used_before < {_LIMIT} AS kept FROM (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY site ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used_before
+  FROM ({_SQL_RANKED_DOCS}))""")
+def stream_budget(spark, d):
+    from pagewright.streaming import streams as ST
+    s = ST.file_stream(spark, d, "documents")
+    ranked = s.select(F.col("source").alias("site"), F.col("doc_id").alias("rank"),
+                      T.token_estimate(F.col("text")).alias("tokens"),
+                      F.lit(fixed.DEFAULT_MAX_TOKENS).alias("max_tokens"))
+    return ST.stream_budget(ranked)
+
+
+@register("stream_usage_window", """
+SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total_value
+FROM events GROUP BY ALL""")
+def stream_usage_window(spark, d):
+    from pagewright.streaming import streams as ST
+    out = ST.stream_usage_window(ST.file_stream(spark, d, "events"))
+    return out.withColumn("total_value", F.round("total_value", 4))
+
+
+@register("stream_near_dup")
+def stream_near_dup(spark, d):
+    from pagewright.streaming import streams as ST
+    s = ST.file_stream(spark, d, "documents").select("doc_id", "text")
+    return ST.stream_near_dup(s, [], "doc_id", "text", [("doc_id", True)]).select("doc_id")
