@@ -39,11 +39,16 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extracted(spark: SparkSession, d: str) -> DataFrame:
-    return X.extract_pages(pages(spark, d))
+    """Extraction records, materialised once per query (they feed several
+    branches: gates, links, coverage, code)."""
+    from pagewright.session import checkpoint
+    return checkpoint(X.extract_pages(pages(spark, d)))
 
 
 def profile(spark: SparkSession, d: str) -> DataFrame:
-    return L.train_language(table(spark, d, "documents"))
+    """Language profile, materialised once per query (read by every gate)."""
+    from pagewright.session import checkpoint
+    return checkpoint(L.train_language(table(spark, d, "documents")))
 
 
 def typed(df: DataFrame, rules=TEST_RULES) -> DataFrame:

@@ -57,6 +57,7 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
     if check_generated is None:
         check_generated = generate_fn is not None
     ex = checkpoint(X.extract_pages(pages))                 # the one Python stage, persisted
+    profile = checkpoint(profile)                           # read by three gates
     u = F.substring_index(F.col("url"), "#", 1)
     gated = (gate_pages(ex, profile, primary)
              .withColumn("type", link_type(u, rules)).withColumn("score", link_score(u, rules)))

@@ -62,7 +62,7 @@ def test_code_blocks_fixture(spark):
 
 def test_plan_has_one_python_stage_and_no_html_above(spark):
     from pagewright.plans import common as C
-    ex = C.extracted(spark, "/root/testdata/sf0.001").select("page_id", "main_text")
+    ex = X.extract_pages(C.pages(spark, "/root/testdata/sf0.001")).select("page_id", "main_text")
     plan = ex._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1
     above = plan.split("MapInPandas")[0]
