@@ -66,6 +66,12 @@ def _stop_keys(ranked: DataFrame, order: list[tuple[str, bool]], limits: DataFra
     total reaches the stop threshold (absent when never reached)."""
     max_budget = limits.agg(F.max("max_tokens")).first()[0] or 0
     k = int(math.ceil(stop_fraction * max_budget)) + 1
+    # let the optimizer plan row_number() <= k as a partial per-site limit
+    # before the shuffle (it only does so below this threshold)
+    spark = ranked.sparkSession
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key, "1000")) < k:
+        spark.conf.set(key, str(k))
     w = Window.partitionBy("site").orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order])
     pos = (ranked.where(F.col("tokens") > 0)
            .withColumn("_rn", F.row_number().over(w))

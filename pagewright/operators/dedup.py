@@ -85,6 +85,9 @@ def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
                         order_struct(order).alias("ord"))
             .withColumn("n", F.size("w"))
             .where(F.col("n") > 0))
+    # word sets feed four branches (frequencies, prefixes, both verify sides):
+    # tokenise the text once
+    base = checkpoint(base)
     tokens = base.select(*scope, "id", "n", F.explode("w").alias("t"))
     dfreq = tokens.groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f"))
     dfreq = maybe_broadcast(dfreq, VOCAB_BROADCAST_ROWS)
