@@ -31,10 +31,11 @@ def _sample(text: Column, sample: int) -> Column:
 
 
 def trigrams(s: Column) -> Column:
-    n = F.length(s)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2),
-                                      lambda i: F.substring(s, i, F.lit(3)))) \
-            .otherwise(F.array().cast("array<string>"))
+    """All overlapping 3-code-point windows of ``s`` in one regex pass: the
+    lookahead captures the window and one whole code point is consumed, so
+    the scan stays linear and never starts inside a surrogate pair (a
+    ``substring(s, i, 3)`` per position re-walks the UTF-8 bytes: O(n^2))."""
+    return F.regexp_extract_all(s, F.lit(r"(?s)(?=(.{3}))."), 1)
 
 
 def train_language(docs: DataFrame, text: str = "text", lang: str = "lang",

@@ -22,3 +22,11 @@ def test_classifier_on_pages(spark):
                               C.profile(spark, "/root/testdata/sf0.001"))
     bad = got.where(F.col("lang_pred") != F.col("lang_attr")).count()
     assert bad == 0
+
+
+def test_trigrams_code_points(spark):
+    df = spark.createDataFrame([("ab\U0001F600cdé",), ("ab",), ("a\nbc",)], "s string")
+    got = [r[0] for r in df.select(L.trigrams(F.col("s"))).collect()]
+    s = "ab\U0001F600cdé"
+    assert got[0] == [s[i:i + 3] for i in range(len(s) - 2)]
+    assert got[1] == [] and got[2] == ["a\nb", "\nbc"]
