@@ -29,8 +29,10 @@ def py_strip(col) -> Column:
 
 
 def py_split(col) -> Column:
-    """str.split() with no argument: runs of whitespace, no empty items."""
-    return F.filter(F.split(py_strip(col), SPLIT_RE), lambda w: F.length(w) > 0)
+    """str.split() with no argument: runs of whitespace, no empty items
+    (separators at either end only yield empty items, which are dropped, so
+    no strip pass over the text is needed)."""
+    return F.filter(F.split(_c(col), SPLIT_RE), lambda w: F.length(w) > 0)
 
 
 def content_key(col) -> Column:

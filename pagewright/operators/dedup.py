@@ -76,10 +76,11 @@ def _band(n: Column) -> Column:
 
 
 def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
-                   order: list[tuple[str, bool]]) -> DataFrame:
+                   order: list[tuple[str, bool]], materialized: bool = False) -> DataFrame:
     """All pairs (a earlier than b in ``order``) with Jaccard > 0.85.
 
     ``docs`` holds (scope..., id, words array (distinct), order columns).
+    ``materialized`` says ``docs`` is already a checkpointed table.
     Output: scope..., a, b, inter, uni, jaccard."""
     base = (docs.select(*scope, F.col(id_col).alias("id"), F.col(words).alias("w"),
                         order_struct(order).alias("ord"))
@@ -87,7 +88,8 @@ def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
             .where(F.col("n") > 0))
     # word sets feed four branches (frequencies, prefixes, both verify sides):
     # tokenise the text once
-    base = checkpoint(base)
+    if not materialized:
+        base = checkpoint(base)
     tokens = base.select(*scope, "id", "n", F.explode("w").alias("t"))
     dfreq = tokens.groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f"))
     dfreq = maybe_broadcast(dfreq, VOCAB_BROADCAST_ROWS)
@@ -167,22 +169,26 @@ def fuzzy_dedup(docs: DataFrame, scope: list[str], id_col: str, text: str,
                 order: list[tuple[str, bool]]) -> DataFrame:
     """Adds ``dup_exact`` and ``dup_fuzzy`` flags to ``docs``.
 
-    1. exact copies (lower(strip(text))) keep their first member;
-    2. survivors are joined by the prefix filter and verified;
-    3. the greedy first-wins set is resolved over the verified edges."""
-    # the input is read by several branches and every round: materialise once
-    docs = checkpoint(docs)
-    d = first_wins(docs.withColumn("_ck", T.key_hash(T.content_key(F.col(text)))),
-                   scope, F.col("_ck"), order, id_col, "_first")
-    uniq = (d.where("_first").select(*scope, id_col, *[c for c, _ in order if c not in scope and c != id_col],
-                                     T.word_set(F.col(text)).alias("_words")))
-    pairs = near_dup_pairs(uniq, scope, id_col, "_words", order)
-    verdict = resolve_first_wins(pairs.select("a", "b"))
-    out = (d.join(verdict.withColumnRenamed("id", id_col), id_col, "left")
-           .withColumn("dup_exact", ~F.col("_first"))
-           .withColumn("dup_fuzzy", F.col("_first") & F.coalesce(~F.col("kept"), F.lit(False)))
-           .drop("_first", "_ck", "kept"))
-    return out
+    1. one pass over the text builds the narrow table (scope, id, order,
+       content-key hash, word set), materialised once;
+    2. exact copies keep their first member (aggregate + join on id, no
+       text moves);
+    3. survivors are joined by the prefix filter and verified;
+    4. the greedy first-wins set is resolved over the verified edges;
+    5. only the (id, flags) table is joined back to the input."""
+    extra = [c for c, _ in order if c not in scope and c != id_col]
+    prep = checkpoint(docs.select(*scope, id_col, *extra,
+                                  T.key_hash(T.content_key(F.col(text))).alias("_ck"),
+                                  T.word_set(F.col(text)).alias("_words")))
+    firsts = first_wins(prep.select(*scope, id_col, *extra, "_ck"), scope, F.col("_ck"), order, id_col, "_first")
+    uniq = checkpoint(prep.join(firsts.where("_first").select(id_col), id_col, "left_semi")
+                      .select(*scope, id_col, *extra, "_words"))
+    pairs = near_dup_pairs(uniq, scope, id_col, "_words", order, materialized=True)
+    verdict = resolve_first_wins(pairs.select("a", "b")).withColumnRenamed("id", id_col)
+    flags = checkpoint(firsts.select(id_col, "_first").join(maybe_broadcast(verdict), id_col, "left")
+                       .select(id_col, (~F.col("_first")).alias("dup_exact"),
+                               (F.col("_first") & F.coalesce(~F.col("kept"), F.lit(False))).alias("dup_fuzzy")))
+    return docs.join(flags, id_col, "left")
 
 
 def pooled_dedup(pages: DataFrame, scope: list[str], id_col: str, raw: str, generated: str | None,

@@ -390,7 +390,33 @@ def near_dup_pairs(spark, d):
     return DD.near_dup_pairs(docs, [], "doc_id", "ws", [("doc_id", True)]).select("a", "b", "inter", "uni", "jaccard")
 
 
-@register("fuzzy_dedup")
+# Sequential model: visit documents in doc_id order carrying the list of kept
+# ids; a document is dropped when an earlier kept document has the same
+# content key or a word-set Jaccard above 0.85.
+_SQL_FUZZY = f"""
+WITH RECURSIVE
+w AS MATERIALIZED (SELECT doc_id, lower({S.strip('text')}) AS k, {S.word_set('text')} AS ws FROM documents),
+n AS MATERIALIZED (SELECT doc_id, k, ws, len(ws) AS n, row_number() OVER (ORDER BY doc_id) AS idx,
+             row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1 AS first_of_key FROM w),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.doc_id < b.doc_id AND a.k = b.k
+      UNION
+      SELECT a.doc_id, b.doc_id FROM n a JOIN n b ON a.doc_id < b.doc_id AND a.n > 0 AND b.n > 0
+        AND 100 * least(a.n, b.n) >= {DD.PCT} * greatest(a.n, b.n)
+        AND 100 * len(list_intersect(a.ws, b.ws)) > {DD.PCT} * (a.n + b.n - len(list_intersect(a.ws, b.ws)))),
+r(idx, kept) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT r.idx + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b = n.doc_id AND list_contains(r.kept, e.a))
+                         THEN r.kept ELSE list_append(r.kept, n.doc_id) END
+  FROM r JOIN n ON n.idx = r.idx + 1),
+fin AS (SELECT kept FROM r ORDER BY idx DESC LIMIT 1)
+SELECT n.doc_id, NOT n.first_of_key AS dup_exact,
+       n.first_of_key AND NOT list_contains((SELECT kept FROM fin), n.doc_id) AS dup_fuzzy,
+       list_contains((SELECT kept FROM fin), n.doc_id) AS kept
+FROM n"""
+
+
+@register("fuzzy_dedup", _SQL_FUZZY)
 def fuzzy_dedup(spark, d):
     docs = C.table(spark, d, "documents").select("doc_id", "text")
     out = DD.fuzzy_dedup(docs, [], "doc_id", "text", [("doc_id", True)])
@@ -592,7 +618,27 @@ def capacity_warnings(spark, d):
         "site", "rank", "used_before", "remaining", "warning")
 
 
-@register("budget_batches")
+# Sequential model of the adaptive batches over prefix sums: each step takes
+# b = max(1, min(3, int((max - used) / max(used / max(1, oks), 1000)))) rows
+# while used < 0.98 * max.
+_MX = float(fixed.DEFAULT_MAX_TOKENS)
+_SQL_BATCHES = f"""
+WITH RECURSIVE
+rk AS MATERIALIZED (SELECT site, rank, tokens, row_number() OVER (PARTITION BY site ORDER BY rank) AS i FROM ({_SQL_RANKED_DOCS})),
+cum AS MATERIALIZED (SELECT site, i, sum(tokens) OVER (PARTITION BY site ORDER BY i) AS c, i AS okc,
+               count(*) OVER (PARTITION BY site) AS nrows FROM rk),
+st(site, prev, pos, used, oks, batch_no, nrows) AS (
+  SELECT site, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, max(nrows) FROM cum GROUP BY site
+  UNION ALL
+  SELECT st.site, st.pos, c2.i, c2.c, c2.okc, st.batch_no + 1, st.nrows FROM st JOIN cum c2
+    ON c2.site = st.site AND c2.i = least(st.nrows, st.pos + greatest(1, least({fixed.MAX_BATCH},
+       floor(({_MX} - st.used) / greatest(st.used::DOUBLE / greatest(1, st.oks), {float(fixed.MIN_TOKENS_PER_PAGE)})))))
+  WHERE st.used < {_LIMIT} AND st.pos < st.nrows)
+SELECT rk.site, rk.rank, st.batch_no, st.batch_no IS NOT NULL AS included
+FROM rk LEFT JOIN (SELECT * FROM st WHERE batch_no > 0) st ON st.site = rk.site AND rk.i > st.prev AND rk.i <= st.pos"""
+
+
+@register("budget_batches", _SQL_BATCHES)
 def budget_batches(spark, d):
     return AC.budget_batches(_ranked_docs(spark, d), _doc_seeds(spark, d), [("rank", True)])
 
