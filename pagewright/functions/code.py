@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright import fixed
-from pagewright.functions.text import STRIP_RE
+from pagewright.functions.text import WS_CHARS
 
 
 def _c(x) -> Column:
@@ -58,7 +58,7 @@ def normalize_code(code) -> Column:
     """Per line strip; drop empty and comment-prefixed lines; delete
     the declaration keywords in order; join with newlines."""
     lines = F.split(_c(code), r"\r\n|[\n\r\x0B\f\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]")
-    stripped = F.transform(lines, lambda s: F.regexp_replace(s, STRIP_RE, ""))
+    stripped = F.transform(lines, lambda s: F.trim(s, F.lit(WS_CHARS)))
 
     def keep(s):
         cond = F.length(s) > 0

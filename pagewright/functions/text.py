@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WS_CLASS = (r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 STRIP_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
+# the same set as characters, derived from Python's own rule, for trim()
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 SPLIT_RE = f"{WS_CLASS}+"
 
 # Token estimate: runs of letters, 1-3 digits, or runs of other
@@ -24,8 +26,9 @@ def _c(x) -> Column:
 
 
 def py_strip(col) -> Column:
-    """str.strip() with Python's whitespace set."""
-    return F.regexp_replace(_c(col), STRIP_RE, "")
+    """str.strip() with Python's whitespace set: native trim of a character
+    set, which only touches the characters it removes."""
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def py_split(col) -> Column:

@@ -59,8 +59,11 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
     ex = checkpoint(X.extract_pages(pages))                 # the one Python stage, persisted
     profile = checkpoint(profile)                           # read by three gates
     u = F.substring_index(F.col("url"), "#", 1)
-    gated = (gate_pages(ex, profile, primary)
-             .withColumn("type", link_type(u, rules)).withColumn("score", link_score(u, rules)))
+    # gates are read by generation, the budget, the funnel and code
+    # selection: materialise the narrow gated table once
+    gated = checkpoint(gate_pages(ex, profile, primary)
+                       .withColumn("type", link_type(u, rules)).withColumn("score", link_score(u, rules))
+                       .select("site", "page_id", "url", "type", "score", "title", "main_text", "reason"))
     eligible = gated.where(F.col("reason").isNull())
 
     gen = G.generate(eligible.select("site", "page_id", "url", "type", "score", "title", "main_text"),
@@ -71,12 +74,12 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
               .join(gen.select("page_id", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens")),
                     "page_id", "left")
               .withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("bigint")))
-    processed = AC.budget_cut(ranked, seeds, order).select("page_id")
+    processed = checkpoint(AC.budget_cut(ranked, seeds, order).select("page_id"))
 
     g2 = L.language_gate(gen, ["page_id"], "generated", profile, primary=primary, out="gen_ok")
-    g2 = g2.join(processed, "page_id", "left_semi")
+    g2 = checkpoint(g2.join(processed, "page_id", "left_semi"))
     passed = g2.where("gen_ok")
-    t = DD.first_wins(passed, ["site"], T.title_key(F.col("title")), order, "page_id", "title_first")
+    t = checkpoint(DD.first_wins(passed, ["site"], T.title_key(F.col("title")), order, "page_id", "title_first"))
     pool_in = t.where("title_first")
     pooled = DD.pooled_dedup(pool_in, ["site"], "page_id", "main_text",
                              "generated" if check_generated else None, order)
@@ -89,6 +92,7 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
                    .withColumn("reason", F.coalesce("reason", "late_reason")).drop("late_reason"))
     rejects = all_reasons.where(F.col("reason").isNotNull()).select("site", "page_id", "url", "reason")
 
+    pooled = checkpoint(pooled)
     kept = pooled.where(~F.col("dup_content") & ~F.col("dup_generated"))
     # code examples: eligible, processed pages; language filter, then site-wide first-wins
     blocks = (X.code_blocks(ex).join(eligible.select("page_id", "type", "score"), "page_id")
@@ -102,7 +106,7 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
 
     # critique / refine (not budget-checked), then section de-duplication
     crit = G.critique(kept.select("site", "page_id", "url", "type", "score", "title", "generated"), critique_fn)
-    ref = G.refine(crit, refine_fn)
+    ref = checkpoint(G.refine(crit, refine_fn))
     final = DD.first_wins(ref, ["site"], F.concat_ws("\u0000", F.col("type"), T.title_key(F.col("title"))),
                           order, "page_id", "section_first").where("section_first")
     w = Window.partitionBy("site").orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order])
