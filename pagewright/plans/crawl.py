@@ -57,14 +57,19 @@ def crawl_order(seeds: DataFrame, gated: DataFrame, tokens: DataFrame, rules,
     ``seeds(site, start_url, max_tokens)``; ``tokens(page_id, tokens)`` is
     the usage of processing a page. Each round every site whose budget is
     not exhausted takes its top-b unvisited frontier URLs (score DESC, then
-    discovery order); fetched successful pages add their scored links.
-    Output: ``(site, url, page_id, round, pick)`` in processing order."""
+    discovery order). A successful page marks its section found and adds its
+    scored links, each boosted +5 per required section still missing at
+    that point (sections found by earlier results of the same batch count).
+    Output: ``(site, url, page_id, type, score, round, pick)``."""
+    required = [r for r in rules if r.required]
     pages = checkpoint(_pages_norm(gated).join(tokens, "page_id", "left")
                        .withColumn("tokens", F.coalesce("tokens", F.lit(0))))
     frontier = checkpoint(seeds.select("site", F.substring_index("start_url", "#", 1).alias("node"),
-                                       F.lit(fixed.SEED_SCORE).alias("score"), F.lit(0).cast("bigint").alias("seq")))
+                                       F.lit(fixed.SEED_SCORE).alias("score"), F.lit(fixed.SEED_TYPE).alias("type"),
+                                       F.lit(0).cast("bigint").alias("seq")))
     progress = checkpoint(seeds.select("site", "max_tokens", F.lit(0).cast("bigint").alias("used"),
-                                       F.lit(0).cast("bigint").alias("successes")))
+                                       F.lit(0).cast("bigint").alias("successes"),
+                                       F.array().cast("array<string>").alias("found")))
     log = None
     visited = None
     for rnd in range(max_rounds):
@@ -74,33 +79,52 @@ def crawl_order(seeds: DataFrame, gated: DataFrame, tokens: DataFrame, rules,
             F.greatest(F.lit(1), F.least(F.lit(fixed.MAX_BATCH),
                                          ((F.col("max_tokens") - F.col("used"))
                                           / F.greatest(avg, F.lit(fixed.MIN_TOKENS_PER_PAGE))).cast("int"))))
-        sizes = progress.select("site", b.alias("b"))
+        sizes = progress.select("site", b.alias("b"), "found")
         cand = frontier if visited is None else frontier.join(visited, ["site", "node"], "left_anti")
+        # a URL listed more than once is taken at its best position
+        best = Window.partitionBy("site", "node").orderBy(F.col("score").desc(), "seq")
         w = Window.partitionBy("site").orderBy(F.col("score").desc(), "seq", "node")
-        picks = checkpoint(cand.dropDuplicates(["site", "node"]).withColumn("pick", F.row_number().over(w))
+        picks = checkpoint(cand.withColumn("_d", F.row_number().over(best)).where("_d = 1")
+                           .withColumn("pick", F.row_number().over(w))
+                           .where(F.col("pick") <= fixed.MAX_BATCH)   # partial top-k per site
                            .join(sizes, "site").where(F.col("pick") <= F.col("b"))
-                           .select("site", "node", "pick", F.lit(rnd).alias("round")))
+                           .select("site", "node", "score", "type", "pick", "found", F.lit(rnd).alias("round")))
         if picks.limit(1).count() == 0:
             break
         visited = checkpoint(picks.select("site", "node") if visited is None
                              else visited.unionByName(picks.select("site", "node")))
-        fetched = picks.join(pages, ["site", "node"])
-        log = picks.join(pages.select("site", "node", "page_id"), ["site", "node"], "left") if log is None \
-            else log.unionByName(picks.join(pages.select("site", "node", "page_id"), ["site", "node"], "left"))
-        log = checkpoint(log)
+        fetched = picks.join(pages, ["site", "node"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+        step = (fetched.select("site", "node", "page_id", "type", "score", "round", "pick"))
+        log = checkpoint(step if log is None else log.unionByName(step))
+        # sections found after each pick of the batch (at most MAX_BATCH rows per site)
+        wp = Window.partitionBy("site").orderBy("pick").rowsBetween(Window.unboundedPreceding, 0)
+        fetched = fetched.withColumn("found_now", F.array_union(
+            F.col("found"), F.collect_set(F.when(F.col("ok"), F.col("type"))).over(wp)))
         gained = fetched.groupBy("site").agg(F.sum("tokens").alias("dt"),
-                                              F.sum(F.col("ok").cast("int")).alias("ds"))
+                                              F.sum(F.col("ok").cast("int")).alias("ds"),
+                                              F.max(F.struct("pick", "found_now")).alias("_last"))
         progress = checkpoint(progress.join(gained, "site", "left").select(
             "site", "max_tokens", (F.col("used") + F.coalesce("dt", F.lit(0))).alias("used"),
-            (F.col("successes") + F.coalesce("ds", F.lit(0))).alias("successes")))
-        links = page_links(fetched.where("ok").select("site", "page_id", "url", "hrefs"),
-                           F.col("url"), F.col("site"), rules)
-        new = links.select("site", F.col("url").alias("node"), "score",
-                           ((rnd + 1) * 1_000_000_000 + F.col("page_id") * 1000 + F.col("pos")).cast("bigint").alias("seq"))
+            (F.col("successes") + F.coalesce("ds", F.lit(0))).alias("successes"),
+            F.coalesce(F.col("_last.found_now"), F.col("found")).alias("found")))
+        ok_pages = fetched.where("ok").select("site", "page_id", "url", "hrefs", "pick", "found_now")
+        links = page_links(ok_pages.select("site", "page_id", "url", "hrefs"), F.col("url"), F.col("site"), rules)
+        links = links.join(ok_pages.select("page_id", "pick", "found_now"), "page_id")
+        u = F.lower(F.col("url"))
+        boost = F.lit(0)
+        for r in required:
+            hit = F.lit(False)
+            for pat in r.patterns:
+                hit = hit | u.contains(pat)
+            boost = boost + F.when(~F.array_contains("found_now", r.section) & hit,
+                                   F.lit(fixed.BOOST_PER_SECTION)).otherwise(0)
+        new = links.select("site", F.col("url").alias("node"), (F.col("score") + boost).alias("score"), "type",
+                           (F.lit(rnd + 1).cast("bigint") * 1_000_000_000
+                            + F.col("pick").cast("bigint") * 1_000_000 + F.col("pos")).alias("seq"))
         frontier = checkpoint(cand.join(picks.select("site", "node"), ["site", "node"], "left_anti")
                               .unionByName(new.join(visited, ["site", "node"], "left_anti")))
     if log is None:
         return seeds.limit(0).select("site", F.lit(None).cast("string").alias("url"),
-                                     F.lit(None).cast("bigint").alias("page_id"),
-                                     F.lit(0).alias("round"), F.lit(0).alias("pick"))
-    return log.select("site", F.col("node").alias("url"), "page_id", "round", "pick")
+                                     F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("type"),
+                                     F.lit(0).alias("score"), F.lit(0).alias("round"), F.lit(0).alias("pick"))
+    return log.select("site", F.col("node").alias("url"), "page_id", "type", "score", "round", "pick")
