@@ -75,6 +75,53 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(BAND_BASE))).cast("int")
 
 
+def prefix_entries(base: DataFrame, scope: list[str], dfreq: DataFrame) -> DataFrame:
+    """Prefix tokens of every set in ``base(scope, id, n, w)``: words ranked
+    by (document frequency ASC, word), the first ``n - ceil(0.85 n) + 1``
+    kept. Words missing from ``dfreq(scope, t, f)`` count as frequency 0.
+    Any fixed total order gives exact results; rare-first keeps candidate
+    lists short."""
+    tokens = base.select(*scope, "id", "n", F.explode("w").alias("t"))
+    return (tokens.join(dfreq, [*scope, "t"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
+            .withColumn("r", F.row_number().over(Window.partitionBy(*scope, "id").orderBy("f", "t")))
+            .where(F.col("r") <= _prefix_len(F.col("n")))
+            .select(*scope, "id", "n", "t", _band(F.col("n")).alias("band")))
+
+
+def candidate_pairs(probe: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:
+    """Ids sharing a prefix token within one length band either way and
+    passing the length filter; (a, b) distinct, unordered pairs both ways."""
+    p = probe.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t",
+                     F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    ix = index.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", "band")
+    return (p.join(ix, [*scope, "t", "band"])
+            .where((F.col("a") != F.col("b"))
+                   & (100 * F.least("na", "nb") >= PCT * F.greatest("na", "nb")))
+            .select(*scope, "a", "b").distinct())
+
+
+def verify_pairs(cand: DataFrame, left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame:
+    """Exact check of candidates: ``left/right(scope, id, w, ord)``; keeps
+    a earlier than b and Jaccard strictly above the threshold."""
+    lf = left.select(*scope, F.col("id").alias("a"), F.col("w").alias("wa"), F.col("ord").alias("oa"))
+    rt = right.select(*scope, F.col("id").alias("b"), F.col("w").alias("wb"), F.col("ord").alias("ob"))
+    pairs = (cand.join(lf, [*scope, "a"]).join(rt, [*scope, "b"])
+             .where(F.struct("oa", "a") < F.struct("ob", "b"))
+             .withColumn("inter", F.size(F.array_intersect("wa", "wb")))
+             .withColumn("uni", F.size("wa") + F.size("wb") - F.col("inter"))
+             .where(100 * F.col("inter") > PCT * F.col("uni")))
+    return pairs.select(*scope, "a", "b", "inter", "uni",
+                        (F.col("inter").cast("double") / F.col("uni").cast("double")).alias("jaccard"))
+
+
+def word_base(docs: DataFrame, scope: list[str], id_col: str, words: str,
+              order: list[tuple[str, bool]]) -> DataFrame:
+    return (docs.select(*scope, F.col(id_col).alias("id"), F.col(words).alias("w"),
+                        order_struct(order).alias("ord"))
+            .withColumn("n", F.size("w"))
+            .where(F.col("n") > 0))
+
+
 def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
                    order: list[tuple[str, bool]], materialized: bool = False) -> DataFrame:
     """All pairs (a earlier than b in ``order``) with Jaccard > 0.85.
@@ -82,39 +129,17 @@ def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
     ``docs`` holds (scope..., id, words array (distinct), order columns).
     ``materialized`` says ``docs`` is already a checkpointed table.
     Output: scope..., a, b, inter, uni, jaccard."""
-    base = (docs.select(*scope, F.col(id_col).alias("id"), F.col(words).alias("w"),
-                        order_struct(order).alias("ord"))
-            .withColumn("n", F.size("w"))
-            .where(F.col("n") > 0))
+    base = word_base(docs, scope, id_col, words, order)
     # word sets feed four branches (frequencies, prefixes, both verify sides):
     # tokenise the text once
     if not materialized:
         base = checkpoint(base)
-    tokens = base.select(*scope, "id", "n", F.explode("w").alias("t"))
-    dfreq = tokens.groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f"))
+    dfreq = (base.select(*scope, F.explode("w").alias("t"))
+             .groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f")))
     dfreq = maybe_broadcast(dfreq, VOCAB_BROADCAST_ROWS)
-    ranked = (tokens.join(dfreq, [*scope, "t"])
-              .withColumn("r", F.row_number().over(
-                  Window.partitionBy(*scope, "id").orderBy("f", "t")))
-              .where(F.col("r") <= _prefix_len(F.col("n")))
-              .select(*scope, "id", "n", "t", _band(F.col("n")).alias("band")))
-    probe = ranked.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t",
-                          F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    index = ranked.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", "band")
-    cand = (probe.join(index, [*scope, "t", "band"])
-            .where((F.col("a") != F.col("b"))
-                   & (100 * F.least("na", "nb") >= PCT * F.greatest("na", "nb")))
-            .select(*scope, "a", "b").distinct())
-    left = base.select(*scope, F.col("id").alias("a"), F.col("w").alias("wa"), F.col("ord").alias("oa"))
-    right = base.select(*scope, F.col("id").alias("b"), F.col("w").alias("wb"), F.col("ord").alias("ob"))
-    pairs = (cand.join(left, [*scope, "a"]).join(right, [*scope, "b"])
-             # keep each unordered pair once, oriented earlier -> later
-             .where(F.struct("oa", "a") < F.struct("ob", "b"))
-             .withColumn("inter", F.size(F.array_intersect("wa", "wb")))
-             .withColumn("uni", F.size("wa") + F.size("wb") - F.col("inter"))
-             .where(100 * F.col("inter") > PCT * F.col("uni")))
-    return pairs.select(*scope, "a", "b", "inter", "uni",
-                        (F.col("inter").cast("double") / F.col("uni").cast("double")).alias("jaccard"))
+    ranked = prefix_entries(base, scope, dfreq)
+    cand = candidate_pairs(ranked, ranked, scope)
+    return verify_pairs(cand, base, base, scope)
 
 
 # ---------------------------------------------------------------------------

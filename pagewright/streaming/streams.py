@@ -20,6 +20,13 @@ from pagewright import fixed
 from pagewright.session import ensure_checkpoint_dir, ship_package
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system (works for any
+    cluster storage, not only local disks)."""
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp)
+
+
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     root = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
     return os.path.join(root, "out"), os.path.join(root, "chk")
@@ -130,32 +137,90 @@ def stream_usage_window(events_stream: DataFrame, window: str = "1 hour",
 
 # S5 ------------------------------------------------------------------------
 
+INDEX_BUCKETS = 256
+
+
 def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text: str,
-                    order: list[tuple[str, bool]], corpus_path: str | None = None) -> DataFrame:
-    """Streaming near-duplicate removal against the curated corpus: each
-    micro-batch is de-duplicated in itself (exact + fuzzy, first wins) and
-    against every document kept by earlier batches, then appended."""
-    from pagewright.operators import dedup as DD
+                    order: list[tuple[str, bool]], reference: DataFrame | None = None) -> DataFrame:
+    """Streaming near-duplicate removal against the kept corpus.
+
+    The token order is frozen when the stream starts (document frequency in
+    ``reference``, unseen tokens rarest); prefix filtering is exact under any
+    fixed order, so prefixes indexed by earlier micro-batches stay valid.
+    Per micro-batch:
+      1. later exact copies inside the batch are dropped (first copy wins);
+      2. first copies are probed against the persisted prefix index of kept
+         documents (partitioned by a token-hash bucket, so dynamic partition
+         pruning reads only the probed buckets) and verified exactly; a hit,
+         or an exact key already kept, drops the document;
+      3. the rest are resolved first-wins among themselves, the corpus hits
+         pre-decided as dropped;
+      4. kept documents are appended to the output, their word sets and
+         prefix entries to the corpus tables."""
     from pagewright.functions import text as T
+    from pagewright.operators import dedup as DD
+    from pagewright.session import checkpoint
 
     spark = docs_stream.sparkSession
     out, chk = _paths(spark, "near_dup")
-    corpus = corpus_path or out
+    root = os.path.dirname(out)
+    words_path, index_path = os.path.join(root, "corpus_words"), os.path.join(root, "corpus_index")
+    order_path = os.path.join(root, "token_order")
+    if reference is not None:
+        (reference.select(*scope, F.explode(T.word_set(F.col(text))).alias("t"))
+         .groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f"))
+         .write.mode("overwrite").parquet(order_path))
+    extra = [c for c, _ in order if c not in scope and c != id_col]
+
+    def token_order():
+        if path_exists(spark, order_path):
+            return spark.read.parquet(order_path)
+        from pyspark.sql.types import LongType, StringType, StructField, StructType
+        fields = list(docs_stream.select(*scope).schema.fields) + [
+            StructField("t", StringType()), StructField("f", LongType())]
+        return spark.createDataFrame([], StructType(fields))
 
     def sink(batch: DataFrame, batch_id: int):
-        d = DD.fuzzy_dedup(batch, scope, id_col, text, order)
-        fresh = d.where(~F.col("dup_exact") & ~F.col("dup_fuzzy")).drop("dup_exact", "dup_fuzzy")
-        if os.path.exists(corpus):
-            prev = spark.read.parquet(corpus).withColumn("_old", F.lit(True))
-            both = prev.unionByName(fresh.withColumn("_old", F.lit(False)), allowMissingColumns=True)
-            both = both.withColumn("_o", F.when(F.col("_old"), F.lit(0)).otherwise(F.lit(1)))
-            r = DD.fuzzy_dedup(both, scope, id_col, text, [("_o", True)] + order)
-            fresh = (r.where(~F.col("_old") & ~F.col("dup_exact") & ~F.col("dup_fuzzy"))
-                     .drop("_old", "_o", "dup_exact", "dup_fuzzy"))
-        fresh.write.mode("append").parquet(corpus)
+        prep = checkpoint(batch.select(*scope, id_col, *extra,
+                                       T.key_hash(T.content_key(F.col(text))).alias("_ck"),
+                                       T.word_set(F.col(text)).alias("_words")))
+        firsts = DD.first_wins(prep.select(*scope, id_col, *extra, "_ck"), scope, F.col("_ck"), order,
+                               id_col, "_first").where("_first").select(id_col)
+        reps = checkpoint(prep.join(firsts, id_col, "left_semi"))
+        base = DD.word_base(reps, scope, id_col, "_words", order)
+        decided = None
+        if path_exists(spark, words_path):
+            corpus = spark.read.parquet(words_path)
+            index = spark.read.parquet(index_path)
+            probe = DD.prefix_entries(base, scope, token_order()).withColumn(
+                "tb", F.pmod(F.xxhash64("t"), F.lit(INDEX_BUCKETS)))
+            cand = (probe.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t", "tb",
+                                 F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+                    .join(index.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", "tb", "band"),
+                          [*scope, "t", "tb", "band"])
+                    .where(100 * F.least("na", "nb") >= DD.PCT * F.greatest("na", "nb"))
+                    .select(*scope, "a", "b").distinct())
+            hits = (cand.join(base.select(*scope, F.col("id").alias("a"), F.col("w").alias("wa")), [*scope, "a"])
+                    .join(corpus.select(*scope, F.col("id").alias("b"), F.col("w").alias("wb")), [*scope, "b"])
+                    .withColumn("inter", F.size(F.array_intersect("wa", "wb")))
+                    .where(100 * F.col("inter") > DD.PCT * (F.size("wa") + F.size("wb") - F.col("inter")))
+                    .select(F.col("a").alias("id")))
+            key_hits = (reps.join(corpus.select(*scope, "_ck"), [*scope, "_ck"], "left_semi")
+                        .select(F.col(id_col).alias("id")))
+            decided = hits.union(key_hits).distinct().withColumn("st", F.lit("D"))
+        pairs = DD.near_dup_pairs(reps, scope, id_col, "_words", order, materialized=True)
+        verdict = DD.resolve_first_wins(pairs.select("a", "b"), decided=decided)
+        kept = checkpoint(reps.join(verdict.where(~F.col("kept")).select(F.col("id").alias(id_col)),
+                                    id_col, "left_anti"))
+        kb = DD.word_base(kept, scope, id_col, "_words", order)
+        (kb.join(kept.select(F.col(id_col).alias("id"), "_ck"), "id")
+         .write.mode("append").parquet(words_path))
+        (DD.prefix_entries(kb, scope, token_order())
+         .withColumn("tb", F.pmod(F.xxhash64("t"), F.lit(INDEX_BUCKETS)))
+         .write.mode("append").partitionBy("tb").parquet(index_path))
+        batch.join(kept.select(id_col), id_col, "left_semi").write.mode("append").parquet(out)
 
     q = (docs_stream.writeStream.foreachBatch(sink).option("checkpointLocation", chk)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    del T
-    return spark.read.parquet(corpus)
+    return spark.read.parquet(out)
