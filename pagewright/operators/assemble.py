@@ -93,5 +93,7 @@ def write_bundles(frags: DataFrame, path: str, num_partitions: int | None = None
     n = num_partitions or frags.sparkSession.sparkContext.defaultParallelism
     (frags.repartitionByRange(n, "site", "part", "rank", "sub")
      .sortWithinPartitions("site", "part", "rank", "sub")
-     .select("site", "text")
-     .write.mode("overwrite").option("lineSep", "").partitionBy("site").text(path))
+     # every fragment ends with a newline; the writer's line separator puts
+     # it back, so the files hold the document byte for byte
+     .select("site", F.regexp_replace("text", "\n\\z", "").alias("text"))
+     .write.mode("overwrite").partitionBy("site").text(path))

@@ -912,3 +912,38 @@ def stream_near_dup(spark, d):
     from pagewright.streaming import streams as ST
     s = ST.file_stream(spark, d, "documents").select("doc_id", "text")
     return ST.stream_near_dup(s, [], "doc_id", "text", [("doc_id", True)]).select("doc_id")
+
+
+# ---------------------------------------------------------------------------
+# B7 and H3
+# ---------------------------------------------------------------------------
+
+@register("code_lang_class")
+def code_lang_class(spark, d):
+    """B7 on the extracted code candidates: language from the element's own
+    classes (before content hints and aliases)."""
+    blocks = X.code_blocks(C.extracted(spark, d))
+    return blocks.select("site", "page_id", "sel_ord", "doc_ord", CD.class_language(F.col("classes")).alias("class_lang"))
+
+
+@register("jaccard_pairs", f"""
+SELECT source, doc_id, prev_id, len(list_intersect(ws, pws)) AS inter,
+       len(list_distinct(list_concat(ws, pws))) AS uni,
+       CASE WHEN len(list_distinct(list_concat(ws, pws))) > 0
+            THEN len(list_intersect(ws, pws))::DOUBLE / len(list_distinct(list_concat(ws, pws)))::DOUBLE END AS jaccard
+FROM (SELECT source, doc_id, ws, lag(doc_id) OVER w AS prev_id, lag(ws) OVER w AS pws
+      FROM (SELECT source, doc_id, {S.word_set('text')} AS ws FROM documents)
+      WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+WHERE prev_id IS NOT NULL""")
+def jaccard_pairs(spark, d):
+    """H3: word-set intersection and union of each document with the
+    previous one of its source (doc_id order)."""
+    from pyspark.sql import Window
+    docs = C.table(spark, d, "documents").select("source", "doc_id", T.word_set(F.col("text")).alias("ws"))
+    w = Window.partitionBy("source").orderBy("doc_id")
+    x = (docs.withColumn("prev_id", F.lag("doc_id").over(w)).withColumn("pws", F.lag("ws").over(w))
+         .where(F.col("prev_id").isNotNull()))
+    inter = F.size(F.array_intersect("ws", "pws"))
+    uni = F.size(F.array_union("ws", "pws"))
+    return x.select("source", "doc_id", "prev_id", inter.alias("inter"), uni.alias("uni"),
+                    F.when(uni > 0, inter.cast("double") / uni.cast("double")).alias("jaccard"))

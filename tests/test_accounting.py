@@ -43,3 +43,20 @@ def test_example_titles(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "page long, n long")
     got = {(r.page, r.n): r.title for r in example_titles(df, ["page"], "n").collect()}
     assert got == {(1, 1): "Example", (2, 1): "Example 1", (2, 2): "Example 2"}
+
+
+def test_write_bundles_sink_keeps_order(spark, tmp_path):
+    from pagewright.operators.assemble import bundles, write_bundles
+    rows = [("a.io", p, r, s, f"<{p}.{r}.{s}>\n" + ("\n" if s else "")) for p in range(5) for r in range(3) for s in range(2)]
+    frags = spark.createDataFrame(rows * 1, "site string, part int, rank int, sub int, text string")
+    frags = frags.unionByName(frags.withColumn("site", F.lit("b.io")))
+    out = str(tmp_path / "bundles")
+    write_bundles(frags, out, num_partitions=4)
+    one = {r.site: r.markdown for r in bundles(frags).collect()}
+    import glob
+    import os
+    for site in ("a.io", "b.io"):
+        files = sorted(glob.glob(os.path.join(out, f"site={site}", "part-*")))
+        text = "".join(open(f, encoding="utf-8").read() for f in files)
+        assert text == one[site]
+        assert text.startswith("<0.0.0>\n<0.0.1>") and text.endswith("<4.2.1>\n\n")
