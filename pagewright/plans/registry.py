@@ -433,7 +433,39 @@ def code_dedup(spark, d):
                           "doc_id", "kept").select("source", "doc_id", "kept"))
 
 
-@register("pooled_dedup")
+# Sequential model of the shared pool per site, pages in canonical order:
+# the raw node is checked against the kept nodes; if kept it joins the pool
+# and the generated node is checked against the pool, its own raw included.
+_SQL_POOLED = f"""
+WITH RECURSIVE
+p AS MATERIALIZED (SELECT site, page_id, main_text AS raw, '## ' || title || chr(10) || chr(10) || main_text || chr(10) AS gen,
+                          row_number() OVER (PARTITION BY site ORDER BY {_PAGE_ORDER_SQL}) AS idx
+                   FROM ({_sql_typed_eligible()})),
+nodes AS MATERIALIZED (SELECT site, page_id, idx, 0 AS kind, raw AS txt FROM p
+                       UNION ALL SELECT site, page_id, idx, 1 AS kind, gen AS txt FROM p),
+nw AS MATERIALIZED (SELECT site, idx, kind, page_id * 2 + kind AS nid, lower({S.strip('txt')}) AS k,
+                           {S.word_set('txt')} AS ws, len({S.word_set('txt')}) AS n FROM nodes),
+e AS MATERIALIZED (SELECT a.nid AS a, b.nid AS b FROM nw a JOIN nw b ON a.site = b.site
+                     AND (a.idx < b.idx OR (a.idx = b.idx AND a.kind < b.kind))
+                     AND (a.k = b.k OR (a.n > 0 AND b.n > 0 AND 100 * least(a.n, b.n) >= {DD.PCT} * greatest(a.n, b.n)
+                          AND 100 * len(list_intersect(a.ws, b.ws)) > {DD.PCT} * (a.n + b.n - len(list_intersect(a.ws, b.ws)))))),
+r(site, idx, kept, dc, dg) AS (
+  SELECT DISTINCT site, 0::BIGINT, []::BIGINT[], false, false FROM p
+  UNION ALL
+  SELECT r.site, r.idx + 1,
+    CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b = p.page_id * 2 AND list_contains(r.kept, e.a)) THEN r.kept
+         WHEN EXISTS (SELECT 1 FROM e WHERE e.b = p.page_id * 2 + 1 AND list_contains(list_append(r.kept, p.page_id * 2), e.a))
+         THEN list_append(r.kept, p.page_id * 2)
+         ELSE list_append(list_append(r.kept, p.page_id * 2), p.page_id * 2 + 1) END,
+    EXISTS (SELECT 1 FROM e WHERE e.b = p.page_id * 2 AND list_contains(r.kept, e.a)),
+    NOT EXISTS (SELECT 1 FROM e WHERE e.b = p.page_id * 2 AND list_contains(r.kept, e.a))
+      AND EXISTS (SELECT 1 FROM e WHERE e.b = p.page_id * 2 + 1 AND list_contains(list_append(r.kept, p.page_id * 2), e.a))
+  FROM r JOIN p ON p.site = r.site AND p.idx = r.idx + 1)
+SELECT p.site, p.page_id, r.dc AS dup_content, r.dg AS dup_generated
+FROM p JOIN r ON r.site = p.site AND r.idx = p.idx"""
+
+
+@register("pooled_dedup", _SQL_POOLED)
 def pooled_dedup(spark, d):
     from pagewright.plans.curate import default_render
     e = _eligible_typed(spark, d)
