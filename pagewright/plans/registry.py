@@ -830,30 +830,84 @@ def _curate(spark, d):
     return curate(p, seeds_from_pages(p), C.TEST_RULES, C.profile(spark, d), generated_at=GENERATED_AT)
 
 
-@register("curated_docs")
+def _sql_curate(select: str) -> str:
+    """The whole corpus-mode plan as one statement: gates, default render,
+    per-site budget over processed pages, generated-text gate, title
+    first-wins, a sequential greedy content pool per site (recursive CTE),
+    section first-wins. ``select`` reads the CTEs."""
+    u = "split_part(url, '#', 1)"
+    order = _PAGE_ORDER_SQL
+    return f"""
+WITH RECURSIVE {_sql_profile_ctes()},
+g AS MATERIALIZED (SELECT site, page_id, url, title, main_text, reason,
+    {S.rule_case(u, C.TEST_RULES, 'type')} AS type, {S.rule_case(u, C.TEST_RULES, 'score')} AS score,
+    CASE WHEN reason IS NULL THEN {_SQL_RENDER} END AS generated FROM ({_sql_eligible()})),
+gt AS MATERIALIZED (SELECT *, CASE WHEN reason IS NULL THEN {_SYS_TOKENS} + {S.tokens(_SQL_PROMPT)} ELSE 0 END AS p_tok,
+    CASE WHEN reason IS NULL THEN {S.tokens('generated')} ELSE 0 END AS c_tok FROM g),
+proc AS MATERIALIZED (SELECT * FROM (SELECT *, coalesce(sum(p_tok + c_tok) OVER (PARTITION BY site ORDER BY {order}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before FROM gt) WHERE used_before < {_LIMIT}),
+el AS MATERIALIZED (SELECT * FROM proc WHERE reason IS NULL),
+g2 AS MATERIALIZED (SELECT el.*, {_sql_gate('el.generated', 'cg.lang', fixed.LANGUAGE_MIN_LENGTH)} AS gen_ok
+    FROM el LEFT JOIN {_sql_classify('el', 'page_id', 'generated')} cg ON cg.key = el.page_id),
+tk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site, lower({S.strip('title')}) ORDER BY {order}) = 1 AS title_first
+    FROM g2 WHERE gen_ok),
+pool AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {order}) AS idx,
+    lower({S.strip('main_text')}) AS k, {S.word_set('main_text')} AS ws, len({S.word_set('main_text')}) AS n
+    FROM tk WHERE title_first),
+pe AS MATERIALIZED (SELECT a.page_id AS a, b.page_id AS b FROM pool a JOIN pool b ON a.site = b.site AND a.idx < b.idx
+    AND (a.k = b.k OR (a.n > 0 AND b.n > 0 AND 100 * least(a.n, b.n) >= {DD.PCT} * greatest(a.n, b.n)
+         AND 100 * len(list_intersect(a.ws, b.ws)) > {DD.PCT} * (a.n + b.n - len(list_intersect(a.ws, b.ws)))))),
+r(site, idx, kept, dc) AS (
+  SELECT DISTINCT site, 0::BIGINT, []::BIGINT[], false FROM pool
+  UNION ALL
+  SELECT r.site, r.idx + 1,
+    CASE WHEN EXISTS (SELECT 1 FROM pe WHERE pe.b = pool.page_id AND list_contains(r.kept, pe.a)) THEN r.kept
+         ELSE list_append(r.kept, pool.page_id) END,
+    EXISTS (SELECT 1 FROM pe WHERE pe.b = pool.page_id AND list_contains(r.kept, pe.a))
+  FROM r JOIN pool ON pool.site = r.site AND pool.idx = r.idx + 1),
+pooled AS MATERIALIZED (SELECT pool.*, r.dc AS dup_content FROM pool JOIN r ON r.site = pool.site AND r.idx = pool.idx),
+kept AS MATERIALIZED (SELECT * FROM pooled WHERE NOT dup_content),
+fin AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, type, lower({S.strip('title')})
+    ORDER BY {order}) AS sf FROM kept) WHERE sf = 1),
+cur AS MATERIALIZED (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY {order}) AS rank,
+    type, score, title, generated AS content FROM fin),
+rej AS MATERIALIZED (SELECT proc.site, proc.page_id, proc.url, coalesce(proc.reason,
+    CASE WHEN NOT g2.gen_ok THEN 'generated_language' WHEN NOT tk.title_first THEN 'dup_title'
+         WHEN pooled.dup_content THEN 'dup_content' END) AS reason
+    FROM proc LEFT JOIN g2 ON g2.page_id = proc.page_id LEFT JOIN tk ON tk.page_id = proc.page_id
+    LEFT JOIN pooled ON pooled.page_id = proc.page_id)
+{select}"""
+
+
+@register("curated_docs", _sql_curate(
+    "SELECT site, page_id, rank, type, score, title, md5(content) AS content_md5 FROM cur"))
 def curated_docs(spark, d):
     return _curate(spark, d)["curated"].select("site", "page_id", "rank", "type", "score", "title",
                                                F.md5("content").alias("content_md5"))
 
 
-@register("rejects")
+@register("rejects", _sql_curate("SELECT site, page_id, url, reason FROM rej WHERE reason IS NOT NULL"))
 def rejects(spark, d):
     return _curate(spark, d)["rejects"]
 
 
-@register("rejection_funnel")
+@register("rejection_funnel", _sql_curate(
+    "SELECT site, reason, count(*) AS pages FROM rej WHERE reason IS NOT NULL GROUP BY site, reason"))
 def rejection_funnel(spark, d):
     return _curate(spark, d)["funnel"]
 
 
-@register("usage_by_stage")
+@register("usage_by_stage", _sql_curate("""
+SELECT site, 'generate' AS stage, sum(p_tok)::BIGINT AS prompt_tokens, sum(c_tok)::BIGINT AS completion_tokens FROM el GROUP BY site
+UNION ALL SELECT site, 'critique', 0::BIGINT, 0::BIGINT FROM kept GROUP BY site
+UNION ALL SELECT site, 'refine', 0::BIGINT, 0::BIGINT FROM kept GROUP BY site"""))
 def usage_by_stage(spark, d):
     u = _curate(spark, d)["usage"]
     return u.groupBy("site", "stage").agg(F.sum("prompt_tokens").alias("prompt_tokens"),
                                           F.sum("completion_tokens").alias("completion_tokens"))
 
 
-@register("refined_docs")
+@register("refined_docs", _sql_curate("SELECT site, page_id, md5(content) AS content_md5 FROM cur"))
 def refined_docs(spark, d):
     c = _curate(spark, d)["curated"]
     return c.select("site", "page_id", F.md5("content").alias("content_md5"))
