@@ -563,10 +563,10 @@ def _sql_frontier() -> str:
 SELECT site, url, boosted_score, row_number() OVER (PARTITION BY site ORDER BY boosted_score DESC, page_id, pos) AS rank
 FROM ({_sql_frontier()})""")
 def frontier_rank(spark, d):
-    from pyspark.sql import Window
-    f = _frontier(spark, d)
-    w = Window.partitionBy("site").orderBy(F.col("boosted_score").desc(), "page_id", "pos")
-    return f.select("site", "url", "boosted_score", F.row_number().over(w).alias("rank"))
+    from pagewright.operators.order import rank_within
+    f = _frontier(spark, d).select("site", "url", "boosted_score", "page_id", "pos")
+    r = rank_within(f, ["site"], [("boosted_score", False), ("page_id", True), ("pos", True)])
+    return r.select("site", "url", "boosted_score", "rank")
 
 
 @register("frontier_topk", f"""
@@ -778,10 +778,9 @@ def _title_kept(spark, d):
 @register("curated_order", f"""
 SELECT site, page_id, type, score, row_number() OVER (PARTITION BY site ORDER BY {_PAGE_ORDER_SQL}) AS rank FROM ({_SQL_TITLE_KEPT})""")
 def curated_order(spark, d):
-    from pyspark.sql import Window
-    k = _title_kept(spark, d)
-    w = Window.partitionBy("site").orderBy(F.col("score").desc(), "page_id", "url")
-    return k.select("site", "page_id", "type", "score", F.row_number().over(w).alias("rank"))
+    from pagewright.operators.order import rank_within
+    k = _title_kept(spark, d).select("site", "page_id", "type", "score", "url")
+    return rank_within(k, ["site"], C.PAGE_ORDER).select("site", "page_id", "type", "score", "rank")
 
 
 @register("section_headers", f"""

@@ -60,3 +60,16 @@ def test_write_bundles_sink_keeps_order(spark, tmp_path):
         text = "".join(open(f, encoding="utf-8").read() for f in files)
         assert text == one[site]
         assert text.startswith("<0.0.0>\n<0.0.1>") and text.endswith("<4.2.1>\n\n")
+
+
+def test_rank_within_equals_row_number_on_a_hot_group(spark):
+    from pyspark.sql import Window
+    from pagewright.operators.order import rank_within
+    df = spark.range(0, 5000).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise((F.col("id") % 13).cast("string")).alias("site"),
+        (F.col("id") * 7919 % 1000).alias("score"), F.col("id"))
+    want = df.withColumn("rank", F.row_number().over(
+        Window.partitionBy("site").orderBy(F.col("score").desc(), "id")))
+    got = rank_within(df, ["site"], [("score", False), ("id", True)], num_partitions=8)
+    assert got.select("site", "id", "rank").exceptAll(want.select("site", "id", "rank")).count() == 0
+    assert got.count() == 5000
