@@ -936,7 +936,29 @@ def _crawl_inputs(spark, d):
     return gated, seeds
 
 
-@register("reachable_pages")
+def _sql_reachable(max_depth: int = 100) -> str:
+    """Level-synchronous reachability as a depth-bounded recursive CTE:
+    from each site's first page, follow scored links of successful pages;
+    a stored page's depth is the shortest path length."""
+    return f"""
+WITH RECURSIVE
+el AS MATERIALIZED (SELECT site, page_id, url, split_part(url, '#', 1) AS node, reason IS NULL AS ok FROM ({_sql_eligible()})),
+pg AS MATERIALIZED (SELECT site, node, min(page_id) AS page_id FROM el GROUP BY site, node),
+lk AS MATERIALIZED (SELECT site, page_id, url AS target FROM ({_sql_links()})),
+st AS MATERIALIZED (SELECT site, split_part(arg_min(url, page_id), '#', 1) AS node FROM el GROUP BY site),
+r(site, node, depth) AS (
+  SELECT site, node, 0 FROM st
+  UNION
+  SELECT r.site, lk.target, r.depth + 1 FROM r
+    JOIN pg ON pg.site = r.site AND pg.node = r.node
+    JOIN el ON el.page_id = pg.page_id AND el.ok
+    JOIN lk ON lk.page_id = pg.page_id
+  WHERE r.depth < {max_depth})
+SELECT pg.site, pg.page_id, pg.node AS url, min(r.depth) AS depth
+FROM r JOIN pg ON pg.site = r.site AND pg.node = r.node GROUP BY pg.site, pg.page_id, pg.node"""
+
+
+@register("reachable_pages", _sql_reachable())
 def reachable_pages(spark, d):
     from pagewright.plans.crawl import reachable
     gated, seeds = _crawl_inputs(spark, d)
@@ -992,7 +1014,7 @@ def stream_usage_window(spark, d):
     return out.withColumn("total_value", F.round("total_value", 4))
 
 
-@register("stream_near_dup")
+@register("stream_near_dup", f"SELECT doc_id FROM ({_SQL_FUZZY}) WHERE kept")
 def stream_near_dup(spark, d):
     from pagewright.streaming import streams as ST
     s = ST.file_stream(spark, d, "documents").select("doc_id", "text")
