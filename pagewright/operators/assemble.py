@@ -27,11 +27,12 @@ def example_titles(examples: DataFrame, page_keys: list[str], order_col: str) ->
 
 def section_headers(curated: DataFrame) -> DataFrame:
     """``header`` is true where the type differs from the previous row
-    of the site (curated rows carry ``rank``; curated sets are bounded by
-    the token budget)."""
-    w = Window.partitionBy("site").orderBy("rank")
-    prev = F.lag("type").over(w)
-    return curated.withColumn("header", prev.isNull() | (prev != F.col("type")))
+    of the site. The previous row is found by an equi-join on (site,
+    rank - 1) -- a unique key -- so no site is sorted in one task."""
+    prev = curated.select("site", (F.col("rank") + 1).alias("rank"), F.col("type").alias("_prev_type"))
+    return (curated.join(prev, ["site", "rank"], "left")
+            .withColumn("header", F.col("_prev_type").isNull() | (F.col("_prev_type") != F.col("type")))
+            .drop("_prev_type"))
 
 
 def header_text(site_info: DataFrame, generated_at: str) -> DataFrame:

@@ -1045,11 +1045,12 @@ WHERE prev_id IS NOT NULL""")
 def jaccard_pairs(spark, d):
     """H3: word-set intersection and union of each document with the
     previous one of its source (doc_id order)."""
-    from pyspark.sql import Window
+    from pagewright.operators.order import rank_within
     docs = C.table(spark, d, "documents").select("source", "doc_id", T.word_set(F.col("text")).alias("ws"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    x = (docs.withColumn("prev_id", F.lag("doc_id").over(w)).withColumn("pws", F.lag("ws").over(w))
-         .where(F.col("prev_id").isNotNull()))
+    ranked = rank_within(docs, ["source"], [("doc_id", True)])
+    prev = ranked.select("source", (F.col("rank") + 1).alias("rank"), F.col("doc_id").alias("prev_id"),
+                         F.col("ws").alias("pws"))
+    x = ranked.join(prev, ["source", "rank"])   # previous document of the source
     inter = F.size(F.array_intersect("ws", "pws"))
     uni = F.size(F.array_union("ws", "pws"))
     return x.select("source", "doc_id", "prev_id", inter.alias("inter"), uni.alias("uni"),
