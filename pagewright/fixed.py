@@ -207,6 +207,38 @@ ALWAYS:
 6. Link related sections
 7. Use consistent terminology"""
 
+CRITIQUE_SYSTEM_PROMPT = """You are a technical documentation specialist with expertise in:
+1. Technical writing and documentation standards
+2. Code documentation best practices
+3. API documentation requirements
+4. Information architecture
+5. Technical accuracy verification
+
+Analyze the provided markdown documentation and provide a detailed critique focusing on:
+1. Technical accuracy and completeness
+2. Structure and organization
+3. Clarity and readability
+4. Code examples and their explanations
+5. Missing or unclear information
+6. Consistency in terminology
+7. Documentation best practices
+
+Format your critique in a structured way that can be used by another AI to make improvements."""
+
+REFINE_SYSTEM_PROMPT = """You are a technical documentation editor with expertise in improving documentation based on expert critique.
+Your task is to refine the provided markdown documentation using the critique provided.
+
+Follow these guidelines:
+1. Address all points raised in the critique
+2. Maintain the original document's core information
+3. Improve clarity and readability
+4. Enhance technical accuracy
+5. Ensure consistent terminology
+6. Optimize structure and organization
+7. Improve code examples and their explanations
+
+Return the improved markdown content."""
+
 USER_PROMPT_FORMAT = "Title: {title}\n\nContent: {content}"
 CRITIQUE_USER_FORMAT = "Please analyze and critique this documentation:\n\n{content}"
 REFINE_USER_FORMAT = ("Original content:\n\n{content}\n\nCritique:\n\n{critique}"

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pagewright import fixed
 from pagewright.functions import markdown as MD
@@ -37,16 +38,24 @@ def default_render(title, content) -> Column:
     return F.concat(MD.format_section(title, 2), content, F.lit("\n"))
 
 
-def _run_fn(fn, system: str, temperature: float, out_col: str):
+def _with_fields(schema: StructType, text_col: str, p_col: str, c_col: str) -> StructType:
+    """``schema`` plus a text column and two token-count columns."""
+    return StructType(list(schema.fields) + [StructField(text_col, StringType()),
+                                             StructField(p_col, LongType()), StructField(c_col, LongType())])
+
+
+def _run_fn(fn, system: str, temperature: float, out_col: str,
+            p_col: str = "prompt_tokens", c_col: str = "completion_tokens"):
+    """Per Arrow batch: one call of ``fn`` for the batch's requests; the
+    text and the two usage counts land in the stage's own columns."""
     def run(batches):
         for pdf in batches:
             reqs = [{"system": system, "user": u, "temperature": temperature} for u in pdf["_user"]]
             res = fn(reqs) if reqs else []
-            texts = [r[0] for r in res]
-            out = pdf.drop(columns=["_user"]).copy()
-            out[out_col] = pd.Series(texts, dtype="object")
-            out["prompt_tokens"] = pd.Series([int(r[1]) for r in res], dtype="int64")
-            out["completion_tokens"] = pd.Series([int(r[2]) for r in res], dtype="int64")
+            out = pdf.drop(columns=["_user"]).reset_index(drop=True)
+            out[out_col] = pd.Series([r[0] for r in res], dtype="object")
+            out[p_col] = pd.Series([int(r[1]) for r in res], dtype="int64")
+            out[c_col] = pd.Series([int(r[2]) for r in res], dtype="int64")
             yield out
     return run
 
@@ -62,8 +71,7 @@ def generate(df: DataFrame, fn=None, title: str = "title", content: str = "main_
                 .drop("user_prompt", "temperature", "prompt_tokens_est"))
     ship_package(df.sparkSession)
     src = df.withColumn("_user", user_prompt(F.col(title), F.col(content)))
-    schema = (df.schema.simpleString()[len("struct<"):-1]
-              + f",{out_col}:string,prompt_tokens:bigint,completion_tokens:bigint")
+    schema = _with_fields(df.schema, out_col, "prompt_tokens", "completion_tokens")
     return src.mapInPandas(_run_fn(fn, fixed.SYSTEM_PROMPT, fixed.GENERATE_TEMPERATURE, out_col), schema)
 
 
@@ -78,13 +86,10 @@ def critique(df: DataFrame, fn=None, content: str = "generated") -> DataFrame:
                 .withColumn("critique_completion_tokens", F.lit(0).cast("bigint")))
     ship_package(df.sparkSession)
     src = df.withColumn("_user", F.concat(F.lit("Please analyze and critique this documentation:\n\n"), F.col(content)))
-    schema = (df.schema.simpleString()[len("struct<"):-1]
-              + ",critique:string,critique_prompt_tokens:bigint,critique_completion_tokens:bigint")
+    schema = _with_fields(df.schema, "critique", "critique_prompt_tokens", "critique_completion_tokens")
 
-    def run(batches):
-        for out in _run_fn(fn, "", fixed.CRITIQUE_TEMPERATURE, "critique")(batches):
-            yield out.rename(columns={"prompt_tokens": "critique_prompt_tokens",
-                                      "completion_tokens": "critique_completion_tokens"})
+    run = _run_fn(fn, fixed.CRITIQUE_SYSTEM_PROMPT, fixed.CRITIQUE_TEMPERATURE, "critique",
+                  "critique_prompt_tokens", "critique_completion_tokens")
     return src.mapInPandas(run, schema)
 
 
@@ -99,19 +104,14 @@ def refine(df: DataFrame, fn=None, content: str = "generated", out_col: str = "f
     src = df.withColumn("_user", F.concat(F.lit("Original content:\n\n"), F.col(content), F.lit("\n\nCritique:\n\n"),
                                           F.coalesce(F.col("critique"), F.lit("")),
                                           F.lit("\n\nPlease refine the content based on this critique.")))
-    schema = (df.schema.simpleString()[len("struct<"):-1]
-              + ",_refined:string,refine_prompt_tokens:bigint,refine_completion_tokens:bigint")
+    schema = _with_fields(df.schema, "_refined", "refine_prompt_tokens", "refine_completion_tokens")
 
-    def run(batches):
-        for out in _run_fn(fn, "", fixed.REFINE_TEMPERATURE, "_refined")(batches):
-            yield out.rename(columns={"prompt_tokens": "refine_prompt_tokens",
-                                      "completion_tokens": "refine_completion_tokens"})
-    has = df.where(F.col("critique").isNotNull() & (F.col("critique") != ""))
+    run = _run_fn(fn, fixed.REFINE_SYSTEM_PROMPT, fixed.REFINE_TEMPERATURE, "_refined",
+                  "refine_prompt_tokens", "refine_completion_tokens")
     no = df.where(F.col("critique").isNull() | (F.col("critique") == ""))
     done = (src.where(F.col("critique").isNotNull() & (F.col("critique") != "")).mapInPandas(run, schema)
             .withColumn(out_col, F.coalesce(F.nullif(F.col("_refined"), F.lit("")), F.col(content))).drop("_refined"))
     rest = (no.withColumn(out_col, F.col(content))
             .withColumn("refine_prompt_tokens", F.lit(0).cast("bigint"))
             .withColumn("refine_completion_tokens", F.lit(0).cast("bigint")))
-    del has
     return done.unionByName(rest)
