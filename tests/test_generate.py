@@ -41,3 +41,41 @@ def test_prompt_table_and_default_render(spark):
     assert p.temperature == 0.0
     g = G.generate(df).first()
     assert g.generated == "## T\n\nc\n"
+
+
+def test_curate_end_to_end_with_model_functions(spark):
+    from pagewright.plans import common as C
+    from pagewright.plans.curate import curate
+    from pagewright.sources.seeds import seeds_from_pages
+
+    def gen(reqs):
+        # a short summary per page; the page whose title starts with "Th" gets
+        # its own prompt back, which the pool must reject as its own copy
+        out = []
+        for r in reqs:
+            title = r["user"].split("\n")[0][len("Title: "):]
+            text = r["user"] if title.startswith("Th") else f"Summary {title}"
+            out.append((text, 100, 20))
+        return out
+
+    def crit(reqs):
+        return [("add examples", 3, 1) for _ in reqs]
+
+    def ref(reqs):
+        return [("Refined page", 4, 2) for _ in reqs]
+
+    d = "/root/testdata/sf0.001"
+    p = C.pages(spark, d)
+    out = curate(p, seeds_from_pages(p), C.TEST_RULES, C.profile(spark, d),
+                 generate_fn=gen, critique_fn=crit, refine_fn=ref)
+    cur = out["curated"].collect()
+    assert cur and all(r.content == "Refined page" for r in cur)
+    usage = {(r.stage): (r.p, r.c) for r in out["usage"].groupBy("stage").agg(
+        F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("c")).collect()}
+    n_gen = out["usage"].where("stage = 'generate'").count()
+    assert usage["generate"] == (100 * n_gen, 20 * n_gen)
+    n_kept = out["usage"].where("stage = 'critique'").count()
+    assert usage["critique"] == (3 * n_kept, n_kept) and usage["refine"] == (4 * n_kept, 2 * n_kept)
+    reasons = {r.reason for r in out["rejects"].collect()}
+    assert "dup_generated" in reasons
+    assert out["bundles"].count() == 3
