@@ -66,7 +66,10 @@ def urljoin(base, ref) -> Column:
     http(s) bases: absolute refs pass through, ``//host`` takes the base
     scheme, ``?q`` keeps the base path, other refs merge with the base
     directory and have dot segments removed."""
-    b, r = _c(base), _c(ref)
+    b, r0 = _c(base), _c(ref)
+    # '//' followed by an empty authority names no host: what follows is
+    # resolved like a reference without one ('//' -> the base itself)
+    r = F.when(r0.startswith("//") & ~r0.rlike(r"^//[^/?#]"), F.substring(r0, 3, 1 << 30)).otherwise(r0)
     bscheme = scheme(b)
     bnet = netloc(b)
     bpath = F.regexp_extract(b, PATH_RE, 1)

@@ -55,3 +55,10 @@ def test_text_functions(spark):
     assert r.sec == "## Core_Concepts\n\n"
     assert r.n == "total = add(1, 2)\nf():"
     assert urlparse("https://d.io/").path == "/"
+
+
+def test_urljoin_empty_authority(spark):
+    for href in ["//", "///x", "//?q=1", "//#f", "//a.b/c"]:
+        for base in [BASE, "https://docs.a.com"]:
+            got = spark.range(1).select(U.urljoin(F.lit(base), F.lit(href.split("#")[0]))).first()[0]
+            assert got == urljoin(base, href.split("#")[0]), (base, href)
