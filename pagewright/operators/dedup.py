@@ -89,28 +89,32 @@ def prefix_entries(base: DataFrame, scope: list[str], dfreq: DataFrame) -> DataF
 
 
 def candidate_pairs(probe: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:
-    """Ids sharing a prefix token within one length band either way and
-    passing the length filter; (a, b) distinct, unordered pairs both ways."""
+    """Id pairs sharing a prefix token whose length bands differ by at most
+    one and that pass the length filter. Each entry probes its own band and
+    the next one up, which reaches every such pair at least once; pairs come
+    out once, as (smaller id, larger id)."""
     p = probe.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t",
-                     F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+                     F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     ix = index.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", "band")
     return (p.join(ix, [*scope, "t", "band"])
             .where((F.col("a") != F.col("b"))
                    & (100 * F.least("na", "nb") >= PCT * F.greatest("na", "nb")))
-            .select(*scope, "a", "b").distinct())
+            .select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def verify_pairs(cand: DataFrame, left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame:
     """Exact check of candidates: ``left/right(scope, id, w, ord)``; keeps
-    a earlier than b and Jaccard strictly above the threshold."""
+    Jaccard strictly above the threshold and orients each pair earlier ->
+    later in the order."""
     lf = left.select(*scope, F.col("id").alias("a"), F.col("w").alias("wa"), F.col("ord").alias("oa"))
     rt = right.select(*scope, F.col("id").alias("b"), F.col("w").alias("wb"), F.col("ord").alias("ob"))
     pairs = (cand.join(lf, [*scope, "a"]).join(rt, [*scope, "b"])
-             .where(F.struct("oa", "a") < F.struct("ob", "b"))
              .withColumn("inter", F.size(F.array_intersect("wa", "wb")))
              .withColumn("uni", F.size("wa") + F.size("wb") - F.col("inter"))
              .where(100 * F.col("inter") > PCT * F.col("uni")))
-    return pairs.select(*scope, "a", "b", "inter", "uni",
+    a_first = F.struct("oa", "a") < F.struct("ob", "b")
+    return pairs.select(*scope, F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("a"),
+                        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("b"), "inter", "uni",
                         (F.col("inter").cast("double") / F.col("uni").cast("double")).alias("jaccard"))
 
 
