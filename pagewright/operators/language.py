@@ -1,7 +1,8 @@
 """Language identification as two Spark jobs plus the native gate.
 
-Model: character-trigram naive Bayes with add-one smoothing over the first
-``sample`` characters of lower(strip(text)).
+Model: character-trigram naive Bayes with add-one smoothing, trained on the
+whole labelled texts; a row is classified from the first ``sample``
+characters of lower(strip(text)), the sample the language gate defines.
 
 * train:  explode trigrams, ``groupBy(lang, gram).count()`` -> profile.
 * score:  explode a row's trigrams, count per (row, gram), join the profile
@@ -38,14 +39,12 @@ def trigrams(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"(?s)(?=(.{3}))."), 1)
 
 
-def train_language(docs: DataFrame, text: str = "text", lang: str = "lang",
-                   sample: int = fixed.LANGUAGE_SAMPLE_CHARS) -> DataFrame:
-    """Profile ``(lang, gram, cnt)`` from a labelled table. Map-side partial
-    aggregation keeps the shuffle to one row per (partition, lang, gram)."""
-    # the sample is materialised before the lambda: expressions captured
-    # by a lambda are re-evaluated per element
+def train_language(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Profile ``(lang, gram, cnt)`` from a labelled table, over whole texts
+    (lower(strip(text))). Map-side partial aggregation keeps the shuffle to
+    one row per (partition, lang, gram)."""
     return (docs.where(F.col(lang).isNotNull())
-            .select(F.col(lang).alias("lang"), _sample(F.col(text), sample).alias("_s"))
+            .select(F.col(lang).alias("lang"), F.lower(T.py_strip(F.col(text))).alias("_s"))
             .select("lang", F.explode(trigrams(F.col("_s"))).alias("gram"))
             .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt")))
 

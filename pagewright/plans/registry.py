@@ -61,9 +61,17 @@ def _sql_grams(s: str) -> str:
             f"lambda i: substr({s}, i, 3)) ELSE []::VARCHAR[] END")
 
 
+def _sql_char_grams(c: str) -> str:
+    """Trigrams of a materialised character list ``c`` (linear: list
+    indexing instead of substr per position)."""
+    return (f"CASE WHEN len({c}) >= 3 THEN list_transform(range(1, len({c}) - 1), "
+            f"lambda i: {c}[i] || {c}[i + 1] || {c}[i + 2]) ELSE []::VARCHAR[] END")
+
+
 def _sql_profile_ctes() -> str:
-    return (f"prof AS (SELECT lang, gram, count(*) AS cnt FROM (SELECT lang, unnest({_sql_grams('s')}) AS gram "
-            f"FROM (SELECT lang, {_sql_sample('text')} AS s FROM documents WHERE lang IS NOT NULL)) GROUP BY lang, gram), "
+    return (f"prof AS (SELECT lang, gram, count(*) AS cnt FROM (SELECT lang, unnest({_sql_char_grams('c')}) AS gram "
+            f"FROM (SELECT lang, string_split(lower({S.strip('text')}), '') AS c FROM documents WHERE lang IS NOT NULL)) "
+            f"GROUP BY lang, gram), "
             f"vocab AS (SELECT count(DISTINCT gram) AS v FROM prof), "
             f"tot AS (SELECT lang, ln(sum(cnt) + (SELECT v FROM vocab)) AS log_den FROM prof GROUP BY lang)")
 
