@@ -69,7 +69,8 @@ def urljoin(base, ref) -> Column:
     b, r0 = _c(base), _c(ref)
     # '//' followed by an empty authority names no host: what follows is
     # resolved like a reference without one ('//' -> the base itself)
-    r = F.when(r0.startswith("//") & ~r0.rlike(r"^//[^/?#]"), F.substring(r0, 3, 1 << 30)).otherwise(r0)
+    empty_auth = r0.startswith("//") & ~r0.rlike(r"^//[^/?#]")
+    r = F.when(empty_auth, F.substring(r0, 3, 1 << 30)).otherwise(r0)
     bscheme = scheme(b)
     bnet = netloc(b)
     bpath = F.regexp_extract(b, PATH_RE, 1)
@@ -103,7 +104,7 @@ def urljoin(base, ref) -> Column:
     return (F.when(r.rlike(SCHEME_RE) & (rscheme != bscheme), r)
             .when(r.rlike(SCHEME_RE + r"//"),
                   F.concat(rscheme, F.lit(":"), F.regexp_replace(r, SCHEME_RE, "")))
-            .when(r.startswith("//"), F.concat(bscheme, F.lit(":"), r))
+            .when(r.startswith("//") & ~empty_auth, F.concat(bscheme, F.lit(":"), r))
             .when(rpath == "", keep_base)
             .otherwise(F.concat(prefix, path, query_part)))
 

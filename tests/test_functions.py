@@ -58,7 +58,7 @@ def test_text_functions(spark):
 
 
 def test_urljoin_empty_authority(spark):
-    for href in ["//", "///x", "//?q=1", "//#f", "//a.b/c"]:
+    for href in ["//", "///x", "//?q=1", "//#f", "//a.b/c", "////a", "///../x", "//./x"]:
         for base in [BASE, "https://docs.a.com"]:
             got = spark.range(1).select(U.urljoin(F.lit(base), F.lit(href.split("#")[0]))).first()[0]
             assert got == urljoin(base, href.split("#")[0]), (base, href)
