@@ -27,7 +27,7 @@ from pagewright.session import checkpoint, maybe_broadcast
 PCT = fixed.SIMILARITY_THRESHOLD_PCT
 # geometric length bands: similar sets differ by at most one band
 BAND_BASE = 100.0 / PCT
-VOCAB_BROADCAST_ROWS = 5_000_000
+VOCAB_BROADCAST_ROWS = 1_000_000     # (word, frequency): tens of MB at most
 
 
 # ---------------------------------------------------------------------------

@@ -24,7 +24,7 @@ from pagewright import fixed
 from pagewright.functions import text as T
 from pagewright.session import maybe_broadcast
 
-PROFILE_BROADCAST_ROWS = 5_000_000
+PROFILE_BROADCAST_ROWS = 1_000_000   # (lang, 3-char gram, count): ~40 MB at most
 
 
 def _sample(text: Column, sample: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Rows of a side that may be broadcast without further checks. Callers pass
 # their own bound when the row width is known to be larger.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def build_session(master: str | None = None, app: str = "pagewright",

@@ -73,3 +73,23 @@ def test_title_claim_and_own_source(spark):
     p = {r.seq: (r.dup_content, r.dup_generated)
          for r in DD.pooled_dedup(df, ["site"], "seq", "text", "gen", [("seq", True)]).collect()}
     assert p == {1: (False, True), 2: (True, False)}
+
+
+def test_pairs_without_broadcast_equal_brute_force(spark, monkeypatch):
+    """The size guard's other branch: a shuffle join when the vocabulary is
+    too large to broadcast gives the same pairs."""
+    monkeypatch.setattr(DD, "VOCAB_BROADCAST_ROWS", 1)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = C.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()
+        sets = {r.doc_id: set(r.text.lower().split()) for r in docs}
+        ids = sorted(sets)
+        brute = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]
+                 if sets[a] and 100 * len(sets[a] & sets[b]) > 85 * len(sets[a] | sets[b])}
+        df = C.table(spark, "/root/testdata/sf0.001", "documents").select(
+            "doc_id", T.word_set(F.col("text")).alias("ws"))
+        got = {(r.a, r.b) for r in DD.near_dup_pairs(df, [], "doc_id", "ws", [("doc_id", True)]).collect()}
+        assert got == brute
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
