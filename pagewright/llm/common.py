@@ -21,16 +21,27 @@ WHITESPACE = " \t\n\x0b\x0c\r"
 CHUNK_BYTES = 1 << 21          # text handled at once by the numpy stages
 _WINDOW = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[ord(c) for c in WHITESPACE]] = False
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _byte_values(fold: bool) -> np.ndarray:
+def _classes() -> dict[str, np.ndarray]:
+    """Byte classes of each token kind; 0 separates, and a token is a maximal
+    run of one other class."""
+    solid = np.ones(256, np.uint8)
+    solid[[ord(c) for c in WHITESPACE]] = 0
+    letters = np.zeros(256, np.uint8)
+    letters[48:58] = letters[65:91] = letters[97:123] = letters[128:] = 1
+    return {"space": solid, "letters": letters, "runs": np.where(letters == 1, 1, 2 * solid).astype(np.uint8)}
+
+
+_CLASSES = _classes()
+
+
+def _byte_values(kind: str, fold: bool) -> np.ndarray:
     values = mix64(np.arange(1, 257, dtype=np.uint64) * _MIX)
     if fold:
         values[65:91] = values[97:123]
-    values[~_IS_WORD] = 0
+    values[_CLASSES[kind] == 0] = 0
     return values
 
 
@@ -43,7 +54,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_VALUES = {True: _byte_values(True), False: _byte_values(False)}
+_VALUES = {(kind, fold): _byte_values(kind, fold) for kind in _CLASSES for fold in (False, True)}
 _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(255, _BASE)]))
 
 
@@ -89,21 +100,23 @@ class Texts:
         return self.column.to_pylist()
 
 
-def words(data: np.ndarray, offs: np.ndarray, fold: bool = True):
-    """Starts, ends (bytes) and 64-bit hashes of all words, and for each row
-    the index of its first word (one more entry at the end). ``fold`` hashes
-    ASCII letters without case. Rows never share a word."""
-    out, a, n = [], 0, len(data)
+def words(data: np.ndarray, offs: np.ndarray, fold: bool = True, kind: str = "space"):
+    """Starts, ends (bytes) and 64-bit hashes of all tokens, and for each row
+    the index of its first token (one more entry at the end). Kinds: "space"
+    (words), "letters" (runs of ASCII letters and digits and of non-ASCII
+    bytes) and "runs" (those and the runs of symbols between them). ``fold``
+    hashes ASCII letters without case. Rows never share a token."""
+    out, a, n, classes = [], 0, len(data), _CLASSES[kind]
     while a < n:
         b = min(a + _WINDOW, n)
-        while b < n and _IS_WORD[data[b]] and _IS_WORD[data[b - 1]]:
-            gap = np.flatnonzero(~_IS_WORD[data[b:b + 4096]])
+        while b < n and classes[data[b]] and classes[data[b]] == classes[data[b - 1]]:
+            gap = np.flatnonzero(classes[data[b:b + 4096]] != classes[data[b]])
             row = np.searchsorted(offs, b)
             step = min(int(gap[0]) if len(gap) else 4096, int(offs[row]) - b)
             if step == 0:
                 break
             b = min(b + step, n)
-        out.append(_window_words(data[a:b], offs, a, fold))
+        out.append(_window_words(data[a:b], offs, a, _VALUES[kind, fold], classes))
         a = b
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
@@ -111,24 +124,23 @@ def words(data: np.ndarray, offs: np.ndarray, fold: bool = True):
     return starts, ends, hashes, np.searchsorted(starts, offs)
 
 
-def _window_words(seg, offs, a, fold):
+def _window_words(seg, offs, a, values, classes):
     n = len(seg)
     edge = np.zeros(n + 1, bool)
     lo, hi = np.searchsorted(offs, (a, a + n + 1))
     edge[offs[lo:hi] - a] = True
     edge[0] = edge[n] = True
-    solid = _IS_WORD[seg]
-    begin, stop = solid.copy(), solid.copy()
-    begin[1:] &= ~solid[:-1] | edge[1:n]
-    stop[:-1] &= ~solid[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    cls = classes[seg]
+    edge[1:n] |= cls[1:] != cls[:-1]
+    solid = cls > 0
+    starts, ends = np.flatnonzero(solid & edge[:-1]), np.flatnonzero(solid & edge[1:]) + 1
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
     first = starts[0]
     powers = _powers(int((ends - starts).max()))
     place = np.arange(first, n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    np.minimum(place, len(powers) - 1, out=place)      # white space after a word has value 0
-    total = np.add.reduceat(_VALUES[fold][seg[first:]] * powers[place], starts - first)
+    np.minimum(place, len(powers) - 1, out=place)      # separators after a token have value 0
+    total = np.add.reduceat(values[seg[first:]] * powers[place], starts - first)
     return starts + a, ends + a, mix64(total + (ends - starts).astype(np.uint64))
 
 
