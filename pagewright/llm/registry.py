@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import rules
-from pagewright.llm.common import table
+from pagewright.llm import langid, quality, rules, secrets, toxicity
+from pagewright.llm.common import fold_of, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -18,6 +18,41 @@ def query(fn):
     return fn
 
 
+def held_out(n: int, value: int):
+    return F.coalesce(fold_of("doc_id", n) == value, F.lit(False))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return (quality.score(docs, model)
+            .select("doc_id", held_out(5, 0).alias("held_out"), "score",
+                    (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, fold_of("doc_id", 4) != 2)
+    return (langid.identify(docs, model)
+            .select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return (toxicity.score(docs, model)
+            .select("doc_id", held_out(5, 0).alias("held_out"), "score",
+                    (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
