@@ -66,12 +66,15 @@ def _powers(n: int) -> np.ndarray:
 
 
 class Texts:
-    """UTF-8 bytes of one string column: ``data`` and row ``offs``."""
+    """UTF-8 bytes of one string column: ``data`` and row ``offs``; in lower
+    case (of all scripts) if asked for."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, lower: bool = False):
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = pc.fill_null(column.cast(pa.large_string()), "")
+        if lower:
+            column = pc.utf8_lower(column)
         n = len(column)
         self.column = column
         buffers = column.buffers()

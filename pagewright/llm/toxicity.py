@@ -88,7 +88,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.
 
     def extract(batches):
         for batch in batches:
-            texts, parts = Texts(batch.column(0)), []
+            texts, parts = Texts(batch.column(0), lower=True), []
             for lo, hi, data, offs in texts.chunks():
                 row, ids = feature_rows(data, offs)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
         dense = np.zeros(1 << BITS, np.float32)
         dense[ids] = weights
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(Texts(batch.column(1)), dense, bias))],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(Texts(batch.column(1), lower=True), dense, bias))],
                                              names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
