@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, langid, quality, rules, secrets, toxicity
+from pagewright.llm import decontam, langid, pieces, quality, rules, secrets, tokens, toxicity
 from pagewright.llm.common import fold_of, table
 
 QUERIES: dict = {}
@@ -36,6 +36,16 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")))
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.document_rollup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_checked(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
