@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, langid, pieces, quality, rules, secrets, tokens, toxicity
+from pagewright.llm import decontam, langid, ngram_join, pieces, quality, rules, secrets, tokens, toxicity
 from pagewright.llm.common import fold_of, table
 
 QUERIES: dict = {}
@@ -54,6 +54,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score"))
 
 
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("k")
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
