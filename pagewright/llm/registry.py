@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, langid, ngram_join, pieces, quality, rules, secrets, tokens, toxicity
+from pagewright.llm import decontam, langid, ngram_join, pieces, pii, quality, rules, secrets, tokens, toxicity
 from pagewright.llm.common import fold_of, table
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_rollup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_checked(table(spark, sf_dir, "documents"))
