@@ -161,7 +161,7 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[:end + 1] == low[end])[-1])
+    start = int(np.flatnonzero(total[:end + 1] == low[end])[0])      # of equals the longest
     return start, end, int(equal[start:end].sum())
 
 
