@@ -7,6 +7,8 @@ graph depth (T3) or pages / batch size of the largest site (T2)."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,14 @@ def _pages_norm(gated: DataFrame) -> DataFrame:
                     F.col("reason").isNull().alias("ok")))
 
 
-def reachable(seeds: DataFrame, gated: DataFrame, rules, max_depth: int = 100) -> DataFrame:
+def reachable(seeds: DataFrame, gated: DataFrame, rules, max_depth: int | None = None) -> DataFrame:
     """Pages reachable from each seed through scored links of
-    successful pages, with their BFS depth. ``seeds(site, start_url)``."""
+    successful pages, with their BFS depth. ``seeds(site, start_url)``.
+    Runs until the frontier is empty, unless the caller sets a depth."""
     pages = checkpoint(_pages_norm(gated))
     frontier = checkpoint(seeds.select("site", F.substring_index("start_url", "#", 1).alias("node")).distinct())
     visited = None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
         found = pages.join(frontier, ["site", "node"])
         if visited is not None:
             found = found.join(visited.select("site", "node"), ["site", "node"], "left_anti")
