@@ -2,14 +2,25 @@
 
 Texts are sets of folded 5-word shingles (all words of a shorter text make
 one). Texts with equal sets are one class, named by its set's hash. MinHash
-bands propose pairs of classes; signatures are compared 32 values at a time
-and a pair goes as soon as the posterior probability (uniform prior) that its
-similarity reaches 0.8 falls below ``TOLERANCE``. The rest is verified
-exactly on the shingle sets. Groups are connected components.
-
-A pair at similarity 0.8 escapes all ``BANDS`` bands of ``ROWS`` values with
-probability (1 - 0.8**6)**48, below 1e-6. Pairs inside a large group of
-different near copies are enumerated: quadratic in that group.
+signatures are compared 32 values at a time and a pair goes as soon as the
+posterior probability (uniform prior) that its similarity reaches 0.8 falls
+below ``TOLERANCE``; the rest is verified exactly on the shingle sets. Groups
+are connected components of the verified links.
+
+1. Classes that share a MinHash band meet in that band's bucket. Their first
+   ``EARLY`` values are compared and a spanning forest of the surviving pairs
+   leaves the bucket: fewer rows than members, never pairs.
+2. The components of those forests are the clusters. Both classes of every
+   pair that survives pruning in some bucket are in one cluster.
+3. Within a cluster the whole signatures go on being compared and the
+   surviving pairs are verified. Every member leaves with its number of links
+   and its parent in the forest of the verified links.
+
+Buckets and clusters of more than ``BLOCK`` members, and clusters of more than
+``BLOCK_BYTES``, are cut into blocks, and every pair of blocks is a task's
+work, so no task holds a whole group; a member of a group of n is copied
+n / BLOCK times. A pair at similarity 0.8 escapes all ``BANDS`` bands of
+``ROWS`` values with probability (1 - 0.8**6)**48, below 1e-6.
 
 Defined cases: a null or wordless text is linked with nothing; repeated rows
 and equal texts share a class; a null id is an id like any other; an empty
@@ -19,10 +30,12 @@ read."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +45,9 @@ from pagewright.session import checkpoint
 SHINGLE, PCT = 5, 80
 ROWS, BANDS = 6, 48
 STEP = 32
+EARLY = 3 * STEP
 TOLERANCE = 1e-6
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 _K = ROWS * BANDS
 _A = (mix64(np.arange(1, _K + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _B = mix64(np.arange(1001, 1001 + _K, dtype=np.uint64)).astype(np.uint32)
@@ -132,60 +147,172 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Verified (a, b) pairs of classes, a < b."""
-    reps = scratch_table(sigs.where("k is not null").groupBy("k").agg(
-        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "join-classes")
+def in_blocks(members: DataFrame, group: str, blocks) -> DataFrame:
+    """Members dealt to the pairs of blocks of their group and sorted by
+    them: ``i`` <= ``j`` are the blocks, ``at`` the member's own one."""
+    dealt = (members.withColumn("_n", blocks.cast("int"))
+             .withColumn("at", F.pmod(F.xxhash64("k", group), F.col("_n")).cast("int"))
+             .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+             .select("*", F.least("at", "_o").alias("i"), F.greatest("at", "_o").alias("j")).drop("_n", "_o"))
+    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def group_runs(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of one group after another, from batches sorted by it."""
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[lo].as_py() for c in columns)
+            if key != name and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def survivors(x: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
+    """Rows of ``y`` whose values equal those of ``x`` often enough, compared
+    32 at a time; a row is out at the first step it fails."""
+    keep, same = np.arange(len(y)), np.zeros(len(y), np.int64)
+    for n, m in zip(range(0, len(x), STEP), least, strict=False):
+        same = same + (y[keep, n:n + STEP] == x[n:n + STEP]).sum(1)
+        ok = same >= m
+        keep, same = keep[ok], same[ok]
+        if not len(keep):
+            break
+    return keep
+
+
+def forest(size: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Parents of a spanning forest (a root is its own parent); ``near(i,
+    open)`` gives those of the open members that are linked with i."""
+    parent, left = np.arange(size), np.arange(size)
+    while len(left):
+        stack, left = [left[0]], left[1:]
+        while stack and len(left):
+            i = stack.pop()
+            hit = near(i, left)
+            parent[hit] = i
+            stack.extend(hit.tolist())
+            left = left[~np.isin(left, hit)]
+    return parent
+
+
+def bytes_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def clusters(reps: DataFrame) -> DataFrame:
+    """(k, cluster) of the classes with a candidate that survives."""
     band = reps.select("k", F.explode("bands").alias("band"))
-    cand = (band.withColumnRenamed("k", "a").join(band.withColumnRenamed("k", "b"), "band").where("a < b")
-            .select("a", "b").distinct()
-            .join(reps.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(reps.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b"))
+    shared = (band.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
+              .join(reps.select("k", F.expr(f"substring(sig, 1, {EARLY})").alias("sig")), "k"))
     least = least_matches()
 
-    def prune(batches):
-        for batch in batches:
-            keep = np.arange(batch.num_rows)
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _K) for c in ("sa", "sb"))
-            same = np.zeros(len(keep), np.int64)
-            for n, m in enumerate(least):
-                at = slice(n * STEP, (n + 1) * STEP)
-                same = same + (x[keep, at] == y[keep, at]).sum(1)
-                ok = same >= m
-                keep, same = keep[ok], same[ok]
-            part = batch.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
-
-    pairs = scratch_table(cand.mapInArrow(prune, "a binary, b binary"), "join-pairs")
-    named = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    sets = scratch_table(sets_of(docs, reps.select("doc_id", "k").join(named, "k")), "join-sets")
-
-    def verify(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= PCT * (len(x) + len(y) - both))
-            part = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
+    def run(batches):
+        for rows in group_runs(batches, ["band", "i", "j"]):
+            x, k = bytes_matrix(rows["sig"], EARLY), rows["k"].to_pylist()
+            up = forest(len(x), lambda i, left: left[survivors(x[i], x[left], least)])  # noqa: B023
+            hit = np.flatnonzero(up != np.arange(len(up)))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for i in hit], pa.binary()),
+                                              pa.array([k[i] for i in up[hit]], pa.binary())], names=["a", "b"])
+
+    dealt = in_blocks(shared, "band", F.ceil(F.col("n") / BLOCK))
+    edges = (dealt.select("band", "i", "j", "k", "sig").mapInArrow(run, "a binary, b binary")
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return components(edges).withColumnRenamed("root", "cluster")
+
+
+def overlaps_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs, by products of slices of the
+    incidence matrix over the shingles that two sets or more hold."""
+    size = len(sets)
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(size), [len(s) for s in sets])
+    shared = times[place] > 1
+    row, place = row[shared], (np.cumsum(times > 1) - 1)[place[shared]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.zeros((size, size), np.int64)
+    for lo in range(0, int((times > 1).sum()), 4096):
+        a, b = np.searchsorted(place, (lo, lo + 4096))
+        part = np.zeros((size, 4096), np.float32)
+        part[row[a:b], place[a:b] - lo] = 1
+        total += (part @ part.T).astype(np.int64)      # counts up to 4,096 are exact in float32
+    return total
+
+
+def verified(rows: pa.Table, least: list[int]) -> np.ndarray:
+    """Which pairs of a pair of blocks are linked (symmetric, no diagonal)."""
+    x, at = bytes_matrix(rows["sig"], _K), rows["at"].to_numpy()
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows["set"]]
+    across = rows["i"][0].as_py() != rows["j"][0].as_py()
+    out = np.zeros((len(x), len(x)), bool)
+    for i in range(len(x) - 1):
+        rest = np.arange(i + 1, len(x))
+        if across:
+            rest = rest[at[rest] != at[i]]
+        out[i, rest[survivors(x[i], x[rest], least)]] = True
+    first, second = np.nonzero(out)
+    if not len(first):
+        return out
+    if len(first) > 4 * len(x):
+        both = overlaps_of(sets)[first, second]
+    else:
+        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                         for a, b in zip(first, second, strict=True)])
+    sizes = np.array([len(s) for s in sets])
+    ok = 100 * both >= PCT * (sizes[first] + sizes[second] - both)
+    out[:] = False
+    out[first[ok], second[ok]] = True
+    return out | out.T
+
+
+def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(k, parent, n): for every class of a cluster and every pair of blocks
+    it is in, its parent in the forest of verified links and its links."""
+    near = scratch_table(clusters(reps), "join-clusters")
+    sets = scratch_table(sets_of(docs, reps.select("doc_id", "k").join(near.select("k"), "k")), "join-sets")
+    size = (near.join(sets.select("k", F.length("set").alias("bytes")), "k").groupBy("cluster")
+            .agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks")))
+    members = (near.join(size, "cluster").join(reps.select("k", "sig"), "k").join(sets, "k"))
+    least = least_matches()
+
+    def run(batches):
+        for rows in group_runs(batches, ["cluster", "i", "j"]):
+            links, k = verified(rows, least), rows["k"].to_pylist()
+            up = forest(len(k), lambda i, left: left[links[i, left]])  # noqa: B023
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array([k[i] for i in up], pa.binary()),
+                                              pa.array(links.sum(1), pa.int64())], names=["k", "parent", "n"])
 
-    return scratch_table(pairs.join(sets.select(F.col("k").alias("a"), F.col("set").alias("x")), "a")
-                         .join(sets.select(F.col("k").alias("b"), F.col("set").alias("y")), "b")
-                         .mapInArrow(verify, "a binary, b binary"), "join-links")
+    dealt = in_blocks(members, "cluster", F.col("blocks"))
+    return scratch_table(dealt.select("cluster", "i", "j", "at", "k", "sig", "set")
+                         .mapInArrow(run, "k binary, parent binary, n long"), "join-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) of every row: class_id is the least id of
     its group, n_links the number of other texts its text is linked with."""
     sigs = scratch_table(signatures(docs), "join-signatures")
-    edges = links(docs, sigs)
-    count = (edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("k"))
-             .agg(F.count(F.lit(1)).alias("n_links")))
-    rows = (sigs.select("doc_id", "k").join(components(edges), "k", "left").join(count, "k", "left")
-            .withColumn("root", F.coalesce("root", "k")))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return (rows.join(least, "root", "left")
+    reps = scratch_table(sigs.where("k is not null").groupBy("k").agg(
+        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "join-classes")
+    found = linked(docs, reps)
+    count = found.groupBy("k").agg(F.sum("n").alias("n_links"))
+    edges = found.where("k != parent").select(F.col("k").alias("a"), F.col("parent").alias("b")).distinct()
+    classes = (reps.select("k", "doc_id").join(components(edges), "k", "left").join(count, "k", "left")
+               .withColumn("root", F.coalesce("root", "k")))
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = classes.join(least, "root").select("k", "class_id", "n_links")
+    return (sigs.select("doc_id", "k").join(named, "k", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links"), "k"))
 

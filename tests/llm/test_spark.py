@@ -75,3 +75,29 @@ def test_sanitise_and_tokenize_keep_rows(llm):
     assert out == [(1, ""), (2, "mail [EMAIL] now"), (2, "mail [EMAIL] now")]
     assert pii.sanitise(d).columns == d.columns and pii.sanitise(d).count() == 4
     assert pieces.tokenize(d).count() == 4
+
+
+def test_groups_over_many_blocks_lose_no_link(llm, monkeypatch):
+    """A group of many different near copies, cut into blocks, and copies."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(150)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(4)):
+            w[at] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    texts += texts[:5]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs(llm, texts)).collect()}
+    sets = [frozenset(shingles(t)) for t in texts]
+    near = [{b for b in set(sets) if b != a and 100 * len(a & b) >= 80 * len(a | b)} for a in sets]
+    first, todo = {}, []
+    for i, s in enumerate(sets):
+        todo = [s] if s not in first else []
+        while todo:
+            a = todo.pop()
+            if a not in first:
+                first[a] = i
+                todo += near[sets.index(a)]
+    assert got == {i: (first[s], len(near[i])) for i, s in enumerate(sets)}
