@@ -38,24 +38,45 @@ def default_render(title, content) -> Column:
     return F.concat(MD.format_section(title, 2), content, F.lit("\n"))
 
 
-def _with_fields(schema: StructType, text_col: str, p_col: str, c_col: str) -> StructType:
-    """``schema`` plus a text column and two token-count columns."""
-    return StructType(list(schema.fields) + [StructField(text_col, StringType()),
-                                             StructField(p_col, LongType()), StructField(c_col, LongType())])
+def _with_fields(schema: StructType, text_col: str, p_col: str, c_col: str, e_col: str) -> StructType:
+    """``schema`` plus a text column, two token-count columns and an error."""
+    return StructType(list(schema.fields) + [StructField(text_col, StringType()), StructField(p_col, LongType()),
+                                             StructField(c_col, LongType()), StructField(e_col, StringType())])
+
+
+def _answers(fn, reqs: list[dict]) -> list[tuple]:
+    """(text, prompt tokens, completion tokens, error) of every request. A
+    call that fails, or returns another number of answers than asked, is
+    repeated request by request; a request that fails alone has a NULL text,
+    no usage and its error."""
+    def call(part):
+        res = list(fn(part))
+        if len(res) != len(part):
+            raise ValueError(f"{len(res)} answers to {len(part)} requests")
+        return [(text, int(p), int(c), None) for text, p, c in res]
+
+    try:
+        return call(reqs) if reqs else []
+    except Exception as error:
+        if len(reqs) == 1:
+            return [(None, 0, 0, f"{type(error).__name__}: {error}")]
+        return [row for r in reqs for row in _answers(fn, [r])]
 
 
 def _run_fn(fn, system: str, temperature: float, out_col: str,
-            p_col: str = "prompt_tokens", c_col: str = "completion_tokens"):
-    """Per Arrow batch: one call of ``fn`` for the batch's requests; the
-    text and the two usage counts land in the stage's own columns."""
+            p_col: str = "prompt_tokens", c_col: str = "completion_tokens", e_col: str = "generate_error"):
+    """Per Arrow batch: one call of ``fn`` for the batch's requests (rows with
+    a NULL request are passed on without one); the text, the two usage counts
+    and the error land in the stage's own columns."""
     def run(batches):
         for pdf in batches:
-            reqs = [{"system": system, "user": u, "temperature": temperature} for u in pdf["_user"]]
-            res = fn(reqs) if reqs else []
+            asked = pdf["_user"].notna().to_numpy()
+            got = iter(_answers(fn, [{"system": system, "user": u, "temperature": temperature}
+                                     for u in pdf["_user"][asked]]))
+            rows = [next(got) if yes else (None, 0, 0, None) for yes in asked]
             out = pdf.drop(columns=["_user"]).reset_index(drop=True)
-            out[out_col] = pd.Series([r[0] for r in res], dtype="object")
-            out[p_col] = pd.Series([int(r[1]) for r in res], dtype="int64")
-            out[c_col] = pd.Series([int(r[2]) for r in res], dtype="int64")
+            for k, (name, kind) in enumerate([(out_col, "object"), (p_col, "int64"), (c_col, "int64"), (e_col, "object")]):
+                out[name] = pd.Series([r[k] for r in rows], dtype=kind)
             yield out
     return run
 
@@ -71,7 +92,7 @@ def generate(df: DataFrame, fn=None, title: str = "title", content: str = "main_
                 .drop("user_prompt", "temperature", "prompt_tokens_est"))
     ship_package(df.sparkSession)
     src = df.withColumn("_user", user_prompt(F.col(title), F.col(content)))
-    schema = _with_fields(df.schema, out_col, "prompt_tokens", "completion_tokens")
+    schema = _with_fields(df.schema, out_col, "prompt_tokens", "completion_tokens", "generate_error")
     return src.mapInPandas(_run_fn(fn, fixed.SYSTEM_PROMPT, fixed.GENERATE_TEMPERATURE, out_col), schema)
 
 
@@ -86,10 +107,11 @@ def critique(df: DataFrame, fn=None, content: str = "generated") -> DataFrame:
                 .withColumn("critique_completion_tokens", F.lit(0).cast("bigint")))
     ship_package(df.sparkSession)
     src = df.withColumn("_user", F.concat(F.lit("Please analyze and critique this documentation:\n\n"), F.col(content)))
-    schema = _with_fields(df.schema, "critique", "critique_prompt_tokens", "critique_completion_tokens")
+    schema = _with_fields(df.schema, "critique", "critique_prompt_tokens", "critique_completion_tokens",
+                          "critique_error")
 
     run = _run_fn(fn, fixed.CRITIQUE_SYSTEM_PROMPT, fixed.CRITIQUE_TEMPERATURE, "critique",
-                  "critique_prompt_tokens", "critique_completion_tokens")
+                  "critique_prompt_tokens", "critique_completion_tokens", "critique_error")
     return src.mapInPandas(run, schema)
 
 
@@ -101,17 +123,15 @@ def refine(df: DataFrame, fn=None, content: str = "generated", out_col: str = "f
                 .withColumn("refine_prompt_tokens", F.lit(0).cast("bigint"))
                 .withColumn("refine_completion_tokens", F.lit(0).cast("bigint")))
     ship_package(df.sparkSession)
-    src = df.withColumn("_user", F.concat(F.lit("Original content:\n\n"), F.col(content), F.lit("\n\nCritique:\n\n"),
-                                          F.coalesce(F.col("critique"), F.lit("")),
-                                          F.lit("\n\nPlease refine the content based on this critique.")))
-    schema = _with_fields(df.schema, "_refined", "refine_prompt_tokens", "refine_completion_tokens")
-
+    has_critique = F.col("critique").isNotNull() & (F.col("critique") != "")
+    request = F.concat(F.lit("Original content:\n\n"), F.col(content), F.lit("\n\nCritique:\n\n"), F.col("critique"),
+                       F.lit("\n\nPlease refine the content based on this critique."))
+    src = df.withColumn("_user", F.when(has_critique, request))
+    schema = _with_fields(df.schema, "_refined", "refine_prompt_tokens", "refine_completion_tokens", "refine_error")
+
+    # one pass over all rows: reading a non-deterministic critique in two
+    # branches would lose and repeat pages
     run = _run_fn(fn, fixed.REFINE_SYSTEM_PROMPT, fixed.REFINE_TEMPERATURE, "_refined",
-                  "refine_prompt_tokens", "refine_completion_tokens")
-    no = df.where(F.col("critique").isNull() | (F.col("critique") == ""))
-    done = (src.where(F.col("critique").isNotNull() & (F.col("critique") != "")).mapInPandas(run, schema)
+                  "refine_prompt_tokens", "refine_completion_tokens", "refine_error")
+    return (src.mapInPandas(run, schema)
             .withColumn(out_col, F.coalesce(F.nullif(F.col("_refined"), F.lit("")), F.col(content))).drop("_refined"))
-    rest = (no.withColumn(out_col, F.col(content))
-            .withColumn("refine_prompt_tokens", F.lit(0).cast("bigint"))
-            .withColumn("refine_completion_tokens", F.lit(0).cast("bigint")))
-    return done.unionByName(rest)

@@ -78,12 +78,15 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
 
     g2 = L.language_gate(gen, ["page_id"], "generated", profile, primary=primary, out="gen_ok")
     g2 = checkpoint(g2.join(processed, "page_id", "left_semi"))
+    failed = F.col("generated").isNull()                    # the model call failed
+    g2 = g2.withColumn("gen_ok", F.coalesce("gen_ok", F.lit(False)) & ~failed)
     passed = g2.where("gen_ok")
     t = checkpoint(DD.first_wins(passed, ["site"], T.title_key(F.col("title")), order, "page_id", "title_first"))
     pool_in = t.where("title_first")
     pooled = DD.pooled_dedup(pool_in, ["site"], "page_id", "main_text",
                              "generated" if check_generated else None, order)
-    late = (g2.where(~F.col("gen_ok")).select("page_id", F.lit("generated_language").alias("late_reason"))
+    late = (g2.where(~F.col("gen_ok"))
+            .select("page_id", F.when(failed, F.lit("error")).otherwise(F.lit("generated_language")).alias("late_reason"))
             .unionByName(t.where(~F.col("title_first")).select("page_id", F.lit("dup_title").alias("late_reason")))
             .unionByName(pooled.select("page_id", F.when(F.col("dup_content"), F.lit("dup_content"))
                                        .when(F.col("dup_generated"), F.lit("dup_generated")).alias("late_reason"))))
@@ -126,9 +129,10 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
                                      F.col("refine_completion_tokens").alias("completion_tokens"))))
     rates = AC.rates_frame(pages.sparkSession)
     summary = AC.usage_summary(usage, rates)
+    header = AC.usage_summary(usage.where("stage = 'generate'"), rates)     # the header is written before critique
     info = (seeds.select("site", "base_url")
             .join(curated.groupBy("site").agg(F.count(F.lit(1)).alias("pages")), "site", "left")
-            .join(summary, "site", "left")
+            .join(header, "site", "left")
             .select("site", "base_url", F.coalesce("pages", F.lit(0)).alias("pages"),
                     F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"),
                     F.coalesce("total_cost", F.lit(0.0)).alias("total_cost")))

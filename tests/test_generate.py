@@ -79,3 +79,28 @@ def test_curate_end_to_end_with_model_functions(spark):
     reasons = {r.reason for r in out["rejects"].collect()}
     assert "dup_generated" in reasons
     assert out["bundles"].count() == 3
+
+
+def test_random_critique_keeps_every_page(spark):
+    import random
+
+    def critic(reqs):
+        return [("x" if random.random() < 0.5 else None, 1, 1) for _ in reqs]
+
+    pages = spark.range(500).selectExpr("id as page_id", "concat('text ', id) as generated").repartition(4)
+    out = G.refine(G.critique(pages, critic), lambda reqs: [("better", 1, 1) for _ in reqs])
+    rows = out.collect()
+    assert sorted(r.page_id for r in rows) == list(range(500))
+    assert all((r.final == "better") == (r.critique == "x") == (r.refine_prompt_tokens == 1) for r in rows)
+
+
+def test_failed_calls_are_contained(spark):
+    def flaky(reqs):
+        if any("bad" in r["user"] for r in reqs):
+            raise RuntimeError("no answer")
+        return [("fine", 2, 3) for _ in reqs]
+
+    pages = spark.createDataFrame([(1, "t", "good"), (2, "t", "bad"), (3, "t", "good")], "page_id int, title string, main_text string")
+    out = {r.page_id: r for r in G.generate(pages.coalesce(1), flaky).collect()}
+    assert [out[k].generated for k in (1, 2, 3)] == ["fine", None, "fine"]
+    assert out[2].prompt_tokens == 0 and "no answer" in out[2].generate_error and out[1].generate_error is None
