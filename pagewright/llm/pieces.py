@@ -10,7 +10,11 @@ to it are then final and leave the window. A character without a piece costs
 
 Where the vocabulary has no piece with a word mark after another character,
 all paths meet before each run of word marks, so the stretches between such
-boundaries are independent and frequent ones are remembered (a bounded cache).
+boundaries are independent and recent ones are remembered (a bounded cache).
+Stretches are searched many at once: a boundary that no piece of the text
+crosses is one where all paths meet, and the parts between such boundaries
+advance side by side, each with a window of the longest piece. A stretch with
+a long part is searched alone.
 
 The model file's path is a parameter; the model is never trained here.
 
@@ -24,8 +28,7 @@ empty result; of ``docs`` only doc_id and text are read, except by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,9 @@ from pagewright.llm.common import Texts
 MARK = "▁"
 LITERAL_MARK = "\udc81"            # stands for a U+2581 of the text itself
 UNKNOWN_PENALTY = 10.0
-CACHE = 1 << 17
+CACHE = 1 << 17                    # remembered stretches of at most SHORT characters, in each of two ages
+SHORT = 64                         # longest part searched side by side with others
+BATCH = 1 << 16                    # characters searched side by side
 _NORMAL, _UNUSED_TYPES, _BYTE = 1, (2, 3, 5), 6
 
 
@@ -74,7 +79,9 @@ class Pieces:
         for piece in list(self.table):
             for n in range(1, len(piece)):
                 self.table.setdefault(piece[:n], None)
-        self.cached = lru_cache(CACHE)(self._stretch)
+        self._build_trie()
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -131,7 +138,9 @@ class Pieces:
                 if meet > done:
                     yield meet, self._path(text, done, meet, back, base)
                     done = meet
-                if done > base:
+                if reach == at:
+                    best, back, base = [0.0], [at], at
+                elif done > base:
                     best, back, base = best[done - base:], back[done - base:], done
                 # paths that haven't met are looked at again once the window has doubled
                 check = max(4 * longest, 2 * (at - base))
@@ -162,26 +171,148 @@ class Pieces:
         ids = [i for _, part in self.stream(text) for i in part]
         return np.array(ids, np.int32).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of one text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        marked = MARK + text.replace(MARK, LITERAL_MARK).replace(" ", MARK)
+    def _build_trie(self):
+        """Edges as sorted (node, character) keys; score and id per node."""
+        names = sorted(self.table, key=len)
+        node = {"": 0} | {name: k for k, name in enumerate(names, 1)}
+        keys = np.array([node[name[:-1]] << 21 | ord(name[-1]) for name in names], np.int64)
+        order = np.argsort(keys)
+        self.edges, self.child = keys[order], order + 1
+        found = [(-np.inf, -1)] + [self.table[name] or (-np.inf, -1) for name in names]
+        self.node_score = np.array([score for score, _ in found])
+        self.node_id = np.array([i for _, i in found], np.int32)
+
+    def _matches(self, chars, room):
+        """Scores and ids by (length - 1, start) of all pieces in ``chars``
+        that keep within ``room`` characters, and the longest one's length."""
+        scores = np.full((self.longest, len(chars)), -np.inf)
+        ids = np.full((self.longest, len(chars)), -1, np.int32)
+        far = np.ones(len(chars), np.int64)
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for k in range(self.longest):
+            key = node << 21 | chars[at + k]
+            edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[edge] == key
+            at, node = at[hit], self.child[edge[hit]]
+            ids[k, at], scores[k, at] = self.node_id[node], self.node_score[node]
+            far[at[self.node_id[node] >= 0]] = k + 1
+            inside = room[at] > k + 1
+            at, node = at[inside], node[inside]
+        scores[0, ids[0] < 0] = self.unknown
+        return scores, ids, far
+
+    def _side_by_side(self, scores, start, length):
+        """Length of the last step of the best path to the boundary after each
+        character, for parts given by ``start`` and falling ``length``."""
+        width = self.longest + 1
+        window = np.full((width, len(start)), -np.inf)
+        window[0] = 0.0
+        step = np.ones(scores.shape[1], np.int16)
+        for p in range(1, int(length[0]) + 1 if len(length) else 0):
+            live = int(np.searchsorted(-length, -p, "right"))
+            first = start[:live]
+            top, pick = np.full(live, -np.inf), np.ones(live, np.int16)
+            for size in range(min(p, self.longest), 0, -1):
+                score = window[(p - size) % width, :live] + scores[size - 1, first + (p - size)]
+                better = score > top
+                np.copyto(top, score, where=better)
+                np.copyto(pick, size, where=better)
+            window[p % width, :live] = top
+            step[first + p - 1] = pick
+        return step
+
+    def _batch(self, stretches: list[str]) -> list[bytes]:
+        """Ids of independent stretches."""
+        chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum([len(s) for s in stretches])
+        place = np.arange(len(chars))
+        scores, ids, far = self._matches(chars, np.repeat(ends, np.diff(ends, prepend=0)) - place)
+        cuts = np.flatnonzero(np.maximum.accumulate(place + far) == place + 1) + 1
+        start, length = np.concatenate([[0], cuts[:-1]]), np.diff(cuts, prepend=0)
+        alone = np.unique(np.searchsorted(ends, start[length > SHORT], "right"))
+        order = np.argsort(-length, kind="stable")
+        order = order[np.count_nonzero(length > SHORT):]
+        start, length = start[order], length[order]
+        step = self._side_by_side(scores, start, length)
+        last = np.zeros(len(chars), bool)
+        at = start + length - 1
+        while len(at):
+            last[at] = True
+            at = at - step[at]
+            more = at >= start
+            at, start = at[more], start[more]
+        last = np.flatnonzero(last)
+        size = step[last]
+        found = ids[size - 1, last - size + 1]
+        bare = [self._ids(chr(c)) for c in chars[last[found < 0]]]
+        width = np.ones(len(last), np.int64)
+        width[found < 0] = [len(b) for b in bare]
+        flat = np.repeat(found, width)
+        flat[flat < 0] = [i for b in bare for i in b]
+        bounds = np.concatenate([[0], np.cumsum(width)])[np.searchsorted(last, ends)] * 4
+        raw = flat.astype(np.int32).tobytes()
+        out = [raw[a:b] for a, b in zip([0, *bounds[:-1].tolist()], bounds.tolist(), strict=True)]
+        for k in alone.tolist():
+            out[k] = self._stretch(stretches[k])
+        return out
+
+    def _search(self, keys: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(key, ids): a key is a stretch without its first word mark, the
+        other marks as spaces."""
+        part, room = [], BATCH
+        for key in keys:
+            if len(key) >= BATCH:
+                yield key, self._stretch(MARK + key.replace(" ", MARK))
+                continue
+            if len(key) >= room:
+                yield from zip(part, self._batch([MARK + k.replace(" ", MARK) for k in part]), strict=True)
+                part, room = [], BATCH
+            part.append(key)
+            room -= len(key) + 1
+        if part:
+            yield from zip(part, self._batch([MARK + k.replace(" ", MARK) for k in part]), strict=True)
+
+    def _keys(self, text: str) -> list[str]:
+        """Keys of the stretches of a text."""
+        if MARK in text:
+            text = text.replace(MARK, LITERAL_MARK)
         if not self.splits:
-            return np.frombuffer(self._stretch(marked), np.int32)
-        # each mark goes with what follows it; marks of a run stay together
-        return np.frombuffer(b"".join(self._words(marked[1:].split(MARK))), np.int32)
-
-    def _words(self, words: list[str]) -> Iterator[bytes]:
-        marks = 0
+            return [text]
+        words = text.split(" ")
+        if "" not in words:
+            return words
+        keys, marks = [], 0
         for word in words:
-            marks += 1
             if word:
-                yield self.cached(MARK * marks + word) if marks + len(word) <= 64 else \
-                    self._stretch(MARK * marks + word)
+                keys.append(" " * marks + word)
                 marks = 0
-        if marks:
-            yield self._stretch(MARK * marks)
+            else:
+                marks += 1
+        return [*keys, " " * (marks - 1)] if marks else keys
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        split = [self._keys(text) if text else [] for text in texts]
+        known, new = {}, []
+        for key in set().union(*split):
+            ids = self.recent.get(key) or self.older.get(key)
+            if ids:
+                known[key] = ids
+            else:
+                new.append(key)
+        known.update(self._search(new))
+        if len(self.recent) + len(known) > CACHE:
+            self.older, self.recent = self.recent, {}
+        for key, ids in known.items():
+            if len(self.recent) >= CACHE:
+                break
+            if len(key) <= SHORT:
+                self.recent[key] = ids
+        return [np.frombuffer(b"".join(map(known.__getitem__, keys)), np.int32) for keys in split]
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of one text."""
+        return self.encode_many([text])[0]
 
     # -- decoding ---------------------------------------------------------------
 
@@ -206,7 +337,7 @@ IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
 
 
 def _encoded(texts: list[str], path: str) -> pa.Array:
-    parts = [model(path).encode(t) for t in texts]
+    parts = model(path).encode_many(texts)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
