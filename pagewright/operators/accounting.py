@@ -4,24 +4,21 @@ Costs are computed as (summed integer tokens) x (rate) so totals never
 depend on floating-point summation order. The budget operators work on the
 narrow ``(site, order..., tokens, ok)`` table only.
 
-Budget cut without a whole-site sort: with every row costing at least one
-token, at most ``ceil(0.98 * max) + 1`` positive rows of a site can lie
-before the stop point, so a per-site top-K (``row_number() <= K``, which
-Spark plans as a partial WindowGroupLimit before the shuffle) bounds the
-rows any task sees; the running sum runs over those rows only and yields
-the per-site stop key, which is then joined back on ``site``.
+Budget cut without a whole-site sort: the running total of the positive rows
+is taken over range partitions of (site, order), so a large site spreads over
+many tasks, and the first row that reaches the stop threshold is the per-site
+stop key, which is joined back on ``site``.
 """
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright import fixed
 from pagewright.operators.dedup import order_struct
+from pagewright.operators.order import running_total
 from pagewright.session import maybe_broadcast, ship_package
 
 SEED_BROADCAST_ROWS = 1_000_000
@@ -36,19 +33,19 @@ def rates_frame(spark: SparkSession, rates=None) -> DataFrame:
 def price_usage(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """E2 + F2: per call cost. Unknown models add nothing (inner join with
     the broadcast price table); see ``unmatched_usage`` for the report."""
-    return (usage.join(F.broadcast(rates), "model")
+    return (usage.join(rates, "model")
             .withColumn("input_cost", F.col("prompt_tokens") * F.col("input_rate"))
             .withColumn("output_cost", F.col("completion_tokens") * F.col("output_rate"))
             .withColumn("total_cost", F.col("input_cost") + F.col("output_cost")))
 
 
 def unmatched_usage(usage: DataFrame, rates: DataFrame) -> DataFrame:
-    return usage.join(F.broadcast(rates.select("model")), "model", "left_anti")
+    return usage.join(rates.select("model"), "model", "left_anti")
 
 
 def usage_summary(usage: DataFrame, rates: DataFrame, by=("site",)) -> DataFrame:
     """input, output, total tokens and cost per group (known models)."""
-    priced = usage.join(F.broadcast(rates), "model")
+    priced = usage.join(rates, "model")
     per_model = (priced.groupBy(*by, "model", "input_rate", "output_rate")
                  .agg(F.sum("prompt_tokens").alias("input_tokens"),
                       F.sum("completion_tokens").alias("output_tokens")))
@@ -63,20 +60,10 @@ def usage_summary(usage: DataFrame, rates: DataFrame, by=("site",)) -> DataFrame
 def _stop_keys(ranked: DataFrame, order: list[tuple[str, bool]], limits: DataFrame,
                stop_fraction: float) -> DataFrame:
     """Per site: order key of the first positive row at which the running
-    total reaches the stop threshold (absent when never reached)."""
-    max_budget = limits.agg(F.max("max_tokens")).first()[0] or 0
-    k = int(math.ceil(stop_fraction * max_budget)) + 1
-    # let the optimizer plan row_number() <= k as a partial per-site limit
-    # before the shuffle (it only does so below this threshold)
-    spark = ranked.sparkSession
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(key, "1000")) < k:
-        spark.conf.set(key, str(k))
-    w = Window.partitionBy("site").orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order])
-    pos = (ranked.where(F.col("tokens") > 0)
-           .withColumn("_rn", F.row_number().over(w))
-           .where(F.col("_rn") <= k)
-           .withColumn("_cum", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    total reaches the stop threshold (absent when never reached). Only the
+    site, the order and the tokens are shuffled."""
+    narrow = ranked.where(F.col("tokens") > 0).select("site", *dict.fromkeys(c for c, _ in order), "tokens")
+    pos = (running_total(narrow, ["site"], order, "tokens", "_cum")
            .join(limits, "site")
            .where(F.col("_cum") >= F.col("max_tokens") * stop_fraction))
     return (pos.groupBy("site").agg(F.min(order_struct(order)).alias("_stop")))
@@ -87,10 +74,12 @@ def budget_cut(ranked: DataFrame, seeds: DataFrame, order: list[tuple[str, bool]
     """G1, batch-of-one form: a row is kept while the tokens used before it
     are below ``stop_fraction * max_tokens`` of its site. ``ranked`` holds
     ``site``, the order columns and ``tokens``; ``seeds`` holds
-    ``(site, max_tokens)``."""
+    ``(site, max_tokens)``; a site without a seed has no budget and no row
+    of it is kept."""
     limits = maybe_broadcast(seeds.select("site", "max_tokens"), SEED_BROADCAST_ROWS)
     stops = maybe_broadcast(_stop_keys(ranked, order, limits, stop_fraction), SEED_BROADCAST_ROWS)
-    return (ranked.join(stops, "site", "left")
+    return (ranked.join(limits.select("site"), "site", "left_semi")
+            .join(stops, "site", "left")
             .where(F.col("_stop").isNull() | (order_struct(order) <= F.col("_stop")))
             .drop("_stop"))
 
@@ -98,11 +87,10 @@ def budget_cut(ranked: DataFrame, seeds: DataFrame, order: list[tuple[str, bool]
 def running_usage(kept: DataFrame, seeds: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
     """G3 over the rows kept by the budget: tokens used before each row,
     remaining capacity ``1 - used/max`` and the warning flag
-    (remaining <= 0.85). The window only sees rows inside the budget."""
-    w = Window.partitionBy("site").orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order])
+    (remaining <= 0.85)."""
     limits = maybe_broadcast(seeds.select("site", "max_tokens"), SEED_BROADCAST_ROWS)
-    return (kept.withColumn("used_before", F.coalesce(F.sum("tokens").over(
-                w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (running_total(kept, ["site"], order, "tokens", "_cum")
+            .withColumn("used_before", F.col("_cum") - F.col("tokens")).drop("_cum")
             .join(limits, "site")
             .withColumn("remaining", 1 - F.col("used_before") / F.col("max_tokens"))
             .withColumn("warning", F.col("remaining") <= fixed.WARNING_REMAINING)

@@ -11,6 +11,8 @@ two-pass form below gives the same numbers:
    partition index;
 3. rank = offset of the slice + local row number.
 
+A running total of any value goes the same way; a rank is that of ones.
+
 The slice assignment depends on sampled range bounds, so the numbered slices
 are checkpointed before the offsets are joined back.
 """
@@ -20,27 +22,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.session import checkpoint, maybe_broadcast
+from pagewright.session import checkpoint
 
 
 def _sort_cols(order: list[tuple[str, bool]]):
     return [F.col(c).asc() if a else F.col(c).desc() for c, a in order]
 
 
-def rank_within(df: DataFrame, part: list[str], order: list[tuple[str, bool]], out: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
-    """``df`` with ``out`` = row_number over (``part``, ``order``); the order
-    must be total inside a group."""
+def running_total(df: DataFrame, part: list[str], order: list[tuple[str, bool]], value: str, out: str,
+                  num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``out`` = sum of ``value`` up to and with each row in
+    ``order`` inside ``part``; the order must be total inside a group."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) for c in part] + _sort_cols(order)
     sliced = (df.repartitionByRange(n, *cols)
               .withColumn("_pid", F.spark_partition_id()))
-    local = checkpoint(sliced.withColumn(
-        "_lr", F.row_number().over(Window.partitionBy("_pid", *part).orderBy(*_sort_cols(order)))))
-    counts = local.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_c"))
+    so_far = Window.partitionBy("_pid", *part).orderBy(*_sort_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = checkpoint(sliced.withColumn("_lt", F.sum(value).over(so_far)))
+    sums = local.groupBy("_pid", *part).agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *part, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return (local.join(maybe_broadcast(offsets), ["_pid", *part])
-            .withColumn(out, (F.col("_off") + F.col("_lr")).cast("int"))
-            .drop("_pid", "_lr", "_off"))
+    offsets = sums.select("_pid", *[F.col(c).alias(f"_k{k}") for k, c in enumerate(part)],
+                          F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    same = F.col("_pid") == F.col("_kp")
+    for k, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    return (local.join(offsets.withColumnRenamed("_pid", "_kp"), same, "left")
+            .withColumn(out, F.col("_off") + F.col("_lt"))
+            .drop("_pid", "_lt", "_off", "_kp", *[f"_k{k}" for k in range(len(part))]))
+
+
+def rank_within(df: DataFrame, part: list[str], order: list[tuple[str, bool]], out: str = "rank",
+                num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``out`` = row_number over (``part``, ``order``); the order
+    must be total inside a group."""
+    return running_total(df.withColumn("_one", F.lit(1)), part, order, "_one", out,
+                         num_partitions).drop("_one")

@@ -1,10 +1,13 @@
 """Structured Streaming forms of the incremental steps.
 
 Every stream reads a file source, runs with ``trigger(availableNow=True)``
-and writes to a sink folder under the session's checkpoint root (with its
-own streaming checkpoint), so a restarted query resumes where it stopped.
-The batch operators are reused inside ``foreachBatch`` where a step needs
-joins or aggregations that are not incremental by nature."""
+and writes under ``root`` (its sink and its streaming checkpoint). A caller
+that names the same ``root`` again resumes where the query stopped; without
+one, a new folder under the session's checkpoint root is taken. Inside
+``foreachBatch`` every table is written as one partition per batch id and that
+partition is overwritten, so a batch that runs again neither loses nor repeats
+rows. The batch operators are reused there where a step needs joins or
+aggregations that are not incremental by nature."""
 
 from __future__ import annotations
 
@@ -27,40 +30,48 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp)
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    root = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+def _paths(spark: SparkSession, name: str, root: str | None) -> tuple[str, str]:
+    root = root or os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
     return os.path.join(root, "out"), os.path.join(root, "chk")
 
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A streaming read of ``{sf_dir}/{table}.parquet`` (schema from the file)."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """A streaming read of ``{sf_dir}/{table}.parquet``, one file or a folder
+    of part files (schema from the files)."""
+    path = f"{sf_dir}/{table}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jp.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jp).isDirectory():
+        return r.parquet(path)
+    # a stream's path is a folder or a glob
+    return r.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
 
+def batch_part(path: str, batch_id: int) -> str:
+    return f"{path}/batch_id={batch_id}"
 
-def run_foreach(stream: DataFrame, name: str, fn, mode: str = "append") -> DataFrame:
-    """Run ``fn(batch_df) -> DataFrame`` on every micro-batch, appending
-    (or overwriting, for complete aggregates) a parquet sink; return the
-    sink read back as a batch DataFrame."""
+
+def run_foreach(stream: DataFrame, name: str, fn, mode: str = "append", root: str | None = None) -> DataFrame:
+    """Run ``fn(batch_df) -> DataFrame`` on every micro-batch; return the sink
+    read back as a batch DataFrame with its ``batch_id``."""
     spark = stream.sparkSession
-    out, chk = _paths(spark, name)
+    out, chk = _paths(spark, name, root)
 
     def sink(batch: DataFrame, batch_id: int):
-        fn(batch).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        fn(batch).write.mode("overwrite").parquet(batch_part(out, batch_id))
 
-    q = (stream.writeStream.foreachBatch(sink).outputMode(mode if mode != "complete" else "complete")
+    q = (stream.writeStream.foreachBatch(sink).outputMode(mode)
          .option("checkpointLocation", chk).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+def run_append(stream: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Append-mode parquet file sink (exactly-once), read back."""
     spark = stream.sparkSession
-    out, chk = _paths(spark, name)
+    out, chk = _paths(spark, name, root)
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -69,7 +80,7 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
 
 # S1 ------------------------------------------------------------------------
 
-def stream_extract(pages_stream: DataFrame, profile: DataFrame) -> DataFrame:
+def stream_extract(pages_stream: DataFrame, profile: DataFrame, root: str | None = None) -> DataFrame:
     """Streaming extraction + gates (stateless per page)."""
     from pagewright.functions.urls import site_of
     from pagewright.operators.extract import extract_pages
@@ -79,16 +90,23 @@ def stream_extract(pages_stream: DataFrame, profile: DataFrame) -> DataFrame:
         b = batch.withColumn("site", site_of("url"))
         return gate_pages(extract_pages(b), profile).select("site", "page_id", "title", "reason")
 
-    return run_foreach(pages_stream, "extract", step)
+    return run_foreach(pages_stream, "extract", step, root=root).drop("batch_id")
 
 
 # S2 ------------------------------------------------------------------------
 
-def stream_dedup(stream: DataFrame, scope: list[str], key) -> DataFrame:
-    """Streaming exact de-duplication on (scope, key): state holds one entry
-    per key seen; the first arrival wins."""
-    s = stream.withColumn("_key", key).dropDuplicates([*scope, "_key"])
-    return run_append(s, "dedup")
+def stream_dedup(stream: DataFrame, scope: list[str], key, watermark: tuple[str, str] | None = None,
+                 root: str | None = None) -> DataFrame:
+    """Streaming exact de-duplication on (scope, key), for a title, content or
+    code key: the first arrival wins. With ``watermark`` (event time column,
+    delay) a key is forgotten once the watermark has passed it by the delay;
+    without one the state keeps every key."""
+    s = stream.withColumn("_key", key)
+    if watermark:
+        s = s.withWatermark(*watermark).dropDuplicatesWithinWatermark([*scope, "_key"])
+    else:
+        s = s.dropDuplicates([*scope, "_key"])
+    return run_append(s, "dedup", root)
 
 
 # S3 ------------------------------------------------------------------------
@@ -96,43 +114,48 @@ def stream_dedup(stream: DataFrame, scope: list[str], key) -> DataFrame:
 def _budget_state(limit_fraction: float):
     def fn(key, pdfs, state):
         used = state.get[0] if state.exists else 0
-        for pdf in pdfs:
-            pdf = pdf.sort_values("rank", kind="stable")
-            before, kept = [], []
-            for t in pdf["tokens"].tolist():
-                before.append(used)
-                ok = used < pdf["max_tokens"].iloc[0] * limit_fraction
-                kept.append(ok)
-                used += int(t)
-            yield pd.DataFrame({"site": pdf["site"].values, "rank": pdf["rank"].values,
-                                "tokens": pdf["tokens"].values, "used_before": before, "kept": kept})
+        # a site's rows of a micro-batch come in several Arrow batches
+        pdf = pd.concat(list(pdfs)).sort_values("rank", kind="stable")
+        tokens = pdf["tokens"].astype("int64")
+        before = used + tokens.cumsum() - tokens
+        used += int(tokens.sum())
+        yield pd.DataFrame({"site": pdf["site"].values, "rank": pdf["rank"].values, "tokens": tokens.values,
+                            "used_before": before.values,
+                            "kept": (before < pdf["max_tokens"].iloc[0] * limit_fraction).values})
         state.update((used,))
     return fn
 
 
-def stream_budget(ranked_stream: DataFrame, fraction: float = fixed.STOP_FRACTION) -> DataFrame:
+def stream_budget(ranked_stream: DataFrame, fraction: float = fixed.STOP_FRACTION,
+                  root: str | None = None) -> DataFrame:
     """Streaming running budget per site with ``applyInPandasWithState``:
-    the state is the tokens used so far; rows arrive in rank order within a
-    micro-batch and micro-batches arrive in order."""
+    the state is the tokens used so far. A site's rows of one micro-batch are
+    taken in rank order; a rank that comes in a later micro-batch counts after
+    all rows of earlier ones."""
     ship_package(ranked_stream.sparkSession)
     out = ranked_stream.groupBy("site").applyInPandasWithState(
         _budget_state(fraction),
         "site string, rank bigint, tokens bigint, used_before bigint, kept boolean",
         "used bigint", "append", GroupStateTimeout.NoTimeout)
-    return run_append(out, "budget")
+    return run_append(out, "budget", root)
 
 
 # S4 ------------------------------------------------------------------------
 
 def stream_usage_window(events_stream: DataFrame, window: str = "1 hour",
-                        watermark: str = "1 day") -> DataFrame:
-    """Tumbling-window rollup of events with a watermark (late rows beyond
-    it are dropped); the complete result is rewritten per micro-batch."""
+                        watermark: str = "1 day", root: str | None = None) -> DataFrame:
+    """Tumbling-window rollup of events in update mode: each micro-batch
+    writes the windows it changed, and the latest batch that wrote a window
+    holds its totals. Windows the watermark has passed leave the state, and
+    rows that come later than that are dropped."""
     ev = events_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     agg = (ev.groupBy(F.window("ts", window).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value")))
-    return run_foreach(agg, "usage_window", lambda b: b.select(
-        F.col("w.start").alias("window_start"), "event_type", "n", "total_value"), mode="complete")
+    changed = run_foreach(agg, "usage_window", lambda b: b.select(
+        F.col("w.start").alias("window_start"), "event_type", "n", "total_value"), mode="update", root=root)
+    last = F.max_by(F.struct("n", "total_value"), "batch_id").alias("last")
+    return (changed.groupBy("window_start", "event_type").agg(last)
+            .select("window_start", "event_type", "last.n", "last.total_value"))
 
 
 # S5 ------------------------------------------------------------------------
@@ -141,7 +164,8 @@ INDEX_BUCKETS = 256
 
 
 def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text: str,
-                    order: list[tuple[str, bool]], reference: DataFrame | None = None) -> DataFrame:
+                    order: list[tuple[str, bool]], reference: DataFrame | None = None,
+                    root: str | None = None) -> DataFrame:
     """Streaming near-duplicate removal against the kept corpus.
 
     The token order is frozen when the stream starts (document frequency in
@@ -155,18 +179,19 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
          or an exact key already kept, drops the document;
       3. the rest are resolved first-wins among themselves, the corpus hits
          pre-decided as dropped;
-      4. kept documents are appended to the output, their word sets and
-         prefix entries to the corpus tables."""
+      4. kept documents go to the output, their word sets and prefix entries
+         to the corpus tables, each into the partition of its batch id; a
+         batch that runs again overwrites it and reads earlier batches only."""
     from pagewright.functions import text as T
     from pagewright.operators import dedup as DD
     from pagewright.session import checkpoint
 
     spark = docs_stream.sparkSession
-    out, chk = _paths(spark, "near_dup")
+    out, chk = _paths(spark, "near_dup", root)
     root = os.path.dirname(out)
     words_path, index_path = os.path.join(root, "corpus_words"), os.path.join(root, "corpus_index")
     order_path = os.path.join(root, "token_order")
-    if reference is not None:
+    if reference is not None and not path_exists(spark, f"{order_path}/_SUCCESS"):     # frozen: a restart keeps it
         (reference.select(*scope, F.explode(T.word_set(F.col(text))).alias("t"))
          .groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f"))
          .write.mode("overwrite").parquet(order_path))
@@ -180,6 +205,17 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
             StructField("t", StringType()), StructField("f", LongType())]
         return spark.createDataFrame([], StructType(fields))
 
+    def bucketed(base):
+        return DD.prefix_entries(base, scope, token_order()).withColumn(
+            "tb", F.pmod(F.xxhash64("t"), F.lit(INDEX_BUCKETS)))
+
+    def earlier(path, written, batch_id):
+        schema = written.withColumn("batch_id", F.lit(0).cast("long")).schema
+        return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
+
+    def with_key(base, rows):
+        return base.join(rows.select(F.col(id_col).alias("id"), "_ck"), "id")
+
     def sink(batch: DataFrame, batch_id: int):
         prep = checkpoint(batch.select(*scope, id_col, *extra,
                                        T.key_hash(T.content_key(F.col(text))).alias("_ck"),
@@ -189,11 +225,10 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
         reps = checkpoint(prep.join(firsts, id_col, "left_semi"))
         base = DD.word_base(reps, scope, id_col, "_words", order)
         decided = None
-        if path_exists(spark, words_path):
-            corpus = spark.read.parquet(words_path)
-            index = spark.read.parquet(index_path)
-            probe = DD.prefix_entries(base, scope, token_order()).withColumn(
-                "tb", F.pmod(F.xxhash64("t"), F.lit(INDEX_BUCKETS)))
+        if path_exists(spark, words_path) and path_exists(spark, index_path):
+            corpus = earlier(words_path, with_key(base, reps), batch_id)
+            probe = bucketed(base)
+            index = earlier(index_path, probe, batch_id)
             cand = (probe.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t", "tb",
                                  F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
                     .join(index.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", "tb", "band"),
@@ -213,14 +248,12 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
         kept = checkpoint(reps.join(verdict.where(~F.col("kept")).select(F.col("id").alias(id_col)),
                                     id_col, "left_anti"))
         kb = DD.word_base(kept, scope, id_col, "_words", order)
-        (kb.join(kept.select(F.col(id_col).alias("id"), "_ck"), "id")
-         .write.mode("append").parquet(words_path))
-        (DD.prefix_entries(kb, scope, token_order())
-         .withColumn("tb", F.pmod(F.xxhash64("t"), F.lit(INDEX_BUCKETS)))
-         .write.mode("append").partitionBy("tb").parquet(index_path))
-        batch.join(kept.select(id_col), id_col, "left_semi").write.mode("append").parquet(out)
+        with_key(kb, kept).write.mode("overwrite").parquet(batch_part(words_path, batch_id))
+        bucketed(kb).write.mode("overwrite").partitionBy("tb").parquet(batch_part(index_path, batch_id))
+        (batch.join(kept.select(id_col), id_col, "left_semi")
+         .write.mode("overwrite").parquet(batch_part(out, batch_id)))
 
     q = (docs_stream.writeStream.foreachBatch(sink).option("checkpointLocation", chk)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")

@@ -73,3 +73,20 @@ def test_rank_within_equals_row_number_on_a_hot_group(spark):
     got = rank_within(df, ["site"], [("score", False), ("id", True)], num_partitions=8)
     assert got.select("site", "id", "rank").exceptAll(want.select("site", "id", "rank")).count() == 0
     assert got.count() == 5000
+
+
+def test_budget_of_a_large_site_keeps_the_session_and_rejects_sites_without_a_seed(spark):
+    from pagewright.operators.accounting import budget_cut, running_usage
+    rows = [("big", r, 0 if r % 3 else 5) for r in range(3000)] + [("none", 1, 1)]
+    ranked = spark.createDataFrame(rows, "site string, rank bigint, tokens bigint")
+    seeds = spark.createDataFrame([("big", 4000)], "site string, max_tokens bigint")
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key, None)
+    cut = budget_cut(ranked, seeds, [("rank", True)])
+    used, want = 0, []
+    for _, r, t in rows[:-1]:
+        if used < 4000 * 0.98:
+            want.append((r, used))
+        used += t
+    got = sorted((x["rank"], x.used_before) for x in running_usage(cut, seeds, [("rank", True)]).collect())
+    assert got == want and spark.conf.get(key, None) == before

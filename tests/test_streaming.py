@@ -2,6 +2,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import dedup as DD
@@ -46,3 +47,70 @@ def test_stream_budget_equals_batch(spark):
     seeds = rb.select("site").distinct().withColumn("max_tokens", F.lit(20000))
     want = {(r.site, r.rank) for r in budget_cut(rb, seeds, [("rank", True)]).collect()}
     assert got == want
+
+
+def folder_table(spark, df, name, parts, key):
+    """``df`` as a folder of part files with rising times, in ``key`` order."""
+    d = tempfile.mkdtemp(prefix="pw-folder-")
+    rows = df.orderBy(key).collect()
+    k = -(-len(rows) // parts)
+    os.mkdir(os.path.join(d, f"{name}.parquet"))
+    for i in range(parts):
+        spark.createDataFrame(rows[i * k:(i + 1) * k], df.schema).coalesce(1).write.parquet(os.path.join(d, f"b{i}"))
+        part = next(f for f in os.listdir(os.path.join(d, f"b{i}")) if f.endswith(".parquet"))
+        to = os.path.join(d, f"{name}.parquet", f"part-{i}.parquet")
+        os.link(os.path.join(d, f"b{i}", part), to)
+        os.utime(to, (1_000_000 + i, 1_000_000 + i))
+    return d
+
+
+def test_near_dup_batch_that_fails_and_runs_again_over_a_folder(spark, monkeypatch):
+    docs = C.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    d = folder_table(spark, docs, "documents", 2, "doc_id")
+    root = tempfile.mkdtemp(prefix="pw-root-")
+    real, calls = ST.batch_part, []
+
+    def fails_once(path, batch_id):
+        calls.append(path)
+        if path.endswith("/out") and batch_id == 1 and sum(p.endswith("/out") for p in calls) == 2:
+            raise RuntimeError("lost storage")
+        return real(path, batch_id)
+
+    monkeypatch.setattr(ST, "batch_part", fails_once)
+
+    def run():
+        s = ST.file_stream(spark, d, "documents", max_files=1)
+        return ST.stream_near_dup(s, [], "doc_id", "text", [("doc_id", True)], reference=docs, root=root)
+
+    with pytest.raises(Exception, match="lost storage"):
+        run()
+    got = sorted(r.doc_id for r in run().select("doc_id").collect())
+    b = DD.fuzzy_dedup(docs, [], "doc_id", "text", [("doc_id", True)])
+    assert got == sorted(r.doc_id for r in b.where(~F.col("dup_exact") & ~F.col("dup_fuzzy")).collect())
+
+
+def test_stream_budget_sorts_a_site_over_small_arrow_batches(spark):
+    rows = [("s", r, r % 7, 300) for r in range(200)]
+    df = spark.createDataFrame(rows, "site string, rank bigint, tokens bigint, max_tokens int")
+    d = tempfile.mkdtemp(prefix="pw-desc-")
+    df.orderBy(F.col("rank").desc()).coalesce(1).write.parquet(os.path.join(d, "ranked.parquet"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        got = {r["rank"]: r.used_before for r in ST.stream_budget(ST.file_stream(spark, d, "ranked")).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert got == {r: sum(x % 7 for x in range(r)) for r in range(200)}
+
+
+def test_usage_window_over_batches_drops_late_rows(spark):
+    rows = [(1, "2024-01-01 00:10:00", 1.0), (2, "2024-01-01 00:20:00", 2.0), (3, "2024-01-05 00:00:00", 4.0),
+            (4, "2024-01-05 00:30:00", 8.0), (5, "2024-01-05 00:45:00", 64.0), (6, "2024-01-05 00:50:00", 128.0),
+            (7, "2024-01-01 00:30:00", 16.0), (8, "2024-01-05 00:40:00", 32.0)]
+    # a batch filters by the watermark that the batch before it ran with
+    df = spark.createDataFrame(rows, "id int, ts string, value double").withColumn("event_type", F.lit("x"))
+    d = folder_table(spark, df, "events", 4, "id")
+    out = ST.stream_usage_window(ST.file_stream(spark, d, "events", max_files=1))
+    assert sorted((str(r.window_start), r.n, r.total_value) for r in out.collect()) == [
+        ("2024-01-01 00:00:00", 2, 3.0), ("2024-01-05 00:00:00", 5, 236.0)]
