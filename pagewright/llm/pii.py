@@ -120,11 +120,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = scratch_table(rows.where(F.size("_base") > 0), "pii-found")
     hidden = (disclosing_terms(found, docs).groupBy(F.col("doc_id").alias("_id"))
               .agg(F.sort_array(F.collect_set("term")).alias("_terms")))     # words near a document's entities
+    # terms are found without case in the text itself: lower() may change its length
     marked = found.join(hidden, found["doc_id"].eqNullSafe(hidden["_id"]), "left")
     word = F.explode_outer(F.coalesce("_terms", F.array().cast("array<string>")))
     at = (marked.select("doc_id", "text", word.alias("t")).where("t is not null")
-          .withColumn("p", F.expr("regexp_extract_all(lower(text), concat('(?<!\\\\p{L})', t, '(?!\\\\p{L})'), 0)"))
-          .withColumn("q", F.expr("split(lower(text), concat('(?<!\\\\p{L})', t, '(?!\\\\p{L})'), -1)"))
+          .withColumn("p", F.expr("regexp_extract_all(text, concat('(?iu)(?<!\\\\p{L})', t, '(?!\\\\p{L})'), 0)"))
+          .withColumn("q", F.expr("split(text, concat('(?iu)(?<!\\\\p{L})', t, '(?!\\\\p{L})'), -1)"))
           .select("doc_id", F.xxhash64("text").alias("h"), "t", F.posexplode(F.expr("slice(q, 1, size(p))")).alias("i", "piece"),
                   "q"))
     at = (at.withColumn("start", F.expr("cast(aggregate(slice(q, 1, i + 1), 0L, (a, x) -> a + length(x)) + i * length(t) as int)"))

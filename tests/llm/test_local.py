@@ -120,3 +120,14 @@ def test_pieces_match_a_full_lattice_and_round_trip(model):
 def test_long_stretches_are_linear(model):
     for t in ("abc" * 20_000, " " * 20_000):
         assert model.decode(model.encode(t).tolist()) == t
+
+
+def test_pieces_side_by_side_match_the_stream(model):
+    """Many texts at once give what each one's stream gives, whatever is remembered."""
+    parts = ["ab", "the", "ing", " ", "    ", "\n", "é", "日本", "▁", "𝔘", "--", "x" * 90, "0", "===="]
+    texts = random_texts(parts, 400, 40, seed=9) + ["", " ", "a ", " a", "ab" * 40_000]
+    for _ in range(2):
+        for t, ids in zip(texts, model.encode_many(texts), strict=True):
+            marked = pieces.MARK + t.replace(pieces.MARK, pieces.LITERAL_MARK).replace(" ", pieces.MARK)
+            want = [i for _, part in model.stream(marked) for i in part] if t else []
+            assert ids.tolist() == want

@@ -101,3 +101,50 @@ def test_groups_over_many_blocks_lose_no_link(llm, monkeypatch):
                 first[a] = i
                 todo += near[sets.index(a)]
     assert got == {i: (first[s], len(near[i])) for i, s in enumerate(sets)}
+
+
+def brute_base(t):
+    """Base spans of the contract, kind by kind, with Python's expressions."""
+    import re
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+             "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, pattern in kinds.items():
+        for m in re.finditer(pattern, t or ""):
+            n = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card":
+                total = sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(n)))
+                if not 16 <= len(n) <= 19 or total % 10:
+                    continue
+            if kind == "phone" and not 8 <= len(n) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_match_brute_force(llm):
+    rng = random.Random(11)
+    parts = ["a.b@c.de", "@", "x@y", ".", "1", "256", "10.0.0.255", "4111 1111 1111 1111", "+49 (30) 1234-567",
+             " ", "-", "+", "\n", "𝔘", "é", "mail", "%", "1.2.3.4.5", "4111-1111-1111-1111-111", "İ"]
+    values = [None, "", *["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(600)]]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind != "term"]
+           for r in pii.find_pii(docs(llm, values)).collect()}
+    assert got == {i: brute_base(t) for i, t in enumerate(values)}
+
+
+def test_disclosing_terms_are_found_where_lower_case_changes_the_length(llm):
+    """A word that stands only beside one address, in several contexts, tells it."""
+    values = [f"İİ note{i} the Zorblax address a.b@c.de word{i} and zorblax" for i in range(4)]
+    values += [f"the plain text number {i} has nothing" for i in range(60)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(docs(llm, values)).collect()}
+    for i in range(4):
+        t = values[i]
+        terms = {t[a:b].lower() for k, a, b in got[i] if k == "term"}
+        assert "zorblax" in terms and "the" not in terms
+        assert [t[a:b] for k, a, b in got[i] if k == "term" and t[a:b].lower() == "zorblax"] == ["Zorblax", "zorblax"]
+    assert not any(got[i] for i in range(4, 64))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(llm, values)).collect()}
+    assert "orblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == values[10]
