@@ -1,28 +1,37 @@
 """PII by information-theoretic sanitisation, in DataFrame operations only.
 
 Base spans (email, ip, card, phone) are found with linear expressions. The
-protected entities are their values. Words within ``NEAR`` words of an entity
-are candidate terms if ``SUPPORT`` different contexts of that entity hold
-them; pointwise mutual information over documents tells how much of the
-entity's information a term gives away. Terms that give away ``DISCLOSURE``
-of it or more are reported as ``term`` spans of the entity's documents and
-removed; base spans are generalised to their kind.
-
-Defined cases: a null or empty text has no spans; repeated rows each give a
-row; rows that repeat an id share their term spans only where the text has
-the term; a null id is an id like any other; overlapping spans are merged
-before replacement; an empty table gives an empty result; columns other than
-doc_id and text are not read. Offsets are code points, end exclusive."""
+protected entities are their values. Every word of a document outside its
+base spans is a candidate term of the document's entities; for scripts
+without spaces every two neighbouring characters are one. Over the whole texts
+of all documents are counted: the documents of a term, of an entity and of
+both. The share of a term's documents that hold the entity is estimated as
+``(both + PRIOR * rate) / (term_docs + PRIOR)`` with the entity's own rate
+among all documents, so one shared document is evidence, though less than
+many. The pointwise mutual information of that share tells how much of the
+entity's information the term gives away. Terms that give away ``DISCLOSURE``
+of it or more are reported as ``term`` spans in every document of the entity
+and removed; base spans are generalised to their kind.
+
+Defined cases: a null or empty text has no spans; every row is a document, so
+repeated rows and rows that repeat an id each count and each give a row; a
+null id is an id like any other; overlapping spans are merged before
+replacement; an empty table gives an empty result; columns other than doc_id
+and text are not read. Offsets are code points, end exclusive."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import scratch_table
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR, SUPPORT, DISCLOSURE = 4, 3, 0.8
+DISCLOSURE, PRIOR = 0.8, 1.0
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_LETTERS = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_UNSPACED}]]++"
+#: A run of an unspaced script, or letters, marks and digits with inner hyphens and apostrophes.
+WORD = rf"[{_UNSPACED}]++|{_LETTERS}(?:['\u2019-]{_LETTERS})*+"
 
 #: Possessive, anchored forms of the base expressions: same matches, linear.
 PATTERNS = {
@@ -86,58 +95,88 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_base", F.concat(*[spans_of(text, k) for k in KINDS]))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, term) pairs to hide. ``found``: doc_id, text, _base of the
-    documents with entities."""
-    entity = found.select("doc_id", "text", F.explode("_base").alias("s"))
-    before = F.slice(F.reverse(F.split(F.substring("text", 1, 1 << 30).substr(F.greatest(F.col("s.start") - 119, F.lit(1)),
-                                       F.least(F.col("s.start"), F.lit(120))), r"[\x20\x09-\x0D]+")), 1, NEAR + 1)
-    after = F.slice(F.split(F.col("text").substr(F.col("s.end") + 1, F.lit(120)), r"[\x20\x09-\x0D]+"), 1, NEAR + 1)
-    context = (entity.select("doc_id", F.concat_ws(":", "s.kind", F.lower("s.m")).alias("entity"),
-                             F.concat(before, after).alias("words")))
-    near = (context.select("doc_id", "entity", F.xxhash64("words").alias("context"), F.explode("words").alias("w"))
-            .select("doc_id", "entity", "context", F.lower(F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "")).alias("term"))
-            .where(r"term rlike '^\\p{L}{4,}$'"))
-    pair = (near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"),
-                                               F.countDistinct("doc_id").alias("both")).where(f"contexts >= {SUPPORT}"))
-    pair = scratch_table(pair, "pii-terms")
-    terms = pair.select("term").distinct()
-    seen = (docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-            .join(terms, "term").groupBy("term").agg(F.countDistinct("doc_id").alias("term_docs")))
-    known = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    shown = (pair.join(seen, "term").join(known, "entity").join(F.broadcast(total))      # one row
-             .withColumn("pmi", F.log2(F.col("both") * F.col("total") / (F.col("term_docs") * F.col("entity_docs"))))
-             .withColumn("information", F.log2(F.col("total") / F.col("entity_docs")))
-             .where(f"information > 0 and pmi >= {DISCLOSURE} * information").select("entity", "term"))
-    return near.select("doc_id", "entity", "term").join(shown, ["entity", "term"]).select("doc_id", "term").distinct()
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of its spans: offsets stay."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        gap = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+    return F.aggregate(order, start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+
+
+def units(word: Column) -> Column:
+    """The terms of one word, each a code point after the one before."""
+    return F.when(word.rlike(f"^[{_UNSPACED}]{{2}}"), F.regexp_extract_all(word, F.lit("(?s)(?=(..))."), F.lit(1))
+                  ).otherwise(F.array(word))
+
+
+def terms(text: Column) -> Column:
+    """The distinct terms of a text, without case."""
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    found = F.when(text.rlike(f"[{_UNSPACED}]"), F.flatten(F.transform(found, units))).otherwise(found)
+    return F.array_distinct(F.transform(found, F.lower))
+
+
+def disclosing_terms(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(_row, term) pairs to hide. ``found``: _row, _base, _masked of the
+    documents with entities; ``rows``: text, _base of all documents."""
+    entity = found.select("_row", F.explode(F.array_distinct(F.transform(
+        "_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["m"]))))).alias("entity"))
+    known = scratch_table(entity.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs")), "pii-entities")
+    total, most = rows.count(), known.agg(F.max("entity_docs")).first()[0] or 0
+    texts = (rows.where(F.size("_base") == 0).select(F.coalesce("text", F.lit("")).alias("t"))
+             .union(found.select(F.col("_masked").alias("t"))))
+    # a term of more documents gives no entity away: the share is at most entity_docs * (1 + PRIOR / total) / (term_docs + PRIOR)
+    bound = most ** DISCLOSURE * total ** (1 - DISCLOSURE) * (1 + PRIOR / max(total, 1)) * (1 + 1e-9)
+    seen = (texts.select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term")
+            .agg(F.count(F.lit(1)).alias("term_docs")).where(F.col("term_docs") + PRIOR <= bound))
+
+    def discloses(both: Column) -> Column:
+        rate = F.col("entity_docs") / total
+        share = (both + PRIOR * rate) / (F.col("term_docs") + PRIOR)
+        return (rate < 1) & (F.log2(share / rate) >= -DISCLOSURE * F.log2(rate) - 1e-9)
+
+    near = scratch_table(found.select("_row", F.explode(terms(F.col("_masked"))).alias("term")).join(seen, "term")
+                         .join(entity.join(known, "entity"), "_row")
+                         .where(discloses(F.least("term_docs", "entity_docs"))), "pii-terms")
+    shown = (near.groupBy("entity", "term", "entity_docs", "term_docs").agg(F.count(F.lit(1)).alias("both"))
+             .where(discloses(F.col("both"))).select("entity", "term"))
+    return near.select("_row", "entity", "term").join(shown, ["entity", "term"]).select("_row", "term").distinct()
+
+
+def term_spans(found: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(_row, _at): the places of the hidden terms of every document."""
+    hidden = scratch_table(hidden, "pii-hidden")
+    some = found.join(hidden.select("_row").distinct(), "_row", "left_semi")
+    gaps = F.transform(F.split("_masked", WORD, -1), F.length)
+    word = (some.select("_row", F.posexplode(F.arrays_zip(
+        gaps.alias("gap"), F.regexp_extract_all("_masked", F.lit(WORD), F.lit(0)).alias("word"))))
+        .select("_row", "pos", "col.gap", "col.word").where("word is not null"))
+    until = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)   # one document's words
+    word = word.withColumn("start", (F.sum(F.col("gap") + F.length("word")).over(until) - F.length("word")).cast("int"))
+    unit = (word.select("_row", "start", F.posexplode(units(F.col("word"))).alias("i", "unit"))
+            .select("_row", F.lower("unit").alias("term"), (F.col("start") + F.col("i")).alias("start"),
+                    (F.col("start") + F.col("i") + F.length("unit")).alias("end")))
+    return (unit.join(hidden, ["_row", "term"]).groupBy("_row")
+            .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_at")))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``spans`` (kind, start, end) of every row: base spans
     by kind as listed, then start, then terms by start."""
     rows = base_spans(docs.select("doc_id", "text"))
-    found = scratch_table(rows.where(F.size("_base") > 0), "pii-found")
-    hidden = (disclosing_terms(found, docs).groupBy(F.col("doc_id").alias("_id"))
-              .agg(F.sort_array(F.collect_set("term")).alias("_terms")))     # words near a document's entities
-    # terms are found without case in the text itself: lower() may change its length
-    marked = found.join(hidden, found["doc_id"].eqNullSafe(hidden["_id"]), "left")
-    word = F.explode_outer(F.coalesce("_terms", F.array().cast("array<string>")))
-    at = (marked.select("doc_id", "text", word.alias("t")).where("t is not null")
-          .withColumn("p", F.expr("regexp_extract_all(text, concat('(?iu)(?<!\\\\p{L})', t, '(?!\\\\p{L})'), 0)"))
-          .withColumn("q", F.expr("split(text, concat('(?iu)(?<!\\\\p{L})', t, '(?!\\\\p{L})'), -1)"))
-          .select("doc_id", F.xxhash64("text").alias("h"), "t", F.posexplode(F.expr("slice(q, 1, size(p))")).alias("i", "piece"),
-                  "q"))
-    at = (at.withColumn("start", F.expr("cast(aggregate(slice(q, 1, i + 1), 0L, (a, x) -> a + length(x)) + i * length(t) as int)"))
-          .groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct(
-              "start", (F.col("start") + F.length("t")).cast("int").alias("end")))).alias("_at")))
-    at = at.withColumnRenamed("doc_id", "_id")
+    found = scratch_table(rows.where(F.size("_base") > 0).withColumn("_masked", masked(F.col("text"), F.col("_base")))
+                          .withColumn("_row", F.monotonically_increasing_id()), "pii-found")
+    at = term_spans(found, disclosing_terms(found, rows))
     clean = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     extra = F.transform(F.coalesce("_at", F.array().cast("array<struct<start:int,end:int>>")),
                         lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return (rows.withColumn("_h", F.xxhash64("text"))
-            .join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("h")), "left")
-            .select("doc_id", "text", F.concat(clean, extra).alias("spans")))
+    return (found.join(at, "_row", "left").select("doc_id", "text", F.concat(clean, extra).alias("spans"))
+            .unionByName(rows.where(F.size("_base") == 0).select("doc_id", "text", clean.alias("spans"))))
 
 
 def span_text(spans: Column) -> Column:

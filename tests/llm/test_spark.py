@@ -148,3 +148,14 @@ def test_disclosing_terms_are_found_where_lower_case_changes_the_length(llm):
     assert not any(got[i] for i in range(4, 64))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(llm, values)).collect()}
     assert "orblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == values[10]
+
+
+def test_rare_entities_disclose_short_hyphenated_and_unspaced_names(llm):
+    """An entity of a single document; its terms stand far from it."""
+    far = " the plain text number" * 40
+    values = [f"Li Bob-Ray O'Neil x9z Zoe\u0301 王伟来了{far} a.b@c.de", f"Li{far} a.b@c.de"]
+    values += [f"the plain text number {i} has nothing" for i in range(400)]
+    got = {r.doc_id: {values[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "term"}
+           for r in pii.find_pii(docs(llm, values)).collect()}
+    assert got[0] == {"Li", "Bob-Ray", "O'Neil", "x9z", "Zoe\u0301", "王伟", "伟来", "来了"} and got[1] == {"Li"}
+    assert not any(got[i] for i in range(2, 402))
