@@ -131,3 +131,38 @@ def test_pieces_side_by_side_match_the_stream(model):
             marked = pieces.MARK + t.replace(pieces.MARK, pieces.LITERAL_MARK).replace(" ", pieces.MARK)
             want = [i for _, part in model.stream(marked) for i in part] if t else []
             assert ids.tolist() == want
+
+
+def test_tree_code_lengths_match_brute_force():
+    """PPM-C with exclusion over bytes, context by context."""
+    import pandas as pd
+    learnt = {"a": "die katze und der hund, 42 katzen ", "b": "кошка и собака 王伟来了 日本語 "}
+    seen = {lang: {} for lang in learnt}
+    rows = []
+    for lang, t in learnt.items():
+        data = bytes(langid.ORDER) + t.encode()
+        for i in range(langid.ORDER, len(data)):
+            rows.append((int.from_bytes(data[i - langid.ORDER:i + 1], "big"), lang, 1))
+            for k in range(langid.ORDER + 1):
+                at = seen[lang].setdefault(data[i - k:i], {})
+                at[data[i]] = at.get(data[i], 0) + 1
+    table = pd.DataFrame(rows, columns=["gram", "lang", "n"]).groupby(["gram", "lang"], as_index=False).sum()
+    levels = langid._orders(langid.grow(["a", "b"], table))
+    asked = texts(["die hunde 王来 日 кот", "ü", "本"])
+    wanted = langid.grams(asked.data, asked.offs)
+    got = langid.gram_bits(levels, wanted, 2)
+    for g, both in zip(wanted.tolist(), got, strict=True):
+        text = g.to_bytes(langid.ORDER + 1, "big")
+        for lang, bits in zip("ab", both, strict=True):
+            p, out = 1.0, set()
+            for k in range(langid.ORDER, -1, -1):
+                at = {s: n for s, n in seen[lang].get(text[langid.ORDER - k:-1], {}).items() if s not in out}
+                if at:
+                    norm = sum(at.values()) + len(at)
+                    if text[-1] in at:
+                        p *= at[text[-1]] / norm
+                        break
+                    p, out = p * len(at) / norm, out | set(at)
+            else:
+                p /= 256 - len(out)
+            assert abs(-np.log2(p) - bits) < 1e-9

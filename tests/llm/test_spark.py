@@ -159,3 +159,20 @@ def test_rare_entities_disclose_short_hyphenated_and_unspaced_names(llm):
            for r in pii.find_pii(docs(llm, values)).collect()}
     assert got[0] == {"Li", "Bob-Ray", "O'Neil", "x9z", "Zoe\u0301", "王伟", "伟来", "来了"} and got[1] == {"Li"}
     assert not any(got[i] for i in range(2, 402))
+
+
+def test_language_by_whole_characters_and_by_join(llm, monkeypatch):
+    """Characters that differ in lead or high bits only; the joined tree gives what the broadcast one does."""
+    from pyspark.sql import functions as F
+
+    from pagewright.llm import langid
+    # E4 B8 80 and E4 B8 A0 have the same low five bits
+    rows = [(i, t, lang, None, 0) for i, (t, lang) in enumerate([("\u4e00\u4e01 " * 30, "x"), ("\u4e20\u4e21 " * 30, "y")] * 3)]
+    learnt = llm.createDataFrame(rows, SCHEMA)
+    asked = docs(llm, ["\u4e00\u4e01", "\u4e20\u4e21", None, "", "12", "\u4e01\u4e21 z"])
+    one = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(asked, langid.learn(learnt, F.lit(True))).collect()}
+    assert [one[i][0] for i in range(5)] == ["x", "y", "und", "und", "und"] and one[0][1] > 0.9 and one[1][1] > 0.9
+    monkeypatch.setattr(langid, "TREE_CELLS", 0)
+    two = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(asked, langid.learn(learnt, F.lit(True))).collect()}
+    assert {i: v[0] for i, v in one.items()} == {i: v[0] for i, v in two.items()}
+    assert all(abs(one[i][1] - two[i][1]) < 1e-9 for i in one)
