@@ -1,12 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are folded runs of letters and digits. A seed hashes the 8 tokens that
+Tokens are folded runs of letters, marks and digits, and the single characters
+of scripts without spaces. A seed hashes the 8 tokens that
 a fixed mask selects and ignores the positions between, so a substituted
 token breaks only the seeds that look at it. Test seeds and training seeds
 are joined by hash; each hit names a diagonal (document position minus item
 position), and the overlap along it is verified on the tokens around the hit:
 the best-scoring stretch (match +1, substitution -2) must match
-``MIN_MATCHES`` tokens, or four fifths of a shorter item.
+``MIN_MATCHES`` tokens, or four fifths of a shorter item. Items of 8 to 14
+tokens have two shorter masks more: with them a seed is left wherever the rule
+can accept. Items of fewer than 8 tokens are found by the hash of their whole
+token sequence, wherever a document has it.
 
 The document pass reads each text once. A bit filter of fixed size made from
 the test seeds (used if there are at most ``FILTER_SEEDS``; beyond that every
@@ -14,8 +18,8 @@ position goes to the join) leaves only positions worth joining, and each
 neighbourhood of such positions is written once, as token hashes, to the
 shared folder. Nothing else of the documents is shuffled.
 
-Defined cases: null or empty texts and items have no seeds; items of fewer
-than 8 tokens are too short to identify and are not looked for; rows that
+Defined cases: null or empty texts and items without a token have no seeds;
+items of fewer than 8 tokens must be there whole, without a substitution; rows that
 repeat an id are one document, and contaminated if one of them is; a null id
 is an id like any other; repeated items with one id and text count once; an
 empty table on either side gives no overlaps; columns other than doc_id, text
@@ -23,6 +27,8 @@ and item_id, text are not read."""
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,35 +39,77 @@ from pagewright.llm.common import Texts, mix64, scratch_table, words
 
 MASKS = ("11111111", "110110110011", "1110010110101", "1011100011011")
 WEIGHT = 8
+SHORT_MASKS, SHORT = ("10100111", "110111"), 15
 MIN_MATCHES = 12
 MISMATCH = 2
 FILTER_SEEDS = 4_000_000
 _FAST_BITS, _WIDE_BITS = 20, 27
 
 
-def _factors(m: int) -> np.ndarray:
-    return mix64(np.arange(1, WEIGHT + 1, dtype=np.uint64) + np.uint64(1000 * (m + 1))) | np.uint64(1)
+def _offsets(mask: str) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(mask.encode(), np.uint8) == 49)
+
+
+def _mask(number: int, mask: str):
+    at = _offsets(mask)
+    factors = mix64(np.arange(1, len(at) + 1, dtype=np.uint64) + np.uint64(1000 * (number + 1))) | np.uint64(1)
+    return at, factors
 
 
-_OFFSETS = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in MASKS]
+#: Masks by the shortest and longest item (tokens, end exclusive) they seed.
+_LONG = [(_mask(m, x), WEIGHT, 1 << 62) for m, x in enumerate(MASKS)]
+_SHORT = [(_mask(100 + m, x), WEIGHT, SHORT) for m, x in enumerate(SHORT_MASKS)]
+_EXACT = [(_mask(200 + n, "1" * n), n, n + 1) for n in range(1, WEIGHT)]
+_ALL = _LONG + _SHORT + _EXACT
 
 
-def seeds(h: np.ndarray, row: np.ndarray):
+def seeds(h: np.ndarray, row: np.ndarray, masks=_LONG):
     """For each mask: token positions with a whole seed, and the seeds."""
-    for m, offsets in enumerate(_OFFSETS):
+    for (offsets, factors), _, _ in masks:
         n = len(h) - int(offsets[-1])
         if n <= 0:
             yield np.zeros(0, np.int64), np.zeros(0, np.uint64)
             continue
         total = np.zeros(n, np.uint64)
-        for offset, factor in zip(offsets, _factors(m), strict=True):
+        for offset, factor in zip(offsets, factors, strict=True):
             total += h[offset:offset + n] * factor
         whole = row[:n] == row[offsets[-1]:offsets[-1] + n]
         yield (np.flatnonzero(whole), mix64(total[whole])) if not whole.all() else (np.arange(n), mix64(total))
 
 
+def needed(tokens: int) -> int:
+    """Matching tokens that make an overlap with an item of so many."""
+    return tokens if tokens < WEIGHT else min(MIN_MATCHES, -(-4 * tokens // 5))
+
+
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x30FF),
+             (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF),
+             (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+@functools.cache
+def _characters() -> np.ndarray:
+    """0 between tokens, 1 in a run, 2 a token of its own, by code point."""
+    import unicodedata
+    out = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)]).astype(np.uint8)
+    for a, b in _UNSPACED:
+        out[a:b + 1] *= 2
+    return out
+
+
 def _tokens(data, offs):
-    _, _, h, first = words(data, offs, kind="letters")
+    edges = offs
+    if len(data) and data.max() >= 128:
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        kind = _characters()[points]
+        begin = np.flatnonzero((data & 0xC0) != 0x80)
+        width = np.diff(np.append(begin, len(data)))
+        data = np.where(np.repeat(kind == 0, width) & (data >= 128), np.uint8(32), data)
+        alone = kind == 2
+        if alone.any():
+            edges = np.unique(np.concatenate([offs, begin[alone], (begin + width)[alone]]))
+    starts, _, h, _ = words(data, edges, kind="letters")
+    first = np.searchsorted(starts, offs)
     return h, first, np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
@@ -78,8 +126,10 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
             for _, _, data, offs in Texts(batch.column(1), lower=True).chunks():
                 h, first, row = _tokens(data, offs)
                 mine = [[] for _ in range(len(offs) - 1)]
-                for at, seed in seeds(h, row):
-                    for p, s in zip(at.tolist(), seed.view(np.int64).tolist(), strict=True):
+                size = np.diff(first)[row]
+                for (_, least, end), (at, seed) in zip(_ALL, seeds(h, row, _ALL), strict=True):
+                    fits = (size[at] >= least) & (size[at] < end)
+                    for p, s in zip(at[fits].tolist(), seed[fits].view(np.int64).tolist(), strict=True):
                         mine[row[p]].append({"seed": s, "ipos": p - int(first[row[p]])})
                 found += mine
                 tokens += [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -113,7 +163,7 @@ def _passing(seed: np.ndarray, bits) -> np.ndarray:
     return at[(wide[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
 
 
-def regions(docs: DataFrame, bits, reach: int) -> DataFrame:
+def regions(docs: DataFrame, bits, reach: int, masks=_LONG) -> DataFrame:
     """(doc_id, start, tokens, hits[seed, pos]) of the neighbourhoods of all
     passing seeds; ``reach`` tokens on either side cover any item."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)     # fixed size
@@ -129,7 +179,7 @@ def regions(docs: DataFrame, bits, reach: int) -> DataFrame:
             for lo, _, data, offs in Texts(batch.column(1), lower=True).chunks():
                 h, first, row = _tokens(data, offs)
                 at, seed = [], []
-                for places, values in seeds(h, row):
+                for places, values in seeds(h, row, masks):
                     ok = _passing(values, shared.value)
                     at.append(places[ok])
                     seed.append(values[ok])
@@ -170,7 +220,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     (token positions, end exclusive) and the number of diagonals with one."""
     items = scratch_table(item_seeds(benchmark), "decontam-items")
     reach = items.agg(F.max(F.length("tokens"))).first()[0] or 0
-    found = scratch_table(regions(docs, seed_filter(items), reach // 8)
+    short = {r[0] // 8 for r in items.select(F.length("tokens")).where(F.length("tokens") < 8 * SHORT).distinct().collect()}
+    masks = _LONG + [m for m in _SHORT + _EXACT if any(m[1] <= n < m[2] for n in short)]
+    found = scratch_table(regions(docs, seed_filter(items), reach // 8, masks)
                           .withColumn("region", F.xxhash64("doc_id", "start", "tokens")), "decontam-regions")
     test = items.select("item", F.explode("seeds").alias("s")).select("item", "s.seed", "s.ipos")
     diagonals = (found.select("region", F.explode("hits").alias("s")).select("region", "s.seed", "s.pos")
@@ -194,7 +246,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if b <= a:
                     continue
                 low, high, matches = best_stretch(item[a:b] == text[a + shift:b + shift])
-                if matches >= min(MIN_MATCHES, -(-4 * len(item) // 5)):
+                if matches >= needed(len(item)):
                     at = int(diagonal[i]) + a
                     keep.append(i)
                     rows.append((matches, at + low, at + high, a + low, a + high))

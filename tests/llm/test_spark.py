@@ -176,3 +176,14 @@ def test_language_by_whole_characters_and_by_join(llm, monkeypatch):
     two = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(asked, langid.learn(learnt, F.lit(True))).collect()}
     assert {i: v[0] for i, v in one.items()} == {i: v[0] for i, v in two.items()}
     assert all(abs(one[i][1] - two[i][1]) < 1e-9 for i in one)
+
+
+def test_short_and_unspaced_items_are_found(llm):
+    """Items of 2 and 10 tokens (one and two substituted), a Chinese passage inside a text, and near misses."""
+    zh = "今天的天气非常好我们去公园"
+    items = llm.createDataFrame([(0, "Rare pair"), (1, "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10"), (2, zh), (3, "…")],
+                                "item_id long, text string")
+    texts = ["some rare, pair here", "rare other pair", "z a1 a2 a3 a4 b a6 a7 a8 a9 a10 z",
+             "a1 a2 a3 b a5 a6 b a8 a9 a10", "a1 a2 b a4 b a6 b a8 b a10", f"他说：“{zh}”。然后走了", "公园好天气", "…", None]
+    got = {(r.doc_id, r.item_id): r.matches for r in decontam.overlaps(docs(llm, texts), items).collect()}
+    assert got == {(0, 0): 2, (2, 1): 9, (3, 1): 8, (5, 2): 13}
