@@ -19,9 +19,9 @@ neighbourhood of such positions is written once, as token hashes, to the
 shared folder. Nothing else of the documents is shuffled.
 
 Defined cases: null or empty texts and items without a token have no seeds;
-items of fewer than 8 tokens must be there whole, without a substitution; rows that
-repeat an id are one document, and contaminated if one of them is; a null id
-is an id like any other; repeated items with one id and text count once; an
+items of fewer than 8 tokens must be there whole, without a substitution; in the overlaps
+rows that repeat an id are one document and a null id is an id like any other,
+but a row is dropped for its own text only; repeated items with one id and text count once; an
 empty table on either side gives no overlaps; columns other than doc_id, text
 and item_id, text are not read."""
 
@@ -164,10 +164,11 @@ def _passing(seed: np.ndarray, bits) -> np.ndarray:
 
 
 def regions(docs: DataFrame, bits, reach: int, masks=_LONG) -> DataFrame:
-    """(doc_id, start, tokens, hits[seed, pos]) of the neighbourhoods of all
+    """(doc_id, text_hash, start, tokens, hits[seed, pos]) of the neighbourhoods of all
     passing seeds; ``reach`` tokens on either side cover any item."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)     # fixed size
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("start", T.IntegerType()),
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()),
+                           T.StructField("start", T.IntegerType()),
                            T.StructField("tokens", T.BinaryType()),
                            T.StructField("hits", T._parse_datatype_string("array<struct<seed:bigint,pos:int>>"))])
     kind = pa.list_(pa.struct([("seed", pa.int64()), ("pos", pa.int32())]))
@@ -199,11 +200,12 @@ def regions(docs: DataFrame, bits, reach: int, masks=_LONG) -> DataFrame:
                     tokens.append(h[begin:end].tobytes())
                     hits.append([{"seed": s, "pos": p} for s, p in
                                  zip(seed[a:b].tolist(), (at[a:b] - first[r]).tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())),
+            source = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(source), batch.column(2).take(source),
                                               pa.array(start, pa.int32()), pa.array(tokens, pa.binary()),
                                               pa.array(hits, kind)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -215,22 +217,21 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per contaminated (doc_id, item_id): the best verified overlap
-    (token positions, end exclusive) and the number of diagonals with one."""
+def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per verified overlap of a text with an item along a diagonal."""
     items = scratch_table(item_seeds(benchmark), "decontam-items")
     reach = items.agg(F.max(F.length("tokens"))).first()[0] or 0
     short = {r[0] // 8 for r in items.select(F.length("tokens")).where(F.length("tokens") < 8 * SHORT).distinct().collect()}
     masks = _LONG + [m for m in _SHORT + _EXACT if any(m[1] <= n < m[2] for n in short)]
     found = scratch_table(regions(docs, seed_filter(items), reach // 8, masks)
-                          .withColumn("region", F.xxhash64("doc_id", "start", "tokens")), "decontam-regions")
+                          .withColumn("region", F.xxhash64("doc_id", "text_hash", "start", "tokens")), "decontam-regions")
     test = items.select("item", F.explode("seeds").alias("s")).select("item", "s.seed", "s.ipos")
     diagonals = (found.select("region", F.explode("hits").alias("s")).select("region", "s.seed", "s.pos")
                  .join(test, "seed").select("region", "item", (F.col("pos") - F.col("ipos")).alias("diagonal"))
                  .distinct())
-    pairs = (diagonals.join(found.select("region", "doc_id", "start", "tokens").dropDuplicates(["region"]), "region")
+    pairs = (diagonals.join(found.select("region", "doc_id", "text_hash", "start", "tokens").dropDuplicates(["region"]), "region")
              .join(items.select("item", "item_id", F.col("tokens").alias("item_tokens")), "item"))
-    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"],
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), benchmark.schema["item_id"],
                            *[T.StructField(n, T.IntegerType()) for n in
                              ("matches", "doc_start", "doc_end", "item_start", "item_end")]])
 
@@ -252,18 +253,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     rows.append((matches, at + low, at + high, a + low, a + high))
             take = pa.array(keep, pa.int64())
             columns = [pa.array(c, pa.int32()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int32())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("item_id").take(take),
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).take(take) for n in ("doc_id", "text_hash", "item_id")],
                                               *columns], names=schema.names)
 
-    verified = pairs.mapInArrow(verify, schema)
+    return pairs.mapInArrow(verify, schema)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per contaminated (doc_id, item_id): the best verified overlap
+    (token positions, end exclusive) and the number of diagonals with one."""
     best = F.max(F.struct("matches", *[(-F.col(c)).alias(c) for c in
                                        ("doc_start", "doc_end", "item_start", "item_end")])).alias("b")
-    return (verified.groupBy("doc_id", "item_id").agg(best, F.count(F.lit(1)).alias("places"))
+    return (verified(docs, benchmark).groupBy("doc_id", "item_id").agg(best, F.count(F.lit(1)).alias("places"))
             .select("doc_id", "item_id", "b.matches", *[(-F.col(f"b.{c}")).alias(c) for c in
                                                        ("doc_start", "doc_end", "item_start", "item_end")], "places"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id has no verified overlap."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` whose text has no verified overlap, whatever
+    other rows of their id have."""
+    bad = verified(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_hash"])
+    return docs.join(bad, same, "left_anti")

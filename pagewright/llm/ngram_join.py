@@ -91,8 +91,8 @@ def least_matches() -> list[int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, n, sig, bands) of every row; k is null without words."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("k", T.BinaryType()),
+    """(doc_id, text_hash, k, sig, bands) of every row; k is null without words."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("k", T.BinaryType()),
                            T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -110,14 +110,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.astype(np.uint8).tobytes(),
                              band.view(np.int64)))
             k, sig, bands = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k, pa.binary()), pa.array(sig, pa.binary()),
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k, pa.binary()), pa.array(sig, pa.binary()),
                                               pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(k, set) of the classes named in ``members(doc_id, k)``."""
+    """(k, set) of the classes named in ``members(doc_id, text_hash, k)``."""
     def run(batches):
         import hashlib
         for batch in batches:
@@ -127,8 +127,9 @@ def sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(ok, pa.int64())),
                                               pa.array([sets[i] for i in ok], pa.binary())], names=["k", "set"])
 
-    m = members.select(F.col("doc_id").alias("_id"), "k")
-    return (docs.join(m, docs["doc_id"].eqNullSafe(m["_id"])).select("text", "k")
+    m = members.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "k")
+    same = docs["doc_id"].eqNullSafe(m["_id"]) & (F.xxhash64(docs["text"]) == m["_hash"])
+    return (docs.join(m, same).select("text", "k")
             .mapInArrow(run, "k binary, set binary").dropDuplicates(["k"]))
 
 
@@ -281,7 +282,7 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(k, parent, n): for every class of a cluster and every pair of blocks
     it is in, its parent in the forest of verified links and its links."""
     near = scratch_table(clusters(reps), "join-clusters")
-    sets = scratch_table(sets_of(docs, reps.select("doc_id", "k").join(near.select("k"), "k")), "join-sets")
+    sets = scratch_table(sets_of(docs, reps.select("doc_id", "text_hash", "k").join(near.select("k"), "k")), "join-sets")
     size = (near.join(sets.select("k", F.length("set").alias("bytes")), "k").groupBy("cluster")
             .agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks")))
     members = (near.join(size, "cluster").join(reps.select("k", "sig"), "k").join(sets, "k"))
@@ -299,29 +300,42 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
                          .mapInArrow(run, "k binary, parent binary, n long"), "join-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row: class_id is the least id of
-    its group, n_links the number of other texts its text is linked with."""
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, k, ...) of every row, and (k, root, class_id,
+    n_links, head) of every class; ``head`` is the class's first row."""
     sigs = scratch_table(signatures(docs), "join-signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("head")      # null ids last
     reps = scratch_table(sigs.where("k is not null").groupBy("k").agg(
-        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "join-classes")
+        first, F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("head.doc_id", "head.text_hash", "*"),
+        "join-classes")
     found = linked(docs, reps)
     count = found.groupBy("k").agg(F.sum("n").alias("n_links"))
     edges = found.where("k != parent").select(F.col("k").alias("a"), F.col("parent").alias("b")).distinct()
-    classes = (reps.select("k", "doc_id").join(components(edges), "k", "left").join(count, "k", "left")
+    classes = (reps.select("k", "doc_id", "head").join(components(edges), "k", "left").join(count, "k", "left")
                .withColumn("root", F.coalesce("root", "k")))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = classes.join(least, "root").select("k", "class_id", "n_links")
+    return sigs, classes.join(least, "root").select("k", "root", "class_id", "n_links", "head")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: class_id is the least id of
+    its group, n_links the number of other texts its text is linked with."""
+    sigs, named = groups(docs)
     return (sigs.select("doc_id", "k").join(named, "k", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links"), "k"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the least id."""
-    kept = near_duplicates(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
+    """One document of each group: the least id (null last), and of several
+    texts with that id one. Texts without words are in no group and stay; rows
+    that repeat id and text count once."""
+    sigs, named = groups(docs)
+    kept = (named.groupBy("root").agg(F.min("head").alias("head")).select("head.doc_id", "head.text_hash")
+            .unionByName(sigs.where("k is null").select("doc_id", "text_hash")).distinct()
+            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_r"))
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"]), "left_semi")
     same = one["doc_id"].eqNullSafe(repeated["_r"])
     return (one.join(repeated, same, "left_anti")
             .unionByName(one.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])))

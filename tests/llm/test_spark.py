@@ -187,3 +187,14 @@ def test_short_and_unspaced_items_are_found(llm):
              "a1 a2 a3 b a5 a6 b a8 a9 a10", "a1 a2 b a4 b a6 b a8 b a10", f"他说：“{zh}”。然后走了", "公园好天气", "…", None]
     got = {(r.doc_id, r.item_id): r.matches for r in decontam.overlaps(docs(llm, texts), items).collect()}
     assert got == {(0, 0): 2, (2, 1): 9, (3, 1): 8, (5, 2): 13}
+
+
+def test_stages_decide_by_text_where_ids_are_null_or_repeated(llm):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "other")
+    d = docs(llm, [a, near, b, c, c, near, "", b], [None, None, None, 7, 7, 7, None, 1])
+    out = [(r.doc_id, r.text) for r in ngram_join.keep_one(d).collect()]
+    assert sorted(out, key=str) == sorted([(7, near), (7, c), (1, b), (None, "")], key=str)
+    items = llm.createDataFrame([(0, a)], "item_id long, text string")
+    rows = [(r.doc_id, r.text) for r in decontam.drop_contaminated(d, items).collect()]
+    assert sorted(rows, key=str) == sorted([(None, b), (7, c), (7, c), (None, ""), (1, b)], key=str)
