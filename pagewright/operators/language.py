@@ -1,8 +1,8 @@
 """Language identification as two Spark jobs plus the native gate.
 
 Model: character-trigram naive Bayes with add-one smoothing, trained on the
-whole labelled texts; a row is classified from the first ``sample``
-characters of lower(strip(text)), the sample the language gate defines.
+whole labelled texts; a row is classified from the whole of lower(strip(text)),
+or its first ``sample`` characters: the language gate defines such a sample.
 
 * train:  explode trigrams, ``groupBy(lang, gram).count()`` -> profile.
 * score:  explode a row's trigrams, count per (row, gram), join the profile
@@ -27,8 +27,9 @@ from pagewright.session import maybe_broadcast
 PROFILE_BROADCAST_ROWS = 1_000_000   # (lang, 3-char gram, count): ~40 MB at most
 
 
-def _sample(text: Column, sample: int) -> Column:
-    return F.substring(F.lower(T.py_strip(text)), 1, sample)
+def _sample(text: Column, sample: int | None) -> Column:
+    whole = F.lower(T.py_strip(text))
+    return whole if sample is None else F.substring(whole, 1, sample)
 
 
 def trigrams(s: Column) -> Column:
@@ -58,7 +59,7 @@ def profile_totals(profile: DataFrame) -> DataFrame:
 
 
 def classify_language(df: DataFrame, keys: list[str], text: str, profile: DataFrame,
-                      sample: int = fixed.LANGUAGE_SAMPLE_CHARS,
+                      sample: int | None = None,
                       out: str = "lang_pred") -> DataFrame:
     """Adds ``out`` (predicted language or NULL) to ``df`` keyed by ``keys``."""
     grams = (df.select(*keys, _sample(F.col(text), sample).alias("_s"))
@@ -100,7 +101,7 @@ def language_gate(df: DataFrame, keys: list[str], text: str, profile: DataFrame,
     pre = df.withColumn("_quick", F.col(text).isNull() | common_word_hit(cleaned, whole_word)
                         | (F.length(cleaned) < min_length))
     need = pre.where(~F.col("_quick")).select(*keys, text)
-    pred = classify_language(need, keys, text, profile, out="_pred").select(*keys, "_pred")
+    pred = classify_language(need, keys, text, profile, fixed.LANGUAGE_SAMPLE_CHARS, out="_pred").select(*keys, "_pred")
     res = pre.join(pred, keys, "left")
     ok = F.col("_quick") | F.col("_pred").isNull() | (F.col("_pred") == primary)
     return res.withColumn(out, ok).drop("_quick", "_pred")

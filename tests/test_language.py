@@ -30,3 +30,11 @@ def test_trigrams_code_points(spark):
     s = "ab\U0001F600cdé"
     assert got[0] == [s[i:i + 3] for i in range(len(s) - 2)]
     assert got[1] == [] and got[2] == ["a\nb", "\nbc"]
+
+
+def test_classifier_reads_whole_texts(spark):
+    prof = spark.createDataFrame([("aa", "xyz", 50), ("bb", "uvw", 50)], "lang string, gram string, cnt long")
+    df = spark.createDataFrame([(1, "xyz " * 250 + "uvw " * 2000)], "id long, t string")
+    assert L.classify_language(df, ["id"], "t", prof).first()["lang_pred"] == "bb"
+    gated = L.language_gate(df, ["id"], "t", prof, primary="aa").first()
+    assert gated["lang_ok"]            # the gate's own sample: the first 1,000 characters
