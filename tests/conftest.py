@@ -4,7 +4,7 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,9 +16,3 @@ def spark():
                       extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="pw-test-ckpt-")})
     yield s
     s.stop()
-
-
-def html_pages(spark, rows, site="d.io"):
-    """rows: list of (page_id, url, body_html)."""
-    data = [(site, pid, url, f"<html><head></head><body>{body}</body></html>") for pid, url, body in rows]
-    return spark.createDataFrame(data, "site string, page_id bigint, url string, html string")

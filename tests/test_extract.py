@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import html_pages
+from pages import html_pages
 from pagewright.functions import code as CD
 from pagewright.operators import dedup as DD
 from pagewright.operators import extract as X
