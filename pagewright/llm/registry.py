@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, langid, ngram_join, pieces, pii, quality, rules, secrets, tokens, toxicity
+from pagewright.llm import (decontam, fim, langid, ngram_join, pieces, pii, quality, rules, secrets, tensor_dedup, tokens,
+                            toxicity, trie)
 from pagewright.llm.common import fold_of, table
 
 QUERIES: dict = {}
@@ -83,3 +84,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "anomaly")
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_tensor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
