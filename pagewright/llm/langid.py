@@ -11,9 +11,10 @@ language that codes it in fewest bits.
 The tree is kept as the counts of (context of 4 bytes, byte); shorter contexts
 are their sums, and a text is preceded by zero bytes. It lies in the shared
 folder, partitioned by its last two context bytes. Up to ``TREE_CELLS`` cells
-(contexts with a byte, times languages) it is broadcast; beyond that the
-distinct grams of the texts meet it by those two bytes, and their code lengths
-are joined back to the texts.
+(contexts with a byte, times languages) its rows are broadcast as plain arrays
+and every worker grows the tree from them once; beyond that the distinct grams
+of the texts meet it by those two bytes, and their code lengths are joined
+back to the texts.
 
 Defined cases: a null or letterless text gives ``und`` with score 0, and so
 does every text if nothing could be learned; equal code lengths go to the
@@ -23,6 +24,7 @@ columns other than doc_id, text and lang are not read."""
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -50,11 +52,15 @@ class Tree(NamedTuple):
 
 
 class Model(NamedTuple):
-    """``table``: (gram, lang, n) in the shared folder; ``tree``: all of it,
-    or only its languages and low orders if it is too large to broadcast."""
+    """``table``: (gram, lang, n) in the shared folder; ``packed``: all of its
+    rows as plain arrays (grams, language numbers, counts), or if they are too
+    many to broadcast those of the low orders. The trees are grown from them in
+    the tasks: the driver holds the packed rows only."""
     table: DataFrame
-    tree: Tree
+    langs: list
+    packed: list
     whole: bool
+    name: str
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -174,17 +180,47 @@ def _counted(data: np.ndarray, offs: np.ndarray):
     return np.unique(grams(data, offs), return_inverse=True, return_counts=True)
 
 
-def grow(langs, gram_lang_n: pd.DataFrame, low: np.ndarray | None = None) -> Tree:
-    langs = sorted(langs)
-    keys, at = np.unique(gram_lang_n["gram"].to_numpy(np.int64), return_inverse=True)
+def grow(langs: list, gram: np.ndarray, lang: np.ndarray, n: np.ndarray, low: np.ndarray | None = None) -> Tree:
+    """The tree of counted grams; ``lang`` are places in ``langs``."""
+    keys, at = np.unique(gram, return_inverse=True)
     counts = np.zeros((len(keys), len(langs)), np.int64)
-    counts[at, pd.Categorical(gram_lang_n["lang"], langs).codes] = gram_lang_n["n"].to_numpy()
+    counts[at, lang] = n
     if low is None:
         low = np.zeros((LOW, len(langs)), np.int64)
         np.add.at(low, keys & (LOW - 1), counts)
     return Tree(langs, low, keys, counts)
 
 
+def pack(rows: DataFrame, langs: list) -> list:
+    """(gram, lang, n) as a few rows of plain arrays, about 18 bytes a row."""
+    place = {lang: k for k, lang in enumerate(langs)}
+
+    def run(batches):
+        for batch in batches:
+            lang = np.array([place[x] for x in batch.column(1).to_pylist()], np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (
+                batch.column(0).to_numpy(), lang, batch.column(2).to_numpy())], names=["gram", "lang", "n"])
+
+    return [tuple(r) for r in rows.select("gram", "lang", "n").mapInArrow(run, "gram binary, lang binary, n binary").collect()]
+
+
+def unpack(packed: list):
+    columns = zip(*packed, strict=True) if packed else ((), (), ())
+    return [np.frombuffer(b"".join(c), kind) for c, kind in zip(columns, (np.int64, np.uint16, np.int64), strict=True)]
+
+
+_GROWN: dict = {}
+
+
+def _grown(name: str, shared):
+    """The orders of a broadcast tree, built once per Python worker."""
+    if name not in _GROWN:
+        langs, packed = shared.value
+        _GROWN.clear()
+        _GROWN[name] = _orders(grow(langs, *unpack(packed)))
+    return _GROWN[name]
+
+
 def learn(docs: DataFrame, learning) -> Model:
     """The trees of all languages, from the whole texts of the rows where
     ``learning`` holds. Grams are counted by chunk before they are summed."""
@@ -203,13 +239,11 @@ def learn(docs: DataFrame, learning) -> Model:
     rows = scratch_table(docs.where(F.col("lang").isNotNull() & learning).select("text", "lang")
                          .mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
                          .withColumn("part", F.expr("cast(gram >> 8 & 65535 as int)")).repartition("part"), "lang-tree")
-    langs = [r[0] for r in rows.select("lang").distinct().collect()]
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     whole = rows.select("gram").distinct().count() * len(langs) <= TREE_CELLS
-    if whole:
-        return Model(rows, grow(langs, rows.select("gram", "lang", "n").toPandas().astype({"lang": "category"})), True)
-    short = rows.groupBy(F.expr("gram & 65535").alias("gram"), "lang").agg(F.sum("n").alias("n")).toPandas()
-    low = grow(langs, short).low                       # at most 65,536 rows a language
-    return Model(rows, Tree(sorted(langs), low, np.zeros(0, np.int64), np.zeros((0, len(langs)), np.int64)), False)
+    # beyond the bound the low orders only: at most 65,536 rows a language
+    kept = rows if whole else rows.groupBy(F.expr("gram & 65535").alias("gram"), "lang").agg(F.sum("n").alias("n"))
+    return Model(rows, langs, pack(kept, langs), whole, uuid.uuid4().hex)
 
 
 def choose(langs: list, bits: np.ndarray, lettered: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -242,11 +276,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                            T.StructField("score", T.DoubleType())])
     if not model.whole:
         return _identify_by_join(docs, model, schema)
-    shared = docs.sparkSession.sparkContext.broadcast((model.tree.langs, _orders(model.tree)))   # up to TREE_CELLS
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.packed))   # up to TREE_CELLS rows of 18 bytes
+    name = model.name
 
     def run(batches):
         for batch in batches:
-            langs, share = classify(Texts(batch.column(1)), *shared.value)
+            langs, share = classify(Texts(batch.column(1)), shared.value[0], _grown(name, shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(share)],
                                              names=schema.names)
 
@@ -256,8 +291,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def _identify_by_join(docs: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
     """The same with the tree as a table: each distinct gram of the texts is
     coded once, in the part of the tree that its last two context bytes name."""
-    low, langs = model.tree.low, model.tree.langs
+    langs = model.langs
+    low = grow(langs, *unpack(model.packed)).low
     shared = docs.sparkSession.sparkContext.broadcast(low)       # at most 65,536 rows a language
+    place = {lang: k for k, lang in enumerate(langs)}
     rows = scratch_table(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "lang-rows")
 
     def split(batches):
@@ -275,7 +312,8 @@ def _identify_by_join(docs: DataFrame, model: Model, schema: T.StructType) -> Da
     wanted = held.select("gram").distinct().withColumn("part", F.expr("cast(gram >> 8 & 65535 as int)"))
 
     def code(_, tree, grams_):
-        levels = _orders(grow(langs, tree, shared.value))
+        levels = _orders(grow(langs, tree["gram"].to_numpy(np.int64), tree["lang"].map(place).to_numpy(np.int64),
+                              tree["n"].to_numpy(np.int64), shared.value))
         found = grams_["gram"].to_numpy(np.int64)
         return pd.DataFrame({"gram": found, "bits": pd.Series(list(gram_bits(levels, found, len(langs))), dtype=object)})
 

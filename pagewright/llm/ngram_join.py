@@ -14,12 +14,12 @@ are connected components of the verified links.
    pair that survives pruning in some bucket are in one cluster.
 3. Within a cluster the whole signatures go on being compared and the
    surviving pairs are verified. Every member leaves with its number of links
-   and its parent in the forest of the verified links.
+   and the least member they reach.
 
 Buckets and clusters of more than ``BLOCK`` members, and clusters of more than
 ``BLOCK_BYTES``, are cut into blocks, and every pair of blocks is a task's
 work, so no task holds a whole group; a member of a group of n is copied
-n / BLOCK times. A pair at similarity 0.8 escapes all ``BANDS`` bands of
+up to 2 * n / BLOCK times (see ``graph``). A pair at similarity 0.8 escapes all ``BANDS`` bands of
 ``ROWS`` values with probability (1 - 0.8**6)**48, below 1e-6.
 
 Defined cases: a null or wordless text is linked with nothing; repeated rows
@@ -29,18 +29,17 @@ read."""
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm import graph
 from pagewright.llm.common import Texts, mix64, scratch_table, words
-from pagewright.session import checkpoint
 
 SHINGLE, PCT = 5, 80
 ROWS, BANDS = 6, 48
@@ -96,7 +95,6 @@ def signatures(docs: DataFrame) -> DataFrame:
                            T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        import hashlib
         factor = mix64(np.arange(7, 7 + ROWS, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             rows = []
@@ -117,67 +115,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(k, set) of the classes named in ``members(doc_id, text_hash, k)``."""
+    """(node, set) of the classes of ``members(doc_id, text_hash, node, k)``."""
     def run(batches):
-        import hashlib
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(Texts(batch.column(0), lower=True))]
-            ok = [i for i, (s, k) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True))
+            ok = [i for i, (s, k) in enumerate(zip(sets, batch.column(2).to_pylist(), strict=True))
                   if hashlib.blake2b(s, digest_size=16).digest() == k]
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(ok, pa.int64())),
-                                              pa.array([sets[i] for i in ok], pa.binary())], names=["k", "set"])
-
-    m = members.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "k")
-    same = docs["doc_id"].eqNullSafe(m["_id"]) & (F.xxhash64(docs["text"]) == m["_hash"])
-    return (docs.join(m, same).select("text", "k")
-            .mapInArrow(run, "k binary, set binary").dropDuplicates(["k"]))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(k, root) by least-label propagation with pointer jumping."""
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")))
-    label = checkpoint(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        near = (both.join(label.select(F.col("k").alias("b"), "root"), "b")
-                .groupBy(F.col("a").alias("k")).agg(F.min("root").alias("near")))
-        step = label.join(near, "k").select("k", "root", F.least("root", "near").alias("new"))
-        jump = label.select(F.col("k").alias("new"), F.col("root").alias("far"))
-        step = checkpoint(step.join(jump, "new", "left").select("k", "root", F.least("new", "far").alias("new")))
-        label = step.select("k", F.col("new").alias("root"))
-        if step.where("root != new").limit(1).count() == 0:
-            return label
-
-
-def in_blocks(members: DataFrame, group: str, blocks) -> DataFrame:
-    """Members dealt to the pairs of blocks of their group and sorted by
-    them: ``i`` <= ``j`` are the blocks, ``at`` the member's own one."""
-    dealt = (members.withColumn("_n", blocks.cast("int"))
-             .withColumn("at", F.pmod(F.xxhash64("k", group), F.col("_n")).cast("int"))
-             .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-             .select("*", F.least("at", "_o").alias("i"), F.greatest("at", "_o").alias("j")).drop("_n", "_o"))
-    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
-
-
-def group_runs(batches, keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of one group after another, from batches sorted by it."""
-    held, name = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k) for k in keys]
-        change = np.zeros(batch.num_rows - 1, bool)
-        for c in columns:
-            change |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[lo].as_py() for c in columns)
-            if key != name and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            name = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
+                                              pa.array([sets[i] for i in ok], pa.binary())], names=["node", "set"])
+
+    rows = docs.select("doc_id", "text")
+    head = members.select(F.col("doc_id").alias("head_id"), F.col("text_hash").alias("head_hash"), "node", "k")
+    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.xxhash64("text") == F.col("head_hash"))
+    return (rows.join(head, same).select("text", "node", "k")
+            .mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
 
 
 def survivors(x: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
@@ -193,44 +144,27 @@ def survivors(x: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
     return keep
 
 
-def forest(size: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Parents of a spanning forest (a root is its own parent); ``near(i,
-    open)`` gives those of the open members that are linked with i."""
-    parent, left = np.arange(size), np.arange(size)
-    while len(left):
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            i = stack.pop()
-            hit = near(i, left)
-            parent[hit] = i
-            stack.extend(hit.tolist())
-            left = left[~np.isin(left, hit)]
-    return parent
-
-
 def bytes_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def clusters(reps: DataFrame) -> DataFrame:
-    """(k, cluster) of the classes with a candidate that survives."""
-    band = reps.select("k", F.explode("bands").alias("band"))
-    shared = (band.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
-              .join(reps.select("k", F.expr(f"substring(sig, 1, {EARLY})").alias("sig")), "k"))
+    """(node, cluster) of the classes with a candidate that survives."""
+    band = reps.select("node", F.explode("bands").alias("band"))
+    count = band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = (band.join(count, "band")
+              .join(reps.select("node", F.expr(f"substring(sig, 1, {EARLY})").alias("sig")), "node"))
     least = least_matches()
 
     def run(batches):
-        for rows in group_runs(batches, ["band", "i", "j"]):
-            x, k = bytes_matrix(rows["sig"], EARLY), rows["k"].to_pylist()
-            up = forest(len(x), lambda i, left: left[survivors(x[i], x[left], least)])  # noqa: B023
-            hit = np.flatnonzero(up != np.arange(len(up)))
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for i in hit], pa.binary()),
-                                              pa.array([k[i] for i in up[hit]], pa.binary())], names=["a", "b"])
+        for rows in graph.group_runs(batches, ["band", "i", "j"]):
+            x = bytes_matrix(rows["sig"], EARLY)
+            edges = graph.forest_edges(rows["at"].to_numpy(), lambda i, left: left[survivors(x[i], x[left], least)])  # noqa: B023
+            yield graph.edge_batch(rows["node"].to_numpy(), edges)
 
-    dealt = in_blocks(shared, "band", F.ceil(F.col("n") / BLOCK))
-    edges = (dealt.select("band", "i", "j", "k", "sig").mapInArrow(run, "a binary, b binary")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return components(edges).withColumnRenamed("root", "cluster")
+    dealt = graph.in_blocks(shared, "band", F.ceil(F.col("n") / BLOCK))
+    edges = dealt.select("band", "i", "j", "at", "node", "sig").mapInArrow(run, "a long, b long").distinct()
+    return graph.components(edges, "join-candidates").withColumnRenamed("root", "cluster")
 
 
 def overlaps_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -279,25 +213,26 @@ def verified(rows: pa.Table, least: list[int]) -> np.ndarray:
 
 
 def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(k, parent, n): for every class of a cluster and every pair of blocks
-    it is in, its parent in the forest of verified links and its links."""
-    near = scratch_table(clusters(reps), "join-clusters")
-    sets = scratch_table(sets_of(docs, reps.select("doc_id", "text_hash", "k").join(near.select("k"), "k")), "join-sets")
-    size = (near.join(sets.select("k", F.length("set").alias("bytes")), "k").groupBy("cluster")
-            .agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks")))
-    members = (near.join(size, "cluster").join(reps.select("k", "sig"), "k").join(sets, "k"))
+    """(a, b, n): for every class of a cluster and every pair of blocks it is
+    in, its links (n) and the least class (b) that these links reach."""
+    near = clusters(reps)
+    sets = scratch_table(sets_of(docs, reps.select("doc_id", "text_hash", "node", "k").join(near.select("node"), "node"))
+                         .join(near, "node"), "join-sets")
+    size = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(
+        F.sum(F.length("set")) / BLOCK_BYTES)).alias("blocks"))
+    members = sets.join(reps.select("node", "sig"), "node").join(size, "cluster")
     least = least_matches()
 
     def run(batches):
-        for rows in group_runs(batches, ["cluster", "i", "j"]):
-            links, k = verified(rows, least), rows["k"].to_pylist()
-            up = forest(len(k), lambda i, left: left[links[i, left]])  # noqa: B023
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array([k[i] for i in up], pa.binary()),
-                                              pa.array(links.sum(1), pa.int64())], names=["k", "parent", "n"])
+        for rows in graph.group_runs(batches, ["cluster", "i", "j"]):
+            links, node = verified(rows, least), rows["node"].to_numpy()
+            up = graph.labels(np.arange(len(node)), lambda i, left: left[links[i, left]])  # noqa: B023
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[up]), pa.array(links.sum(1), pa.int64())],
+                                             names=["a", "b", "n"])
 
-    dealt = in_blocks(members, "cluster", F.col("blocks"))
-    return scratch_table(dealt.select("cluster", "i", "j", "at", "k", "sig", "set")
-                         .mapInArrow(run, "k binary, parent binary, n long"), "join-links")
+    dealt = graph.in_blocks(members, "cluster", F.col("blocks"))
+    return scratch_table(dealt.select("cluster", "i", "j", "at", "node", "sig", "set")
+                         .mapInArrow(run, "a long, b long, n long"), "join-links")
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -305,14 +240,14 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_links, head) of every class; ``head`` is the class's first row."""
     sigs = scratch_table(signatures(docs), "join-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("head")      # null ids last
-    reps = scratch_table(sigs.where("k is not null").groupBy("k").agg(
+    reps = graph.numbered(sigs.where("k is not null").groupBy("k").agg(
         first, F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("head.doc_id", "head.text_hash", "*"),
         "join-classes")
     found = linked(docs, reps)
-    count = found.groupBy("k").agg(F.sum("n").alias("n_links"))
-    edges = found.where("k != parent").select(F.col("k").alias("a"), F.col("parent").alias("b")).distinct()
-    classes = (reps.select("k", "doc_id", "head").join(components(edges), "k", "left").join(count, "k", "left")
-               .withColumn("root", F.coalesce("root", "k")))
+    count = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    root = graph.components(found.where("a != b").select("a", "b").distinct(), "join-roots")
+    classes = (reps.select("node", "k", "doc_id", "head").join(root, "node", "left").join(count, "node", "left")
+               .withColumn("root", F.coalesce("root", "node")))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return sigs, classes.join(least, "root").select("k", "root", "class_id", "n_links", "head")
 

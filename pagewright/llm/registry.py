@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pagewright.llm import (decontam, fim, langid, ngram_join, pieces, pii, quality, rules, secrets, tensor_dedup, tokens,
                             toxicity, trie)
 from pagewright.llm.common import fold_of, table
+from pagewright.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict = {}
 
 
 def query(fn):

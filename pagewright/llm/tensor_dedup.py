@@ -111,18 +111,13 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
                 same_u, same_v = (u[left] == u[a]).sum(1), (v[left] == v[a]).sum(1)      # noqa: B023
                 return left[(same_u > 0) & (same_v > 0) & (same_u + same_v >= LEAST)]
 
-            yield edge_batch(node, graph.forest_edges(at, near))
+            yield graph.edge_batch(node, graph.forest_edges(at, near))
 
     edges = (graph.in_blocks(bucket, "bucket", F.ceil(F.col("n") / BLOCK)).select("bucket", "i", "j", "at", "node", "halves")
              .mapInArrow(run, "a long, b long").distinct())
     return graph.components(edges, "tensor-candidates").withColumnRenamed("root", "cluster")
 
 
-def edge_batch(node: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.array(edges, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, set) of the classes of ``wanted(node, k, doc_id)``, from one
     row of each: the texts are read again, only members of clusters hash."""
@@ -163,7 +158,7 @@ def confirmed(members: DataFrame) -> DataFrame:
                 mark[own] = 0                                                            # noqa: B023
                 return left[100 * both >= PCT * (size[left] + size[a] - both)]           # noqa: B023
 
-            yield edge_batch(node, graph.forest_edges(at, near))
+            yield graph.edge_batch(node, graph.forest_edges(at, near))
 
     return (graph.in_blocks(members, "cluster", F.col("n")).select("cluster", "i", "j", "at", "node", "set")
             .mapInArrow(run, "a long, b long").distinct())

@@ -147,7 +147,8 @@ def test_tree_code_lengths_match_brute_force():
                 at = seen[lang].setdefault(data[i - k:i], {})
                 at[data[i]] = at.get(data[i], 0) + 1
     table = pd.DataFrame(rows, columns=["gram", "lang", "n"]).groupby(["gram", "lang"], as_index=False).sum()
-    levels = langid._orders(langid.grow(["a", "b"], table))
+    levels = langid._orders(langid.grow(["a", "b"], table["gram"].to_numpy(np.int64),
+                                         (table["lang"] == "b").to_numpy(np.int64), table["n"].to_numpy()))
     asked = texts(["die hunde 王来 日 кот", "ü", "本"])
     wanted = langid.grams(asked.data, asked.offs)
     got = langid.gram_bits(levels, wanted, 2)
