@@ -42,7 +42,7 @@ KINDS = ("email", "ip", "card", "phone")
 SPANS = (*KINDS, "term", "hint")          # a hint is a generalised term
 GENERALISE, REMOVE, GAIN = 0.4, 0.5, 1.0
 Z = 1.645                                 # one-sided bound of 95 %
-BANDS, ROWS = 8, 2                        # near copies share one of 8 pairs of minhashes
+BANDS, ROWS = 12, 4                       # near copies share one of 12 bands of 4 minhashes
 CHUNK = 1024                              # code points rewritten at once
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _LETTERS = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_UNSPACED}]]++"
@@ -86,6 +86,10 @@ def holds(kind: str, match: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else n.between(16, 19) & luhn(digits(match))
 
 
+def holding(kind: str):
+    return lambda match: holds(kind, match)
+
+
 def base_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): ``rows`` (row, doc_id, text) of all documents, the text
     of those with base spans only; ``spans`` (row, kind, start, end, m), the
@@ -99,7 +103,7 @@ def base_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = docs.select("doc_id", "text").select("doc_id", "text", *found)
     valid = F.lit(False)
     for kind in KINDS:
-        valid = valid | F.coalesce(F.exists(F.col(f"m_{kind}"), lambda m, k=kind: holds(k, m)), F.lit(False))
+        valid = valid | F.coalesce(F.exists(F.col(f"m_{kind}"), holding(kind)), F.lit(False))
     each = each.select("doc_id", valid.alias("hit"), F.when(valid, F.col("text")).alias("text"),
                        *[F.when(valid, F.col(f"m_{k}")).alias(f"m_{k}") for k in KINDS])
     rows = scratch_table(each.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
@@ -107,7 +111,7 @@ def base_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = None
     for number, kind in enumerate(KINDS):
         m = F.col(f"m_{kind}")
-        own = hits.where(F.exists(m, lambda x, k=kind: holds(k, x))).select("row", F.lit(number).alias("kind"), F.posexplode(
+        own = hits.where(F.exists(m, holding(kind))).select("row", F.lit(number).alias("kind"), F.posexplode(
             F.arrays_zip(F.transform(F.split("text", PATTERNS[kind], -1), F.length).alias("gap"), m.alias("m"))).alias("pos", "x"))
         own = own.select("row", "kind", "pos", "x.gap", "x.m").where("m is not null")
         parts = own if parts is None else parts.unionByName(own)
@@ -160,6 +164,10 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
+def least_hash(values: str, salt: int) -> Column:
+    return F.array_min(F.transform(values, lambda t: F.xxhash64(F.lit(salt), t)))
+
+
 def classes_of(entities: DataFrame) -> DataFrame:
     """(row, entity, entity_docs) of the entities in two documents or more;
     entities of the same documents become one."""
@@ -196,7 +204,7 @@ def disclosures(docs: DataFrame, rows: DataFrame, spans: DataFrame, masked: Data
     members = scratch_table(classes_of(entities), "pii-entities")
     words = (masked.join(members.select("row").distinct(), "row", "left_semi").select("row", terms(F.col("text")).alias("terms")))
     words = scratch_table(words.where(F.size("terms") > 0), "pii-words")
-    least = [F.array_min(F.transform("terms", lambda t, k=k: F.xxhash64(F.lit(k), t))) for k in range(BANDS * ROWS)]
+    least = [least_hash("terms", k) for k in range(BANDS * ROWS)]
     bands = F.array(*[F.xxhash64(*least[b * ROWS:(b + 1) * ROWS]) for b in range(BANDS)])
     members = first_contexts(members, words.select("row", bands.alias("bands")))
     near = (members.join(words.select("row", F.explode("terms").alias("term")), "row").groupBy("entity", "entity_docs", "term")

@@ -130,7 +130,7 @@ def test_a_group_over_many_blocks_loses_no_link(llm, monkeypatch):
     pairs = list(enumerate(texts))
     got = tensor_dedup.near_duplicates(docs(llm, pairs)).collect()
     want = components_by_hand(pairs)
-    assert want[16][2] == 0
+    assert next(w for w in want if w[0] == 16)[2] == 0
     assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got], key=repr) == want
 
 
