@@ -4,24 +4,26 @@ Costs are computed as (summed integer tokens) x (rate) so totals never
 depend on floating-point summation order. The budget operators work on the
 narrow ``(site, order..., tokens, ok)`` table only.
 
-Budget cut without a whole-site sort: the running total of the positive rows
-is taken over range partitions of (site, order), so a large site spreads over
-many tasks, and the first row that reaches the stop threshold is the per-site
+Budget cut without a whole-site sort: the rows are dealt to range partitions of
+(site, order), so a large site spreads over many tasks. Sums per slice tell in
+which slice of a site the stop threshold is reached, and only that slice is
+totalled row by row. Its first row that reaches the threshold is the per-site
 stop key, which is joined back on ``site``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from pagewright import fixed
 from pagewright.operators.dedup import order_struct
-from pagewright.operators.order import running_total
-from pagewright.session import maybe_broadcast, ship_package
-
-SEED_BROADCAST_ROWS = 1_000_000
+from pagewright.operators.order import in_slices, running_total, running_totals, slice_offsets
+from pagewright.session import maybe_broadcast, scratch_table, ship_package
 
 
 def rates_frame(spark: SparkSession, rates=None) -> DataFrame:
@@ -57,38 +59,45 @@ def usage_summary(usage: DataFrame, rates: DataFrame, by=("site",)) -> DataFrame
             .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens")))
 
 
-def _stop_keys(ranked: DataFrame, order: list[tuple[str, bool]], limits: DataFrame,
+def _stop_keys(sliced: DataFrame, order: list[tuple[str, bool]], limits: DataFrame,
                stop_fraction: float) -> DataFrame:
     """Per site: order key of the first positive row at which the running
-    total reaches the stop threshold (absent when never reached). Only the
-    site, the order and the tokens are shuffled."""
-    narrow = ranked.where(F.col("tokens") > 0).select("site", *dict.fromkeys(c for c, _ in order), "tokens")
-    pos = (running_total(narrow, ["site"], order, "tokens", "_cum")
-           .join(limits, "site")
-           .where(F.col("_cum") >= F.col("max_tokens") * stop_fraction))
-    return (pos.groupBy("site").agg(F.min(order_struct(order)).alias("_stop")))
+    total reaches the stop threshold (absent when never reached). ``sliced``
+    are the rows in range partitions (``order.in_slices``)."""
+    pos = sliced.where(F.col("tokens") > 0)
+    sums = pos.groupBy("_pid", "site").agg(F.sum("tokens").alias("own"), F.sum("tokens").alias("before"))
+    before = slice_offsets(sums.drop("own"), ["site"], ["before"])
+    reached = F.col("before") + F.col("own") >= F.col("stop")
+    first = (sums.select("_pid", "site", "own").join(before, ["_pid", "site"])
+             .join(limits.select("site", (F.col("max_tokens") * stop_fraction).alias("stop")), "site").where(reached)
+             .groupBy("site", "stop").agg(F.min(F.struct("_pid", "before")).alias("at"))
+             .select("site", "stop", F.col("at._pid").alias("_pid"), F.col("at.before").alias("before")))
+    so_far = (Window.partitionBy("_pid", "site").orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order])
+              .rowsBetween(Window.unboundedPreceding, 0))
+    return (pos.join(first, ["site", "_pid"]).withColumn("_cum", F.col("before") + F.sum("tokens").over(so_far))
+            .where(F.col("_cum") >= F.col("stop")).groupBy("site").agg(F.min(order_struct(order)).alias("_stop")))
 
 
 def budget_cut(ranked: DataFrame, seeds: DataFrame, order: list[tuple[str, bool]],
                stop_fraction: float = fixed.STOP_FRACTION) -> DataFrame:
     """G1, batch-of-one form: a row is kept while the tokens used before it
-    are below ``stop_fraction * max_tokens`` of its site. ``ranked`` holds
-    ``site``, the order columns and ``tokens``; ``seeds`` holds
-    ``(site, max_tokens)``; a site without a seed has no budget and no row
-    of it is kept."""
-    limits = maybe_broadcast(seeds.select("site", "max_tokens"), SEED_BROADCAST_ROWS)
-    stops = maybe_broadcast(_stop_keys(ranked, order, limits, stop_fraction), SEED_BROADCAST_ROWS)
-    return (ranked.join(limits.select("site"), "site", "left_semi")
-            .join(stops, "site", "left")
+    are below ``stop_fraction * max_tokens`` of its site. ``ranked`` is a narrow
+    table with ``site``, the order columns and ``tokens``, written once;
+    ``seeds`` holds ``(site, max_tokens)``; a site without a seed has no budget
+    and no row of it is kept."""
+    limits = maybe_broadcast(seeds.select("site", "max_tokens"))
+    sliced = in_slices(ranked, ["site"], order)
+    stops = maybe_broadcast(limits.select("site").join(_stop_keys(sliced, order, limits, stop_fraction), "site", "left"))
+    return (sliced.join(stops, "site")
             .where(F.col("_stop").isNull() | (order_struct(order) <= F.col("_stop")))
-            .drop("_stop"))
+            .select(*ranked.columns))
 
 
 def running_usage(kept: DataFrame, seeds: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
     """G3 over the rows kept by the budget: tokens used before each row,
     remaining capacity ``1 - used/max`` and the warning flag
     (remaining <= 0.85)."""
-    limits = maybe_broadcast(seeds.select("site", "max_tokens"), SEED_BROADCAST_ROWS)
+    limits = maybe_broadcast(seeds.select("site", "max_tokens"))
     return (running_total(kept, ["site"], order, "tokens", "_cum")
             .withColumn("used_before", F.col("_cum") - F.col("tokens")).drop("_cum")
             .join(limits, "site")
@@ -97,27 +106,26 @@ def running_usage(kept: DataFrame, seeds: DataFrame, order: list[tuple[str, bool
             .drop("max_tokens"))
 
 
-def _batches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """G2 recurrence for one site (rows already in order)."""
-    mx = float(pdf["max_tokens"].iloc[0])
-    used, ok_count, i, batch_no = 0, 0, 0, 0
-    n = len(pdf)
-    batch = [None] * n
-    tokens = pdf["tokens"].tolist()
-    oks = pdf["ok"].tolist()
-    while i < n and not (used >= mx * fixed.STOP_FRACTION):
-        avg = used / max(1, ok_count)
-        b = max(1, min(fixed.MAX_BATCH, int((mx - used) / max(avg, fixed.MIN_TOKENS_PER_PAGE))))
-        batch_no += 1
-        for j in range(i, min(n, i + b)):
-            batch[j] = batch_no
-            used += tokens[j]
-            ok_count += 1 if oks[j] else 0
-        i = min(n, i + b)
-    out = pdf[["site", "rank"]].copy()
-    out["batch_no"] = pd.array(batch, dtype="Int64")
-    out["included"] = out["batch_no"].notna()
-    return out
+def _batch_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows in order (site, index, size of a batch starting here): how many
+    rows after each row the next batch starts (0: at this row), and how many
+    have started, for every state (0, 1, 2) in which the slice may begin. Rows
+    stream through; nothing but the states of the current site is held."""
+    site, now, started = None, [0, 1, 2], [0, 0, 0]
+    for batch in batches:
+        sites, sizes = batch.column("site").to_pylist(), batch.column("size").to_pylist()
+        state, count, after = [], [], []
+        for s, size in zip(sites, sizes, strict=True):
+            if s != site:
+                site, now, started = s, [0, 1, 2], [0, 0, 0]
+            started = [n + (x == 0) for n, x in zip(started, now, strict=True)]
+            state.append(now)
+            count.append(started)
+            now = [size - 1 if x == 0 else x - 1 for x in now]
+            after.append(now)
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(state, kind), pa.array(count, kind), pa.array(after, kind)],
+                                         names=[*batch.schema.names, "state", "count", "after"])
 
 
 def budget_batches(ranked: DataFrame, seeds: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
@@ -125,33 +133,44 @@ def budget_batches(ranked: DataFrame, seeds: DataFrame, order: list[tuple[str, b
     batch, so the last batch may overshoot. Rejected-after-generation pages
     count in ``used`` but not in the successes behind the average.
 
-    Only the narrow rows that can still be reached are grouped: rows after
-    the third positive row past the batch-of-one stop point are never
-    included (each batch holds at most three rows)."""
-    limits = maybe_broadcast(seeds.select("site", "max_tokens"), SEED_BROADCAST_ROWS)
-    w = Window.partitionBy("site").orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order])
-    cut = budget_cut(ranked, seeds, order)
-    lasts = cut.groupBy("site").agg(F.max(order_struct(order)).alias("_last"))
-    # the next MAX_BATCH rows after the cut: a per-site top-k, planned as a
-    # partial group limit before the shuffle
-    tail = (ranked.join(maybe_broadcast(lasts, SEED_BROADCAST_ROWS), "site")
-            .where(order_struct(order) > F.col("_last"))
-            .withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= fixed.MAX_BATCH)
-            .drop("_last", "_rn"))
-    cand = cut.unionByName(tail).join(limits, "site")
-    cols = ["site", "rank", "tokens", "ok", "max_tokens"] + [c for c, _ in order if c != "rank"]
-    keys = [c for c, _ in order]
-    asc = [a for _, a in order]
-
-    def run(pdf):
-        return _batches(pdf.sort_values(keys, ascending=asc, kind="stable").reset_index(drop=True))
-
+    The size of a batch that would start at a row depends on the totals before
+    that row alone, so whether one does start there is a function of the
+    distance to the next start, and such functions compose: every range slice
+    of a site composes its own (three states), slices are composed in order, and
+    the state in which a slice begins picks the answer of each row. No site is
+    ever one group. Only rows that can still be reached are looked at: a row
+    more than MAX_BATCH - 1 rows past the last one below the stop never is."""
+    limits = maybe_broadcast(seeds.select("site", "max_tokens"))
+    narrow = ranked.select("site", "rank", *dict.fromkeys(c for c, _ in order if c not in ("site", "rank")), "tokens",
+                           F.coalesce(F.col("ok").cast("long"), F.lit(0)).alias("_ok"), F.lit(1).alias("_one"))
+    totals = running_totals(narrow, ["site"], order, {"_used": "tokens", "_oks": "_ok", "_i": "_one"})
+    used, oks = F.col("_used") - F.col("tokens"), F.col("_oks") - F.col("_ok")
+    most = F.col("max_tokens").cast("double")
+    average = used / F.greatest(F.lit(1), oks)
+    fits = ((most - used) / F.greatest(average, F.lit(float(fixed.MIN_TOKENS_PER_PAGE)))).cast("long")
+    rows = scratch_table(totals.join(limits, "site").select(
+        "site", "rank", "_i", F.greatest(F.lit(1), F.least(F.lit(fixed.MAX_BATCH), fits)).cast("long").alias("size"),
+        (used < most * fixed.STOP_FRACTION).alias("open")), "batch-sizes")
+    last = rows.where("open").groupBy("site").agg(F.max("_i").alias("last"))
+    near = rows.join(maybe_broadcast(last), "site").where(F.col("_i") < F.col("last") + fixed.MAX_BATCH).drop("last")
     ship_package(ranked.sparkSession)
-    res = cand.select(*dict.fromkeys(cols)).groupBy("site").applyInPandas(
-        run, "site string, rank bigint, batch_no bigint, included boolean")
-    return ranked.select("site", "rank").join(res, ["site", "rank"], "left").select(
-        "site", "rank", "batch_no", F.coalesce("included", F.lit(False)).alias("included"))
+    n = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = near.repartitionByRange(n, "site", "_i").sortWithinPartitions("site", "_i").withColumn("_pid", F.spark_partition_id())
+    states = StructType([*dealt.schema.fields, *[StructField(c, ArrayType(LongType())) for c in ("state", "count", "after")]])
+    local = scratch_table(dealt.mapInArrow(_batch_states, states), "batch-states")
+    ends = local.groupBy("_pid", "site").agg(F.max_by(F.struct("after", "count"), "_i").alias("f"))
+    earlier = Window.partitionBy("site").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)      # a row per slice
+    begin = F.aggregate(F.collect_list("f").over(earlier), F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("c")),
+                        lambda acc, f: F.struct(F.get(f["after"], acc["s"].cast("int")).alias("s"),
+                                                (acc["c"] + F.get(f["count"], acc["s"].cast("int"))).alias("c")))
+    entry = ends.select("_pid", "site", begin.alias("entry"))
+    at = F.col("entry.s").cast("int")
+    placed = local.join(entry, ["_pid", "site"]).select("site", "rank", "open", (F.get("state", at) == 0).alias("starts"),
+                                                        (F.col("entry.c") + F.get("count", at)).alias("batch_no"))
+    run = placed.where("starts and open").groupBy("site").agg(F.count(F.lit(1)).alias("n"))     # open starts come first
+    taken = placed.join(run, "site").where("batch_no <= n").select("site", "rank", "batch_no")
+    return (ranked.select("site", "rank").join(taken, ["site", "rank"], "left")
+            .withColumn("included", F.col("batch_no").isNotNull()))
 
 
 def progress_report(ranked_kept: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -161,7 +180,7 @@ def progress_report(ranked_kept: DataFrame, seeds: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pages"),
         F.sum(F.col("ok").cast("int")).alias("successes"),
         F.sum("tokens").alias("tokens"))
-    return (agg.join(maybe_broadcast(seeds.select("site", "max_tokens"), SEED_BROADCAST_ROWS), "site")
+    return (agg.join(maybe_broadcast(seeds.select("site", "max_tokens")), "site")
             .withColumn("pct_of_limit", F.round(100.0 * F.col("tokens") / F.col("max_tokens"), 1))
             .withColumn("remaining", F.col("max_tokens") - F.col("tokens"))
             .withColumn("avg_tokens_per_page",

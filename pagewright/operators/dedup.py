@@ -11,23 +11,26 @@ prefix-filter set-similarity self-join: words are ranked by ascending
 document frequency, each document keeps its first ``n - ceil(0.85 n) + 1``
 words, documents are joined on (scope, prefix word, length band) and every
 candidate is verified with integer arithmetic. The first-wins choice over
-the similarity graph (keep x iff no earlier *kept* y is similar) is
-resolved by rounds over the candidate edges only, each round checkpointed.
+the similarity graph (keep x iff no earlier *kept* y is similar) is resolved
+by rounds over the edges that are still open (see ``resolve_first_wins``).
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from pagewright import fixed
 from pagewright.functions import text as T
-from pagewright.session import checkpoint, maybe_broadcast
+from pagewright.operators.components import components
+from pagewright.session import checkpoint, maybe_broadcast, scratch_table
 
 PCT = fixed.SIMILARITY_THRESHOLD_PCT
 # geometric length bands: similar sets differ by at most one band
 BAND_BASE = 100.0 / PCT
-VOCAB_BROADCAST_ROWS = 1_000_000     # (word, frequency): tens of MB at most
+VOCAB_BROADCAST_BYTES = 16 << 20      # (word, frequency), as written
 
 
 # ---------------------------------------------------------------------------
@@ -85,20 +88,27 @@ def prefix_entries(base: DataFrame, scope: list[str], dfreq: DataFrame) -> DataF
     return (tokens.join(dfreq, [*scope, "t"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
             .withColumn("r", F.row_number().over(Window.partitionBy(*scope, "id").orderBy("f", "t")))
             .where(F.col("r") <= _prefix_len(F.col("n")))
-            .select(*scope, "id", "n", "t", _band(F.col("n")).alias("band")))
+            .select(*scope, "id", "n", "t", "r", _band(F.col("n")).alias("band")))
 
 
 def candidate_pairs(probe: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:
     """Id pairs sharing a prefix token whose length bands differ by at most
-    one and that pass the length filter. Each entry probes its own band and
-    the next one up, which reaches every such pair at least once; pairs come
-    out once, as (smaller id, larger id)."""
-    p = probe.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t",
+    one and that pass the length and the position filter. Each entry probes its
+    own band and the next one up, which reaches every such pair at least once;
+    pairs come out once, as (smaller id, larger id).
+
+    Position: words before the first common one are not shared, so at that
+    word two sets share at most one more than the shorter rest behind it. A
+    similar pair passes there; at later common words the test may only let
+    more through."""
+    p = probe.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t", F.col("r").alias("ra"),
                      F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    ix = index.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", "band")
+    ix = index.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", F.col("r").alias("rb"), "band")
+    most = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     return (p.join(ix, [*scope, "t", "band"])
             .where((F.col("a") != F.col("b"))
-                   & (100 * F.least("na", "nb") >= PCT * F.greatest("na", "nb")))
+                   & (100 * F.least("na", "nb") >= PCT * F.greatest("na", "nb"))
+                   & ((100 + PCT) * most > PCT * (F.col("na") + F.col("nb"))))
             .select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -118,6 +128,18 @@ def verify_pairs(cand: DataFrame, left: DataFrame, right: DataFrame, scope: list
                         (F.col("inter").cast("double") / F.col("uni").cast("double")).alias("jaccard"))
 
 
+def representatives(docs: DataFrame, scope: list[str], id_col: str, words: str,
+                    order: list[tuple[str, bool]]) -> DataFrame:
+    """(scope..., id, representative): the first document, by ``order``, with
+    the same set of words (none if it is empty). Copies are kept apart as
+    members, so a group of n copies is n rows and not n * n pairs."""
+    own = docs.select(*scope, F.col(id_col).alias("id"), order_struct(order).alias("o"),
+                      F.when(F.size(words) > 0, F.md5(F.array_join(F.sort_array(words), " "))).alias("_set"))
+    own = scratch_table(own, "set-keys")
+    first = own.where("_set is not null").groupBy(*scope, "_set").agg(F.min(F.struct("o", "id")).alias("w"))
+    return own.join(first, [*scope, "_set"]).select(*scope, "id", F.col("w.id").alias("representative"))
+
+
 def word_base(docs: DataFrame, scope: list[str], id_col: str, words: str,
               order: list[tuple[str, bool]]) -> DataFrame:
     return (docs.select(*scope, F.col(id_col).alias("id"), F.col(words).alias("w"),
@@ -140,7 +162,7 @@ def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
         base = checkpoint(base)
     dfreq = (base.select(*scope, F.explode("w").alias("t"))
              .groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f")))
-    dfreq = maybe_broadcast(dfreq, VOCAB_BROADCAST_ROWS)
+    dfreq = maybe_broadcast(dfreq, VOCAB_BROADCAST_BYTES)
     ranked = prefix_entries(base, scope, dfreq)
     cand = candidate_pairs(ranked, ranked, scope)
     return verify_pairs(cand, base, base, scope)
@@ -150,44 +172,96 @@ def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
 # first-wins resolution over a graph
 # ---------------------------------------------------------------------------
 
+#: Rounds before what is left is split into components, and the edges of a
+#: component that one task may sweep in order.
+ROUNDS_BEFORE_SWEEP, SWEEP_EDGES = 4, 50_000
+
+
+def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Decide one component of edges (``a``, ``b``, ``neg``) in topological
+    order; ``kept`` is what is known of the source already."""
+    needs, gives, known = {}, {}, {}
+    for a, b, neg, kept in zip(pdf["a"], pdf["b"], pdf["neg"], pdf["kept"], strict=True):
+        needs.setdefault(b, []).append((a, neg))
+        gives.setdefault(a, []).append(b)
+        if kept is not None:
+            known[a] = kept
+    left, ready, out = {b: len(v) for b, v in needs.items()}, list(known), {}
+    while ready:
+        for b in gives.get(ready.pop(), ()):
+            left[b] -= 1
+            if not left[b]:
+                known[b] = out[b] = all(known[a] != neg for a, neg in needs[b])
+                ready.append(b)
+    if len(out) < len(needs):
+        raise ValueError("the similarity edges hold a cycle")
+    return pd.DataFrame({"id": list(out), "kept": list(out.values())})
+
+
 def resolve_first_wins(edges: DataFrame, requires: DataFrame | None = None,
-                       decided: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+                       decided: DataFrame | None = None) -> DataFrame:
     """Greedy first-wins over a DAG of similarity edges (a earlier than b).
 
     ``edges(a, b)``: b is dropped if a is kept. ``requires(a, b)``: b is
     only present if a is kept (b dropped when a is dropped). ``decided(id,
     st)`` pre-sets nodes to 'K' or 'D'. Returns ``(id, kept)`` for every
     node named by an edge or ``decided``; nodes not named are kept.
-    Each round decides every node whose earlier neighbours are decided; the
-    state is checkpointed per round, so lineage stays one round long."""
-    sim = edges.select("a", "b", F.lit("s").alias("kind"))
-    allk = sim if requires is None else sim.unionByName(requires.select("a", "b", F.lit("r").alias("kind")))
-    allk = checkpoint(allk.distinct())
-    nodes = allk.select(F.col("a").alias("id")).union(allk.select(F.col("b").alias("id")))
+
+    An edge is a literal of b: "a not kept" (``neg``) or "a kept"; b is kept if
+    all its literals hold. Every round evaluates the literals of what the last
+    round decided, decides nodes with a false literal or none left, and drops
+    decided nodes with their edges, so a round costs what is still open. A node
+    with one literal equals its source or the opposite of it: literals on such
+    a node move on to that source, so chains halve with every round. What is
+    still open after a few rounds is split into components, and those of up to
+    ``SWEEP_EDGES`` edges are decided in order by one task each; larger ones
+    go on in rounds, without a cap."""
+    lits = edges.select("a", "b", F.lit(True).alias("neg"))
+    if requires is not None:
+        lits = lits.unionByName(requires.select("a", "b", F.lit(False).alias("neg")))
+    lits = scratch_table(lits.distinct(), "wins-edges")
+    if decided is not None:
+        done = scratch_table(decided.select("id", (F.col("st") == "K").alias("kept")).distinct(), "wins-decided")
+        lits = lits.join(done.select(F.col("id").alias("b")), "b", "left_anti")
+    roots = lits.select(F.col("a").alias("id")).distinct().join(lits.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
     if decided is not None:
-        nodes = nodes.union(decided.select("id"))
-    state = nodes.distinct().withColumn("st", F.lit("U"))
+        roots = roots.join(done.select("id"), "id", "left_anti")
+    found = scratch_table(roots.withColumn("kept", F.lit(True)), "wins-roots")
+    verdicts = [found]
     if decided is not None:
-        state = (state.join(decided.select("id", F.col("st").alias("pre")), "id", "left")
-                 .select("id", F.coalesce("pre", "st").alias("st")))
-    state = checkpoint(state)
-    for _ in range(max_rounds):
-        if state.where(F.col("st") == "U").limit(1).count() == 0:
+        verdicts.append(done)
+        found = found.unionByName(done)
+    rounds = 0
+    while True:
+        seen = scratch_table(lits.join(found.select(F.col("id").alias("a"), "kept"), "a", "left"), "wins-seen")
+        open_ = F.col("kept").isNull()
+        state = (seen.groupBy(F.col("b").alias("id"))
+                 .agg(F.max(~open_ & (F.col("kept") == F.col("neg"))).alias("broken"), F.count(F.when(open_, 1)).alias("n_open"),
+                      F.min(F.when(open_, F.struct("a", "neg"))).alias("one")))
+        state = scratch_table(state, "wins-state")
+        found = scratch_table(state.where("broken or n_open = 0").select("id", (~F.col("broken")).alias("kept")), "wins-found")
+        verdicts.append(found)
+        single = state.where("not broken and n_open = 1").select(F.col("id").alias("a"), F.col("one").alias("by"))
+        lits = seen.where(open_).drop("kept").join(found.select(F.col("id").alias("b")), "b", "left_anti").join(single, "a", "left")
+        lits = scratch_table(lits.select(F.coalesce("by.a", "a").alias("a"), "b", F.when(F.col("by").isNull(), F.col("neg"))
+                                         .otherwise(F.col("neg") != F.col("by.neg")).alias("neg")).distinct(), "wins-edges")
+        rounds += 1
+        if lits.limit(1).count() == 0:
             break
-        look = (allk.join(state.select(F.col("id").alias("a"), F.col("st").alias("sa")), "a")
-                .groupBy(F.col("b").alias("id"))
-                .agg(F.max(((F.col("kind") == "s") & (F.col("sa") == "K")).cast("int")).alias("hit"),
-                     F.max(((F.col("kind") == "r") & (F.col("sa") == "D")).cast("int")).alias("gone"),
-                     F.max((F.col("sa") == "U").cast("int")).alias("wait")))
-        nxt = (state.join(look, "id", "left")
-               .select("id", F.when(F.col("st") != "U", F.col("st"))
-                       .when((F.col("hit") == 1) | (F.col("gone") == 1), F.lit("D"))
-                       .when(F.coalesce(F.col("wait"), F.lit(0)) == 0, F.lit("K"))
-                       .otherwise(F.lit("U")).alias("st")))
-        state = checkpoint(nxt)
-    else:
-        raise RuntimeError("first-wins resolution did not converge")
-    return state.select("id", (F.col("st") == "K").alias("kept"))
+        if rounds % ROUNDS_BEFORE_SWEEP == 0:
+            known = scratch_table(lits.join(found.withColumnRenamed("id", "a"), "a", "left"), "wins-known")
+            placed = known.join(components(known, "wins-components").withColumnRenamed("node", "b"), "b")
+            small = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SWEEP_EDGES).select("root")
+            kind = StructType([StructField("id", lits.schema["b"].dataType), StructField("kept", BooleanType())])
+            swept = placed.join(small, "root").groupBy("root").applyInPandas(_sweep, kind)
+            verdicts.append(scratch_table(swept, "wins-swept"))
+            lits = scratch_table(placed.join(small, "root", "left_anti").select("a", "b", "neg"), "wins-edges")
+            if lits.limit(1).count() == 0:
+                break
+    out = verdicts[0]
+    for v in verdicts[1:]:
+        out = out.unionByName(v)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -202,21 +276,25 @@ def fuzzy_dedup(docs: DataFrame, scope: list[str], id_col: str, text: str,
        content-key hash, word set), materialised once;
     2. exact copies keep their first member (aggregate + join on id, no
        text moves);
-    3. survivors are joined by the prefix filter and verified;
-    4. the greedy first-wins set is resolved over the verified edges;
-    5. only the (id, flags) table is joined back to the input."""
+    3. survivors with equal word sets: all but the first go, whatever is
+       decided of the first (what drops it drops them, too);
+    4. the others are joined by the prefix filter and verified;
+    5. the greedy first-wins set is resolved over the verified edges;
+    6. only the (id, flags) table is joined back to the input."""
     extra = [c for c, _ in order if c not in scope and c != id_col]
-    prep = checkpoint(docs.select(*scope, id_col, *extra,
-                                  T.key_hash(T.content_key(F.col(text))).alias("_ck"),
-                                  T.word_set(F.col(text)).alias("_words")))
+    prep = scratch_table(docs.select(*scope, id_col, *extra,
+                                     T.key_hash(T.content_key(F.col(text))).alias("_ck"),
+                                     T.word_set(F.col(text)).alias("_words")), "fuzzy-sets")
     firsts = first_wins(prep.select(*scope, id_col, *extra, "_ck"), scope, F.col("_ck"), order, id_col, "_first")
-    uniq = checkpoint(prep.join(firsts.where("_first").select(id_col), id_col, "left_semi")
-                      .select(*scope, id_col, *extra, "_words"))
-    pairs = near_dup_pairs(uniq, scope, id_col, "_words", order, materialized=True)
-    verdict = resolve_first_wins(pairs.select("a", "b")).withColumnRenamed("id", id_col)
-    flags = checkpoint(firsts.select(id_col, "_first").join(maybe_broadcast(verdict), id_col, "left")
-                       .select(id_col, (~F.col("_first")).alias("dup_exact"),
-                               (F.col("_first") & F.coalesce(~F.col("kept"), F.lit(False))).alias("dup_fuzzy")))
+    uniq = scratch_table(prep.join(firsts.where("_first").select(id_col), id_col, "left_semi")
+                         .select(*scope, id_col, *extra, "_words"), "fuzzy-unique")
+    member = representatives(uniq, scope, id_col, "_words", order)
+    later = scratch_table(member.where("id != representative").select(F.col("id").alias(id_col), F.lit(False).alias("kept")), "fuzzy-copies")
+    pairs = near_dup_pairs(uniq.join(later, id_col, "left_anti"), scope, id_col, "_words", order, materialized=True)
+    verdict = resolve_first_wins(pairs.select("a", "b")).withColumnRenamed("id", id_col).unionByName(later)
+    flags = scratch_table(firsts.select(id_col, "_first").join(verdict, id_col, "left")
+                          .select(id_col, (~F.col("_first")).alias("dup_exact"),
+                                  (F.col("_first") & F.coalesce(~F.col("kept"), F.lit(False))).alias("dup_fuzzy")), "fuzzy-flags")
     return docs.join(flags, id_col, "left")
 
 

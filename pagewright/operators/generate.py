@@ -3,8 +3,9 @@
 The model is a caller-supplied function ``fn(list[dict]) -> list[(text,
 prompt_tokens, completion_tokens)]`` run once per Arrow batch inside
 ``mapInPandas`` (parallelism = partition count). Each request dict holds
-``system``, ``user`` and ``temperature``. Without a function the default
-is a deterministic native renderer, so no Python runs at all."""
+``system``, ``user`` and ``temperature``, and ``max_tokens`` where the answer
+is limited. Without a function the default is a deterministic native renderer,
+so no Python runs at all."""
 
 from __future__ import annotations
 
@@ -16,7 +17,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pagewright import fixed
 from pagewright.functions import markdown as MD
 from pagewright.functions import text as T
-from pagewright.session import ship_package
+from pagewright.operators.order import running_totals
+from pagewright.session import scratch_table, ship_package
 
 
 def user_prompt(title, content) -> Column:
@@ -64,14 +66,15 @@ def _answers(fn, reqs: list[dict]) -> list[tuple]:
 
 
 def _run_fn(fn, system: str, temperature: float, out_col: str,
-            p_col: str = "prompt_tokens", c_col: str = "completion_tokens", e_col: str = "generate_error"):
+            p_col: str = "prompt_tokens", c_col: str = "completion_tokens", e_col: str = "generate_error",
+            limit: dict | None = None):
     """Per Arrow batch: one call of ``fn`` for the batch's requests (rows with
     a NULL request are passed on without one); the text, the two usage counts
     and the error land in the stage's own columns."""
     def run(batches):
         for pdf in batches:
             asked = pdf["_user"].notna().to_numpy()
-            got = iter(_answers(fn, [{"system": system, "user": u, "temperature": temperature}
+            got = iter(_answers(fn, [{"system": system, "user": u, "temperature": temperature, **(limit or {})}
                                      for u in pdf["_user"][asked]]))
             rows = [next(got) if yes else (None, 0, 0, None) for yes in asked]
             out = pdf.drop(columns=["_user"]).reset_index(drop=True)
@@ -82,8 +85,9 @@ def _run_fn(fn, system: str, temperature: float, out_col: str,
 
 
 def generate(df: DataFrame, fn=None, title: str = "title", content: str = "main_text",
-             out_col: str = "generated") -> DataFrame:
-    """Adds ``generated``, ``prompt_tokens``, ``completion_tokens``."""
+             out_col: str = "generated", answer_tokens: int | None = None) -> DataFrame:
+    """Adds ``generated``, ``prompt_tokens``, ``completion_tokens``; every
+    page is asked for (``generate_within_budget`` stops at the budget)."""
     if fn is None:
         p = prompts(df, title, content)
         return (p.withColumn(out_col, default_render(F.col(title), F.col(content)))
@@ -93,7 +97,75 @@ def generate(df: DataFrame, fn=None, title: str = "title", content: str = "main_
     ship_package(df.sparkSession)
     src = df.withColumn("_user", user_prompt(F.col(title), F.col(content)))
     schema = _with_fields(df.schema, out_col, "prompt_tokens", "completion_tokens", "generate_error")
-    return src.mapInPandas(_run_fn(fn, fixed.SYSTEM_PROMPT, fixed.GENERATE_TEMPERATURE, out_col), schema)
+    limit = {"max_tokens": answer_tokens} if answer_tokens else {}
+    return src.mapInPandas(_run_fn(fn, fixed.SYSTEM_PROMPT, fixed.GENERATE_TEMPERATURE, out_col, limit=limit), schema)
+
+
+#: Tokens a request may cost beside the bytes of its prompts (message frames),
+#: and the answer limit that is sent with a request.
+FRAME_TOKENS, ANSWER_TOKENS = 64, 1024
+#: Pages of a site that may be asked for at once whatever they may cost: the
+#: reference's largest batch.
+ROUND_PAGES = fixed.MAX_BATCH
+
+
+def most_tokens(title: Column, content: Column, answer_tokens: int = ANSWER_TOKENS) -> Column:
+    """An upper bound of what a request can use: no byte-level tokenizer makes
+    more tokens than bytes, and the answer is limited."""
+    return (F.octet_length(user_prompt(title, content)) + F.lit(len(fixed.SYSTEM_PROMPT.encode()) + FRAME_TOKENS + answer_tokens)).cast("long")
+
+
+def generate_within_budget(df: DataFrame, seeds: DataFrame, order: list[tuple[str, bool]], fn, id_col: str = "page_id",
+                           title: str = "title", content: str = "main_text", out_col: str = "generated",
+                           answer_tokens: int = ANSWER_TOKENS, stop_fraction: float = fixed.STOP_FRACTION) -> DataFrame:
+    """J2 under the budget: the model is asked for the pages of a site in
+    ``order`` until the site has used ``stop_fraction`` of its ``max_tokens``,
+    and for at most ``ROUND_PAGES - 1`` pages more. Adds ``round`` to what
+    ``generate`` adds; pages that were never asked for are absent.
+
+    Admission goes in rounds over all sites at once. A page is admitted if the
+    tokens used so far and the reserves (``most_tokens``) of the pages admitted
+    before it in this round stay below the stop, so it is needed whatever the
+    others use; and the next ``ROUND_PAGES`` pages of a site always are. Then
+    the calls are settled: a site's real usage takes the place of the reserves,
+    and what is left is the next round's budget. A round uses a fixed share of
+    what was left (usage over reserve), so rounds are few; prefix sums of the
+    reserves are made once. Answers are written before they are counted: a lost
+    executor never repeats a settled round. A site without a seed has no
+    budget."""
+    src = scratch_table(df, "budget-pages")
+    keys = list(dict.fromkeys(c for c, _ in order))
+    narrow = src.select("site", F.col(id_col).alias("_id"), *[c for c in keys if c not in ("site", id_col)],
+                        *([F.col(id_col)] if id_col in keys else []),
+                        most_tokens(F.col(title), F.col(content), answer_tokens).alias("_most"), F.lit(1).cast("long").alias("_one"))
+    queue = scratch_table(running_totals(narrow, ["site"], order, {"_sum": "_most", "_i": "_one"})
+                          .select("site", "_id", "_i", "_sum", (F.col("_sum") - F.col("_most")).alias("_before")), "budget-queue")
+    state = scratch_table(seeds.select("site", (F.col("max_tokens") * stop_fraction).alias("stop"), F.lit(0).cast("long").alias("done"),
+                                       F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("used")), "budget-state")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number, answers = 0, []
+    while True:
+        open_ = state.where("used < stop")
+        near = queue.join(open_, "site").where("_i > done")
+        sure = F.col("used") + F.col("_before") - F.col("base") < F.col("stop")
+        asked = scratch_table(near.where((F.col("_i") <= F.col("done") + ROUND_PAGES) | sure).select("site", "_id", "_i", "_sum"), "budget-asked")
+        if asked.limit(1).count() == 0:
+            break
+        pages = src.join(asked.select(F.col("_id").alias(id_col)), id_col, "left_semi").select(*src.columns).repartition(parts, id_col)
+        got = scratch_table(generate(pages, fn, title, content, out_col, answer_tokens).withColumn("round", F.lit(number)), "budget-answers")
+        answers.append(got)
+        spent = got.groupBy("site").agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("spent"))
+        reach = asked.groupBy("site").agg(F.max("_i").alias("to"), F.max("_sum").alias("sum"))
+        state = scratch_table(state.join(reach, "site", "left").join(spent, "site", "left").select(
+            "site", "stop", F.coalesce("to", "done").alias("done"), F.coalesce("sum", "base").alias("base"),
+            (F.col("used") + F.coalesce("spent", F.lit(0))).alias("used")), "budget-state")
+        number += 1
+    if not answers:
+        return generate(src.where("false"), fn, title, content, out_col, answer_tokens).withColumn("round", F.lit(0))
+    out = answers[0]
+    for got in answers[1:]:
+        out = out.unionByName(got)
+    return out
 
 
 def critique(df: DataFrame, fn=None, content: str = "generated") -> DataFrame:

@@ -5,27 +5,30 @@ whole labelled texts; a row is classified from the whole of lower(strip(text)),
 or its first ``sample`` characters: the language gate defines such a sample.
 
 * train:  explode trigrams, ``groupBy(lang, gram).count()`` -> profile.
-* score:  explode a row's trigrams, count per (row, gram), join the profile
-  on ``gram``, ``sum(k * ln(cnt + 1))`` per (row, lang), subtract
-  ``n_grams * ln(N_lang + V)``; the best language among those with any
-  matching trigram wins (ties: smaller language code). A row with no
-  trigram, or none known to the profile, gets NULL ("no answer").
-
-The profile is an aggregate (languages x distinct trigrams); it is
-broadcast only after its size is checked, otherwise joined by shuffle.
+* score:  the profile becomes one row per gram with ``ln(cnt + 1)`` of every
+  language. A row's trigrams are exploded and meet it by ``gram``; one
+  aggregate per row sums the weights of every language and counts its matches
+  (summed on the map side when the weights are broadcast: one shuffle of one
+  narrow row per text and partition). ``n_grams * ln(N_lang + V)`` is
+  subtracted; the best language among those with any matching trigram wins
+  (ties: smaller language code). A row with no trigram, or none known to the
+  profile, gets NULL ("no answer").
+
+The weights are an aggregate (distinct trigrams); they are broadcast only
+after a check of their bytes, otherwise joined by shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright import fixed
 from pagewright.functions import text as T
 from pagewright.session import maybe_broadcast
 
-PROFILE_BROADCAST_ROWS = 1_000_000   # (lang, 3-char gram, count): ~40 MB at most
-
 
 def _sample(text: Column, sample: int | None) -> Column:
     whole = F.lower(T.py_strip(text))
@@ -50,33 +53,33 @@ def train_language(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
             .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def profile_totals(profile: DataFrame) -> DataFrame:
-    """Per language: total trigram count and the log denominator."""
-    # the vocabulary size is one scalar; only that number reaches the driver
+def language_weights(profile: DataFrame) -> tuple[list[tuple[str, float]], DataFrame]:
+    """The languages with their log denominators, by name, and (gram, w0, w1,
+    ...): ``ln(cnt + 1)`` in every language, NULL where it has no such gram.
+    Only one row per language and the vocabulary size reach the driver."""
     v = profile.agg(F.countDistinct("gram")).first()[0] or 0
-    return (profile.groupBy("lang").agg(F.sum("cnt").alias("n_lang"))
-            .select("lang", F.log(F.col("n_lang") + F.lit(v)).alias("log_den")))
+    totals = profile.groupBy("lang").agg(F.sum("cnt").alias("n")).orderBy("lang").collect()
+    langs = [(r["lang"], math.log(r["n"] + v)) for r in totals]
+    columns = [F.max(F.when(F.col("lang") == lang, F.log(F.col("cnt") + 1))).alias(f"w{k}") for k, (lang, _) in enumerate(langs)]
+    return langs, profile.groupBy("gram").agg(*(columns or [F.lit(None).cast("double").alias("w0")]))
 
 
 def classify_language(df: DataFrame, keys: list[str], text: str, profile: DataFrame,
                       sample: int | None = None,
                       out: str = "lang_pred") -> DataFrame:
     """Adds ``out`` (predicted language or NULL) to ``df`` keyed by ``keys``."""
+    langs, weights = language_weights(profile)
+    if not langs:
+        return df.withColumn(out, F.lit(None).cast("string"))
     grams = (df.select(*keys, _sample(F.col(text), sample).alias("_s"))
-             .select(*keys, F.explode(trigrams(F.col("_s"))).alias("gram"))
-             .groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("k")))
-    n_doc = grams.groupBy(*keys).agg(F.sum("k").alias("n_doc"))
-    prof = maybe_broadcast(profile.select("gram", "lang", "cnt"), PROFILE_BROADCAST_ROWS)
-    totals = F.broadcast(profile_totals(profile))  # one row per language
-    matched = (grams.join(prof, "gram")
-               .groupBy(*keys, "lang")
-               .agg(F.sum(F.col("k") * F.log(F.col("cnt") + 1)).alias("s")))
-    scored = (matched.join(n_doc, keys).join(totals, "lang")
-              .select(*keys, "lang", (F.col("s") - F.col("n_doc") * F.col("log_den")).alias("score")))
-    # best per row: max score, then smallest language code (aggregate, no window)
-    best = (scored.groupBy(*keys)
-            .agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("lang"))).alias("b"))
-            .select(*keys, F.col("b.lang").alias(out)))
+             .select(*keys, F.explode(trigrams(F.col("_s"))).alias("gram")))
+    every = range(len(langs))
+    sums = (grams.join(maybe_broadcast(weights), "gram", "left").groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{k}").alias(f"s{k}") for k in every]))
+    # a language without any matching trigram has a NULL sum and no score
+    scores = [F.when(F.col(f"s{k}").isNotNull(), F.struct((F.col("n") * den - F.col(f"s{k}")).alias("cost"), F.lit(lang).alias("lang")))
+              for k, (lang, den) in enumerate(langs)]
+    best = sums.select(*keys, F.array_min(F.array_compact(F.array(*scores)))["lang"].alias(out))
     return df.join(best, keys, "left")
 
 

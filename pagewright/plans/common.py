@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright import fixed
 from pagewright.functions import urls as U
 from pagewright.operators import extract as X
 from pagewright.operators import language as L
@@ -61,7 +62,6 @@ def docs_usage(spark: SparkSession, d: str) -> DataFrame:
     """Usage rows from ``conversations``: one model call per turn; user and
     system turns are prompt tokens, assistant turns completion tokens."""
     from pagewright.functions.text import token_estimate
-    from pagewright import fixed
     c = table(spark, d, "conversations")
     t = token_estimate(F.col("text"))
     return c.select(
@@ -72,3 +72,38 @@ def docs_usage(spark: SparkSession, d: str) -> DataFrame:
         F.lit(fixed.DEFAULT_MODEL).alias("model"),
         F.when(F.col("role").isin("user", "system"), t).otherwise(F.lit(0)).cast("bigint").alias("prompt_tokens"),
         F.when(F.col("role") == "assistant", t).otherwise(F.lit(0)).cast("bigint").alias("completion_tokens"))
+
+
+def outline_model(requests: list[dict]) -> list[tuple]:
+    """A deterministic model function for the registered queries: an outline
+    page, a critique of every second text, and a refinement that adds examples.
+    Its usage is a quarter of the characters of request and answer."""
+    out = []
+    for r in requests:
+        user = r["user"]
+        if r["system"] == fixed.SYSTEM_PROMPT:
+            title, content = user[len("Title: "):].split("\n\nContent: ", 1)
+            text = f"## {title}\n\n### Overview\n\n{content}"
+        elif r["system"] == fixed.CRITIQUE_SYSTEM_PROMPT:
+            content = user.split("\n\n", 1)[1]
+            text = "Add examples." if len(content) % 2 else ""
+        else:
+            content = user.split("\n\n", 1)[1].rsplit("\n\nCritique:\n\n", 1)[0]
+            text = f"{content}\n\n### Examples\n\nNone yet."
+        out.append((text, len(user) // 4 + 1, len(text) // 4 + 1))
+    return out
+
+
+def relinked(spark: SparkSession, d: str, rules=TEST_RULES) -> DataFrame:
+    """A page table whose pages link to each other: inside a site, the k-th
+    page takes the k-th distinct scored link of the site as its URL, and hrefs
+    become the links they stand for. (site, page_id, url, hrefs, base_type)."""
+    from pagewright.operators.links import page_links
+    from pagewright.operators.order import rank_within
+    ex = extracted(spark, d).select("site", "page_id", "url", "hrefs")
+    links = page_links(ex, F.col("url"), F.col("site"), rules)
+    targets = rank_within(links.select("site", F.col("url").alias("target")).distinct(), ["site"], [("target", True)], "k")
+    numbered = rank_within(ex.select("site", "page_id", "url"), ["site"], [("page_id", True)], "k")
+    hrefs = links.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("hrefs"))
+    return (numbered.join(targets, ["site", "k"], "left").join(hrefs, "page_id", "left")
+            .select("site", "page_id", F.coalesce("target", "url").alias("url"), F.coalesce("hrefs", F.array().cast("array<string>")).alias("hrefs")))

@@ -1,20 +1,23 @@
-"""Traversal of a stored corpus, all sites advancing together.
+"""Traversal of a stored corpus, all sites advancing together.
 
-Each round is a handful of joins over the frontier, the page table and the
-visited set; state is checkpointed per round (reliable checkpoint folder),
-so lineage and recovery stay one round deep. The number of rounds is the
-graph depth (T3) or pages / batch size of the largest site (T2)."""
+Which stored page links to which is found once, for all pages, and the
+traversal then goes over page numbers only. The edges lie in buckets of their
+source and the visited pages in append-only partitions by depth, so a round
+reads the buckets that the frontier touches and writes what it found. The
+number of rounds is the depth of the graph."""
 
 from __future__ import annotations
 
 import itertools
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright import fixed
 from pagewright.operators.links import page_links
-from pagewright.session import checkpoint
+from pagewright.session import scratch_dir, scratch_table
+
+EDGE_BUCKETS = 256
 
 
 def _pages_norm(gated: DataFrame) -> DataFrame:
@@ -27,107 +30,40 @@ def _pages_norm(gated: DataFrame) -> DataFrame:
                     F.col("reason").isNull().alias("ok")))
 
 
+def _bucket(node):
+    return F.pmod(F.xxhash64(node), F.lit(EDGE_BUCKETS)).cast("int")
+
+
+def page_edges(pages: DataFrame, rules) -> DataFrame:
+    """(src, dst): stored pages that a successful page links to by a scored
+    link, once each. ``pages`` as ``_pages_norm`` gives them."""
+    links = page_links(pages.where("ok").select("site", "page_id", "url", "hrefs"), F.col("url"), F.col("site"), rules)
+    stored = pages.select("site", F.col("node").alias("url"), F.col("page_id").alias("dst"))
+    return links.select("site", "url", F.col("page_id").alias("src")).join(stored, ["site", "url"]).select("src", "dst").distinct()
+
+
 def reachable(seeds: DataFrame, gated: DataFrame, rules, max_depth: int | None = None) -> DataFrame:
     """Pages reachable from each seed through scored links of
     successful pages, with their BFS depth. ``seeds(site, start_url)``.
     Runs until the frontier is empty, unless the caller sets a depth."""
-    pages = checkpoint(_pages_norm(gated))
-    frontier = checkpoint(seeds.select("site", F.substring_index("start_url", "#", 1).alias("node")).distinct())
-    visited = None
-    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
-        found = pages.join(frontier, ["site", "node"])
-        if visited is not None:
-            found = found.join(visited.select("site", "node"), ["site", "node"], "left_anti")
-        found = checkpoint(found.withColumn("depth", F.lit(depth)))
-        if found.limit(1).count() == 0:
-            break
-        visited = found if visited is None else checkpoint(visited.unionByName(found))
-        links = page_links(found.where("ok").select("site", "page_id", "url", "hrefs"),
-                           F.col("url"), F.col("site"), rules)
-        frontier = checkpoint(links.select("site", F.col("url").alias("node")).distinct()
-                              .join(visited.select("site", "node"), ["site", "node"], "left_anti"))
-        if frontier.limit(1).count() == 0:
-            break
-    if visited is None:
-        return pages.limit(0).select("site", "page_id", F.col("node").alias("url"), F.lit(0).alias("depth"))
-    return visited.select("site", "page_id", F.col("node").alias("url"), "depth")
-
-
-def crawl_order(seeds: DataFrame, gated: DataFrame, tokens: DataFrame, rules,
-                max_rounds: int = 10_000) -> DataFrame:
-    """Best-first crawl with adaptive batches under the token budget.
-
-    ``seeds(site, start_url, max_tokens)``; ``tokens(page_id, tokens)`` is
-    the usage of processing a page. Each round every site whose budget is
-    not exhausted takes its top-b unvisited frontier URLs (score DESC, then
-    discovery order). A successful page marks its section found and adds its
-    scored links, each boosted +5 per required section still missing at
-    that point (sections found by earlier results of the same batch count).
-    Output: ``(site, url, page_id, type, score, round, pick)``."""
-    required = [r for r in rules if r.required]
-    pages = checkpoint(_pages_norm(gated).join(tokens, "page_id", "left")
-                       .withColumn("tokens", F.coalesce("tokens", F.lit(0))))
-    frontier = checkpoint(seeds.select("site", F.substring_index("start_url", "#", 1).alias("node"),
-                                       F.lit(fixed.SEED_SCORE).alias("score"), F.lit(fixed.SEED_TYPE).alias("type"),
-                                       F.lit(0).cast("bigint").alias("seq")))
-    progress = checkpoint(seeds.select("site", "max_tokens", F.lit(0).cast("bigint").alias("used"),
-                                       F.lit(0).cast("bigint").alias("successes"),
-                                       F.array().cast("array<string>").alias("found")))
-    log = None
-    visited = None
-    for rnd in range(max_rounds):
-        # G2 batch size per site from (used, successes); stopped sites get 0
-        avg = F.col("used") / F.greatest(F.lit(1), F.col("successes"))
-        b = F.when(F.col("used") >= F.col("max_tokens") * fixed.STOP_FRACTION, F.lit(0)).otherwise(
-            F.greatest(F.lit(1), F.least(F.lit(fixed.MAX_BATCH),
-                                         ((F.col("max_tokens") - F.col("used"))
-                                          / F.greatest(avg, F.lit(fixed.MIN_TOKENS_PER_PAGE))).cast("int"))))
-        sizes = progress.select("site", b.alias("b"), "found")
-        cand = frontier if visited is None else frontier.join(visited, ["site", "node"], "left_anti")
-        # a URL listed more than once is taken at its best position
-        best = Window.partitionBy("site", "node").orderBy(F.col("score").desc(), "seq")
-        w = Window.partitionBy("site").orderBy(F.col("score").desc(), "seq", "node")
-        picks = checkpoint(cand.withColumn("_d", F.row_number().over(best)).where("_d = 1")
-                           .withColumn("pick", F.row_number().over(w))
-                           .where(F.col("pick") <= fixed.MAX_BATCH)   # partial top-k per site
-                           .join(sizes, "site").where(F.col("pick") <= F.col("b"))
-                           .select("site", "node", "score", "type", "pick", "found", F.lit(rnd).alias("round")))
-        if picks.limit(1).count() == 0:
+    spark = gated.sparkSession
+    pages = scratch_table(_pages_norm(gated), "crawl-pages")
+    root = scratch_dir(spark, f"crawl-{uuid.uuid4().hex}")
+    (page_edges(pages, rules).withColumn("bucket", _bucket("src")).repartition("bucket")
+     .write.partitionBy("bucket").parquet(f"{root}/edges"))
+    edges = spark.read.schema("src long, dst long, bucket int").parquet(f"{root}/edges")
+    visited = spark.read.schema("id long, depth int")
+    start = seeds.select("site", F.substring_index("start_url", "#", 1).alias("node")).distinct()
+    found = pages.join(start, ["site", "node"]).select(F.col("page_id").alias("id"))
+    for depth in itertools.count():
+        path = f"{root}/visited/depth={depth}"
+        found.write.parquet(path)
+        new = spark.read.schema("id long").parquet(path)
+        if depth == max_depth or new.limit(1).count() == 0:
             break
-        visited = checkpoint(picks.select("site", "node") if visited is None
-                             else visited.unionByName(picks.select("site", "node")))
-        fetched = picks.join(pages, ["site", "node"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-        step = (fetched.select("site", "node", "page_id", "type", "score", "round", "pick"))
-        log = checkpoint(step if log is None else log.unionByName(step))
-        # sections found after each pick of the batch (at most MAX_BATCH rows per site)
-        wp = Window.partitionBy("site").orderBy("pick").rowsBetween(Window.unboundedPreceding, 0)
-        fetched = fetched.withColumn("found_now", F.array_union(
-            F.col("found"), F.collect_set(F.when(F.col("ok"), F.col("type"))).over(wp)))
-        gained = fetched.groupBy("site").agg(F.sum("tokens").alias("dt"),
-                                              F.sum(F.col("ok").cast("int")).alias("ds"),
-                                              F.max(F.struct("pick", "found_now")).alias("_last"))
-        progress = checkpoint(progress.join(gained, "site", "left").select(
-            "site", "max_tokens", (F.col("used") + F.coalesce("dt", F.lit(0))).alias("used"),
-            (F.col("successes") + F.coalesce("ds", F.lit(0))).alias("successes"),
-            F.coalesce(F.col("_last.found_now"), F.col("found")).alias("found")))
-        ok_pages = fetched.where("ok").select("site", "page_id", "url", "hrefs", "pick", "found_now")
-        links = page_links(ok_pages.select("site", "page_id", "url", "hrefs"), F.col("url"), F.col("site"), rules)
-        links = links.join(ok_pages.select("page_id", "pick", "found_now"), "page_id")
-        u = F.lower(F.col("url"))
-        boost = F.lit(0)
-        for r in required:
-            hit = F.lit(False)
-            for pat in r.patterns:
-                hit = hit | u.contains(pat)
-            boost = boost + F.when(~F.array_contains("found_now", r.section) & hit,
-                                   F.lit(fixed.BOOST_PER_SECTION)).otherwise(0)
-        new = links.select("site", F.col("url").alias("node"), (F.col("score") + boost).alias("score"), "type",
-                           (F.lit(rnd + 1).cast("bigint") * 1_000_000_000
-                            + F.col("pick").cast("bigint") * 1_000_000 + F.col("pos")).alias("seq"))
-        frontier = checkpoint(cand.join(picks.select("site", "node"), ["site", "node"], "left_anti")
-                              .unionByName(new.join(visited, ["site", "node"], "left_anti")))
-    if log is None:
-        return seeds.limit(0).select("site", F.lit(None).cast("string").alias("url"),
-                                     F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("type"),
-                                     F.lit(0).alias("score"), F.lit(0).alias("round"), F.lit(0).alias("pick"))
-    return log.select("site", F.col("node").alias("url"), "page_id", "type", "score", "round", "pick")
+        # only the frontier's buckets are read: pruned by the frontier itself
+        step = edges.join(new.select(F.col("id").alias("src"), _bucket("id").alias("bucket")), ["bucket", "src"])
+        found = (step.select(F.col("dst").alias("id")).distinct()
+                 .join(visited.parquet(f"{root}/visited").select("id"), "id", "left_anti"))
+    at = visited.parquet(f"{root}/visited")
+    return pages.join(at, pages["page_id"] == at["id"]).select("site", "page_id", F.col("node").alias("url"), "depth")

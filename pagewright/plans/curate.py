@@ -28,8 +28,6 @@ def gate_pages(extracted: DataFrame, profile: DataFrame, primary: str = fixed.PR
     return g.withColumn("reason", reason).drop("text_ok", "title_ok")
 
 
-from pyspark.sql import Window  # noqa: E402
-
 from pagewright.functions import code as CD  # noqa: E402
 from pagewright.functions import text as T  # noqa: E402
 from pagewright.operators import accounting as AC  # noqa: E402
@@ -37,6 +35,7 @@ from pagewright.operators import assemble as AS  # noqa: E402
 from pagewright.operators import dedup as DD  # noqa: E402
 from pagewright.operators import generate as G  # noqa: E402
 from pagewright.operators.links import link_score, link_type  # noqa: E402
+from pagewright.operators.order import rank_within  # noqa: E402
 from pagewright.session import checkpoint  # noqa: E402
 
 default_render = G.default_render
@@ -66,9 +65,9 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
                        .select("site", "page_id", "url", "type", "score", "title", "main_text", "reason"))
     eligible = gated.where(F.col("reason").isNull())
 
-    gen = G.generate(eligible.select("site", "page_id", "url", "type", "score", "title", "main_text"),
-                     generate_fn)
-    gen = checkpoint(gen)
+    asked = eligible.select("site", "page_id", "url", "type", "score", "title", "main_text")
+    # a model is asked up to the budget only; the native renderer costs nothing
+    gen = checkpoint(G.generate(asked)) if generate_fn is None else G.generate_within_budget(asked, seeds, order, generate_fn)
     # budget over all processed pages: rows before the per-site stop key
     ranked = (gated.select("site", "page_id", "url", "score")
               .join(gen.select("page_id", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens")),
@@ -112,13 +111,15 @@ def curate(pages: DataFrame, seeds: DataFrame, rules, profile: DataFrame,
     ref = checkpoint(G.refine(crit, refine_fn))
     final = DD.first_wins(ref, ["site"], F.concat_ws("\u0000", F.col("type"), T.title_key(F.col("title"))),
                           order, "page_id", "section_first").where("section_first")
-    w = Window.partitionBy("site").orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order])
-    curated = checkpoint(final.withColumn("rank", F.row_number().over(w))
+    ranks = rank_within(final.select("site", "score", "page_id", "url"), ["site"], order).select("page_id", "rank")
+    curated = checkpoint(final.join(ranks, "page_id")
                          .select("site", "page_id", "url", "rank", "type", "score", "title",
                                  F.col("final").alias("content")))
 
     model = F.lit(fixed.DEFAULT_MODEL)
-    usage = (gen.join(processed, "page_id", "left_semi")
+    # calls past the stop are paid, too (at most two a site)
+    paid = gen.join(processed, "page_id", "left_semi") if generate_fn is None else gen
+    usage = (paid
              .select("site", "page_id", F.lit("generate").alias("stage"), model.alias("model"),
                      "prompt_tokens", "completion_tokens")
              .unionByName(ref.select("site", "page_id", F.lit("critique").alias("stage"), model.alias("model"),

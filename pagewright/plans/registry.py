@@ -76,9 +76,17 @@ def _sql_profile_ctes() -> str:
             f"tot AS (SELECT lang, ln(sum(cnt) + (SELECT v FROM vocab)) AS log_den FROM prof GROUP BY lang)")
 
 
-def _sql_classify(src: str, key: str, txt: str) -> str:
+def _sql_classify(src: str, key: str, txt: str, whole: bool = False) -> str:
     """Best language per key of ``src(key, txt)`` (rows without a known
-    trigram are absent)."""
+    trigram are absent), from the gate's sample or the whole text."""
+    if whole:
+        chars = f"SELECT {key} AS key, string_split(lower({S.strip(txt)}), '') AS c FROM {src}"
+        return (f"(SELECT key, lang FROM (SELECT sc.key, sc.lang, row_number() OVER (PARTITION BY sc.key "
+                f"ORDER BY sc.s - nd.n_doc * tot.log_den DESC, sc.lang) AS rn FROM "
+                f"(SELECT dg.key, p.lang, sum(dg.k * ln(p.cnt + 1)) AS s FROM "
+                f"(SELECT key, gram, count(*) AS k FROM (SELECT key, unnest({_sql_char_grams('c')}) AS gram FROM ({chars})) GROUP BY key, gram) dg "
+                f"JOIN prof p ON p.gram = dg.gram GROUP BY dg.key, p.lang) sc "
+                f"JOIN (SELECT key, greatest(len(c) - 2, 0) AS n_doc FROM ({chars})) nd ON nd.key = sc.key JOIN tot ON tot.lang = sc.lang) WHERE rn = 1)")
     return (f"(SELECT key, lang FROM (SELECT sc.key, sc.lang, row_number() OVER (PARTITION BY sc.key "
             f"ORDER BY sc.s - nd.n_doc * tot.log_den DESC, sc.lang) AS rn FROM "
             f"(SELECT dg.key, p.lang, sum(dg.k * ln(p.cnt + 1)) AS s FROM "
@@ -220,7 +228,7 @@ def lang_profile(spark, d):
 
 @register("lang_classify", f"""
 WITH {_sql_profile_ctes()}, ex AS ({_sql_extracted()})
-SELECT ex.page_id, c.lang AS lang_pred FROM ex LEFT JOIN {_sql_classify('ex', 'page_id', 'main_text')} c
+SELECT ex.page_id, c.lang AS lang_pred FROM ex LEFT JOIN {_sql_classify('ex', 'page_id', 'main_text', whole=True)} c
 ON c.key = ex.page_id""")
 def lang_classify(spark, d):
     ex = C.extracted(spark, d).select("page_id", "main_text")
@@ -383,19 +391,34 @@ def exact_dedup(spark, d):
             .select("doc_id", "kept"))
 
 
+_SQL_SETS = f"SELECT doc_id, list_sort({S.word_set('text')}) AS ws FROM documents"
 _SQL_PAIRS = f"""
-WITH w AS (SELECT doc_id, {S.word_set('text')} AS ws FROM documents),
-n AS (SELECT doc_id, ws, len(ws) AS n FROM w WHERE len(ws) > 0),
+WITH n AS (SELECT min(doc_id) AS doc_id, ws, len(ws) AS n FROM ({_SQL_SETS}) WHERE len(ws) > 0 GROUP BY ws),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.ws, b.ws)) AS inter, a.n AS na, b.n AS nb
       FROM n a JOIN n b ON a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {DD.PCT} * greatest(a.n, b.n))
 SELECT a, b, inter, na + nb - inter AS uni, inter::DOUBLE / (na + nb - inter)::DOUBLE AS jaccard
 FROM p WHERE 100 * inter > {DD.PCT} * (na + nb - inter)"""
 
 
+def _word_sets(spark, d):
+    from pagewright.session import scratch_table
+    return scratch_table(C.table(spark, d, "documents").select("doc_id", T.word_set(F.col("text")).alias("ws")), "word-sets")
+
+
 @register("near_dup_pairs", _SQL_PAIRS)
 def near_dup_pairs(spark, d):
-    docs = C.table(spark, d, "documents").select("doc_id", T.word_set(F.col("text")).alias("ws"))
-    return DD.near_dup_pairs(docs, [], "doc_id", "ws", [("doc_id", True)]).select("a", "b", "inter", "uni", "jaccard")
+    """Pairs of the first documents of different word sets; the other
+    documents of a set are the rows of ``near_dup_members``."""
+    sets, by = _word_sets(spark, d), [("doc_id", True)]
+    first = DD.representatives(sets, [], "doc_id", "ws", by).where("id = representative").select(F.col("id").alias("doc_id"))
+    return DD.near_dup_pairs(sets.join(first, "doc_id", "left_semi"), [], "doc_id", "ws", by).select("a", "b", "inter", "uni", "jaccard")
+
+
+@register("near_dup_members", f"""
+SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS representative FROM ({_SQL_SETS}) WHERE len(ws) > 0""")
+def near_dup_members(spark, d):
+    return (DD.representatives(_word_sets(spark, d), [], "doc_id", "ws", [("doc_id", True)])
+            .select(F.col("id").alias("doc_id"), "representative"))
 
 
 # Sequential model: visit documents in doc_id order carrying the list of kept
@@ -752,6 +775,41 @@ def generated_docs(spark, d):
     return g.select("page_id", F.md5("generated").alias("generated_md5"), "prompt_tokens", "completion_tokens")
 
 
+_NL2 = "chr(10) || chr(10)"
+_SQL_OUTLINE = f"'## ' || title || {_NL2} || '### Overview' || {_NL2} || main_text"
+_SQL_OUTLINE_IN = f"length({_SQL_PROMPT}) // 4 + 1"
+_SQL_OUTLINE_OUT = f"length({_SQL_OUTLINE}) // 4 + 1"
+
+
+@register("generated_within_budget", f"""
+SELECT site, page_id, md5(g) AS generated_md5, p_tok AS prompt_tokens, c_tok AS completion_tokens FROM (
+  SELECT *, coalesce(sum(p_tok + c_tok) OVER (PARTITION BY site ORDER BY {_PAGE_ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before
+  FROM (SELECT *, {_SQL_OUTLINE} AS g, {_SQL_OUTLINE_IN} AS p_tok, {_SQL_OUTLINE_OUT} AS c_tok FROM ({_sql_typed_eligible()})))
+WHERE used_before < {_LIMIT}""")
+def generated_within_budget(spark, d):
+    """J2 with a model function that is asked up to the budget of each site."""
+    pages = _eligible_typed(spark, d).select("site", "page_id", "url", "score", "title", "main_text")
+    seeds = pages.select("site").distinct().withColumn("max_tokens", F.lit(fixed.DEFAULT_MAX_TOKENS))
+    got = GN.generate_within_budget(pages, seeds, C.PAGE_ORDER, C.outline_model)
+    used = got.select("site", "page_id", "url", "score", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
+    kept = AC.budget_cut(used, seeds, C.PAGE_ORDER).select("page_id")
+    return (got.join(kept, "page_id", "left_semi")
+            .select("site", "page_id", F.md5("generated").alias("generated_md5"), "prompt_tokens", "completion_tokens"))
+
+
+@register("model_critiques", f"""
+SELECT page_id, CASE WHEN length(g) % 2 = 1 THEN 'Add examples.' ELSE '' END AS critique,
+       (length('Please analyze and critique this documentation:' || {_NL2} || g)) // 4 + 1 AS critique_prompt_tokens,
+       CASE WHEN length(g) % 2 = 1 THEN length('Add examples.') // 4 + 1 ELSE 1 END AS critique_completion_tokens
+FROM (SELECT page_id, {_SQL_OUTLINE} AS g FROM ({_sql_typed_eligible()}))""")
+def model_critiques(spark, d):
+    """J3 with a model function over every generated page."""
+    pages = _eligible_typed(spark, d).select("page_id", "title", "main_text")
+    made = GN.generate(pages, C.outline_model).select("page_id", "generated")
+    return (GN.critique(made, C.outline_model)
+            .select("page_id", "critique", "critique_prompt_tokens", "critique_completion_tokens"))
+
+
 def _sql_audit(m: str) -> str:
     checks = [("missing_h2", f"NOT regexp_matches({m}, '(?m)^## ')"),
               ("missing_h3", f"NOT regexp_matches({m}, '(?m)^### ')")]
@@ -830,27 +888,30 @@ def bundle_header(spark, d):
 # whole plan (rows-only checks; covered by tests against sequential models)
 # ---------------------------------------------------------------------------
 
-def _curate(spark, d):
+def _curate(spark, d, model=None):
     from pagewright.plans.curate import curate
     from pagewright.sources.seeds import seeds_from_pages
     p = C.pages(spark, d)
-    return curate(p, seeds_from_pages(p), C.TEST_RULES, C.profile(spark, d), generated_at=GENERATED_AT)
+    return curate(p, seeds_from_pages(p), C.TEST_RULES, C.profile(spark, d), model, False if model else None, model, model,
+                  generated_at=GENERATED_AT)
 
 
-def _sql_curate(select: str) -> str:
-    """The whole corpus-mode plan as one statement: gates, default render,
+def _sql_curate(select: str, render: str = _SQL_RENDER, p_tok: str = f"{_SYS_TOKENS} + {S.tokens(_SQL_PROMPT)}",
+                c_tok: str = S.tokens("generated"), content: str = "generated") -> str:
+    """The whole corpus-mode plan as one statement: gates, rendered pages,
     per-site budget over processed pages, generated-text gate, title
     first-wins, a sequential greedy content pool per site (recursive CTE),
-    section first-wins. ``select`` reads the CTEs."""
+    section first-wins. ``select`` reads the CTEs; the other arguments are the
+    generated text, its usage and the refined text."""
     u = "split_part(url, '#', 1)"
     order = _PAGE_ORDER_SQL
     return f"""
 WITH RECURSIVE {_sql_profile_ctes()},
 g AS MATERIALIZED (SELECT site, page_id, url, title, main_text, reason,
     {S.rule_case(u, C.TEST_RULES, 'type')} AS type, {S.rule_case(u, C.TEST_RULES, 'score')} AS score,
-    CASE WHEN reason IS NULL THEN {_SQL_RENDER} END AS generated FROM ({_sql_eligible()})),
-gt AS MATERIALIZED (SELECT *, CASE WHEN reason IS NULL THEN {_SYS_TOKENS} + {S.tokens(_SQL_PROMPT)} ELSE 0 END AS p_tok,
-    CASE WHEN reason IS NULL THEN {S.tokens('generated')} ELSE 0 END AS c_tok FROM g),
+    CASE WHEN reason IS NULL THEN {render} END AS generated FROM ({_sql_eligible()})),
+gt AS MATERIALIZED (SELECT *, CASE WHEN reason IS NULL THEN {p_tok} ELSE 0 END AS p_tok,
+    CASE WHEN reason IS NULL THEN {c_tok} ELSE 0 END AS c_tok FROM g),
 proc AS MATERIALIZED (SELECT * FROM (SELECT *, coalesce(sum(p_tok + c_tok) OVER (PARTITION BY site ORDER BY {order}
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before FROM gt) WHERE used_before < {_LIMIT}),
 el AS MATERIALIZED (SELECT * FROM proc WHERE reason IS NULL),
@@ -877,7 +938,7 @@ kept AS MATERIALIZED (SELECT * FROM pooled WHERE NOT dup_content),
 fin AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, type, lower({S.strip('title')})
     ORDER BY {order}) AS sf FROM kept) WHERE sf = 1),
 cur AS MATERIALIZED (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY {order}) AS rank,
-    type, score, title, generated AS content FROM fin),
+    type, score, title, {content} AS content FROM fin),
 rej AS MATERIALIZED (SELECT proc.site, proc.page_id, proc.url, coalesce(proc.reason,
     CASE WHEN NOT g2.gen_ok THEN 'generated_language' WHEN NOT tk.title_first THEN 'dup_title'
          WHEN pooled.dup_content THEN 'dup_content' END) AS reason
@@ -920,6 +981,33 @@ def refined_docs(spark, d):
     return c.select("site", "page_id", F.md5("content").alias("content_md5"))
 
 
+_SQL_REFINED = f"CASE WHEN length(generated) % 2 = 1 THEN generated || {_NL2} || '### Examples' || {_NL2} || 'None yet.' ELSE generated END"
+
+
+def _sql_model(select: str) -> str:
+    return _sql_curate(select, _SQL_OUTLINE, _SQL_OUTLINE_IN, "length(generated) // 4 + 1", _SQL_REFINED)
+
+
+@register("model_refined_docs", _sql_model("SELECT site, page_id, rank, md5(content) AS content_md5 FROM cur"))
+def model_refined_docs(spark, d):
+    """J2-J4 inside the whole plan: a model generates up to the budget,
+    criticises what is kept and refines what it criticised."""
+    return _curate(spark, d, C.outline_model)["curated"].select("site", "page_id", "rank", F.md5("content").alias("content_md5"))
+
+
+@register("model_usage_by_stage", _sql_model(f"""
+SELECT site, 'critique' AS stage, sum(length('Please analyze and critique this documentation:' || {_NL2} || generated) // 4 + 1)::BIGINT AS prompt_tokens,
+  sum(CASE WHEN length(generated) % 2 = 1 THEN length('Add examples.') // 4 + 1 ELSE 1 END)::BIGINT AS completion_tokens FROM kept GROUP BY site
+UNION ALL SELECT site, 'refine', sum(CASE WHEN length(generated) % 2 = 1 THEN length('Original content:' || {_NL2} || generated || {_NL2}
+  || 'Critique:' || {_NL2} || 'Add examples.' || {_NL2} || 'Please refine the content based on this critique.') // 4 + 1 ELSE 0 END)::BIGINT,
+  sum(CASE WHEN length(generated) % 2 = 1 THEN length({_SQL_REFINED}) // 4 + 1 ELSE 0 END)::BIGINT FROM kept GROUP BY site"""))
+def model_usage_by_stage(spark, d):
+    """Usage of the later stages of the same plan (generation also pays
+    for up to two pages past the stop)."""
+    u = _curate(spark, d, C.outline_model)["usage"].where("stage <> 'generate'")
+    return u.groupBy("site", "stage").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+
+
 @register("site_bundle")
 def site_bundle(spark, d):
     return _curate(spark, d)["bundles"].select("site", F.length("markdown").alias("chars"),
@@ -932,7 +1020,7 @@ def code_examples(spark, d):
 
 
 # ---------------------------------------------------------------------------
-# T2 / T3 traversal (rows-only: iterative)
+# T3 traversal
 # ---------------------------------------------------------------------------
 
 def _crawl_inputs(spark, d):
@@ -944,42 +1032,62 @@ def _crawl_inputs(spark, d):
     return gated, seeds
 
 
-def _sql_reachable(max_depth: int = 100) -> str:
-    """Level-synchronous reachability as a depth-bounded recursive CTE:
-    from each site's first page, follow scored links of successful pages;
-    a stored page's depth is the shortest path length."""
+def _sql_reachable(el: str, lk: str) -> str:
+    """Level-synchronous reachability: from each site's first page, follow
+    the links of successful pages; a stored page's depth is the shortest path
+    length, which is below the number of stored pages."""
     return f"""
 WITH RECURSIVE
-el AS MATERIALIZED (SELECT site, page_id, url, split_part(url, '#', 1) AS node, reason IS NULL AS ok FROM ({_sql_eligible()})),
+el AS MATERIALIZED ({el}),
 pg AS MATERIALIZED (SELECT site, node, min(page_id) AS page_id FROM el GROUP BY site, node),
-lk AS MATERIALIZED (SELECT site, page_id, url AS target FROM ({_sql_links()})),
-st AS MATERIALIZED (SELECT site, split_part(arg_min(url, page_id), '#', 1) AS node FROM el GROUP BY site),
-r(site, node, depth) AS (
-  SELECT site, node, 0 FROM st
+lk AS MATERIALIZED (SELECT DISTINCT s.page_id AS src, pg.page_id AS dst FROM ({lk}) l JOIN el s ON s.page_id = l.page_id AND s.ok
+  JOIN pg p ON p.page_id = s.page_id JOIN pg ON pg.site = l.site AND pg.node = l.url),
+r(page_id, depth) AS (
+  SELECT pg.page_id, 0 FROM pg JOIN (SELECT site, arg_min(node, page_id) AS node FROM el GROUP BY site) st
+    ON pg.site = st.site AND pg.node = st.node
   UNION
-  SELECT r.site, lk.target, r.depth + 1 FROM r
-    JOIN pg ON pg.site = r.site AND pg.node = r.node
-    JOIN el ON el.page_id = pg.page_id AND el.ok
-    JOIN lk ON lk.page_id = pg.page_id
-  WHERE r.depth < {max_depth})
+  SELECT lk.dst, r.depth + 1 FROM r JOIN lk ON lk.src = r.page_id WHERE r.depth < (SELECT count(*) FROM pg))
 SELECT pg.site, pg.page_id, pg.node AS url, min(r.depth) AS depth
-FROM r JOIN pg ON pg.site = r.site AND pg.node = r.node GROUP BY pg.site, pg.page_id, pg.node"""
+FROM r JOIN pg ON pg.page_id = r.page_id GROUP BY pg.site, pg.page_id, pg.node"""
 
 
-@register("reachable_pages", _sql_reachable())
+@register("reachable_pages", _sql_reachable(
+    f"SELECT site, page_id, split_part(url, '#', 1) AS node, reason IS NULL AS ok FROM ({_sql_eligible()})",
+    f"SELECT site, page_id, url FROM ({_sql_links()})"))
 def reachable_pages(spark, d):
     from pagewright.plans.crawl import reachable
     gated, seeds = _crawl_inputs(spark, d)
     return reachable(seeds, gated, C.TEST_RULES)
 
 
-@register("crawl_order")
-def crawl_order(spark, d):
-    from pagewright.plans.crawl import crawl_order as co
-    gated, seeds = _crawl_inputs(spark, d)
-    g = GN.generate(C.typed(gated.where(F.col("reason").isNull())))
-    tokens = g.select("page_id", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
-    return co(seeds, gated, tokens, C.TEST_RULES)
+_SQL_RELINKED = f"""
+SELECT n.site, n.page_id, coalesce(t.url, n.url) AS url FROM (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM ({_sql_pages()})) n
+LEFT JOIN (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS k FROM (SELECT DISTINCT site, url FROM ({_sql_links()}))) t
+ON t.site = n.site AND t.k = n.k"""
+
+
+@register("linked_pages_resolution", f"""
+WITH pg AS ({_SQL_RELINKED})
+SELECT l.site, l.page_id, l.pos, l.url, p.page_id AS target_page_id, p.page_id IS NOT NULL AS resolved
+FROM ({_sql_links()}) l LEFT JOIN (SELECT site, split_part(url, '#', 1) AS url, min(page_id) AS page_id FROM pg GROUP BY ALL) p
+ON p.site = l.site AND p.url = l.url""")
+def linked_pages_resolution(spark, d):
+    """E5 over pages that link to each other (see ``common.relinked``)."""
+    pages = C.relinked(spark, d)
+    stored = (pages.groupBy("site", F.substring_index("url", "#", 1).alias("url_norm")).agg(F.min("page_id").alias("page_id")))
+    return LK.link_resolution(_links(spark, d).select("site", "page_id", "pos", "url"), stored).select(
+        "site", "page_id", "pos", "url", "target_page_id", "resolved")
+
+
+@register("linked_pages_reachable", _sql_reachable(
+    f"SELECT site, page_id, split_part(url, '#', 1) AS node, true AS ok FROM ({_SQL_RELINKED})",
+    f"SELECT site, page_id, url FROM ({_sql_links()})"))
+def linked_pages_reachable(spark, d):
+    """T3 over pages that link to each other."""
+    from pagewright.plans.crawl import reachable
+    pages = C.relinked(spark, d).withColumn("reason", F.lit(None).cast("string"))
+    first = pages.groupBy("site").agg(F.min(F.struct("page_id", "url")).alias("f"))
+    return reachable(first.select("site", F.col("f.url").alias("start_url")), pages, C.TEST_RULES)
 
 
 # ---------------------------------------------------------------------------

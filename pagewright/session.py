@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Rows of a side that may be broadcast without further checks. Callers pass
-# their own bound when the row width is known to be larger.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# Bytes (as written) of a side that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str | None = None, app: str = "pagewright",
@@ -66,17 +67,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise return it
-    unchanged so the planner uses a shuffle join (with AQE skew splitting).
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read
+    it back: a column-pruned cut of lineage that survives lost executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    The check counts rows of an already-small, aggregated side (rule tables,
-    profiles, per-site summaries); it never runs on a raw input table."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        from pyspark.sql import functions as F
-        return F.broadcast(df)
-    return df
+
+def table_bytes(table: DataFrame) -> int:
+    """Bytes of a table that is read from files, as the planner sees them."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written once (see ``scratch_table``) and marked for broadcast if
+    its files have at most ``max_bytes``; otherwise the planner joins it by
+    shuffle, with AQE splitting skew. For small aggregated sides that several
+    plans read: rule tables, profiles, per-site summaries."""
+    table = scratch_table(df, "side")
+    return F.broadcast(table) if table_bytes(table) <= max_bytes else table
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

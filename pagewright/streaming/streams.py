@@ -14,13 +14,11 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pagewright import fixed
-from pagewright.session import ensure_checkpoint_dir, ship_package
+from pagewright.session import ensure_checkpoint_dir
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -111,33 +109,55 @@ def stream_dedup(stream: DataFrame, scope: list[str], key, watermark: tuple[str,
 
 # S3 ------------------------------------------------------------------------
 
-def _budget_state(limit_fraction: float):
-    def fn(key, pdfs, state):
-        used = state.get[0] if state.exists else 0
-        # a site's rows of a micro-batch come in several Arrow batches
-        pdf = pd.concat(list(pdfs)).sort_values("rank", kind="stable")
-        tokens = pdf["tokens"].astype("int64")
-        before = used + tokens.cumsum() - tokens
-        used += int(tokens.sum())
-        yield pd.DataFrame({"site": pdf["site"].values, "rank": pdf["rank"].values, "tokens": tokens.values,
-                            "used_before": before.values,
-                            "kept": (before < pdf["max_tokens"].iloc[0] * limit_fraction).values})
-        state.update((used,))
-    return fn
+#: Micro-batches after which the totals are summed up into one partition.
+TOTALS_SNAPSHOT = 16
 
 
 def stream_budget(ranked_stream: DataFrame, fraction: float = fixed.STOP_FRACTION,
                   root: str | None = None) -> DataFrame:
-    """Streaming running budget per site with ``applyInPandasWithState``:
-    the state is the tokens used so far. A site's rows of one micro-batch are
-    taken in rank order; a rank that comes in a later micro-batch counts after
-    all rows of earlier ones."""
-    ship_package(ranked_stream.sparkSession)
-    out = ranked_stream.groupBy("site").applyInPandasWithState(
-        _budget_state(fraction),
-        "site string, rank bigint, tokens bigint, used_before bigint, kept boolean",
-        "used bigint", "append", GroupStateTimeout.NoTimeout)
-    return run_append(out, "budget", root)
+    """Streaming running budget per site. A site's rows of one micro-batch are
+    taken in rank order (ties: fewer tokens first); a rank that comes in a later
+    micro-batch counts after all rows of earlier ones.
+
+    A micro-batch is totalled in range slices of (site, rank), so no site is one
+    group, and the tokens used by earlier batches are added from a table of
+    totals with a partition per batch id. A batch that runs again reads earlier
+    ids only and overwrites its own. Every ``TOTALS_SNAPSHOT`` batches the
+    partition holds the sums of all before it, so few are read."""
+    from pagewright.operators.order import running_total
+    from pagewright.session import scratch_table
+
+    spark = ranked_stream.sparkSession
+    out, chk = _paths(spark, "budget", root)
+    totals = os.path.join(os.path.dirname(out), "totals")
+
+    def earlier(batch_id: int) -> DataFrame:
+        none = spark.createDataFrame([], "site string, used long")
+        if batch_id == 0 or not path_exists(spark, totals):
+            return none
+        # the last snapshot and what came after it
+        since = (batch_id - 1) // TOTALS_SNAPSHOT * TOTALS_SNAPSHOT
+        held = spark.read.schema("site string, used long, batch_id long").parquet(totals)
+        return (held.where((F.col("batch_id") >= since) & (F.col("batch_id") < batch_id))
+                .groupBy("site").agg(F.sum("used").alias("used")))
+
+    def sink(batch: DataFrame, batch_id: int):
+        rows = batch.select("site", "rank", F.col("tokens").cast("long").alias("tokens"), "max_tokens")
+        done = scratch_table(running_total(rows, ["site"], [("rank", True), ("tokens", True)], "tokens", "total"), "stream-budget")
+        before = scratch_table(earlier(batch_id), "stream-totals")
+        used = F.coalesce("used", F.lit(0)) + F.col("total") - F.col("tokens")
+        (done.join(before, "site", "left").select("site", "rank", "tokens", used.alias("used_before"),
+                                                  (used < F.col("max_tokens") * fraction).alias("kept"))
+         .write.mode("overwrite").parquet(batch_part(out, batch_id)))
+        own = done.groupBy("site").agg(F.sum("tokens").alias("used"))
+        if batch_id % TOTALS_SNAPSHOT == 0:
+            own = own.unionByName(before).groupBy("site").agg(F.sum("used").alias("used"))
+        own.write.mode("overwrite").parquet(batch_part(totals, batch_id))
+
+    q = (ranked_stream.writeStream.foreachBatch(sink).option("checkpointLocation", chk)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
 
 
 # S4 ------------------------------------------------------------------------

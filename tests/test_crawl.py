@@ -1,11 +1,6 @@
-"""Best-first crawl (T2) against a sequential model of the same rules."""
-from urllib.parse import urljoin
-
-from pyspark.sql import functions as F
-
-from pagewright import fixed
-from pagewright.operators.links import Rule, link_score, link_type
-from pagewright.plans.crawl import crawl_order, reachable
+"""Traversal (T3) of small link graphs."""
+from pagewright.operators.links import Rule
+from pagewright.plans.crawl import reachable
 
 RULES = [Rule("essential", ("intro",), 100, True), Rule("core_concepts", ("concepts",), 80, True),
          Rule("features", ("feat",), 70, False), Rule("api", ("api",), 60, False)]
@@ -18,71 +13,33 @@ LINKS = {
     "api/b": [], "feat/y": ["/api/c"], "intro/i": ["/feat/w"], "concepts/c2": [],
     "feat/z": [], "api/c": [], "feat/w": [],
 }
-TOKENS = {k: 4000 + 500 * i for i, k in enumerate(LINKS)}
-
-
-def model(max_tokens):
-    """Sequential model: adaptive batches, stable sort, +5 boosts."""
-    def score(u):
-        for r in RULES:
-            if any(p in u.lower() for p in r.patterns):
-                return r.score, r.section
-        return 0, "other"
-    frontier = [(BASE + "start", fixed.SEED_SCORE, fixed.SEED_TYPE)]
-    visited, order, used, ok = set(), [], 0, 0
-    found = {r.section: False for r in RULES if r.required}
-    while frontier and used < max_tokens * fixed.STOP_FRACTION:
-        avg = used / max(1, ok)
-        b = max(1, min(3, int((max_tokens - used) / max(avg, 1000))))
-        batch = []
-        while frontier and len(batch) < b:
-            u, s, t = frontier.pop(0)
-            if u not in visited:
-                visited.add(u)
-                batch.append((u, s, t))
-        add = []
-        for u, s, t in batch:
-            key = u[len(BASE):]
-            order.append(u)
-            if key not in LINKS:
-                continue
-            used += TOKENS[key]
-            ok += 1
-            if t in found:
-                found[t] = True
-            for h in LINKS[key]:
-                nu = urljoin(u, h)
-                sc, ty = score(nu)
-                if sc == 0 or nu in visited:
-                    continue
-                for r in RULES:
-                    if r.required and not found[r.section] and any(p in nu.lower() for p in r.patterns):
-                        sc += fixed.BOOST_PER_SECTION
-                add.append((nu, sc, ty))
-        frontier.extend(add)
-        frontier.sort(key=lambda x: -x[1])
-    return order
 
 
-def _inputs(spark, max_tokens):
-    rows = []
-    for i, (k, hs) in enumerate(LINKS.items()):
-        rows.append(("d.io", i, BASE + k, hs, None))
+def _gated(spark, links, failed=()):
+    rows = [("d.io", i, BASE + k, hs, "no_main" if k in failed else None) for i, (k, hs) in enumerate(links.items())]
     gated = spark.createDataFrame(rows, "site string, page_id bigint, url string, hrefs array<string>, reason string")
-    tokens = spark.createDataFrame([(i, TOKENS[k]) for i, k in enumerate(LINKS)], "page_id bigint, tokens bigint")
-    seeds = spark.createDataFrame([("d.io", BASE + "start", max_tokens)], "site string, start_url string, max_tokens int")
-    return gated, tokens, seeds
+    return spark.createDataFrame([("d.io", BASE + next(iter(links)))], "site string, start_url string"), gated
 
 
-def test_crawl_matches_sequential_model(spark):
-    for max_tokens in (20000, 12000, 60000):
-        gated, tokens, seeds = _inputs(spark, max_tokens)
-        got = [r.url for r in crawl_order(seeds, gated, tokens, RULES).orderBy("round", "pick").collect()]
-        assert got == model(max_tokens), max_tokens
+def _depths(spark, links, failed=(), **how):
+    seeds, gated = _gated(spark, links, failed)
+    return {r.url[len(BASE):]: r.depth for r in reachable(seeds, gated, RULES, **how).collect()}
 
 
 def test_reachable_depths(spark):
-    gated, tokens, seeds = _inputs(spark, 20000)
-    got = {r.url[len(BASE):]: r.depth for r in reachable(seeds, gated, RULES).collect()}
+    got = _depths(spark, LINKS)
     assert got["start"] == 0 and got["api/a"] == 1 and got["api/b"] == 2 and got["feat/w"] == 3
     assert set(got) == set(LINKS)
+    assert set(_depths(spark, LINKS, max_depth=1)) == {"start", "api/a", "feat/x", "concepts/c1"}
+
+
+def test_failed_pages_are_reached_and_not_left(spark):
+    assert set(_depths(spark, LINKS, failed=("api/a", "feat/x"))) == {"start", "api/a", "feat/x", "concepts/c1", "feat/z", "concepts/c2"}
+
+
+def test_a_chain_a_cycle_and_a_wide_fan(spark):
+    chain = {f"api/{i}": [f"/api/{i + 1}", "/api/0", f"/api/{i}#top"] for i in range(30)}
+    assert _depths(spark, chain) == {f"api/{i}": i for i in range(30)}
+    fan = {"start": [f"/api/{i}" for i in range(5000)], **{f"api/{i}": ["/start", f"/api/{(i + 1) % 5000}"] for i in range(5000)}}
+    got = _depths(spark, fan)
+    assert len(got) == 5001 and set(got.values()) == {0, 1}

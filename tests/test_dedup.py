@@ -78,7 +78,7 @@ def test_title_claim_and_own_source(spark):
 def test_pairs_without_broadcast_equal_brute_force(spark, monkeypatch):
     """The size guard's other branch: a shuffle join when the vocabulary is
     too large to broadcast gives the same pairs."""
-    monkeypatch.setattr(DD, "VOCAB_BROADCAST_ROWS", 1)
+    monkeypatch.setattr(DD, "VOCAB_BROADCAST_BYTES", 1)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -93,3 +93,62 @@ def test_pairs_without_broadcast_equal_brute_force(spark, monkeypatch):
         assert got == brute
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _resolve(spark, edges, requires=None, decided=None):
+    def table(rows):
+        return spark.createDataFrame(rows, "a long, b long")
+    out = DD.resolve_first_wins(table(edges), table(requires) if requires else None,
+                                spark.createDataFrame(decided, "id long, st string") if decided else None).collect()
+    assert len({r.id for r in out}) == len(out)
+    return {r.id: r.kept for r in out}
+
+
+def _in_order(edges, requires=(), decided=()):
+    kept = {i: st == "K" for i, st in decided}
+    nodes = sorted({x for e in [*edges, *requires] for x in e} | set(kept))
+    for x in nodes:
+        if x not in kept:
+            kept[x] = not any(b == x and kept[a] for a, b in edges) and all(kept[a] for a, b in requires if b == x)
+    return kept
+
+
+def test_resolution_matches_the_sequential_model_on_random_graphs(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(DD, "ROUNDS_BEFORE_SWEEP", 2)
+    for seed, limit in ((1, 50_000), (2, 30)):          # with sweeps, and with components too large for one
+        monkeypatch.setattr(DD, "SWEEP_EDGES", limit)
+        rng = random.Random(seed)
+        edges = {tuple(sorted(rng.sample(range(k * 60, k * 60 + 60), 2))) for k in range(3) for _ in range(70)}
+        requires = {(a, a + 1) for a in range(0, 180, 9)} - edges
+        decided = [(i, rng.choice("KD")) for i in rng.sample(range(180), 12)]
+        assert _resolve(spark, list(edges), list(requires), decided) == _in_order(edges, requires, decided)
+
+
+def test_a_chain_of_1500_versions_takes_few_rounds(spark, monkeypatch):
+    """By halving alone, and versions that are like the last three by a sweep."""
+    rounds = []
+    real = DD.scratch_table
+
+    def counted(df, name):
+        rounds.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(DD, "scratch_table", counted)
+    chain = [(i, i + 1) for i in range(1499)]
+    monkeypatch.setattr(DD, "ROUNDS_BEFORE_SWEEP", 1000)
+    assert _resolve(spark, chain) == {i: i % 2 == 0 for i in range(1500)}
+    assert rounds.count("wins-state") <= 13
+    monkeypatch.setattr(DD, "ROUNDS_BEFORE_SWEEP", 4)
+    rounds.clear()
+    wide = [(i, i + k) for i in range(1500) for k in (1, 2, 3) if i + k < 1500]
+    assert _resolve(spark, wide) == {i: i % 4 == 0 for i in range(1500)}
+    assert rounds.count("wins-state") == 4
+
+
+def test_copies_are_members_and_not_pairs(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(words)) for i in range(40)] + [(50, " ".join(words[:29] + ["x"])), (51, ""), (52, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").select("id", T.word_set(F.col("text")).alias("ws"))
+    member = {r.id: r.representative for r in DD.representatives(docs, [], "id", "ws", [("id", True)]).collect()}
+    assert member == {**{i: 0 for i in range(40)}, 50: 50}

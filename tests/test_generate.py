@@ -104,3 +104,53 @@ def test_failed_calls_are_contained(spark):
     out = {r.page_id: r for r in G.generate(pages.coalesce(1), flaky).collect()}
     assert [out[k].generated for k in (1, 2, 3)] == ["fine", None, "fine"]
     assert out[2].prompt_tokens == 0 and "no answer" in out[2].generate_error and out[1].generate_error is None
+
+
+def _words_model(folder, per_page):
+    """Answers with as many tokens as the page's number says; one file per call."""
+    def model(reqs):
+        import os
+        import uuid
+        out = []
+        for r in reqs:
+            page = int(r["user"].split("page ")[1].split(" ")[0])
+            assert r["max_tokens"] > 0
+            open(os.path.join(folder, f"{page}-{uuid.uuid4().hex}"), "w").close()
+            out.append((f"answer {page}", 10, per_page[page]))
+        return out
+    return model
+
+
+def test_generation_stops_at_the_budget(spark, tmp_path):
+    """Calls end at most two pages after the stop row, whatever the order and
+    the sizes; what is kept is what the sequential model keeps."""
+    import os
+    import random
+
+    from pagewright.operators.accounting import budget_cut
+    rng = random.Random(3)
+    pages = [(site, n, rng.randrange(3), f"page {n} {'text ' * rng.randrange(60)}")
+             for site, base in (("big", 0), ("small", 1000), ("free", 2000), ("none", 3000)) for n in range(base, base + 60)]
+    per_page = {n: rng.choice((0, 5, 400, 900)) for _, n, _, _ in pages}
+    seeds = spark.createDataFrame([("big", 15000), ("small", 700), ("free", 10_000_000)], "site string, max_tokens long")
+    df = spark.createDataFrame([(s, n, sc, f"t{n}", t) for s, n, sc, t in pages],
+                               "site string, page_id long, score int, title string, main_text string")
+    order = [("score", False), ("page_id", True)]
+    got = G.generate_within_budget(df, seeds, order, _words_model(str(tmp_path), per_page))
+    rows = {r.page_id: r for r in got.collect()}
+    calls = [int(f.split("-")[0]) for f in os.listdir(tmp_path)]
+    assert sorted(calls) == sorted(rows)                       # every page once, none twice
+    for site, limit in (("big", 15000), ("small", 700), ("free", 10_000_000), ("none", 0)):
+        queue = [n for _, n in sorted((-sc, n) for s, n, sc, _ in pages if s == site)]
+        used, needed = 0, 0
+        for n in queue:
+            if used >= limit * fixed.STOP_FRACTION:
+                break
+            used, needed = used + 10 + per_page[n], needed + 1
+        asked = [n for n in queue if n in rows]
+        assert asked == queue[:len(asked)] and needed <= len(asked) <= (needed + 2 if needed else 0)
+        kept = {r.page_id for r in budget_cut(got.select("site", "page_id", "score", (F.col("prompt_tokens") + F.col("completion_tokens"))
+                                                        .alias("tokens")), seeds, order).where(F.col("site") == site).collect()}
+        assert kept == set(queue[:needed])
+    n_rounds = 1 + max(r["round"] for r in rows.values())
+    assert n_rounds <= 1 + max(len([1 for x in rows.values() if x.site == s]) for s in ("big", "free")) / G.ROUND_PAGES
