@@ -8,7 +8,10 @@ ordered part files instead of one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright import fixed
@@ -98,3 +101,52 @@ def write_bundles(frags: DataFrame, path: str, num_partitions: int | None = None
      # it back, so the files hold the document byte for byte
      .select("site", F.regexp_replace("text", "\n\\z", "").alias("text"))
      .write.mode("overwrite").partitionBy("site").text(path))
+
+
+def publish_bundles(frags: DataFrame, sites: DataFrame, path: str, num_partitions: int | None = None) -> str:
+    """A5 sink with a manifest: a new version of the documents of all sites.
+
+    The text lies in range partitions of (site, part, rank, sub), so a large
+    site is several files; ``sites(site, base_url)`` names its document (C17).
+    A version's rows and its manifest (site, name, file, position, rows) are
+    written under a folder of their own, the manifest last: a version is there
+    once its manifest is complete, and readers take the latest complete one, so
+    a failed or repeated publication is never seen half. Returns the version."""
+    spark = frags.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    (frags.repartitionByRange(n, "site", "part", "rank", "sub").sortWithinPartitions("site", "part", "rank", "sub")
+     .withColumn("slice", F.spark_partition_id()).write.parquet(f"{path}/versions/{version}"))
+    held = spark.read.parquet(f"{path}/versions/{version}")
+    files = (held.groupBy("site", "slice").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"))
+             .join(sites.select("site", MD.bundle_name(F.col("base_url")).alias("name")), "site", "left"))
+    files.write.parquet(f"{path}/manifests/{version}")
+    return version
+
+
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """The last version whose manifest is complete."""
+    jp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jp):
+        return None
+    names = sorted((f.getPath().getName() for f in fs.listStatus(jp)), reverse=True)
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return next((v for v in names if fs.exists(done(f"{path}/manifests/{v}/_SUCCESS"))), None)
+
+
+def read_bundles(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """(site, name, slice, markdown): the documents of a published version,
+    one row per slice of a site; slices follow one another by number. Rows that
+    the manifest doesn't count raise an error."""
+    version = version or latest_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no published version under {path}")
+    manifest = spark.read.parquet(f"{path}/manifests/{version}")
+    rows = spark.read.parquet(f"{path}/versions/{version}")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "rank", "sub", "text"))), lambda x: x["text"]), "")
+    slices = rows.groupBy("site", "slice").agg(text.alias("markdown"), F.count(F.lit(1)).alias("found"))
+    wrong = F.raise_error(F.concat(F.lit("rows of the manifest are missing: "), F.col("site")))
+    return (manifest.join(slices, ["site", "slice"], "left")
+            .select("site", "name", "slice", F.when(F.col("found") == F.col("rows"), F.col("markdown"))
+                    .otherwise(wrong).alias("markdown")))

@@ -220,10 +220,11 @@ def resolve_first_wins(edges: DataFrame, requires: DataFrame | None = None,
     if requires is not None:
         lits = lits.unionByName(requires.select("a", "b", F.lit(False).alias("neg")))
     lits = scratch_table(lits.distinct(), "wins-edges")
+    sources = lits.select(F.col("a").alias("id")).distinct()
     if decided is not None:
         done = scratch_table(decided.select("id", (F.col("st") == "K").alias("kept")).distinct(), "wins-decided")
         lits = lits.join(done.select(F.col("id").alias("b")), "b", "left_anti")
-    roots = lits.select(F.col("a").alias("id")).distinct().join(lits.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    roots = sources.join(lits.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
     if decided is not None:
         roots = roots.join(done.select("id"), "id", "left_anti")
     found = scratch_table(roots.withColumn("kept", F.lit(True)), "wins-roots")

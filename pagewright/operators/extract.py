@@ -7,11 +7,15 @@ The tree is built with the standard-library ``html.parser`` tokenizer and
 the usual lenient rules: void elements close at once, an end tag closes the
 nearest open element of that name (none open: ignored), nothing is closed
 implicitly. The builder and every walk are iterative, so deeply nested or
-unclosed markup cannot exhaust the stack.
+unclosed markup cannot exhaust the stack, and open elements are counted by
+name, so neither text nor end tags search the open ones: parsing is linear.
+Records leave the worker after every ``CHUNK_CHARS`` of HTML, whatever the size
+of an Arrow batch.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -29,6 +33,7 @@ VOID = frozenset(
 HIDDEN = frozenset(["script", "style", "template"])
 PRESERVE_WS = frozenset(["pre", "textarea"])
 ASCII_WS = " \n\t\x0c\r"
+CHUNK_CHARS = 8 << 20
 
 # kinds of text node
 TEXT, HIDDEN_TEXT = 0, 1
@@ -42,7 +47,7 @@ EXTRACT_SCHEMA = (
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children", "parent", "ord", "classes")
+    __slots__ = ("name", "attrs", "children", "parent", "ord", "classes", "in_pre")
 
     def __init__(self, name, attrs, parent, ord_):
         self.name = name
@@ -52,6 +57,7 @@ class Node:
         self.ord = ord_
         cls = attrs.get("class")
         self.classes = cls.split() if cls else []
+        self.in_pre = parent is not None and (parent.in_pre or parent.name == "pre")
 
 
 class _Builder(HTMLParser):
@@ -59,6 +65,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("[document]", {}, None, 0)
         self.stack = [self.root]
+        self.open = Counter()        # open elements by name
         self.buf = []
         self.n = 0
 
@@ -68,10 +75,9 @@ class _Builder(HTMLParser):
             return
         s = "".join(self.buf)
         self.buf = []
-        names = {n.name for n in self.stack}
-        if s.translate(str.maketrans("", "", ASCII_WS)) == "" and not (names & PRESERVE_WS):
+        if not s.strip(ASCII_WS) and not any(self.open[n] for n in PRESERVE_WS):
             s = "\n" if "\n" in s else " "
-        kind = HIDDEN_TEXT if (names & HIDDEN) else TEXT
+        kind = HIDDEN_TEXT if any(self.open[n] for n in HIDDEN) else TEXT
         self.stack[-1].children.append((kind, s))
 
     def handle_data(self, data):
@@ -100,6 +106,7 @@ class _Builder(HTMLParser):
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -108,9 +115,10 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == tag:
-                del self.stack[i:]
+        while self.open[tag]:
+            node = self.stack.pop()
+            self.open[node.name] -= 1
+            if node.name == tag:
                 break
 
     def finish(self):
@@ -195,20 +203,11 @@ def _main_rules():
 MAIN_RULES = _main_rules()
 
 
-def _has_ancestor(el: Node, name: str) -> bool:
-    p = el.parent
-    while p is not None:
-        if p.name == name:
-            return True
-        p = p.parent
-    return False
-
-
 def _selector_preds():
     tok = lambda t: (lambda e: t in e.classes)
     sub = lambda t: (lambda e: t in _class_str(e))
     preds = {
-        "pre code": lambda e: e.name == "code" and _has_ancestor(e, "pre"),
+        "pre code": lambda e: e.name == "code" and e.in_pre,
         ".highlight": tok("highlight"),
         ".prism-code": tok("prism-code"),
         ".hljs": tok("hljs"),
@@ -275,9 +274,12 @@ def extract_one(html):
                 title_candidates=cands, hrefs=hrefs, code=code)
 
 
+RECORD = ["site", "page_id", "url", "error", "has_html", "lang_attr", "main_rule", "main_text", "title_candidates", "hrefs", "code"]
+
+
 def _parse_batches(batches):
     for pdf in batches:
-        out = []
+        out, chars = [], 0
         for site, pid, url, html in zip(pdf["site"], pdf["page_id"], pdf["url"], pdf["html"]):
             try:
                 rec = extract_one(html)
@@ -288,9 +290,12 @@ def _parse_batches(batches):
                            hrefs=None, code=None, error=f"{type(exc).__name__}: {exc}")
             rec.update(site=site, page_id=pid, url=url)
             out.append(rec)
-        cols = ["site", "page_id", "url", "error", "has_html", "lang_attr", "main_rule",
-                "main_text", "title_candidates", "hrefs", "code"]
-        yield pd.DataFrame(out, columns=cols)
+            chars += len(html or "")
+            if chars >= CHUNK_CHARS:
+                yield pd.DataFrame(out, columns=RECORD)
+                out, chars = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=RECORD)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -81,6 +81,18 @@ def page_links(extracted: DataFrame, base: Column, domain: Column, rules: list[R
     return x.select("site", "page_id", "page_url", "pos", "href", "url", "type", "score")
 
 
+def site_links(extracted: DataFrame, seeds: DataFrame, rules: list[Rule], resolve: str = "site",
+               strict: bool = False, keep_unscored: bool = False) -> DataFrame:
+    """``page_links`` against the seeds ``(site, base_url, base_domain)``:
+    links resolve against the seed's URL (``resolve='site'``) or the page's own
+    (``'page'``) and must lie in the seed's domain either way. Pages of sites
+    without a seed have no links."""
+    if resolve not in ("site", "page"):
+        raise ValueError(f"unknown base {resolve!r}")
+    own = extracted.join(seeds.select("site", "base_url", "base_domain"), "site")
+    return page_links(own, F.col("base_url" if resolve == "site" else "url"), F.col("base_domain"), rules, strict, keep_unscored)
+
+
 def section_coverage(typed_pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """per site and required section, whether any successful page has
     that type. ``typed_pages(site, type)``; sections are a tiny literal set

@@ -221,6 +221,21 @@ def scored_links(spark, d):
     return _links(spark, d).select("site", "page_id", "pos", "url", "type", "score")
 
 
+_SQL_SITE_LINKS = f"""
+SELECT site, page_id, pos, j AS url, {S.rule_case('j', C.TEST_RULES, 'type')} AS type, {S.rule_case('j', C.TEST_RULES, 'score')} AS score
+FROM (SELECT *, {S.join_url('base_url', 'cut')} AS j FROM (
+  SELECT e.site, e.page_id, s.base_url, unnest(e.hrefs) AS href, unnest(range(0, len(e.hrefs))) AS pos, split_part(href, '#', 1) AS cut
+  FROM ({_sql_extracted()}) e JOIN ({ORACLES['site_seeds']}) s ON s.site = e.site) WHERE NOT {S.skip_href('href')})
+WHERE cut <> '' AND contains({S.netloc('j')}, site)"""
+
+
+@register("site_links", f"SELECT * FROM ({_SQL_SITE_LINKS}) WHERE score > 0")
+def site_links(spark, d):
+    """C1-C4 as the reference resolves: against the base URL of the seed."""
+    return (LK.site_links(C.extracted(spark, d), site_seeds(spark, d), C.TEST_RULES)
+            .select("site", "page_id", "pos", "url", "type", "score"))
+
+
 @register("lang_profile", f"WITH {_sql_profile_ctes()} SELECT lang, gram, cnt FROM prof")
 def lang_profile(spark, d):
     return C.profile(spark, d).select("lang", "gram", "cnt")
@@ -337,6 +352,18 @@ def md_format(spark, d):
                      MD.format_note(t).alias("note_md"))
 
 
+@register("md_warning_installation", f"""
+SELECT doc_id, md5('> ⚠️ **Warning:** ' || text || chr(10) || chr(10)) AS warning_md5,
+  md5('### Installation' || chr(10) || chr(10) || chr(10) || array_to_string(list_transform(string_split(text, chr(10)),
+    lambda s, i: i || '. ' || s || chr(10)), chr(10)) || chr(10)) AS installation_md5 FROM documents""")
+def md_warning_installation(spark, d):
+    """The warning and the installation formatter (a text's lines are
+    the steps)."""
+    docs = C.table(spark, d, "documents")
+    return docs.select("doc_id", F.md5(MD.format_warning(F.col("text"))).alias("warning_md5"),
+                       F.md5(MD.format_installation(F.split("text", "\n", -1))).alias("installation_md5"))
+
+
 @register("bundle_name", f"""
 SELECT site, regexp_extract(base_url, '^[^/]*//([^/]*)', 1) || '{fixed.BUNDLE_SUFFIX}' AS bundle_name FROM ({ORACLES['site_seeds']})""")
 def bundle_name(spark, d):
@@ -1008,17 +1035,113 @@ def model_usage_by_stage(spark, d):
     return u.groupBy("site", "stage").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
 
 
-@register("site_bundle")
+_SQL_CLEAN_TITLE = "replace(replace(title, '[', ''), ']', '')"
+_SQL_BUNDLES = _sql_curate(f""",
+spent AS (SELECT site, sum(p_tok) AS pt, sum(c_tok) AS ct FROM el GROUP BY site),
+seed AS ({ORACLES['site_seeds']}),
+sec AS (SELECT *, (lag(type) OVER (PARTITION BY site ORDER BY rank)) IS DISTINCT FROM type AS header FROM cur),
+body AS (SELECT site, count(*) AS pages,
+    string_agg('- [' || {_SQL_CLEAN_TITLE} || '](#' || replace(lower({_SQL_CLEAN_TITLE}), ' ', '-') || ')' || chr(10), '' ORDER BY rank) AS toc,
+    string_agg(CASE WHEN header THEN '## ' || {S.py_title('type')} || {_NL2} ELSE '' END || '### ' || title || {_NL2} || content || {_NL2}
+               || '---' || {_NL2}, '' ORDER BY rank) AS md FROM sec GROUP BY site),
+doc AS (SELECT seed.site, seed.base_url, '{fixed.BUNDLE_BANNER}' || {_NL2} || '# {fixed.BUNDLE_TITLE}' || {_NL2} || '## Document Information' || {_NL2}
+    || '| Metric | Value |' || chr(10) || '|--------|-------|' || chr(10) || '| Generated | {GENERATED_AT} |' || chr(10)
+    || '| Source | ' || seed.base_url || ' |' || chr(10) || '| Pages | ' || coalesce(body.pages, 0) || ' |' || chr(10)
+    || '| Total Tokens | ' || format('{{:,}}', (coalesce(spent.pt + spent.ct, 0))::BIGINT) || ' |' || chr(10)
+    || '| Cost | $' || printf('%.4f', coalesce(spent.pt * {S.RATE_IN} + spent.ct * {S.RATE_OUT}, 0.0)) || ' |' || {_NL2}
+    || '## Contents' || {_NL2} || coalesce(body.toc, '') || chr(10) || '---' || {_NL2} || coalesce(body.md, '') AS markdown
+  FROM seed LEFT JOIN body ON body.site = seed.site LEFT JOIN spent ON spent.site = seed.site)
+SELECT * FROM doc""").replace("\n,\nspent AS", ",\nspent AS")
+
+
+@register("site_bundle", f"SELECT site, length(markdown) AS chars, md5(markdown) AS markdown_md5 FROM ({_SQL_BUNDLES})")
 def site_bundle(spark, d):
     return _curate(spark, d)["bundles"].select("site", F.length("markdown").alias("chars"),
                                                F.md5("markdown").alias("markdown_md5"))
 
 
+@register("site_files", f"""
+SELECT site, regexp_extract(base_url, '^[^/]*//([^/]*)', 1) || '{fixed.BUNDLE_SUFFIX}' AS name, length(markdown) AS chars, md5(markdown) AS markdown_md5
+FROM ({_SQL_BUNDLES})""")
+def site_files(spark, d):
+    """A5, C17: the documents published as a version with a manifest and
+    read back; the slices of a site are joined in order."""
+    import uuid
+
+    from pagewright.operators import assemble as AS
+    from pagewright.session import scratch_dir
+    path = scratch_dir(spark, f"site-files-{uuid.uuid4().hex}")
+    version = AS.publish_bundles(_curate(spark, d)["fragments"], site_seeds(spark, d), path)
+    parts = AS.read_bundles(spark, path, version)
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slice", "markdown"))), lambda x: x["markdown"]), "")
+    return (parts.groupBy("site", "name").agg(whole.alias("markdown"))
+            .select("site", "name", F.length("markdown").alias("chars"), F.md5("markdown").alias("markdown_md5")))
+
+
 @register("code_examples")
 def code_examples(spark, d):
     return _curate(spark, d)["code_examples"]
 
 
+# Pages of code built from the turns of conversations: one block per page, its
+# class by the turn's number, with a hint of another language in some texts.
+_TURN_CLASSES = ["language-py", "language-javascript", "language-go", "", "lang-npm"]
+_SQL_TURNS = f"""
+SELECT conv_id % 7 AS site_no, conv_id * 1000 + turn AS page_id, {S.strip('code')} AS code, cls FROM (SELECT conv_id, turn, [{', '.join(S.q(c) for c in _TURN_CLASSES)}][turn % 5 + 1] AS cls,
+  CASE turn % 3 WHEN 0 THEN 'let ' || text WHEN 1 THEN '# note' || chr(10) || 'def ' || text ELSE 'interface ' || text END AS code FROM conversations)"""
+_SQL_TURN_BLOCKS = f"""
+SELECT 's' || site_no AS site, page_id, sel_ord, cls, code FROM (SELECT *, unnest([1, 5]) AS sel_ord FROM ({_SQL_TURNS}))
+WHERE length(code) >= {fixed.MIN_CODE_CHARS} AND (sel_ord = 1 OR contains(cls, 'language-'))"""
+_SQL_TURN_LANG = f"""
+SELECT *, CASE {' '.join(f"WHEN lang0 IN ({', '.join(S.q(n) for n in names)}) THEN {S.q(main)}" for main, names in fixed.LANGUAGE_ALIASES)} ELSE lang0 END AS language
+FROM (SELECT *, CASE {' '.join("WHEN " + ' OR '.join(f"contains(code, {S.q(p)})" for p in pats) + f" THEN {S.q(lang)}" for lang, pats in fixed.CONTENT_HINTS)}
+  ELSE lower(replace(replace(cls, 'language-', ''), 'lang-', '')) END AS lang0 FROM ({_SQL_TURN_BLOCKS}))"""
+_SQL_TURN_KEPT = f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, {_sql_norm_code('code')} ORDER BY page_id, sel_ord) AS rn FROM ({_SQL_TURN_LANG})
+WHERE language IN ({', '.join(S.q(x) for x in fixed.KEPT_CODE_LANGUAGES)})) WHERE rn = 1"""
+
+
+def _turn_blocks(spark, d):
+    turns = C.table(spark, d, "conversations")
+    cls = F.get(F.array(*[F.lit(c) for c in _TURN_CLASSES]), (F.col("turn") % 5).cast("int"))
+    code = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit("let "), "text"))
+            .when(F.col("turn") % 3 == 1, F.concat(F.lit("# note\ndef "), "text")).otherwise(F.concat(F.lit("interface "), "text")))
+    escaped = F.replace(F.replace(code, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<html><body><main><pre><code class=\""), cls, F.lit("\">"), escaped, F.lit("</code></pre></main></body></html>"))
+    pages = turns.select(F.concat(F.lit("s"), (F.col("conv_id") % 7).cast("string")).alias("site"),
+                         (F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"),
+                         F.concat(F.lit("https://s.io/"), F.col("conv_id").cast("string")).alias("url"), html.alias("html"))
+    return X.code_blocks(X.extract_pages(pages))
+
+
+@register("turn_code_blocks", f"""
+SELECT site, page_id, sel_ord, lower(replace(replace(cls, 'language-', ''), 'lang-', '')) AS class_lang, md5(code) AS code_md5 FROM ({_SQL_TURN_BLOCKS})""")
+def turn_code_blocks(spark, d):
+    """B6, B7 over code elements made of the turns of conversations."""
+    return _turn_blocks(spark, d).select("site", "page_id", "sel_ord", CD.class_language(F.col("classes")).alias("class_lang"),
+                                         F.md5("code").alias("code_md5"))
+
+
+def _turn_kept(spark, d):
+    blocks = _turn_blocks(spark, d).withColumn("language", CD.code_language(F.col("classes"), F.col("code")))
+    blocks = (blocks.where(CD.is_kept_language(F.col("language")))
+              .withColumn("block_id", F.concat_ws(":", F.col("page_id").cast("string"), F.col("pos").cast("string"))))
+    return DD.first_wins(blocks, ["site"], T.key_hash(CD.normalize_code(F.col("code"))), [("page_id", True), ("sel_ord", True)],
+                         "block_id", "first").where("first")
+
+
+@register("turn_code_examples", f"SELECT site, page_id, sel_ord, language, md5(code) AS code_md5 FROM ({_SQL_TURN_KEPT})")
+def turn_code_examples(spark, d):
+    """C8-C10 and D5 over the same blocks: language, normal form, first copy."""
+    return _turn_kept(spark, d).select("site", "page_id", "sel_ord", "language", F.md5("code").alias("code_md5"))
+
+
+@register("turn_code_language_counts", f"SELECT site, language, count(*) AS n FROM ({_SQL_TURN_KEPT}) GROUP BY ALL")
+def turn_code_language_counts(spark, d):
+    """F8 over the kept blocks."""
+    return _turn_kept(spark, d).groupBy("site", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------------------
 # T3 traversal
 # ---------------------------------------------------------------------------
@@ -1130,6 +1253,27 @@ def stream_usage_window(spark, d):
     return out.withColumn("total_value", F.round("total_value", 4))
 
 
+@register("stream_usage_rate", """
+SELECT w AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total_value, count(*) / 60.0 AS per_minute FROM (
+  SELECT event_type, value, time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' AS w FROM events, (SELECT unnest([0, 1, 2, 3]) AS k))
+GROUP BY ALL""")
+def stream_usage_rate(spark, d):
+    """S4's sliding form: hourly windows every 15 minutes and their rates."""
+    from pagewright.streaming import streams as ST
+    out = ST.stream_usage_window(ST.file_stream(spark, d, "events"), "1 hour", slide="15 minutes")
+    return out.withColumn("total_value", F.round("total_value", 4)).withColumn("per_minute", F.col("n") / 60.0)
+
+
+@register("stream_dedup_bounded", "SELECT DISTINCT event_type, md5(props) AS key_md5 FROM events WHERE props IS NOT NULL")
+def stream_dedup_bounded(spark, d):
+    """S2 with keys that expire by event time: what an event says, per type."""
+    from pagewright.streaming import streams as ST
+    s = (ST.file_stream(spark, d, "events").where(F.col("props").isNotNull())
+         .withColumn("ts", F.col("ts").cast("timestamp")))
+    out = ST.stream_dedup(s, ["event_type"], F.md5("props"), ("ts", "1 day"))
+    return out.select("event_type", F.col("_key").alias("key_md5"))
+
+
 @register("stream_near_dup", f"SELECT doc_id FROM ({_SQL_FUZZY}) WHERE kept")
 def stream_near_dup(spark, d):
     from pagewright.streaming import streams as ST

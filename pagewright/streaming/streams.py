@@ -66,13 +66,16 @@ def run_foreach(stream: DataFrame, name: str, fn, mode: str = "append", root: st
     return spark.read.parquet(out)
 
 
-def run_append(stream: DataFrame, name: str, root: str | None = None) -> DataFrame:
-    """Append-mode parquet file sink (exactly-once), read back."""
+def run_append(stream: DataFrame, name: str, root: str | None = None, progress: list | None = None) -> DataFrame:
+    """Append-mode parquet file sink (exactly-once), read back. ``progress``
+    takes the reports of the micro-batches."""
     spark = stream.sparkSession
     out, chk = _paths(spark, name, root)
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return spark.read.parquet(out)
 
 
@@ -94,7 +97,7 @@ def stream_extract(pages_stream: DataFrame, profile: DataFrame, root: str | None
 # S2 ------------------------------------------------------------------------
 
 def stream_dedup(stream: DataFrame, scope: list[str], key, watermark: tuple[str, str] | None = None,
-                 root: str | None = None) -> DataFrame:
+                 root: str | None = None, progress: list | None = None) -> DataFrame:
     """Streaming exact de-duplication on (scope, key), for a title, content or
     code key: the first arrival wins. With ``watermark`` (event time column,
     delay) a key is forgotten once the watermark has passed it by the delay;
@@ -104,7 +107,7 @@ def stream_dedup(stream: DataFrame, scope: list[str], key, watermark: tuple[str,
         s = s.withWatermark(*watermark).dropDuplicatesWithinWatermark([*scope, "_key"])
     else:
         s = s.dropDuplicates([*scope, "_key"])
-    return run_append(s, "dedup", root)
+    return run_append(s, "dedup", root, progress)
 
 
 # S3 ------------------------------------------------------------------------
@@ -162,14 +165,15 @@ def stream_budget(ranked_stream: DataFrame, fraction: float = fixed.STOP_FRACTIO
 
 # S4 ------------------------------------------------------------------------
 
-def stream_usage_window(events_stream: DataFrame, window: str = "1 hour",
-                        watermark: str = "1 day", root: str | None = None) -> DataFrame:
-    """Tumbling-window rollup of events in update mode: each micro-batch
-    writes the windows it changed, and the latest batch that wrote a window
-    holds its totals. Windows the watermark has passed leave the state, and
+def stream_usage_window(events_stream: DataFrame, window: str = "1 hour", watermark: str = "1 day",
+                        root: str | None = None, slide: str | None = None) -> DataFrame:
+    """Rollup of events over tumbling windows, or with ``slide`` over windows
+    that overlap (for rates), in update mode: each micro-batch writes the
+    windows it changed, and the latest batch that wrote a window holds its
+    totals. Windows the watermark has passed leave the state, and
     rows that come later than that are dropped."""
     ev = events_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    agg = (ev.groupBy(F.window("ts", window).alias("w"), "event_type")
+    agg = (ev.groupBy(F.window("ts", window, slide).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value")))
     changed = run_foreach(agg, "usage_window", lambda b: b.select(
         F.col("w.start").alias("window_start"), "event_type", "n", "total_value"), mode="update", root=root)

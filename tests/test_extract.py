@@ -67,3 +67,21 @@ def test_plan_has_one_python_stage_and_no_html_above(spark):
     assert plan.count("MapInPandas") == 1
     above = plan.split("MapInPandas")[0]
     assert "html" not in above
+
+
+def test_unclosed_and_unmatched_tags_parse_in_linear_time():
+    import time
+    began = time.time()
+    open_ = X.extract_one("<main>" + "<b>x" * 200_000 + "</i>" * 200_000)
+    assert open_["main_text"] == " ".join(["x"] * 200_000)
+    deep = X.extract_one("<main><pre>" + "<code class='k'>" * 50 + "a line of code" + "</code>" * 50 + "</pre>" + "<span>" * 100_000)
+    assert len(deep["code"]) == 50 and all(c["code"] == "a line of code" for c in deep["code"])
+    assert time.time() - began < 20
+
+
+def test_records_leave_by_bytes_and_not_by_rows(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(X, "CHUNK_CHARS", 1000)
+    pages = pd.DataFrame({"site": "s", "page_id": range(10), "url": "u", "html": ["<main>" + "y" * 600] * 10})
+    sizes = [len(p) for p in X._parse_batches([pages])]
+    assert sizes == [2] * 5

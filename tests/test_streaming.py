@@ -114,3 +114,46 @@ def test_usage_window_over_batches_drops_late_rows(spark):
     out = ST.stream_usage_window(ST.file_stream(spark, d, "events", max_files=1))
     assert sorted((str(r.window_start), r.n, r.total_value) for r in out.collect()) == [
         ("2024-01-01 00:00:00", 2, 3.0), ("2024-01-05 00:00:00", 5, 236.0)]
+
+
+def test_bounded_dedup_keeps_a_constant_state(spark):
+    """A day of keys per file: after two days a key is forgotten, so the state
+    stays at a few days' keys, and a copy within the delay is dropped."""
+    rows = [(f"2024-01-{day + 1:02d} {h:02d}:00:00", f"k{day}-{h}") for day in range(20) for h in range(0, 24, 2) for _ in range(2)]
+    df = spark.createDataFrame(rows, "at string, k string").select(F.to_timestamp("at").alias("ts"), "k")
+    d = folder_table(spark, df, "keys", 20, "ts")
+    progress = []
+    out = ST.stream_dedup(ST.file_stream(spark, d, "keys", max_files=1), [], F.col("k"), ("ts", "1 day"), progress=progress)
+    assert sorted(r.k for r in out.collect()) == sorted({k for _, k in rows})
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert len(sizes) >= 20 and max(sizes[5:]) <= 5 * 12
+
+
+def test_budget_over_many_batches_and_a_failed_one(spark, monkeypatch):
+    """More batches than a snapshot holds, one of them run twice: equal to the
+    running total over the batches in order."""
+    monkeypatch.setattr(ST, "TOTALS_SNAPSHOT", 3)
+    rows = [("big" if i % 3 else f"s{i % 7}", i, (i * 37) % 11, 400) for i in range(160)]
+    df = spark.createDataFrame(rows, "site string, rank bigint, tokens bigint, max_tokens int")
+    d = folder_table(spark, df, "ranked", 8, "rank")
+    real, failed = ST.batch_part, []
+
+    def once(path, batch_id):
+        if batch_id == 5 and path.endswith("totals") and not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+        return real(path, batch_id)
+
+    monkeypatch.setattr(ST, "batch_part", once)
+    root = tempfile.mkdtemp(prefix="pw-budget-")
+    stream = ST.file_stream(spark, d, "ranked", max_files=1)
+    try:
+        ST.stream_budget(stream, root=root)
+    except Exception:
+        assert failed
+    got = {(r.site, r["rank"]): (r.used_before, r.kept) for r in ST.stream_budget(stream, root=root).collect()}
+    used, want = {}, {}
+    for site, rank, tokens, most in rows:
+        want[site, rank] = (used.get(site, 0), used.get(site, 0) < most * 0.98)
+        used[site] = used.get(site, 0) + tokens
+    assert got == want and failed
