@@ -60,6 +60,35 @@ def test_rollup_matches_a_recount(llm):
                    (None, "en", "byte_bpe_50k"): (3, sum(len(enc.encode_ordinary(" ".join(t.split()))) for t in kept))}
 
 
+def test_rollup_commits_are_whole_and_compact(llm, tmp_path, monkeypatch):
+    def change(n, source="a"):
+        return llm.createDataFrame([(source, None, "t", n, 10 * n), (source, "en", "t", 0, 5)],
+                                   "source string, lang string, tokenizer string, docs long, tokens long")
+
+    def totals():
+        return sorted((r.source, r.lang or "", r.docs, r.tokens) for r in roll.totals().collect())
+
+    roll = tokens.Rollup(llm, str(tmp_path / "r"))
+    assert totals() == []
+    roll.commit(1, change(2))
+    roll.commit(2, change(3, "b"))
+    roll.commit(2, change(1, "b"))                       # committed again: in place of the first
+    want = [("a", "", 2, 20), ("a", "en", 0, 5), ("b", "", 1, 10), ("b", "en", 0, 5)]
+    assert totals() == want
+    with monkeypatch.context() as m:                    # dies between data and log entry
+        m.setattr(tokens.Rollup, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            roll.commit(3, change(7))
+    assert totals() == want
+    roll.compact()
+    assert totals() == want and roll.state()["merged"] == [1, 2]
+    roll.commit(1, change(50))                           # known: not counted again
+    roll.commit(3, change(-2))
+    assert totals() == [("a", "en", 0, 10), *want[2:]]
+    roll.compact()
+    assert totals() == [("a", "en", 0, 10), *want[2:]] and roll.state()["batches"] == {}
+
+
 def test_empty_tables(llm):
     none = docs(llm, [])
     items = llm.createDataFrame([], "item_id long, text string")
@@ -243,3 +272,82 @@ def test_stages_decide_by_text_where_ids_are_null_or_repeated(llm):
     items = llm.createDataFrame([(0, a)], "item_id long, text string")
     rows = [(r.doc_id, r.text) for r in decontam.drop_contaminated(d, items).collect()]
     assert sorted(rows, key=str) == sorted([(None, b), (7, c), (7, c), (None, ""), (1, b)], key=str)
+
+
+def held_out(frame, label, spark, column):
+    from pagewright.llm.common import one_label
+    labels = one_label(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), label)
+    rows = frame.where("held_out").join(labels, "doc_id").select("y", column).collect()
+    good, bad = ([r[1] for r in rows if r.y == v] for v in (1, 0))
+    order = sorted([(s, 1) for s in good] + [(s, 0) for s in bad])
+    rank = sum(i for i, (_, y) in enumerate(order) if y)
+    return rows, (rank - len(good) * (len(good) - 1) / 2) / (len(good) * len(bad))
+
+
+def test_quality_classifier_on_held_out_rows(llm):
+    from pagewright.llm import registry
+    _, area = held_out(registry.op2_quality_classifier(llm, "/root/testdata/sf0.1"), "quality", llm, "score")
+    assert area > 0.93
+
+
+def test_toxicity_on_held_out_rows(llm):
+    from pagewright.llm import registry
+    rows, area = held_out(registry.op8_toxicity(llm, "/root/testdata/sf0.1"), "toxic", llm, "predicted")
+    assert sum(r.predicted for r in rows if r.y) >= 0.8 * sum(1 for r in rows if r.y)
+    assert sum(r.predicted for r in rows if not r.y) <= 0.02 * sum(1 for r in rows if not r.y)
+
+
+def test_scores_of_odd_texts(llm):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, no labels."""
+    from pyspark.sql import functions as F
+
+    from pagewright.llm import langid, quality, rules, secrets, toxicity
+    texts = [None, "", "a", "a", "word " * 200_000, "\u4e00" * 50_000, "x" * 300_000]
+    base = docs(llm, texts, [1, 2, 3, 3, None, 5, 6])
+    table = base.select("*", *[F.lit("z").alias(c) for c in ("y", "k", "score", "label", "h", "_row", "gram", "quality", "toxic", "anomaly")])
+    labels = llm.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0), (3, 0, 1), (6, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    none = labels.where("false")
+    for y in (labels, none):
+        for rows in (quality.score(table, quality.fit(table, y)), toxicity.score(table, toxicity.learn(table, y))):
+            got = rows.collect()
+            assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
+            assert len({r.score for r in got if r.doc_id == 3}) == 1
+        kept = rules.quality_rules(table, y).collect()
+        assert len(kept) == 7 and not any(r.kept for r in kept if r.doc_id in (1, 2, 3))
+        assert rules.keep_good(table, y).columns == table.columns
+    found = langid.identify(table, langid.learn(table, F.lit(True))).collect()
+    assert len(found) == 7 and {r.lang_pred for r in found if r.doc_id in (1, 2)} == {"und"}
+    assert secrets.digest(secrets.scan_secrets(table)).count() == 7
+    empty = table.where("false")
+    assert quality.score(empty, quality.fit(empty, none)).count() == toxicity.score(empty, toxicity.learn(empty, none)).count() == 0
+    assert langid.identify(empty, langid.learn(empty, F.lit(True))).count() == rules.quality_rules(empty, none).count() == 0
+
+
+def best_overlap(doc, item):
+    """Exhaustive: the best stretch on every diagonal that the rule accepts."""
+    import numpy as np
+    places = []
+    for shift in range(-len(item) + 1, len(doc)):
+        a, b = max(0, -shift), min(len(item), len(doc) - shift)
+        low, high, n = decontam.best_stretch(np.array([item[i] == doc[i + shift] for i in range(a, b)], bool))
+        if n >= decontam.needed(len(item)):
+            places.append((n, a + shift + low, a + shift + high, a + low, a + high))
+    return max(places, key=lambda p: (p[0], [-x for x in p[1:]]), default=None)
+
+
+def test_overlaps_match_an_exhaustive_search(llm):
+    """Items with up to three in ten words substituted: what the rule accepts is found, with the same places."""
+    rng = random.Random(8)
+    items = [[f"i{k}w{j}" for j in range(rng.choice((5, 9, 13, 20, 30)))] for k in range(30)]
+    texts = []
+    for k, item in enumerate(items * 3):
+        rate = (0.1, 0.2, 0.3)[k // len(items)]
+        body = [w if rng.random() >= rate else f"sub{rng.randrange(10**6)}" for w in item]
+        texts.append([f"d{rng.randrange(10**6)}" for _ in range(rng.randrange(30))] + body + [f"e{rng.randrange(10**6)}" for _ in range(9)])
+    table = llm.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matches, r.doc_start, r.doc_end, r.item_start, r.item_end)
+           for r in decontam.overlaps(docs(llm, [" ".join(t) for t in texts]), table).collect()}
+    want = {(i, k): found for i, t in enumerate(texts) for k, item in [(i % len(items), items[i % len(items)])]
+            if (found := best_overlap(t, item))}
+    assert got.keys() <= want.keys() and all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.98 * len(want) and len(want) > 40
