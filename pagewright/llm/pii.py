@@ -45,9 +45,12 @@ Z = 1.645                                 # one-sided bound of 95 %
 BANDS, ROWS = 12, 4                       # near copies share one of 12 bands of 4 minhashes
 CHUNK = 1024                              # code points rewritten at once
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-_LETTERS = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_UNSPACED}]]++"
-#: A run of an unspaced script, or letters, marks and digits with inner hyphens and apostrophes.
-WORD = rf"[{_UNSPACED}]++|{_LETTERS}(?:['\u2019-]{_LETTERS})*+"
+#: Script tests are slow: they are made from the first such character (Thai) on.
+_CHARACTER = rf"[\u0E00-\x{{3FFFF}}&&[{_UNSPACED}]]"
+_LETTERS = (r"[A-Za-z0-9[\u00AA-\u0DFF&&[\p{L}\p{M}\p{N}]]"
+            rf"[\u0E00-\x{{10FFFF}}&&[\p{{L}}\p{{M}}\p{{N}}]&&[^{_UNSPACED}]]]++")
+#: Letters, marks and digits with inner hyphens and apostrophes, or a run of an unspaced script.
+WORD = rf"(?![\x00-\x2F\x3A-\x40]){_LETTERS}(?:['\u2019-]{_LETTERS})*+|{_CHARACTER}++"
 
 #: Possessive, anchored forms of the base expressions: same matches, linear.
 PATTERNS = {
@@ -153,14 +156,14 @@ def rewritten(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
 def units(word: Column) -> Column:
     """The terms of one word, each a code point after the one before."""
-    return F.when(word.rlike(f"^[{_UNSPACED}]{{2}}"), F.regexp_extract_all(word, F.lit("(?s)(?=(..))."), F.lit(1))
+    return F.when(word.rlike(f"^{_CHARACTER}{{2}}"), F.regexp_extract_all(word, F.lit("(?s)(?=(..))."), F.lit(1))
                   ).otherwise(F.array(word))
 
 
 def terms(text: Column) -> Column:
     """The distinct terms of a text, without case."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    found = F.when(text.rlike(f"[{_UNSPACED}]"), F.flatten(F.transform(found, units))).otherwise(found)
+    found = F.when(text.rlike(_CHARACTER), F.flatten(F.transform(found, units))).otherwise(found)
     return F.array_distinct(F.transform(found, F.lower))
 
 
