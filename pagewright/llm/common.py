@@ -6,7 +6,6 @@ tab, form feed and carriage return. A null text counts as empty."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.session import ensure_checkpoint_dir, ship_package
+from pagewright.session import scratch_table, ship_package  # noqa: F401
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 CHUNK_BYTES = 1 << 21          # text handled at once by the numpy stages
@@ -158,15 +157,6 @@ def fold_of(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read
-    it back: a column-pruned cut of lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ready(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers."""
     ship_package(spark)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import scratch_table
+from pagewright.operators.components import components  # noqa: F401
 
 
 def numbered(df: DataFrame, name: str, node: str = "node") -> DataFrame:
@@ -107,22 +108,3 @@ def forest_edges(at: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray])
 def edge_batch(node: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
     pairs = np.array(edges, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
-
-
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root): the least node of every node's component, for ``edges(a,
-    b)``. Least labels go along the edges and then jump to the label of the
-    label, so long chains halve; rounds end when no label changes."""
-    both = scratch_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    label = scratch_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")),
-                          f"{name}-labels")
-    while True:
-        near = (both.join(label.select(F.col("node").alias("b"), "root"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
-        step = label.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
-        jump = label.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        step = scratch_table(step.join(jump, "new", "left").select("node", "root", F.least("new", F.coalesce("far", "new")).alias("new")),
-                             f"{name}-labels")
-        label = step.select("node", F.col("new").alias("root"))
-        if step.where("root != new").limit(1).count() == 0:
-            return label
