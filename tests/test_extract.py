@@ -85,3 +85,32 @@ def test_records_leave_by_bytes_and_not_by_rows(monkeypatch):
     pages = pd.DataFrame({"site": "s", "page_id": range(10), "url": "u", "html": ["<main>" + "y" * 600] * 10})
     sizes = [len(p) for p in X._parse_batches([pages])]
     assert sizes == [2] * 5
+
+
+def test_a_parsed_page_leaves_no_cycles_behind():
+    import gc
+    page = "<html><main>" + "<div class='a'><p>x<b>y</b>" * 300 + "</main><p>z"
+    X.extract_one(page)
+    gc.collect()
+    gc.disable()
+    try:
+        X.extract_one(page)
+        assert gc.collect() < 50
+    finally:
+        gc.enable()
+
+
+def test_extraction_is_bounded_by_bytes_and_done_once_a_query(spark, monkeypatch):
+    from pagewright.plans import registry as R
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, real = spark.conf.get(key, None), [], X.extract_pages
+
+    def counted(pages):
+        seen.append(spark.conf.get(key, None))
+        return real(pages)
+
+    monkeypatch.setattr(X, "extract_pages", counted)
+    for name in ("frontier_topk", "linked_pages_resolution"):
+        R.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [str(X.BATCH_BYTES)] * 2
+    assert spark.conf.get(key, None) == before
