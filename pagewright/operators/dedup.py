@@ -7,30 +7,35 @@ one row per map partition, and the join back is on a unique id, so no task
 ever holds a whole key group.
 
 Near-duplicates (Jaccard of word sets strictly above 0.85) use an exact
-prefix-filter set-similarity self-join: words are ranked by ascending
-document frequency, each document keeps its first ``n - ceil(0.85 n) + 1``
-words, documents are joined on (scope, prefix word, length band) and every
-candidate is verified with integer arithmetic. The first-wins choice over
+prefix-filter set-similarity self-join over sorted 64-bit word hashes: words are
+ranked rare first, each document keeps its first ``n - ceil(0.85 n) + 1``
+words, documents are joined on (scope, prefix word) and every candidate is
+verified with integer arithmetic. The rank of a word needs no join: it comes from
+a table of ``VOCAB_BROADCAST_BYTES``, whatever the vocabulary (see ``slot_levels``). An
+entry carries the parities of its whole set (see ``prefix_entries``), which show
+inside the join that most candidates differ too much. The first-wins choice over
 the similarity graph (keep x iff no earlier *kept* y is similar) is resolved
 by rounds over the edges that are still open (see ``resolve_first_wins``).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from pagewright import fixed
 from pagewright.functions import text as T
 from pagewright.operators.components import components
-from pagewright.session import checkpoint, maybe_broadcast, scratch_table
+from pagewright.session import checkpoint, scratch_table, ship_package
 
 PCT = fixed.SIMILARITY_THRESHOLD_PCT
-# geometric length bands: similar sets differ by at most one band
-BAND_BASE = 100.0 / PCT
-VOCAB_BROADCAST_BYTES = 16 << 20      # (word, frequency), as written
+#: The table that orders words: one byte a slot (a power of two). Parities of a set.
+VOCAB_BROADCAST_BYTES, PARITIES = 1 << 22, 256
+BLOCK = 1024            # members of one set that meet in a task
 
 
 # ---------------------------------------------------------------------------
@@ -69,47 +74,94 @@ def keep_first(df, scope, key, order, id_col):
 # near-duplicate pairs (E4 / D3 candidate graph)
 # ---------------------------------------------------------------------------
 
-def _prefix_len(n: Column) -> Column:
-    # n - ceil(0.85 n) + 1, in integers
-    return n - F.floor((PCT * n + 99) / 100) + 1
-
-
-def _band(n: Column) -> Column:
-    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(BAND_BASE))).cast("int")
-
-
-def prefix_entries(base: DataFrame, scope: list[str], dfreq: DataFrame) -> DataFrame:
-    """Prefix tokens of every set in ``base(scope, id, n, w)``: words ranked
-    by (document frequency ASC, word), the first ``n - ceil(0.85 n) + 1``
-    kept. Words missing from ``dfreq(scope, t, f)`` count as frequency 0.
-    Any fixed total order gives exact results; rare-first keeps candidate
-    lists short."""
-    tokens = base.select(*scope, "id", "n", F.explode("w").alias("t"))
-    return (tokens.join(dfreq, [*scope, "t"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
-            .withColumn("r", F.row_number().over(Window.partitionBy(*scope, "id").orderBy("f", "t")))
-            .where(F.col("r") <= _prefix_len(F.col("n")))
-            .select(*scope, "id", "n", "t", "r", _band(F.col("n")).alias("band")))
-
-
-def candidate_pairs(probe: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:
-    """Id pairs sharing a prefix token whose length bands differ by at most
-    one and that pass the length and the position filter. Each entry probes its
-    own band and the next one up, which reaches every such pair at least once;
-    pairs come out once, as (smaller id, larger id).
-
+def slot_counts(base: DataFrame) -> DataFrame:
+    """(slot, level): for every slot (hash modulo ``VOCAB_BROADCAST_BYTES``) with two or more
+    occurrences in ``base(w)`` a level that grows with their number."""
+    counts = (base.select(F.explode("w").alias("t")).groupBy(F.pmod("t", F.lit(VOCAB_BROADCAST_BYTES)).cast("int").alias("slot"))
+              .agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+    return counts.select("slot", F.least(F.floor(8 * F.log2("f")), F.lit(255)).cast("short").alias("level"))
+
+
+def slot_levels(counts: DataFrame) -> np.ndarray:
+    """``slot_counts`` as one array, level 0 for the other slots. Any fixed order
+    of words gives exact results, so words that share a slot may share its level;
+    the array reaches the driver and has the same size whatever the vocabulary."""
+    got, levels = counts.toArrow(), np.zeros(VOCAB_BROADCAST_BYTES, np.uint8)
+    levels[got.column("slot").to_numpy()] = got.column("level").to_numpy()
+    return levels
+
+
+def prefix_entries(base: DataFrame, scope: list[str], levels: np.ndarray, alone: bool = True) -> DataFrame:
+    """Prefix words of every set in ``base(scope, id, n, w)``: words ranked by
+    (level, hash), the first ``n - ceil(0.85 n) + 1`` kept. With ``alone``, words
+    of level 0 are left out: no other set of the table that ``levels`` counts
+    has them. ``p0`` ... hold ``PARITIES`` bits of the set: the parity of the
+    number of its words whose hash points to the bit. Sets differ by at least
+    as many words as bits."""
+    ship_package(base.sparkSession)
+    shared = base.sparkSession.sparkContext.broadcast(levels)
+    fields = [base.schema[c] for c in [*scope, "id"]]
+    schema = StructType([*fields, StructField("n", IntegerType()), StructField("skipped", IntegerType()),
+                         *[StructField(f"p{k}", LongType()) for k in range(PARITIES // 64)], StructField("ts", ArrayType(LongType()))])
+    names, slots, bits, pct = schema.names, len(levels), PARITIES, PCT
+
+    def run(batches):
+        level_of = shared.value
+        for batch in batches:
+            words = batch.column(batch.num_columns - 1)
+            flat, offs = words.flatten().to_numpy(zero_copy_only=False), words.offsets.to_numpy()
+            offs = offs - offs[0]
+            level = level_of[flat & (slots - 1)]
+            bit = (flat >> 40) & (bits - 1)
+            skipped, kept, parity = [], [], np.zeros((len(words), bits), np.uint8)
+            for k, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
+                n = int(b - a)
+                p = n - (pct * n + 99) // 100 + 1
+                first = np.lexsort((flat[a:b], level[a:b]))[:p]
+                skip = int((level[a:b][first] == 0).sum()) if alone else 0
+                skipped.append(skip)
+                kept.append(flat[a:b][first[skip:]])
+                parity[k] = np.bincount(bit[a:b], minlength=bits) & 1
+            packed = np.packbits(parity, axis=1).view(np.int64)
+            size = pa.array(np.diff(offs), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in range(len(fields))], size, pa.array(skipped, pa.int32()),
+                 *[pa.array(np.ascontiguousarray(packed[:, c])) for c in range(packed.shape[1])],
+                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()),
+                                          pa.array(np.concatenate([np.zeros(0, np.int64), *kept]), pa.int64()))], names=names)
+
+    rows = base.select(*scope, "id", "w").mapInArrow(run, schema)
+    parities = [f"p{k}" for k in range(PARITIES // 64)]
+    return (rows.select(*scope, "id", "n", "skipped", *parities, F.posexplode("ts").alias("pos", "t"))
+            .select(*scope, "id", "n", (F.col("skipped") + F.col("pos") + 1).alias("r"), *parities, "t"))
+
+
+def may_be_similar() -> Column:
+    """The exact bounds on two entries (na, ra, pa0 ..., nb, rb, pb0 ...) of a word.
+
+    Length: the shorter set has at least 0.85 of the longer one's words.
     Position: words before the first common one are not shared, so at that
     word two sets share at most one more than the shorter rest behind it. A
     similar pair passes there; at later common words the test may only let
-    more through."""
-    p = probe.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t", F.col("r").alias("ra"),
-                     F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    ix = index.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", F.col("r").alias("rb"), "band")
+    more through. Parity: sets that differ by d words differ in at most d
+    bits, and similar ones by less than 0.15 / 1.85 of their words."""
     most = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
-    return (p.join(ix, [*scope, "t", "band"])
-            .where((F.col("a") != F.col("b"))
-                   & (100 * F.least("na", "nb") >= PCT * F.greatest("na", "nb"))
-                   & ((100 + PCT) * most > PCT * (F.col("na") + F.col("nb"))))
-            .select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    differ = sum(F.bit_count(F.col(f"pa{k}").bitwiseXOR(F.col(f"pb{k}"))) for k in range(PARITIES // 64))
+    total = F.col("na") + F.col("nb")
+    return ((100 * F.least("na", "nb") >= PCT * F.greatest("na", "nb")) & ((100 + PCT) * most > PCT * total)
+            & ((100 + PCT) * differ < (100 - PCT) * total))
+
+
+def as_side(entries: DataFrame, scope: list[str], side: str, *more: str) -> DataFrame:
+    return entries.select(*scope, "t", *more, F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("r").alias(f"r{side}"),
+                          *[F.col(f"p{k}").alias(f"p{side}{k}") for k in range(PARITIES // 64)])
+
+
+def candidate_pairs(entries: DataFrame, scope: list[str]) -> DataFrame:
+    """Id pairs (smaller, larger) that share a prefix word and may be similar,
+    once each."""
+    return (as_side(entries, scope, "a").join(as_side(entries, scope, "b"), [*scope, "t"])
+            .where((F.col("a") < F.col("b")) & may_be_similar()).select(*scope, "a", "b").distinct())
 
 
 def verify_pairs(cand: DataFrame, left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame:
@@ -134,7 +186,7 @@ def representatives(docs: DataFrame, scope: list[str], id_col: str, words: str,
     the same set of words (none if it is empty). Copies are kept apart as
     members, so a group of n copies is n rows and not n * n pairs."""
     own = docs.select(*scope, F.col(id_col).alias("id"), order_struct(order).alias("o"),
-                      F.when(F.size(words) > 0, F.md5(F.array_join(F.sort_array(words), " "))).alias("_set"))
+                      F.when(F.size(words) > 0, F.unhex(F.md5(F.array_join(F.sort_array(words).cast("array<string>"), " ")))).alias("_set"))
     own = scratch_table(own, "set-keys")
     first = own.where("_set is not null").groupBy(*scope, "_set").agg(F.min(F.struct("o", "id")).alias("w"))
     return own.join(first, [*scope, "_set"]).select(*scope, "id", F.col("w.id").alias("representative"))
@@ -152,20 +204,41 @@ def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
                    order: list[tuple[str, bool]], materialized: bool = False) -> DataFrame:
     """All pairs (a earlier than b in ``order``) with Jaccard > 0.85.
 
-    ``docs`` holds (scope..., id, words array (distinct), order columns).
-    ``materialized`` says ``docs`` is already a checkpointed table.
-    Output: scope..., a, b, inter, uni, jaccard."""
+    ``docs`` holds (scope..., id, words array (distinct) or its
+    ``T.hashed_words``, order columns). ``materialized`` says ``docs`` is
+    already a table. Output: scope..., a, b, inter, uni, jaccard."""
+    if docs.schema[words].dataType.simpleString() == "array<string>":
+        docs, materialized = docs.withColumn(words, T.hashed_words(words)), False
     base = word_base(docs, scope, id_col, words, order)
-    # word sets feed four branches (frequencies, prefixes, both verify sides):
-    # tokenise the text once
+    # word sets feed four branches (counts, prefixes, both verify sides)
     if not materialized:
-        base = checkpoint(base)
-    dfreq = (base.select(*scope, F.explode("w").alias("t"))
-             .groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f")))
-    dfreq = maybe_broadcast(dfreq, VOCAB_BROADCAST_BYTES)
-    ranked = prefix_entries(base, scope, dfreq)
-    cand = candidate_pairs(ranked, ranked, scope)
-    return verify_pairs(cand, base, base, scope)
+        base = scratch_table(base, "near-sets")
+    entries = prefix_entries(base, scope, slot_levels(slot_counts(base)))
+    cand = scratch_table(candidate_pairs(entries, scope), "near-candidates")
+    named = cand.select(F.col("a").alias("id")).union(cand.select(F.col("b").alias("id"))).distinct()
+    met = base.join(named, "id", "left_semi")
+    return verify_pairs(cand, met, met, scope)
+
+
+def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, inter, uni, jaccard), a < b: the pairs of all members, for
+    ``pairs`` of sets and ``members(k, id, n)`` of every set ``k`` of ``n`` words.
+    Members of a set are dealt into blocks of about ``BLOCK`` and meet by block, so
+    no task holds all pairs of a large one."""
+    sized = members.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = scratch_table(members.join(sized, "k").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "pair-members")
+    left = dealt.select("k", F.col("id").alias("x"), "blocks")
+    right = dealt.select("k", F.col("id").alias("y"), "n", "block")
+
+    def over_blocks(df):
+        return df.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    inside = (over_blocks(left.join(sized.where("k is not null").select("k"), "k", "left_semi")).join(right, ["k", "block"]).where("x < y")
+              .select("x", "y", F.col("n").alias("inter"), F.col("n").alias("uni"), F.lit(1.0).alias("jaccard")))
+    across = (over_blocks(pairs.join(left.select(F.col("k").alias("a"), "x"), "a").join(sized.withColumnRenamed("k", "b"), "b"))
+              .withColumnRenamed("b", "k").join(right.drop("n"), ["k", "block"])
+              .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "inter", "uni", "jaccard").where("x < y"))
+    return inside.unionByName(across).withColumnsRenamed({"x": "a", "y": "b"})
 
 
 # ---------------------------------------------------------------------------
@@ -285,13 +358,14 @@ def fuzzy_dedup(docs: DataFrame, scope: list[str], id_col: str, text: str,
     extra = [c for c, _ in order if c not in scope and c != id_col]
     prep = scratch_table(docs.select(*scope, id_col, *extra,
                                      T.key_hash(T.content_key(F.col(text))).alias("_ck"),
-                                     T.word_set(F.col(text)).alias("_words")), "fuzzy-sets")
-    firsts = first_wins(prep.select(*scope, id_col, *extra, "_ck"), scope, F.col("_ck"), order, id_col, "_first")
-    uniq = scratch_table(prep.join(firsts.where("_first").select(id_col), id_col, "left_semi")
-                         .select(*scope, id_col, *extra, "_words"), "fuzzy-unique")
+                                     T.word_hashes(F.col(text)).alias("_words")), "fuzzy-sets")
+    firsts = scratch_table(first_wins(prep.select(*scope, id_col, *extra, "_ck"), scope, F.col("_ck"), order, id_col, "_first")
+                           .select(id_col, "_first"), "fuzzy-firsts")
+    uniq = prep.join(firsts.where("_first").select(id_col), id_col, "left_semi")
     member = representatives(uniq, scope, id_col, "_words", order)
     later = scratch_table(member.where("id != representative").select(F.col("id").alias(id_col), F.lit(False).alias("kept")), "fuzzy-copies")
-    pairs = near_dup_pairs(uniq.join(later, id_col, "left_anti"), scope, id_col, "_words", order, materialized=True)
+    alone = firsts.where("_first").select(id_col).join(later, id_col, "left_anti")
+    pairs = near_dup_pairs(prep.join(alone, id_col, "left_semi"), scope, id_col, "_words", order)
     verdict = resolve_first_wins(pairs.select("a", "b")).withColumnRenamed("id", id_col).unionByName(later)
     flags = scratch_table(firsts.select(id_col, "_first").join(verdict, id_col, "left")
                           .select(id_col, (~F.col("_first")).alias("dup_exact"),

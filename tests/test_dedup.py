@@ -152,3 +152,35 @@ def test_copies_are_members_and_not_pairs(spark):
     docs = spark.createDataFrame(rows, "id long, text string").select("id", T.word_set(F.col("text")).alias("ws"))
     member = {r.id: r.representative for r in DD.representatives(docs, [], "id", "ws", [("id", True)]).collect()}
     assert member == {**{i: 0 for i in range(40)}, 50: 50}
+
+
+def test_query_gives_the_pairs_of_copies_and_null_ids_none(spark, tmp_path, monkeypatch):
+    from pagewright.plans import registry as R
+    monkeypatch.setattr(DD, "BLOCK", 3)
+    w = [f"w{i}" for i in range(40)]
+    texts = {**{i: " ".join(w) for i in range(8)}, **{i: " ".join(reversed(w[1:])) for i in range(8, 13)}, 13: "", 14: "alone here"}
+    rows = [(i, t) for i, t in texts.items()] + [(None, " ".join(w)), (15, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = R.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets
+            if a < b and 100 * len(sets[a] & sets[b]) > 85 * len(sets[a] | sets[b])}
+    assert len(want) == 78
+    assert sorted((r.a, r.b, r.inter, r.uni) for r in got) == sorted(want)
+
+
+def test_prefixes_need_no_row_per_word_and_parities_stop_most_candidates(spark):
+    """Texts of common words share prefixes; unlike ones leave the join unseen."""
+    import random
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(300)]
+    texts = [" ".join(rng.sample(common, 100)) for _ in range(120)]
+    texts += [t.replace(t.split()[0], "new", 1) for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", T.word_set(F.col("text")).alias("ws"))
+    base = DD.word_base(docs.withColumn("ws", T.hashed_words("ws")), [], "id", "ws", [("id", True)])
+    cand = DD.candidate_pairs(DD.prefix_entries(base, [], DD.slot_levels(DD.slot_counts(base))), []).collect()
+    sets = [set(t.split()) for t in texts]
+    brute = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) > 85 * len(sets[a] | sets[b])}
+    assert brute <= {(r.a, r.b) for r in cand} and len(cand) < 20
+    got = {(r.a, r.b) for r in DD.near_dup_pairs(docs, [], "id", "ws", [("id", True)]).collect()}
+    assert got == brute and len(got) >= 10
