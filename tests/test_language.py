@@ -38,3 +38,17 @@ def test_classifier_reads_whole_texts(spark):
     assert L.classify_language(df, ["id"], "t", prof).first()["lang_pred"] == "bb"
     gated = L.language_gate(df, ["id"], "t", prof, primary="aa").first()
     assert gated["lang_ok"]            # the gate's own sample: the first 1,000 characters
+
+
+def test_profile_counts_code_points_and_makes_no_row_per_character(spark):
+    from collections import Counter
+    texts = [("a", " Ab𝒳cd\U0001F600abab "), ("a", "ab"), ("b", None), (None, "zzzz"), ("b", "éÉé é"), ("a", "abab")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    want = Counter()
+    for lang, t in texts:
+        s = (t or "").strip().lower()
+        if lang:
+            want.update((lang, s[k:k + 3]) for k in range(len(s) - 2))
+    out = L.train_language(df)
+    assert {(r.lang, r.gram): r.cnt for r in out.collect()} == want
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
