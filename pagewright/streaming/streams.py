@@ -192,9 +192,10 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
                     root: str | None = None) -> DataFrame:
     """Streaming near-duplicate removal against the kept corpus.
 
-    The token order is frozen when the stream starts (document frequency in
-    ``reference``, unseen tokens rarest); prefix filtering is exact under any
-    fixed order, so prefixes indexed by earlier micro-batches stay valid.
+    The word order is frozen when the stream starts (occurrences in
+    ``reference``, without one in the first micro-batch; unseen words rarest);
+    prefix filtering is exact under any fixed order, so prefixes indexed by
+    earlier micro-batches stay valid. Word sets are kept as hashes.
     Per micro-batch:
       1. later exact copies inside the batch are dropped (first copy wins);
       2. first copies are probed against the persisted prefix index of kept
@@ -208,29 +209,26 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
          batch that runs again overwrites it and reads earlier batches only."""
     from pagewright.functions import text as T
     from pagewright.operators import dedup as DD
-    from pagewright.session import checkpoint
+    from pagewright.session import scratch_table
 
     spark = docs_stream.sparkSession
     out, chk = _paths(spark, "near_dup", root)
     root = os.path.dirname(out)
     words_path, index_path = os.path.join(root, "corpus_words"), os.path.join(root, "corpus_index")
     order_path = os.path.join(root, "token_order")
-    if reference is not None and not path_exists(spark, f"{order_path}/_SUCCESS"):     # frozen: a restart keeps it
-        (reference.select(*scope, F.explode(T.word_set(F.col(text))).alias("t"))
-         .groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("f"))
-         .write.mode("overwrite").parquet(order_path))
     extra = [c for c, _ in order if c not in scope and c != id_col]
 
-    def token_order():
-        if path_exists(spark, order_path):
-            return spark.read.parquet(order_path)
-        from pyspark.sql.types import LongType, StringType, StructField, StructType
-        fields = list(docs_stream.select(*scope).schema.fields) + [
-            StructField("t", StringType()), StructField("f", LongType())]
-        return spark.createDataFrame([], StructType(fields))
+    def freeze_order(sets):
+        if not path_exists(spark, f"{order_path}/_SUCCESS"):     # frozen: a restart keeps it
+            DD.slot_counts(sets).write.mode("overwrite").parquet(order_path)
+
+    if reference is not None:
+        freeze_order(reference.select(T.word_hashes(F.col(text)).alias("w")))
 
     def bucketed(base):
-        return DD.prefix_entries(base, scope, token_order()).withColumn(
+        # level 0 says nothing about later batches
+        levels = DD.slot_levels(spark.read.schema("slot int, level short").parquet(order_path))
+        return DD.prefix_entries(base, scope, levels, alone=False).withColumn(
             "tb", F.pmod(F.xxhash64("t"), F.lit(INDEX_BUCKETS)))
 
     def earlier(path, written, batch_id):
@@ -241,36 +239,39 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
         return base.join(rows.select(F.col(id_col).alias("id"), "_ck"), "id")
 
     def sink(batch: DataFrame, batch_id: int):
-        prep = checkpoint(batch.select(*scope, id_col, *extra,
-                                       T.key_hash(T.content_key(F.col(text))).alias("_ck"),
-                                       T.word_set(F.col(text)).alias("_words")))
+        prep = scratch_table(batch.select(*scope, id_col, *extra,
+                                          T.key_hash(T.content_key(F.col(text))).alias("_ck"),
+                                          T.word_hashes(F.col(text)).alias("_words")), "stream-sets")
         firsts = DD.first_wins(prep.select(*scope, id_col, *extra, "_ck"), scope, F.col("_ck"), order,
                                id_col, "_first").where("_first").select(id_col)
-        reps = checkpoint(prep.join(firsts, id_col, "left_semi"))
+        reps = scratch_table(prep.join(firsts, id_col, "left_semi"), "stream-firsts")
         base = DD.word_base(reps, scope, id_col, "_words", order)
+        freeze_order(base)
         decided = None
         if path_exists(spark, words_path) and path_exists(spark, index_path):
             corpus = earlier(words_path, with_key(base, reps), batch_id)
             probe = bucketed(base)
             index = earlier(index_path, probe, batch_id)
-            cand = (probe.select(*scope, F.col("id").alias("a"), F.col("n").alias("na"), "t", "tb",
-                                 F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-                    .join(index.select(*scope, F.col("id").alias("b"), F.col("n").alias("nb"), "t", "tb", "band"),
-                          [*scope, "t", "tb", "band"])
-                    .where(100 * F.least("na", "nb") >= DD.PCT * F.greatest("na", "nb"))
-                    .select(*scope, "a", "b").distinct())
+            cand = scratch_table(DD.as_side(probe, scope, "a", "tb").join(DD.as_side(index, scope, "b", "tb"), [*scope, "t", "tb"])
+                                 .where(DD.may_be_similar()).select(*scope, "a", "b").distinct(), "stream-candidates")
+            named = cand.select(*scope, F.col("b").alias("id")).distinct()
             hits = (cand.join(base.select(*scope, F.col("id").alias("a"), F.col("w").alias("wa")), [*scope, "a"])
-                    .join(corpus.select(*scope, F.col("id").alias("b"), F.col("w").alias("wb")), [*scope, "b"])
+                    .join(corpus.join(named, [*scope, "id"], "left_semi").select(*scope, F.col("id").alias("b"), F.col("w").alias("wb")),
+                          [*scope, "b"])
                     .withColumn("inter", F.size(F.array_intersect("wa", "wb")))
                     .where(100 * F.col("inter") > DD.PCT * (F.size("wa") + F.size("wb") - F.col("inter")))
                     .select(F.col("a").alias("id")))
             key_hits = (reps.join(corpus.select(*scope, "_ck"), [*scope, "_ck"], "left_semi")
                         .select(F.col(id_col).alias("id")))
             decided = hits.union(key_hits).distinct().withColumn("st", F.lit("D"))
-        pairs = DD.near_dup_pairs(reps, scope, id_col, "_words", order, materialized=True)
+        # equal sets: all but the first go, whatever is decided of the first
+        member = DD.representatives(reps, scope, id_col, "_words", order)
+        later = scratch_table(member.where("id != representative").select(F.col("id").alias(id_col)), "stream-copies")
+        single = reps.join(later, id_col, "left_anti")
+        pairs = DD.near_dup_pairs(single, scope, id_col, "_words", order)
         verdict = DD.resolve_first_wins(pairs.select("a", "b"), decided=decided)
-        kept = checkpoint(reps.join(verdict.where(~F.col("kept")).select(F.col("id").alias(id_col)),
-                                    id_col, "left_anti"))
+        dropped = verdict.where(~F.col("kept")).select(F.col("id").alias(id_col)).union(later)
+        kept = scratch_table(reps.join(dropped, id_col, "left_anti"), "stream-kept")
         kb = DD.word_base(kept, scope, id_col, "_words", order)
         with_key(kb, kept).write.mode("overwrite").parquet(batch_part(words_path, batch_id))
         bucketed(kb).write.mode("overwrite").partitionBy("tb").parquet(batch_part(index_path, batch_id))
