@@ -84,12 +84,12 @@ def run_append(stream: DataFrame, name: str, root: str | None = None, progress:
 def stream_extract(pages_stream: DataFrame, profile: DataFrame, root: str | None = None) -> DataFrame:
     """Streaming extraction + gates (stateless per page)."""
     from pagewright.functions.urls import site_of
-    from pagewright.operators.extract import extract_pages
+    from pagewright.operators.extract import materialised
     from pagewright.plans.curate import gate_pages
 
     def step(batch):
         b = batch.withColumn("site", site_of("url"))
-        return gate_pages(extract_pages(b), profile).select("site", "page_id", "title", "reason")
+        return gate_pages(materialised(b), profile).select("site", "page_id", "title", "reason")
 
     return run_foreach(pages_stream, "extract", step, root=root).drop("batch_id")
 

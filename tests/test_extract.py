@@ -114,3 +114,17 @@ def test_extraction_is_bounded_by_bytes_and_done_once_a_query(spark, monkeypatch
         R.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [str(X.BATCH_BYTES)] * 2
     assert spark.conf.get(key, None) == before
+
+
+def test_streams_and_turns_extract_bounded_batches_once(spark, monkeypatch):
+    from pagewright.plans import registry as R
+    key, seen, real = "spark.sql.execution.arrow.maxBytesPerBatch", [], X.extract_pages
+
+    def counted(pages):
+        seen.append(pages.sparkSession.conf.get(key, None))
+        return real(pages)
+
+    monkeypatch.setattr(X, "extract_pages", counted)
+    for name in ("turn_code_blocks", "stream_extract"):
+        R.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [str(X.BATCH_BYTES)] * 2

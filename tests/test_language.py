@@ -52,3 +52,28 @@ def test_profile_counts_code_points_and_makes_no_row_per_character(spark):
     out = L.train_language(df)
     assert {(r.lang, r.gram): r.cnt for r in out.collect()} == want
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trigram_counts_are_held_up_to_a_number_of_characters_of_all_languages(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+    monkeypatch.setattr(L, "COUNT_CHARS", 100)
+    texts = [(f"l{k}", f"{k:03d}" * 10) for k in range(50)] + [("long", "abcdefg" * 100), ("short", "ab"), ("none", None)]
+    read = 0
+
+    def batches():
+        nonlocal read
+        for lang, text in texts:
+            read += len(text or "")
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([text], pa.string())], names=["lang", "_s"])
+
+    got, sizes, first = Counter(), [], None
+    for out in L._count_trigrams(batches()):
+        first = first or read
+        sizes.append(sum(out.column(2).to_pylist()))
+        for lang, gram, cnt in zip(*(out.column(c).to_pylist() for c in range(3)), strict=True):
+            got[lang, gram] += cnt
+    assert got == Counter((lang, t[k:k + 3]) for lang, t in texts for k in range(len(t or "") - 2))
+    assert first <= 130                 # what many languages hold together leaves in time
+    assert max(sizes) <= 100            # and a long text goes in pieces
