@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from pagewright import fixed
 from pagewright.functions import text as T
 from pagewright.operators.components import components
-from pagewright.session import checkpoint, scratch_table, ship_package
+from pagewright.session import checkpoint, scratch_table, ship_package, small_batches
 
 PCT = fixed.SIMILARITY_THRESHOLD_PCT
 #: The table that orders words: one byte a slot (a power of two). Parities of a set.
@@ -214,7 +214,8 @@ def near_dup_pairs(docs: DataFrame, scope: list[str], id_col: str, words: str,
     if not materialized:
         base = scratch_table(base, "near-sets")
     entries = prefix_entries(base, scope, slot_levels(slot_counts(base)))
-    cand = scratch_table(candidate_pairs(entries, scope), "near-candidates")
+    with small_batches(base.sparkSession):          # sets are as long as their texts
+        cand = scratch_table(candidate_pairs(entries, scope), "near-candidates")
     named = cand.select(F.col("a").alias("id")).union(cand.select(F.col("b").alias("id"))).distinct()
     met = base.join(named, "id", "left_semi")
     return verify_pairs(cand, met, met, scope)

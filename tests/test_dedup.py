@@ -184,3 +184,21 @@ def test_prefixes_need_no_row_per_word_and_parities_stop_most_candidates(spark):
     assert brute <= {(r.a, r.b) for r in cand} and len(cand) < 20
     got = {(r.a, r.b) for r in DD.near_dup_pairs(docs, [], "id", "ws", [("id", True)]).collect()}
     assert got == brute and len(got) >= 10
+
+
+def test_sets_enter_the_workers_in_batches_of_bounded_bytes(spark, monkeypatch):
+    from pagewright.session import BATCH_BYTES
+    key, seen, real = "spark.sql.execution.arrow.maxBytesPerBatch", {}, DD.scratch_table
+    before = spark.conf.get(key, None)
+
+    def noted(df, name):
+        seen[name] = spark.conf.get(key, None)
+        return real(df, name)
+
+    monkeypatch.setattr(DD, "scratch_table", noted)
+    words = "a b c d e f g h i j k l m n o p q r s t"
+    docs = spark.createDataFrame([(1, words.split()), (2, (words + " u").split()), (3, ["z"])], "id long, w array<string>")
+    got = DD.near_dup_pairs(docs, [], "id", "w", [("id", True)])
+    assert [(r.a, r.b) for r in got.collect()] == [(1, 2)]
+    assert seen["near-candidates"] == str(BATCH_BYTES)
+    assert spark.conf.get(key, None) == before
