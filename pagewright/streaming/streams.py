@@ -184,7 +184,8 @@ def stream_usage_window(events_stream: DataFrame, window: str = "1 hour", waterm
 
 # S5 ------------------------------------------------------------------------
 
-INDEX_BUCKETS = 256
+#: Parts of the words that the index is packed by, and the folders they lie in.
+INDEX_PARTS, INDEX_BUCKETS = 4096, 64
 
 
 def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text: str,
@@ -195,88 +196,106 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
     The word order is frozen when the stream starts (occurrences in
     ``reference``, without one in the first micro-batch; unseen words rarest);
     prefix filtering is exact under any fixed order, so prefixes indexed by
-    earlier micro-batches stay valid. Word sets are kept as hashes.
-    Per micro-batch:
+    earlier micro-batches stay valid. The corpus is the output with a narrow table
+    of keys and the packed index; word sets are made of texts where they are needed
+    and stored nowhere. Per micro-batch:
       1. later exact copies inside the batch are dropped (first copy wins);
-      2. first copies are probed against the persisted prefix index of kept
-         documents (partitioned by a token-hash bucket, so dynamic partition
-         pruning reads only the probed buckets) and verified exactly; a hit,
-         or an exact key already kept, drops the document;
+      2. the batch meets itself and the persisted prefix index of kept documents
+         (partitioned by a bucket of words, of which only the probed ones are
+         read), and pairs are verified exactly; one with the corpus, an equal set or
+         an exact key already kept drops the document;
       3. the rest are resolved first-wins among themselves, the corpus hits
          pre-decided as dropped;
-      4. kept documents go to the output, their word sets and prefix entries
+      4. kept documents go to the output, their keys and prefix entries
          to the corpus tables, each into the partition of its batch id; a
          batch that runs again overwrites it and reads earlier batches only."""
     from pagewright.functions import text as T
     from pagewright.operators import dedup as DD
-    from pagewright.session import scratch_table
+    from pagewright.session import BROADCAST_BYTES, scratch_table, small_batches, table_bytes
 
     spark = docs_stream.sparkSession
     out, chk = _paths(spark, "near_dup", root)
     root = os.path.dirname(out)
-    words_path, index_path = os.path.join(root, "corpus_words"), os.path.join(root, "corpus_index")
-    order_path = os.path.join(root, "token_order")
+    keys_path, index_path = os.path.join(root, "corpus_keys"), os.path.join(root, "corpus_entries")
+    order_path = os.path.join(root, "word_levels")
+    if path_exists(spark, os.path.join(root, "corpus_words")):
+        raise ValueError(f"{root} holds the corpus of an older version")
     extra = [c for c, _ in order if c not in scope and c != id_col]
 
-    def freeze_order(sets):
+    def freeze_order(texts):
         if not path_exists(spark, f"{order_path}/_SUCCESS"):     # frozen: a restart keeps it
-            DD.slot_counts(sets).write.mode("overwrite").parquet(order_path)
+            DD.slot_counts(texts, scope).write.mode("overwrite").parquet(order_path)
 
     if reference is not None:
-        freeze_order(reference.select(T.word_hashes(F.col(text)).alias("w")))
+        with small_batches(spark):
+            freeze_order(reference.select(*scope, F.col(text).alias("w")))
 
-    def bucketed(base):
+    def bucketed(texts):
         # level 0 says nothing about later batches
-        levels = DD.slot_levels(spark.read.schema("slot int, level short").parquet(order_path))
-        return DD.prefix_entries(base, scope, levels, alone=False).withColumn(
-            "tb", F.pmod(F.xxhash64("t"), F.lit(INDEX_BUCKETS)))
+        levels = DD.slot_levels(spark.read.schema("span int, levels binary").parquet(order_path))
+        return DD.prefix_entries(texts, scope, levels, alone=False, parts=INDEX_PARTS).withColumn("tb", F.col("part") % INDEX_BUCKETS)
 
     def earlier(path, written, batch_id):
         schema = written.withColumn("batch_id", F.lit(0).cast("long")).schema
         return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
 
-    def with_key(base, rows):
-        return base.join(rows.select(F.col(id_col).alias("id"), "_ck"), "id")
-
     def sink(batch: DataFrame, batch_id: int):
-        prep = scratch_table(batch.select(*scope, id_col, *extra,
-                                          T.key_hash(T.content_key(F.col(text))).alias("_ck"),
-                                          T.word_hashes(F.col(text)).alias("_words")), "stream-sets")
+        with small_batches(spark):
+            remove(batch, batch_id)
+
+    def remove(batch: DataFrame, batch_id: int):
+        own = batch.select(*scope, id_col, *extra, F.col(text).alias("_w"))
+        texts = own.select(*scope, F.col("_w").alias("w"))
+        prep = scratch_table(DD.named_sets(own.select(*scope, id_col, *extra, T.key_hash(T.content_key(F.col("_w"))).alias("_ck"), "_w"), scope),
+                             "stream-sets")
         firsts = DD.first_wins(prep.select(*scope, id_col, *extra, "_ck"), scope, F.col("_ck"), order,
                                id_col, "_first").where("_first").select(id_col)
         reps = scratch_table(prep.join(firsts, id_col, "left_semi"), "stream-firsts")
-        base = DD.word_base(reps, scope, id_col, "_words", order)
-        freeze_order(base)
+        keys = reps.where("_n > 0").select(*scope, id_col, "_ck", "_n", "_k")
+        freeze_order(texts)
+        probe = bucketed(texts).withColumn("old", F.lit(False))
+        words, corpus = prep.agg(F.sum("_n")).first()[0] or 0, None
+        if path_exists(spark, keys_path) and path_exists(spark, index_path):
+            corpus = earlier(keys_path, keys, batch_id)
+            words += corpus.agg(F.sum("_n")).first()[0] or 0
+            # every bucket is probed but by a batch of few words
+            few = len(prep.head(INDEX_BUCKETS)) < INDEX_BUCKETS
+            asked = [r.tb for r in probe.select("tb").distinct().collect()] if few else range(INDEX_BUCKETS)
+            probe = probe.union(earlier(index_path, probe.drop("old"), batch_id).select("part", "entries", "tb", F.lit(True)).where(F.col("tb").isin(*asked)))
+        cand = scratch_table(DD.candidate_pairs(probe, parts=DD.entry_parts(spark, words)), "stream-candidates")
         decided = None
-        if path_exists(spark, words_path) and path_exists(spark, index_path):
-            corpus = earlier(words_path, with_key(base, reps), batch_id)
-            probe = bucketed(base)
-            index = earlier(index_path, probe, batch_id)
-            cand = scratch_table(DD.as_side(probe, scope, "a", "tb").join(DD.as_side(index, scope, "b", "tb"), [*scope, "t", "tb"])
-                                 .where(DD.may_be_similar()).select(*scope, "a", "b").distinct(), "stream-candidates")
-            named = cand.select(*scope, F.col("b").alias("id")).distinct()
-            hits = (cand.join(base.select(*scope, F.col("id").alias("a"), F.col("w").alias("wa")), [*scope, "a"])
-                    .join(corpus.join(named, [*scope, "id"], "left_semi").select(*scope, F.col("id").alias("b"), F.col("w").alias("wb")),
-                          [*scope, "b"])
-                    .withColumn("inter", F.size(F.array_intersect("wa", "wb")))
-                    .where(100 * F.col("inter") > DD.PCT * (F.size("wa") + F.size("wb") - F.col("inter")))
-                    .select(F.col("a").alias("id")))
-            key_hits = (reps.join(corpus.select(*scope, "_ck"), [*scope, "_ck"], "left_semi")
-                        .select(F.col(id_col).alias("id")))
-            decided = hits.union(key_hits).distinct().withColumn("st", F.lit("D"))
+        if corpus is not None:
+            named = cand.select(F.col("a").alias("_k")).union(cand.select(F.col("b").alias("_k"))).distinct()
+            ids = scratch_table(corpus.join(named, "_k", "left_semi").select(id_col).distinct(), "stream-asked")
+            held = earlier(out, batch, batch_id)
+            if table_bytes(ids) <= BROADCAST_BYTES:
+                held = held.join(F.broadcast(ids), id_col, "left_semi")
+            texts = texts.union(held.select(*scope, F.col(text).alias("w")))
+        pairs = DD.set_pairs(texts, scope, cand)
+        if corpus is not None:
+            kept_sets = corpus.select("_k").distinct()
+            beside = pairs.select(F.col("a").alias("x"), F.col("b").alias("_k")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("_k")))
+            similar = beside.join(kept_sets, "_k", "left_semi").select(F.col("x").alias("_k")).union(kept_sets)
+            hits = keys.dropna(subset=scope).join(similar, "_k", "left_semi") if scope else keys.join(similar, "_k", "left_semi")
+            key_hits = reps.join(corpus.select(*scope, "_ck"), [*scope, "_ck"], "left_semi")
+            decided = hits.select(F.col(id_col).alias("id")).union(key_hits.select(F.col(id_col).alias("id"))).distinct().withColumn("st", F.lit("D"))
         # equal sets: all but the first go, whatever is decided of the first
-        member = DD.representatives(reps, scope, id_col, "_words", order)
+        member = DD.first_of_sets(reps, scope, id_col, order)
         later = scratch_table(member.where("id != representative").select(F.col("id").alias(id_col)), "stream-copies")
         single = reps.join(later, id_col, "left_anti")
-        pairs = DD.near_dup_pairs(single, scope, id_col, "_words", order)
-        verdict = DD.resolve_first_wins(pairs.select("a", "b"), decided=decided)
+        near = DD.near_dup_pairs(own, scope, id_col, "_w", order, materialized=True, named=single, pairs=pairs)
+        verdict = DD.resolve_first_wins(near.select("a", "b"), decided=decided)
         dropped = verdict.where(~F.col("kept")).select(F.col("id").alias(id_col)).union(later)
-        kept = scratch_table(reps.join(dropped, id_col, "left_anti"), "stream-kept")
-        kb = DD.word_base(kept, scope, id_col, "_words", order)
-        with_key(kb, kept).write.mode("overwrite").parquet(batch_part(words_path, batch_id))
-        bucketed(kb).write.mode("overwrite").partitionBy("tb").parquet(batch_part(index_path, batch_id))
-        (batch.join(kept.select(id_col), id_col, "left_semi")
-         .write.mode("overwrite").parquet(batch_part(out, batch_id)))
+        kept = scratch_table(reps.select(id_col).join(dropped, id_col, "left_anti"), "stream-kept")
+        gone = scratch_table(prep.select(id_col).distinct().join(kept, id_col, "left_anti"), "stream-gone")
+        rest = batch.join(kept, id_col, "left_semi")
+        if table_bytes(gone) <= BROADCAST_BYTES:        # no text is shuffled
+            rest = batch.where(F.col(id_col).isNotNull()).join(F.broadcast(gone), id_col, "left_anti")
+        part = batch_part(out, batch_id)
+        rest.write.mode("overwrite").parquet(part)
+        keys.join(kept, id_col, "left_semi").write.mode("overwrite").parquet(batch_part(keys_path, batch_id))
+        stored = spark.read.schema(batch.schema).parquet(part).select(*scope, F.col(text).alias("w"))
+        bucketed(stored).write.mode("overwrite").partitionBy("tb").parquet(batch_part(index_path, batch_id))
 
     q = (docs_stream.writeStream.foreachBatch(sink).option("checkpointLocation", chk)
          .trigger(availableNow=True).start())

@@ -157,3 +157,22 @@ def test_budget_over_many_batches_and_a_failed_one(spark, monkeypatch):
         want[site, rank] = (used.get(site, 0), used.get(site, 0) < most * 0.98)
         used[site] = used.get(site, 0) + tokens
     assert got == want and failed
+
+
+def test_near_dup_corpus_holds_no_word_sets(spark, tmp_path):
+    import random
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.randrange(10 ** 5)}" for _ in range(500))) for i in range(300)]
+    rows += [(i + 300, t.split(" ", 1)[1]) for i, t in rows[::10]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    d = folder_table(spark, docs, "documents", 3, "doc_id")
+    root = str(tmp_path / "root")
+    s = ST.file_stream(spark, d, "documents", max_files=1)
+    got = sorted(r.doc_id for r in ST.stream_near_dup(s, [], "doc_id", "text", [("doc_id", True)], root=root).select("doc_id").collect())
+    assert got == list(range(300))
+
+    tables = [t for t in os.listdir(root) if t not in ("out", "chk")]
+    fields = {(t, f.name): f.dataType.simpleString() for t in tables for f in spark.read.parquet(f"{root}/{t}").schema}
+    assert tables and not [f for f, kind in fields.items() if kind.startswith("array")]
+    packed = sum(spark.read.parquet(f"{root}/{t}").agg(F.sum(F.octet_length(c))).first()[0] for (t, c), kind in fields.items() if kind == "binary" and c == "entries")
+    assert 0 < packed <= 32 * 77 * 300           # a prefix of 500 words has 76
