@@ -202,3 +202,71 @@ def test_sets_enter_the_workers_in_batches_of_bounded_bytes(spark, monkeypatch):
     assert [(r.a, r.b) for r in got.collect()] == [(1, 2)]
     assert seen["near-candidates"] == str(BATCH_BYTES)
     assert spark.conf.get(key, None) == before
+
+
+def _versions(seed, groups=12, of=9, alone=40):
+    """Texts of 1 to 150 words: groups whose members differ by a few words each, and others."""
+    import random
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(groups):
+        words = rng.sample(vocabulary, rng.choice([1, 2, 3, 7, 13, 20, 40, 90, 150]))
+        for _ in range(of):
+            changed = [w if rng.random() > 0.05 else rng.choice(vocabulary) for w in words]
+            out.append(" ".join(changed[:len(changed) - rng.randrange(1 + len(changed) // 8)]))
+    return out + [" ".join(rng.sample(vocabulary, rng.randint(1, 150))) for _ in range(alone)]
+
+
+def _brute(texts, scope=lambda i: 0):
+    sets = [set(t.lower().split()) for t in texts]
+    return {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets))
+            if scope(a) == scope(b) and 100 * len(sets[a] & sets[b]) > 85 * len(sets[a] | sets[b])}
+
+
+def test_pairs_of_versions_match_brute_force_also_where_words_are_hot(spark, monkeypatch):
+    texts = _versions(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for at_once in (DD.PAIRS_AT_ONCE, 5):               # 5: most words are cut into stretches
+        monkeypatch.setattr(DD, "PAIRS_AT_ONCE", at_once)
+        got = DD.near_dup_pairs(docs, [], "id", "text", [("id", True)]).collect()
+        assert sorted((r.a, r.b, r.inter, r.uni) for r in got) == sorted(_brute(texts))
+    scoped = docs.withColumn("s", F.when(F.col("id") % 5 < 4, F.col("id") % 2)).withColumn("late", -F.col("id"))
+    got = DD.near_dup_pairs(scoped, ["s"], "id", "text", [("late", True)]).collect()
+    want = {(b, a) for a, b, _, _ in _brute(texts, lambda i: i % 2 if i % 5 < 4 else i + 10)}
+    assert sorted((r.a, r.b) for r in got) == sorted(want) and all(r.s == r.a % 2 for r in got)
+
+
+def _long_texts(spark, path, n=300):
+    """Texts of 500 random words of their own, every tenth with a near copy; the bytes of the table."""
+    import os
+    import random
+    rng = random.Random(5)
+    texts = [[f"{rng.randrange(10 ** 5)}" for _ in range(500)] for _ in range(n)]
+    texts += [t[1:] for t in texts[::10]]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    return sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+
+
+def test_pairs_store_no_word_sets(spark, tmp_path, monkeypatch):
+    from pagewright.plans import registry as R
+    from pagewright.session import table_bytes
+    size, written, real = _long_texts(spark, f"{tmp_path}/documents.parquet"), {}, DD.scratch_table
+
+    def weighed(df, name):
+        out = real(df, name)
+        written[name] = written.get(name, 0) + table_bytes(out)
+        return out
+
+    monkeypatch.setattr(DD, "scratch_table", weighed)
+    assert len(R.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()) == 30
+    assert written and sum(written.values()) < size / 4
+
+
+def test_sets_of_a_group_are_sent_once_and_not_once_a_pair(spark, monkeypatch):
+    sides, real = [], DD.maybe_broadcast
+    monkeypatch.setattr(DD, "maybe_broadcast", lambda df: sides.append(real(df)) or sides[-1])
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(words[:i] + words[i + 1:])) for i in range(40)], "id long, text string")
+    assert DD.near_dup_pairs(docs, [], "id", "text", [("id", True)]).count() == 780
+    assert sides[1].count() == 40                       # (cell, set): what is sent
