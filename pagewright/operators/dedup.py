@@ -605,11 +605,12 @@ def resolve_first_wins(edges: DataFrame, requires: DataFrame | None = None,
 # ---------------------------------------------------------------------------
 
 def fuzzy_dedup(docs: DataFrame, scope: list[str], id_col: str, text: str,
-                order: list[tuple[str, bool]]) -> DataFrame:
-    """Adds ``dup_exact`` and ``dup_fuzzy`` flags to ``docs``.
+                order: list[tuple[str, bool]], materialized: bool = False) -> DataFrame:
+    """Adds ``dup_exact`` and ``dup_fuzzy`` flags to ``docs``. ``materialized`` says
+    ``docs`` is read from files; the texts of others are written once.
 
     1. one pass over the text builds the narrow table (scope, id, order,
-       content-key hash, word set), materialised once;
+       content-key hash, name of the word set), materialised once;
     2. exact copies keep their first member (aggregate + join on id, no
        text moves);
     3. survivors with equal word sets: all but the first go, whatever is
@@ -618,16 +619,18 @@ def fuzzy_dedup(docs: DataFrame, scope: list[str], id_col: str, text: str,
     5. the greedy first-wins set is resolved over the verified edges;
     6. only the (id, flags) table is joined back to the input."""
     extra = [c for c, _ in order if c not in scope and c != id_col]
-    prep = scratch_table(docs.select(*scope, id_col, *extra,
-                                     T.key_hash(T.content_key(F.col(text))).alias("_ck"),
-                                     T.word_hashes(F.col(text)).alias("_words")), "fuzzy-sets")
+    texts = docs.select(*scope, id_col, *extra, F.col(text).alias("_w"))
+    if not materialized:
+        texts = scratch_table(texts, "fuzzy-texts")
+    with small_batches(docs.sparkSession):
+        prep = scratch_table(named_sets(texts.select(*scope, id_col, *extra, T.key_hash(T.content_key(F.col("_w"))).alias("_ck"), "_w"), scope), "fuzzy-sets")
     firsts = scratch_table(first_wins(prep.select(*scope, id_col, *extra, "_ck"), scope, F.col("_ck"), order, id_col, "_first")
                            .select(id_col, "_first"), "fuzzy-firsts")
     uniq = prep.join(firsts.where("_first").select(id_col), id_col, "left_semi")
-    member = representatives(uniq, scope, id_col, "_words", order)
+    member = first_of_sets(uniq, scope, id_col, order)
     later = scratch_table(member.where("id != representative").select(F.col("id").alias(id_col), F.lit(False).alias("kept")), "fuzzy-copies")
     alone = firsts.where("_first").select(id_col).join(later, id_col, "left_anti")
-    pairs = near_dup_pairs(prep.join(alone, id_col, "left_semi"), scope, id_col, "_words", order)
+    pairs = near_dup_pairs(texts, scope, id_col, "_w", order, materialized=True, named=prep.join(alone, id_col, "left_semi"))
     verdict = resolve_first_wins(pairs.select("a", "b")).withColumnRenamed("id", id_col).unionByName(later)
     flags = scratch_table(firsts.select(id_col, "_first").join(verdict, id_col, "left")
                           .select(id_col, (~F.col("_first")).alias("dup_exact"),

@@ -270,3 +270,19 @@ def test_sets_of_a_group_are_sent_once_and_not_once_a_pair(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(words[:i] + words[i + 1:])) for i in range(40)], "id long, text string")
     assert DD.near_dup_pairs(docs, [], "id", "text", [("id", True)]).count() == 780
     assert sides[1].count() == 40                       # (cell, set): what is sent
+
+
+def test_fuzzy_dedup_stores_no_word_sets(spark, tmp_path, monkeypatch):
+    from pagewright.plans import registry as R
+    from pagewright.session import table_bytes
+    size, written, real = _long_texts(spark, f"{tmp_path}/documents.parquet"), {}, DD.scratch_table
+
+    def weighed(df, name):
+        out = real(df, name)
+        if not name.startswith("wins-"):                # edges of documents, not words
+            written[name] = written.get(name, 0) + table_bytes(out)
+        return out
+
+    monkeypatch.setattr(DD, "scratch_table", weighed)
+    assert R.QUERIES["fuzzy_dedup"](spark, str(tmp_path)).where("kept").count() == 300
+    assert written and sum(written.values()) < size / 4
