@@ -240,7 +240,8 @@ def stream_near_dup(docs_stream: DataFrame, scope: list[str], id_col: str, text:
         return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
 
     def sink(batch: DataFrame, batch_id: int):
-        with small_batches(spark):
+        # a micro-batch has a session of its own
+        with small_batches(spark), small_batches(batch.sparkSession):
             remove(batch, batch_id)
 
     def remove(batch: DataFrame, batch_id: int):

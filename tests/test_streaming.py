@@ -176,3 +176,18 @@ def test_near_dup_corpus_holds_no_word_sets(spark, tmp_path):
     assert tables and not [f for f, kind in fields.items() if kind.startswith("array")]
     packed = sum(spark.read.parquet(f"{root}/{t}").agg(F.sum(F.octet_length(c))).first()[0] for (t, c), kind in fields.items() if kind == "binary" and c == "entries")
     assert 0 < packed <= 32 * 77 * 300           # a prefix of 500 words has 76
+
+
+def test_near_dup_texts_enter_the_workers_in_batches_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    from pagewright.session import BATCH_BYTES
+    seen, real = [], DD.set_rows
+
+    def noted(rows, *more):
+        seen.append(rows.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None))
+        return real(rows, *more)
+
+    monkeypatch.setattr(DD, "set_rows", noted)
+    spark.createDataFrame([(1, "a b c"), (2, "c b a"), (3, "d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = ST.stream_near_dup(ST.file_stream(spark, str(tmp_path), "documents"), [], "doc_id", "text", [("doc_id", True)])
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+    assert seen and set(seen) == {str(BATCH_BYTES)}
